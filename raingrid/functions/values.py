@@ -90,38 +90,6 @@ def wind_from_components(u: Column, v: Column, convention: str = "from"):
     return F.hypot(u, v), direction
 
 
-def parse_value_codes(token: Column) -> Column:
-    """``value_q_s`` or ``value q s`` token to (value, q, s, valid, reason).
-
-    A bare number gets the default codes q=2, s=1. Anything with a ``C`` (special
-    adjustment), any missing marker and any number at or below -9 is rejected.
-    """
-    text = F.trim(token)
-    parts = F.split(text, r"_|\s+")
-    number = coerce_numeric(parts[0])
-    bare = coerce_numeric(text)
-    coded = text.rlike(r"^[^_\s]+(_|\s+)\d+(_|\s+)\d+([_\s].*)?$") & number.isNotNull()
-    reason = (
-        F.when(token.isNull() | (text == ""), "Empty/NaN")
-        .when(text.isin("C", "c"), "Special adjustment indicator (C)")
-        .when(text.isin(*fixed.TOKEN_MISSING), "Missing data indicator")
-        .when(F.upper(text).contains("C"), "Contains special adjustment indicator (C)")
-        .when(number <= -9, "Missing value")
-        .when(~coded & bare.isNull(), "Unable to parse value")
-    )
-    as_code = lambda k: F.when(coded, parts[k].try_cast("int"))
-    missing = reason.isin("Missing data indicator", "Missing value")
-    default = lambda n: F.when(reason.isNull() & ~coded, F.lit(n))
-    ok = reason.isNull()
-    return F.struct(
-        F.when(ok, F.when(coded, number).otherwise(bare)).alias("value"),
-        F.when(missing, 0).when(ok, F.coalesce(as_code(1), default(2))).alias("q"),
-        F.when(missing, 0).when(ok, F.coalesce(as_code(2), default(1))).alias("s"),
-        ok.alias("valid"),
-        reason.alias("reason"),
-    )
-
-
 def log_shift(col: Column, c: float, kind: str = "log") -> Column:
     return F.log1p(col + c) if kind == "log1p" else F.log(col + c)
 

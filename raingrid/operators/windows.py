@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raingrid.functions import values as V
 from raingrid.operators.common import (
-    BY, backward, forward, from_arrays, last_known, mean, to_arrays, total, whole_series,
+    BY, backward, forward, from_arrays, last_known, to_arrays, total, whole_series,
 )
 
 
@@ -165,26 +165,25 @@ def lag_windows(df: DataFrame, length: int, by=BY, ds="ds", value="value") -> Da
     )
 
 
-def _autocorrelations(max_lag: int) -> Column:
-    """Array of lags 0..max_lag from the centred values; lags past the end are null."""
-    size = F.size("vals")
+def _with_acf(df, max_lag, by, ds, value):
+    """Series rows with the array ``acf`` of lags 0..max_lag, null past the length.
+
+    The mean comes from a window and the variance from the aggregate, so the
+    array expression below only walks values that are already centred.
+    """
+    known = df.where(F.col(value).isNotNull()).withColumn(
+        "_d", F.col(value) - F.avg(value).over(whole_series(by)))
+    rows = known.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct(ds, "_d"))).alias("_p"),
+        F.sum(F.col("_d") * F.col("_d")).alias("_c0"))
+    centred, size = F.col("_p._d"), F.size("_p")
 
     def at(k):
-        pairs = F.zip_with(F.slice(F.col("_c"), F.lit(1), size - k),
-                           F.slice(F.col("_c"), k + 1, size - k), lambda a, b: a * b)
+        pairs = F.zip_with(F.slice(centred, F.lit(1), size - k),
+                           F.slice(centred, k + 1, size - k), lambda a, b: a * b)
         return F.when(k < size, total(pairs) / F.col("_c0"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(max_lag)), at)
-
-
-def _with_acf(df, max_lag, by, ds, value):
-    return (
-        to_arrays(df.where(F.col(value).isNotNull()), by, ds, value)
-        .withColumn("_mean", mean(F.col("vals")))
-        .withColumn("_c", F.transform("vals", lambda v: v - F.col("_mean")))
-        .withColumn("_c0", total(F.transform("_c", lambda v: v * v)))
-        .withColumn("acf", _autocorrelations(max_lag))
-    )
+    return rows.withColumn("acf", F.transform(F.sequence(F.lit(0), F.lit(max_lag)), at))
 
 
 def acf(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from raingrid.plans import q_clean  # noqa: F401
+from raingrid.plans import q_align, q_clean, q_quality, q_stats, q_windows  # noqa: F401
 from raingrid.plans.registry import QUERIES, SQL
 
 
