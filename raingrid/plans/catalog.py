@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from raingrid.plans import q_align, q_clean, q_quality, q_stats, q_windows  # noqa: F401
+from raingrid.plans import (  # noqa: F401
+    q_align, q_clean, q_impute, q_quality, q_stats, q_windows,
+)
 from raingrid.plans.registry import QUERIES, SQL
 
 

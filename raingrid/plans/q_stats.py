@@ -17,15 +17,15 @@ def rounded(df, digits, *cols):
 
 
 @query("resample_month", f"""WITH {S.O1} SELECT series, CAST(date_trunc('month', ds) AS DATE) AS period,
-  round(avg(value), 3) AS value FROM o1 GROUP BY 1, 2""")
+  round(avg(value), 6) AS value FROM o1 GROUP BY 1, 2""")
 def resample_month(spark, sf):
-    return rounded(A.resample(S.o1(spark, sf), "month"), 3, "value")
+    return rounded(A.resample(S.o1(spark, sf), "month"), 6, "value")
 
 
 @query("resample_month_end", f"""WITH {S.O1} SELECT series, last_day(ds) AS period,
-  round(avg(value), 3) AS value FROM o1 GROUP BY 1, 2""")
+  round(avg(value), 6) AS value FROM o1 GROUP BY 1, 2""")
 def resample_month_end(spark, sf):
-    return rounded(A.resample(S.o1(spark, sf), "month", label="end"), 3, "value")
+    return rounded(A.resample(S.o1(spark, sf), "month", label="end"), 6, "value")
 
 
 @query("resample_year", f"""WITH {S.O1} SELECT series, CAST(date_trunc('year', ds) AS DATE) AS period,
