@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, probs: list[float], by=("series",), value="value",
-                    cuts: int = 256) -> DataFrame:
+                    cuts: int = 64) -> DataFrame:
     """Linear-interpolated quantiles, one array ``quantiles`` per group.
 
     ``percentile`` holds every distinct value of a group in one buffer. Here equal
@@ -31,16 +31,17 @@ def exact_quantiles(df: DataFrame, probs: list[float], by=("series",), value="va
         "_total", F.sum("_size").over(Window.partitionBy(*by)))
     want = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(float(p)))
                               .alias("at")) for i, p in enumerate(probs)])
-    targets = ranges.select(*by, "_part", "_before", "_size", F.explode(want).alias("_w")).select(
-        *by, "_part", "_before", "_size", F.col("_w.i").alias("_i"), F.col("_w.at").alias("_at"))
     end = F.col("_before") + F.col("_size")
-    targets = targets.where((F.floor("_at") < end) & (F.ceil("_at") >= F.col("_before")))
+    held = F.filter(want, lambda w: (F.floor(w["at"]) < end)
+                    & (F.ceil(w["at"]) >= F.col("_before")))
+    targets = ranges.select(*by, "_part", "_before", held.alias("_held")).where(
+        F.size("_held") > 0)
 
     inside = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, 0)
-    needed = placed.join(targets.select(*by, "_part").distinct(), [*by, "_part"], "left_semi")
-    ranked = needed.withColumn("_upto", F.sum("_n").over(inside))
-    hit = ranked.join(targets, [*by, "_part"])
+    ranked = placed.join(targets, [*by, "_part"]).withColumn("_upto", F.sum("_n").over(inside))
+    hit = ranked.withColumn("_w", F.explode("_held")).withColumns(
+        {"_i": F.col("_w.i"), "_at": F.col("_w.at")})
     last = F.col("_before") + F.col("_upto")  # ranks [last - n, last) have this value
     first = last - F.col("_n")
     low, high = F.floor("_at"), F.ceil("_at")

@@ -60,24 +60,31 @@ def winsorize_ranks(df: DataFrame, low=0.05, high=0.05, by=BY, value="value",
     ).drop("_r", "_n", "_a", "_b")
 
 
+def _power_sql(value: str, lam: float) -> str:
+    """Yeo-Johnson transform for one parameter, as SQL text."""
+    up = f"log1p({value})" if lam == 0 else f"(pow({value} + 1D, {lam}D) - 1D) / {lam}D"
+    rest = round(2 - lam, 10)
+    down = (f"-log1p(-({value}))" if rest == 0
+            else f"-(pow(1D - {value}, {rest}D) - 1D) / {rest}D")
+    return f"CASE WHEN {value} >= 0 THEN {up} ELSE {down} END"
+
+
 def power_lambdas(df: DataFrame, low=-2.0, high=3.0, steps=51, by=BY, value="value") -> DataFrame:
     """Most likely Yeo-Johnson parameter per series, from a grid, with its moments.
 
     All candidates are aggregates of one pass; rows are not repeated per candidate.
     The smallest parameter wins a tie.
     """
-    v = F.col(value)
     grid = [round(low + i * (high - low) / (steps - 1), 10) for i in range(steps)]
-    log_sum = F.sum(F.signum(v) * F.log1p(F.abs(v)))
-    moments = [x for i, lam in enumerate(grid) for x in (
-        F.avg(V.power_transform(v, F.lit(lam))).alias(f"m{i}"),
-        F.var_pop(V.power_transform(v, F.lit(lam))).alias(f"s{i}"))]
-    wide = df.groupBy(*by).agg(F.count(v).alias("n"), log_sum.alias("logs"), *moments)
-    options = F.array(*[F.struct(
-        (-F.col("n") / 2 * F.log(f"s{i}") + (lam - 1.0) * F.col("logs")).alias("fit"),
-        F.lit(-lam).alias("neg"), F.col(f"m{i}").alias("mean"),
-        F.sqrt(f"s{i}").alias("std")) for i, lam in enumerate(grid)])
-    return wide.select(*by, F.array_max(options).alias("b")).select(
+    moments = [F.expr(f"{fn}({_power_sql(f'`{value}`', lam)}) AS {name}{i}")
+               for i, lam in enumerate(grid)
+               for fn, name in (("avg", "m"), ("var_pop", "s"))]
+    logs = F.expr(f"sum(signum(`{value}`) * log1p(abs(`{value}`))) AS logs")
+    wide = df.groupBy(*by).agg(F.count(value).alias("n"), logs, *moments)
+    options = ", ".join(
+        f"struct(-n / 2D * ln(s{i}) + ({lam}D - 1D) * logs AS fit, {-lam}D AS neg, "
+        f"m{i} AS mean, sqrt(s{i}) AS std)" for i, lam in enumerate(grid))
+    return wide.select(*by, F.expr(f"array_max(array({options})) AS b")).select(
         *by, (-F.col("b.neg")).alias("lam"), F.col("b.mean").alias("mean"),
         F.col("b.std").alias("std"))
 
