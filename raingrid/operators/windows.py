@@ -165,9 +165,11 @@ def lag_windows(df: DataFrame, length: int, by=BY, ds="ds", value="value") -> Da
     )
 
 
-def _with_acf(df, max_lag, by, ds, value):
+def acf_arrays(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value", extra=()) -> DataFrame:
     """Series rows with the array ``acf`` of lags 0..max_lag, null past the length.
 
+    Also ``centred`` (values less the mean, in date order) and ``mean``.
+
     The mean comes from a window and the variance from the aggregate, so the
     array expression below only walks values that are already centred.
     """
@@ -175,7 +177,7 @@ def _with_acf(df, max_lag, by, ds, value):
         "_d", F.col(value) - F.avg(value).over(whole_series(by)))
     rows = known.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct(ds, "_d"))).alias("_p"),
-        F.sum(F.col("_d") * F.col("_d")).alias("_c0"))
+        F.sum(F.col("_d") * F.col("_d")).alias("_c0"), F.avg(value).alias("mean"), *extra)
     centred, size = F.col("_p._d"), F.size("_p")
 
     def at(k):
@@ -183,11 +185,12 @@ def _with_acf(df, max_lag, by, ds, value):
                            F.slice(centred, k + 1, size - k), lambda a, b: a * b)
         return F.when(k < size, total(pairs) / F.col("_c0"))
 
-    return rows.withColumn("acf", F.transform(F.sequence(F.lit(0), F.lit(max_lag)), at))
+    lags = F.transform(F.sequence(F.lit(0), F.lit(max_lag)), at)
+    return rows.withColumns({"acf": lags, "centred": centred}).drop("_p", "_c0")
 
 
 def acf(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value") -> DataFrame:
-    return _with_acf(df, max_lag, by, ds, value).select(
+    return acf_arrays(df, max_lag, by, ds, value).select(
         *by, F.posexplode("acf").alias("lag", "acf"))
 
 
@@ -208,7 +211,7 @@ def pacf(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value") -> DataFram
                         F.concat(s["out"], F.array(new)).alias("out"))
 
     fold = F.aggregate(F.sequence(F.lit(1), F.lit(max_lag)), start, step)["out"]
-    return _with_acf(df, max_lag, by, ds, value).select(
+    return acf_arrays(df, max_lag, by, ds, value).select(
         *by, F.posexplode(fold).alias("lag", "pacf"))
 
 
