@@ -42,10 +42,14 @@ def to_arrays(df: DataFrame, by=BY, ds="ds", value="value") -> DataFrame:
 
 
 def from_arrays(df: DataFrame, by=BY, ds="ds", **columns: str) -> DataFrame:
-    """Explode ``days`` and the named arrays back to rows."""
+    """Explode ``days`` and the named arrays back to rows.
+
+    The outer form matters: for the plain one the optimizer adds a filter on the
+    array and pushes it down, which would run the folds behind the arrays again.
+    """
     zipped = F.arrays_zip(F.col("days").alias("days"),
                           *[F.col(src).alias(src) for src in columns.values()])
-    return df.select(*by, F.explode(zipped).alias("z")).select(
+    return df.select(*by, F.explode_outer(zipped).alias("z")).select(
         *by, F.col("z.days").alias(ds),
         *[F.col(f"z.{src}").alias(name) for name, src in columns.items()])
 

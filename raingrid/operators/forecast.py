@@ -183,7 +183,7 @@ def lag_regression(df: DataFrame, max_lag: int, horizon: int, d: int = 0, by=BY,
 
     path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), begin, roll)["out"]
     steps = rows.withColumn("_path", path).select(
-        *by, "p", "mean", "_end", "_last", F.posexplode("_path").alias("_i", "_y"))
+        *by, "p", "mean", "_end", "_last", F.posexplode_outer("_path").alias("_i", "_y"))
     step = F.col("_y") + F.col("mean")
     if d == 1:
         run = forward(by, "_i").rowsBetween(-horizon, 0)

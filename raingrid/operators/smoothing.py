@@ -118,7 +118,7 @@ def fitted_rows(fits: DataFrame, by=BY, ds="ds", remove_bias=False) -> DataFrame
     """One row per day with the value and its one-step-ahead fit."""
     zipped = F.arrays_zip(F.col("days"), F.col("vals"), F.col("fit.fitted").alias("fitted"))
     bias = F.col("fit.sr") / F.col("fit.n") if remove_bias else F.lit(0.0)
-    return fits.select(*by, "candidate", bias.alias("_bias"), F.explode(zipped).alias("z")).select(
+    return fits.select(*by, "candidate", bias.alias("_bias"), F.explode_outer(zipped).alias("z")).select(
         *by, "candidate", F.col("z.days").alias(ds), F.col("z.vals").alias("value"),
         (F.col("z.fitted") + F.col("_bias")).alias("fitted"))
 
@@ -178,9 +178,10 @@ def grid_search(df: DataFrame, candidates: list[dict], last=60, by=BY, ds="ds",
     fair = (F.col("m") < F.size("train") / 2) & (
         (F.col("kind") != "mul") | (F.array_min("vals") > 0))
     scored = _score_on(rows.where(fair), remove_bias)
-    best = scored.where(F.col("mse").isNotNull()).groupBy(*by).agg(F.min_by(
-        F.struct("candidate", "alpha", "beta", "gamma", "phi", "m", "kind", "mse"),
-        F.struct("mse", "candidate")).alias("b"))
+    rank = F.when(F.col("mse").isNotNull(), F.struct("mse", "candidate"))
+    best = scored.groupBy(*by).agg(F.min_by(
+        F.struct("candidate", "alpha", "beta", "gamma", "phi", "m", "kind", "mse"), rank)
+        .alias("b"))
     return arrays.select(*by).join(best, list(by), "left").select(*by, "b.*")
 
 

@@ -174,11 +174,11 @@ def acf_arrays(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value", extra
     array expression below only walks values that are already centred.
     """
     known = df.where(F.col(value).isNotNull()).withColumn(
-        "_d", F.col(value) - F.avg(value).over(whole_series(by)))
+        "_dev", F.col(value) - F.avg(value).over(whole_series(by)))
     rows = known.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct(ds, "_d"))).alias("_p"),
-        F.sum(F.col("_d") * F.col("_d")).alias("_c0"), F.avg(value).alias("mean"), *extra)
-    centred, size = F.col("_p._d"), F.size("_p")
+        F.sort_array(F.collect_list(F.struct(ds, "_dev"))).alias("_p"),
+        F.sum(F.col("_dev") * F.col("_dev")).alias("_c0"), F.avg(value).alias("mean"), *extra)
+    centred, size = F.col("_p._dev"), F.size("_p")
 
     def at(k):
         pairs = F.zip_with(F.slice(centred, F.lit(1), size - k),
@@ -191,7 +191,7 @@ def acf_arrays(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value", extra
 
 def acf(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value") -> DataFrame:
     return acf_arrays(df, max_lag, by, ds, value).select(
-        *by, F.posexplode("acf").alias("lag", "acf"))
+        *by, F.posexplode_outer("acf").alias("lag", "acf"))
 
 
 def pacf(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value") -> DataFrame:
@@ -212,7 +212,7 @@ def pacf(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value") -> DataFram
 
     fold = F.aggregate(F.sequence(F.lit(1), F.lit(max_lag)), start, step)["out"]
     return acf_arrays(df, max_lag, by, ds, value).select(
-        *by, F.posexplode(fold).alias("lag", "pacf"))
+        *by, F.posexplode_outer(fold).alias("lag", "pacf"))
 
 
 def chrono_split(df: DataFrame, ratio: float | None = None, last: int | None = None, by=BY,
