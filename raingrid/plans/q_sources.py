@@ -67,7 +67,7 @@ def mooring_files(spark, sf) -> str:
         text(v - 2), F.concat(q, F.lit("1"), q), F.concat(s, F.lit("5"), s))
     sst = F.concat_ws(" ", date, F.lit("1200"),
                       F.when(day % 8 == 0, "-9.99").otherwise(text(v)), q, s)
-    wind = F.concat_ws(" ", date, F.lit("1200"), text(-v), text(v / 2), text(v / 4),
+    wind = F.concat_ws(" ", date, F.lit("1200"), text(-v), text(v * 2), text(v * 4),
                        F.when(day % 8 == 0, "-99.9").otherwise(text(v + 90)),
                        F.concat(q, F.lit("4")), F.concat(s, F.lit("3")))
     is_temp = F.col("series").isin("click", "view", "error")
@@ -111,17 +111,17 @@ mv AS (SELECT station, 'temp' AS variable, 'SST' AS name, 1.0::DOUBLE AS depth,
   UNION ALL SELECT '8N90E', 'sst', 'SST', 1, ds, CASE WHEN dy % 8 <> 0 THEN value END, q6, s9 FROM mo
     WHERE series = 'purchase' UNION ALL
   SELECT '4N90E', 'wind', 'UWND', -4, ds, -value, q6, s9 FROM mo WHERE series = 'signup' UNION ALL
-  SELECT '4N90E', 'wind', 'VWND', -4, ds, value / 2, q6, s9 FROM mo WHERE series = 'signup' UNION ALL
-  SELECT '4N90E', 'wind', 'WSPD', -4, ds, value / 4, q6, s9 FROM mo WHERE series = 'signup' UNION ALL
+  SELECT '4N90E', 'wind', 'VWND', -4, ds, value * 2, q6, s9 FROM mo WHERE series = 'signup' UNION ALL
+  SELECT '4N90E', 'wind', 'WSPD', -4, ds, value * 4, q6, s9 FROM mo WHERE series = 'signup' UNION ALL
   SELECT '4N90E', 'wind', 'WDIR', -4, ds, CASE WHEN dy % 8 <> 0 THEN value + 90 END, 4, 3 FROM mo
     WHERE series = 'signup')"""
 
 
 @query("read_mooring_text", f"""WITH {MOORING} SELECT station, variable, name, depth, ds,
-  round(value, 3) AS value, q, s FROM mv""")
+  round(value, 4) AS value, q, s FROM mv""")
 def read_mooring_text(spark, sf):
     rows = M.read_mooring_text(spark, mooring_files(spark, sf))
-    return rounded(rows.drop("token"), 3, "value")
+    return rounded(rows.drop("token"), 4, "value")
 
 
 @query("route_by_file", f"""WITH {MOORING} SELECT station, variable, count(*) AS n FROM mv GROUP BY 1, 2""")
@@ -184,11 +184,11 @@ def write_series(spark, sf):
 @query("mooring_table", f"""WITH {MOORING}, g AS (SELECT * FROM mv WHERE q IN (1, 2, 3)
   AND s IN (1, 2, 3, 5, 6, 7, 8) AND value IS NOT NULL)
   SELECT coalesce(station, '?') AS "Location", ds AS "Date",
-  round(max(value) FILTER (variable = 'sst'), 3) AS "SST",
-  round(max(value) FILTER (variable = 'temp' AND depth = 20), 3) AS "TEMP_20m",
-  round(max(value) FILTER (name = 'UWND'), 3) AS "UWND" FROM g
+  round(max(value) FILTER (variable = 'sst'), 4) AS "SST",
+  round(max(value) FILTER (variable = 'temp' AND depth = 20), 4) AS "TEMP_20m",
+  round(max(value) FILTER (name = 'UWND'), 4) AS "UWND" FROM g
   GROUP BY station, ds HAVING count(*) FILTER (NOT (variable = 'temp' AND depth NOT IN (10, 20, 40))) > 0""")
 def mooring_table(spark, sf):
     rows = flows.mooring_table(spark, mooring_files(spark, sf))
     return rounded(rows.select(F.coalesce("Location", F.lit("?")).alias("Location"), "Date", "SST",
-                               "TEMP_20m", "UWND"), 3, "SST", "TEMP_20m", "UWND")
+                               "TEMP_20m", "UWND"), 4, "SST", "TEMP_20m", "UWND")
