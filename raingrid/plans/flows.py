@@ -31,7 +31,7 @@ def merge_mooring(values: DataFrame, depths=fixed.TARGET_DEPTHS) -> DataFrame:
 
     One aggregate on (station, day) replaces a chain of outer joins per variable.
     """
-    good = Q.quality_filter(values).where(F.col("value").isNotNull())
+    good = Q.quality_filter(values)
     temp = F.col("variable") == "temp"
     cells = {out: F.max(F.when((F.col("name") == src) & ~temp, F.col("value")))
              for src, out in MERGED_NAMES.items()}

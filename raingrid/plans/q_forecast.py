@@ -219,10 +219,10 @@ def fallback_chain(spark, sf):
 @query("seasonal_naive", f"""WITH {S.O1}, m AS (SELECT series, month(ds) AS mo, avg(value) AS v FROM o1
   GROUP BY 1, 2), a AS (SELECT series, avg(value) AS v, max(ds) AS e FROM o1 GROUP BY 1),
 s AS (SELECT series, CAST(h AS INTEGER) AS h, CAST(e + CAST(h AS INTEGER) AS DATE) AS ds, v AS al
-  FROM a, range(1, 121) g(h)) SELECT series, h, ds, round(coalesce(v, al), 3) AS yhat
+  FROM a, range(1, 121) g(h)) SELECT series, h, ds, round(coalesce(v, al), 6) AS yhat
   FROM s LEFT JOIN m USING (series) WHERE mo = month(ds)""")
 def seasonal_naive(spark, sf):
-    return rounded(P.seasonal_naive(S.o1(spark, sf), 120), 3, "yhat")
+    return rounded(P.seasonal_naive(S.o1(spark, sf), 120), 6, "yhat")
 
 
 @query("seasonal_naive_by_season", f"""WITH {S.E1}, q AS (SELECT series, {S.season_sql('ds', 'binned')} AS q,

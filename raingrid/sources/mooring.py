@@ -10,6 +10,7 @@ from raingrid.functions import values as V
 from raingrid.sources.lines import carry_down, read_lines
 
 DATA_LINE = r"^\s*\d{8}\s+\d{4}\s"
+DEPTH_LINE = r"^\s*Depth\s*\(M\):"
 FILE_NAME = r"(rain|rad|rh|sst|t|w)(\d+[ns]\d+[ew])_dy"
 
 
@@ -36,7 +37,7 @@ def depth_columns(header: Column) -> Column:
     Words after the depths (quality, source) are left out; the first of equal
     depths keeps its position.
     """
-    words = F.split(F.trim(F.regexp_replace(header, r"^\s*Depth\s*\(M\):", "")), r"\s+")
+    words = F.split(F.trim(F.regexp_replace(header, DEPTH_LINE, "")), r"\s+")
     depths = F.filter(F.transform(words, lambda w: w.try_cast("double")), lambda d: d.isNotNull())
     return F.map_from_arrays(F.array_distinct(depths), F.transform(
         F.array_distinct(depths), lambda d: F.array_position(depths, d).cast("int") - 1))
@@ -52,33 +53,32 @@ def parse_mooring_lines(lines: DataFrame, depths: tuple | None = None) -> DataFr
     """One row per value: station, variable, name, depth, ds, token, value, q, s.
 
     Each data line is read with the column line and the depth line of its own
-    block. One code digit serves all values, one digit per value is matched by
-    position, and with two wind digits the second is the direction's. ``depths``
-    limits temperature to these depths.
+    block; those are taken apart once per header and carried down as arrays. One
+    code digit serves all values, one digit per value is matched by position, and
+    with two wind digits the second is the direction's. ``depths`` limits
+    temperature to these depths.
     """
     text = F.col("line")
-    names = F.when(text.rlike(r"^\s*YYYYMMDD\s+HHMM"), text)
-    depth = F.when(text.rlike(r"^\s*Depth\s*\(M\):"), text)
-    rows = carry_down(lines, {"names": names, "depths": depth}, text.rlike(DATA_LINE))
-    split = lambda c: F.split(F.trim(c), r"\s+")
-    rows = rows.select(
-        "path", split(text).alias("t"), split(F.col("names")).alias("n"), "depths",
-        F.concat_ws(" ", "depths", "names").alias("header"))
-    is_value = lambda w: ~w.rlike(r"^(Q+|S+|SD)$")
-    rows = rows.withColumn("k", F.size(F.filter("n", is_value)) - 2)
-    variable, station = route_by_file(F.col("path"), F.col("header"))
-    rows = rows.withColumns({
-        "variable": variable, "station": station,
-        "ds": F.to_date(F.try_to_timestamp(F.element_at("t", 1), F.lit("yyyyMMdd"))),
-        "level": F.filter(F.transform(split(F.regexp_replace(
-            "depths", r"^\s*Depth\s*\(M\):", "")), lambda w: w.try_cast("double")),
-            lambda d: d.isNotNull()),
-        "codes_q": F.get("t", F.col("k") + 2), "codes_s": F.get("t", F.col("k") + 3)})
+    words = lambda c: F.split(F.trim(c), r"\s+")
+    values = F.filter(words(text), lambda w: ~w.rlike(r"^(YYYYMMDD|HHMM|Q+|S+|SD)$"))
+    levels = F.filter(
+        F.transform(words(F.regexp_replace(text, DEPTH_LINE, "")), lambda w: w.try_cast("double")),
+        lambda d: d.isNotNull())
+    rows = carry_down(lines, {
+        "names": F.when(text.rlike(r"^\s*YYYYMMDD\s+HHMM"), values),
+        "level": F.when(text.rlike(DEPTH_LINE), levels)}, text.rlike(DATA_LINE))
+    header = F.concat(F.lit("Depth(M): "), F.concat_ws(" ", F.col("level").cast("array<string>")),
+                      F.lit(" "), F.concat_ws(" ", "names"))
+    variable, station = route_by_file(F.col("path"), header)
+    rows = rows.select(variable.alias("variable"), station.alias("station"), "names", "level",
+                       F.size("names").alias("k"), words(text).alias("t"))
     long = rows.select(
-        "station", "variable", "ds", "k", "codes_q", "codes_s", "level",
+        "station", "variable", F.to_date(F.try_to_timestamp(F.col("t")[0], F.lit("yyyyMMdd")))
+        .alias("ds"), "k", F.get("t", F.col("k") + 2).alias("codes_q"),
+        F.get("t", F.col("k") + 3).alias("codes_s"), "level",
         F.posexplode(F.arrays_zip(
-            F.slice("n", F.lit(3), F.col("k")).alias("name"),
-            F.slice("t", F.lit(3), F.col("k")).alias("token"))).alias("i", "x"))
+            F.col("names").alias("name"), F.slice("t", F.lit(3), F.col("k")).alias("token")))
+        .alias("i", "x"))
 
     def code(col):
         c, i = F.col(col), F.col("i")
