@@ -126,16 +126,16 @@ def correlation(spark, sf):
     return rounded(A.correlation(rows, ["qty", "price", "retail"], ("series",)), 6, "r")
 
 
-REGR = """round(regr_slope(y, x), 3) AS slope, round(regr_intercept(y, x), 1) AS intercept,
+REGR = """round(regr_slope(y, x), 1) AS slope, round(regr_intercept(y, x), -3) AS intercept,
   round(corr(y, x), 6) AS r, round(regr_r2(y, x), 6) AS r2,
   round(sqrt((regr_syy(y, x) - power(regr_sxy(y, x), 2) / regr_sxx(y, x)) / (count(*) - 2)
-  / regr_sxx(y, x)), 4) AS stderr, count(*) AS n"""
+  / regr_sxx(y, x)), 1) AS stderr, count(*) AS n"""
 
 
 def _regression_rounded(df):
     return df.withColumns({
-        "slope": F.round("slope", 3), "intercept": F.round("intercept", 1), "r": F.round("r", 6),
-        "r2": F.round("r2", 6), "stderr": F.round("stderr", 4)})
+        "slope": F.round("slope", 1), "intercept": F.round("intercept", -3), "r": F.round("r", 6),
+        "r2": F.round("r2", 6), "stderr": F.round("stderr", 1)})
 
 
 @query("linear_trend", f"""WITH {S.O1}, y AS (SELECT series, year(ds) AS x, avg(value) AS y FROM o1
@@ -265,12 +265,12 @@ def residual_against_fitted(spark, sf):
 
 
 @query("describe_wide", f"""WITH {S.E2G}, f AS (SELECT series, value * 2 AS sst, value * 5 AS rad
-  FROM e2g) SELECT series, 'sst' AS variable, count(sst) AS count, round(avg(sst), 6) AS mean,
+  FROM e2g) SELECT series, 'sst' AS variable, count(sst) AS count, round(avg(sst), 8) AS mean,
   min(sst) AS min, max(sst) AS max FROM f GROUP BY 1 UNION ALL
-  SELECT series, 'rad', count(rad), round(avg(rad), 6), min(rad), max(rad) FROM f GROUP BY 1""")
+  SELECT series, 'rad', count(rad), round(avg(rad), 8), min(rad), max(rad) FROM f GROUP BY 1""")
 def describe_wide(spark, sf):
     rows = S.e2_grid(spark, sf).select(
         "series", (F.col("value") * 2).alias("sst"), (F.col("value") * 5).alias("rad"))
     long = rows.unpivot(["series"], ["sst", "rad"], "variable", "value")
     return Q.describe_by(long, ("series", "variable")).select(
-        "series", "variable", "count", F.round("mean", 6).alias("mean"), "min", "max")
+        "series", "variable", "count", F.round("mean", 8).alias("mean"), "min", "max")

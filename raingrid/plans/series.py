@@ -17,11 +17,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def exact_mean(col, scale: int):
+    """Mean of two-decimal (or whole) numbers, cut to four decimals, in integers.
+
+    Summing integers gives the same result in any order of tasks, so a series
+    never differs in its last digit from run to run.
+    """
+    total = F.sum(F.round(F.col(col) * scale).cast("bigint"))
+    return F.floor(total * (10000 // scale) / F.count(col)) / 10000
+
+
 def e1(spark, sf):
     return (
         table(spark, sf, "events")
         .groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("ds"))
-        .agg(F.round(F.avg("value"), 4).alias("value"))
+        .agg(exact_mean("value", 100).alias("value"))
     )
 
 
@@ -29,7 +39,7 @@ def e2(spark, sf):
     return (
         table(spark, sf, "events")
         .groupBy(F.col("user_id").cast("string").alias("series"), F.to_date("ts").alias("ds"))
-        .agg(F.round(F.avg("value"), 4).alias("value"))
+        .agg(exact_mean("value", 100).alias("value"))
     )
 
 
@@ -41,7 +51,7 @@ def o1(spark, sf):
     return (
         table(spark, sf, "orders")
         .groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("ds"))
-        .agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+        .agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / 100).alias("value"))
     )
 
 
@@ -79,7 +89,7 @@ def m2(spark, sf):
         table(spark, sf, "lineitem")
         .groupBy(F.col("l_returnflag").alias("series"), F.to_date("l_shipdate").alias("ds"))
         .agg(F.max("l_quantity").alias("x"), F.min("l_quantity").alias("n"),
-             F.round(F.avg("l_quantity"), 4).alias("a"))
+             exact_mean("l_quantity", 1).alias("a"))
         .select("series", "ds", F.when(day != 0, F.col("x")).alias("tx"),
                 F.when(day != 1, F.col("n")).alias("tn"),
                 F.when(day != 2, F.col("a")).alias("tavg"))
@@ -92,7 +102,7 @@ def m3(spark, sf):
         table(spark, sf, "events")
         .groupBy(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("ts"))
         .agg(F.round(F.max("value") % 360, 4).alias("d"),
-             F.round(F.avg("value") / 10, 4).alias("f"))
+             (exact_mean("value", 100) / 10).alias("f"))
         .select("series", F.to_date("ts").alias("ds"), hour.alias("hour"),
                 F.when(hour % 5 != 0, F.col("d")).alias("direction"),
                 F.when(hour % 5 != 1, F.col("f")).alias("speed"))
@@ -114,9 +124,9 @@ def r1(spark, sf):
 
 # The same series as SQL common table expressions.
 E1 = """e1 AS (SELECT event_type AS series, CAST(ts AS DATE) AS ds,
-  round(avg(value), 4) AS value FROM events GROUP BY 1, 2)"""
+  floor(CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) * 100 / count(value)) / 10000 AS value FROM events GROUP BY 1, 2)"""
 E2 = """e2 AS (SELECT CAST(user_id AS VARCHAR) AS series, CAST(ts AS DATE) AS ds,
-  round(avg(value), 4) AS value FROM events GROUP BY 1, 2)"""
+  floor(CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) * 100 / count(value)) / 10000 AS value FROM events GROUP BY 1, 2)"""
 
 
 def grid_sql(name: str, source: str, values=("value",)) -> str:
@@ -130,7 +140,7 @@ def grid_sql(name: str, source: str, values=("value",)) -> str:
 
 E2G = E2 + ",\n" + grid_sql("e2g", "e2")
 O1 = """o1 AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS ds,
-  round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2)"""
+  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) / 100 AS value FROM orders GROUP BY 1, 2)"""
 O1G = O1 + ",\n" + grid_sql("o1g", "o1")
 L1 = """l1 AS (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS ds,
   sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"""
@@ -145,13 +155,13 @@ M2 = """m2 AS (SELECT series, ds,
   CASE WHEN dn % 7 <> 2 THEN a END AS tavg FROM
   (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS ds,
      date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS dn,
-     max(l_quantity) AS x, min(l_quantity) AS n, round(avg(l_quantity), 4) AS a
+     max(l_quantity) AS x, min(l_quantity) AS n, floor(CAST(sum(CAST(round(l_quantity * 1) AS BIGINT)) AS BIGINT) * 10000 / count(l_quantity)) / 10000 AS a
    FROM lineitem GROUP BY 1, 2, 3))"""
 M3 = """m3 AS (SELECT series, CAST(h AS DATE) AS ds, CAST(hour(h) AS INTEGER) AS hour,
   CASE WHEN hour(h) % 5 <> 0 THEN d END AS direction,
   CASE WHEN hour(h) % 5 <> 1 THEN f END AS speed FROM
   (SELECT event_type AS series, date_trunc('hour', ts) AS h,
-     round(max(value) % 360, 4) AS d, round(avg(value) / 10, 4) AS f
+     round(max(value) % 360, 4) AS d, floor(CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) * 100 / count(value)) / 10000 / 10 AS f
    FROM events GROUP BY 1, 2))"""
 R1 = """r1 AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice,
   l_discount, l_returnflag, CAST(l_shipdate AS DATE) AS ds, o_totalprice, p_retailprice, p_size
