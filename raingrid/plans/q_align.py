@@ -91,10 +91,10 @@ def _hidden(spark, sf):
 @query("stat_lookup", f"""WITH {S.O1G}, h AS (SELECT series, ds,
   CASE WHEN month(ds) <> 3 THEN value END AS value, {S.season_sql('ds', 'quarters')} AS q FROM o1g)
   SELECT series, ds, value, round(coalesce(value, avg(value) OVER (PARTITION BY series, month(ds)),
-    avg(value) OVER (PARTITION BY series, q), avg(value) OVER (PARTITION BY series)), 6) AS filled
+    avg(value) OVER (PARTITION BY series, q), avg(value) OVER (PARTITION BY series)), 2) AS filled
   FROM h""")
 def stat_lookup(spark, sf):
-    return A.stat_lookup(_hidden(spark, sf)).withColumn("filled", F.round("filled", 6))
+    return A.stat_lookup(_hidden(spark, sf)).withColumn("filled", F.round("filled", 2))
 
 
 @query("align_inner", f"""WITH {S.E1} SELECT a.series, a.ds, a.value AS actual, f.value AS forecast

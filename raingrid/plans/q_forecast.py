@@ -219,10 +219,10 @@ def fallback_chain(spark, sf):
 @query("seasonal_naive", f"""WITH {S.O1}, m AS (SELECT series, month(ds) AS mo, avg(value) AS v FROM o1
   GROUP BY 1, 2), a AS (SELECT series, avg(value) AS v, max(ds) AS e FROM o1 GROUP BY 1),
 s AS (SELECT series, CAST(h AS INTEGER) AS h, CAST(e + CAST(h AS INTEGER) AS DATE) AS ds, v AS al
-  FROM a, range(1, 121) g(h)) SELECT series, h, ds, round(coalesce(v, al), 6) AS yhat
+  FROM a, range(1, 121) g(h)) SELECT series, h, ds, round(coalesce(v, al), 2) AS yhat
   FROM s LEFT JOIN m USING (series) WHERE mo = month(ds)""")
 def seasonal_naive(spark, sf):
-    return rounded(P.seasonal_naive(S.o1(spark, sf), 120), 6, "yhat")
+    return rounded(P.seasonal_naive(S.o1(spark, sf), 120), 2, "yhat")
 
 
 @query("seasonal_naive_by_season", f"""WITH {S.E1}, q AS (SELECT series, {S.season_sql('ds', 'binned')} AS q,
@@ -272,19 +272,19 @@ de AS (SELECT series, ds, value, trend, seasonal, value {op} (trend {inv} season
   FROM dt JOIN dc USING (series, ph))"""
 
 
-DE_COLS = """SELECT series, ds, value, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal,
-  round(resid, 6) AS resid FROM de"""
+DE_COLS = """SELECT series, ds, value, round(trend, 8) AS trend, round(seasonal, 8) AS seasonal,
+  round(resid, 8) AS resid FROM de"""
 
 
 @query("decompose_additive", f"WITH {decompose_sql(S.L1, 'l1', 7)} {DE_COLS}")
 def decompose_additive(spark, sf):
-    return rounded(P.decompose(S.l1(spark, sf)), 6, "trend", "seasonal", "resid")
+    return rounded(P.decompose(S.l1(spark, sf)), 8, "trend", "seasonal", "resid")
 
 
 @query("decompose_multiplicative", f"WITH {decompose_sql(S.E1, 'e1', 4, mul=True)} {DE_COLS}")
 def decompose_multiplicative(spark, sf):
     rows = P.decompose(S.e1(spark, sf), 4, "mul")
-    return rounded(rows, 6, "trend", "seasonal", "resid")
+    return rounded(rows, 8, "trend", "seasonal", "resid")
 
 
 FILL = S.O1G + """, o0 AS (SELECT series, ds, value AS raw, coalesce(last_value(value IGNORE NULLS) OVER f,

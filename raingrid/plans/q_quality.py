@@ -240,7 +240,7 @@ def order_repair(spark, sf):
     return Q.order_repair(rows)
 
 
-@query("describe_by", f"""WITH {S.O1G} SELECT series, count(value) AS count, round(avg(value), 6) AS mean,
+@query("describe_by", f"""WITH {S.O1G} SELECT series, count(value) AS count, round(avg(value), 2) AS mean,
   round(stddev_samp(value), 3) AS std, min(value) AS min, round(quantile_cont(value, 0.25), 3) AS q25,
   round(quantile_cont(value, 0.5), 3) AS q50, round(quantile_cont(value, 0.75), 3) AS q75,
   max(value) AS max, round(100.0 * count(*) FILTER (value IS NULL) / count(*), 6) AS missing_pct
@@ -248,4 +248,4 @@ def order_repair(spark, sf):
 def describe_by(spark, sf):
     cols = {c: F.round(c, 3) for c in ("std", "q25", "q50", "q75")}
     return Q.describe_by(S.o1_grid(spark, sf)).withColumns(
-        {**cols, "mean": F.round("mean", 6), "missing_pct": F.round("missing_pct", 6)})
+        {**cols, "mean": F.round("mean", 2), "missing_pct": F.round("missing_pct", 6)})

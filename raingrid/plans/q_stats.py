@@ -29,33 +29,33 @@ def resample_month_end(spark, sf):
 
 
 @query("resample_year", f"""WITH {S.O1} SELECT series, CAST(date_trunc('year', ds) AS DATE) AS period,
-  round(avg(value), 6) AS mean, round(sum(value), 2) AS total FROM o1 GROUP BY 1, 2""")
+  round(avg(value), 2) AS mean, round(sum(value), 2) AS total FROM o1 GROUP BY 1, 2""")
 def resample_year(spark, sf):
     rows = S.o1(spark, sf)
     year = F.trunc("ds", "year")
     return rounded(rows.groupBy("series", year.alias("period")).agg(
         F.avg("value").alias("mean"), F.sum("value").alias("total")), 2, "total").withColumn(
-        "mean", F.round("mean", 6))
+        "mean", F.round("mean", 2))
 
 
 @query("month_climatology", f"""WITH {S.O1}, mm AS (SELECT series, date_trunc('month', ds) AS p,
   avg(value) AS v FROM o1 GROUP BY 1, 2), a AS (SELECT series, CAST(month(ds) AS INTEGER) AS month,
   avg(value) AS m FROM o1 GROUP BY 1, 2), b AS (SELECT series, CAST(month(p) AS INTEGER) AS month,
-  avg(v) AS m FROM mm GROUP BY 1, 2) SELECT series, month, round(a.m, 6) AS of_days,
-  round(b.m, 6) AS of_months FROM a JOIN b USING (series, month)""")
+  avg(v) AS m FROM mm GROUP BY 1, 2) SELECT series, month, round(a.m, 2) AS of_days,
+  round(b.m, 2) AS of_months FROM a JOIN b USING (series, month)""")
 def month_climatology(spark, sf):
     rows = S.o1(spark, sf)
     days = A.month_climatology(rows).withColumnRenamed("mean", "of_days")
     months = A.month_climatology(rows, two_step=True).withColumnRenamed("mean", "of_months")
-    return rounded(days.join(months, ["series", "month"]), 6, "of_days", "of_months")
+    return rounded(days.join(months, ["series", "month"]), 2, "of_days", "of_months")
 
 
 @query("season_stats", f"""WITH {S.O1} SELECT series, {S.season_sql('ds', 'binned')} AS season,
-  round(avg(value), 6) AS mean, round(stddev_samp(value), 3) AS std, min(value) AS min,
+  round(avg(value), 2) AS mean, round(stddev_samp(value), 3) AS std, min(value) AS min,
   max(value) AS max FROM o1 GROUP BY 1, 2""")
 def season_stats(spark, sf):
     return rounded(A.season_stats(S.o1(spark, sf)), 3, "std").withColumn(
-        "mean", F.round("mean", 6))
+        "mean", F.round("mean", 2))
 
 
 @query("sum_by_date", """SELECT CAST(o_orderdate AS DATE) AS ds, round(sum(o_totalprice), 2) AS value
