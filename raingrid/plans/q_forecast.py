@@ -287,15 +287,17 @@ def decompose_multiplicative(spark, sf):
     return rounded(rows, 8, "trend", "seasonal", "resid")
 
 
-FILL = S.O1G + """, o0 AS (SELECT series, ds, value AS raw, coalesce(last_value(value IGNORE NULLS) OVER f,
+FILL = S.O1G + """, o0 AS (SELECT series, ds, value AS raw,
+  count(value) OVER (PARTITION BY series) >= 0.5 * count(*) OVER (PARTITION BY series) AS use, coalesce(last_value(value IGNORE NULLS) OVER f,
   last_value(value IGNORE NULLS) OVER b) AS value FROM o1g
   WINDOW f AS (PARTITION BY series ORDER BY ds ROWS UNBOUNDED PRECEDING),
   b AS (PARTITION BY series ORDER BY ds DESC ROWS UNBOUNDED PRECEDING))"""
 
 
-@query("seasonal_trend_fill", f"""WITH {decompose_sql(FILL, 'o0', 7)}, j AS (SELECT de.series, de.ds, raw,
-  coalesce(raw, trend + seasonal) AS f FROM de JOIN o0 USING (series, ds))
-  SELECT series, ds, raw AS value, round(coalesce(f,
+@query("seasonal_trend_fill", f"""WITH {decompose_sql(FILL, 'o0', 7)}, j AS (SELECT de.series, de.ds, raw, use,
+  de.value AS near, coalesce(raw, CASE WHEN use THEN trend + seasonal END) AS f
+  FROM de JOIN o0 USING (series, ds))
+  SELECT series, ds, raw AS value, round(coalesce(f, CASE WHEN NOT use THEN near END,
   last_value(f IGNORE NULLS) OVER (PARTITION BY series ORDER BY ds ROWS UNBOUNDED PRECEDING),
   last_value(f IGNORE NULLS) OVER (PARTITION BY series ORDER BY ds DESC ROWS UNBOUNDED PRECEDING)), 3)
   AS filled FROM j""")

@@ -138,8 +138,9 @@ def _regression_rounded(df):
         "r2": F.round("r2", 6), "stderr": F.round("stderr", 1)})
 
 
-@query("linear_trend", f"""WITH {S.O1}, y AS (SELECT series, year(ds) AS x, avg(value) AS y FROM o1
-  GROUP BY 1, 2) SELECT series, {REGR} FROM y GROUP BY 1""")
+@query("linear_trend", f"""WITH {S.O1}, y AS (SELECT series, year(ds) AS x, avg(value) AS y,
+  count(*) AS days FROM o1 GROUP BY 1, 2) SELECT series, {REGR} FROM y GROUP BY 1
+  HAVING sum(days) >= 365 AND count(*) >= 3""")
 def linear_trend(spark, sf):
     return _regression_rounded(A.linear_trend(S.o1(spark, sf)))
 

@@ -48,10 +48,12 @@ def e2_grid(spark, sf):
 
 
 def o1(spark, sf):
+    """Whole currency units per day, so that sums of them are exact in any order."""
     return (
         table(spark, sf, "orders")
         .groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("ds"))
-        .agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / 100).alias("value"))
+        .agg(F.floor(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / 100)
+             .cast("double").alias("value"))
     )
 
 
@@ -140,7 +142,7 @@ def grid_sql(name: str, source: str, values=("value",)) -> str:
 
 E2G = E2 + ",\n" + grid_sql("e2g", "e2")
 O1 = """o1 AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS ds,
-  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) / 100 AS value FROM orders GROUP BY 1, 2)"""
+  CAST(floor(CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) / 100) AS DOUBLE) AS value FROM orders GROUP BY 1, 2)"""
 O1G = O1 + ",\n" + grid_sql("o1g", "o1")
 L1 = """l1 AS (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS ds,
   sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"""
