@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from raingrid.llm import binary_packing
+from raingrid.llm import best_fit, binary_packing, fingerprints, language_id, near_duplicates, quality_rules
 
 QUERIES = {
+    "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_near_duplicates": near_duplicates.op4_near_duplicates,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_pack_best_fit": best_fit.op7_pack_best_fit,
     "op10_pack_binary": binary_packing.op10_pack_binary,
 }
 SQL: dict[str, str] = {}
