@@ -7,6 +7,8 @@ probability of good replaces a filter that demands every rule.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,53 +58,58 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     )
 
 
-#: Rule: (numerator, denominator, good, bad). A ratio up to ``good`` votes good, one from ``bad``
-#: on votes bad, between them or without a denominator the rule abstains. Where good > bad the
-#: order is the other way round.
-RULES = {
-    "symbols": ("n_symbols", "n_words", 0.02, 0.20),
-    "repeats": ("n_repeat_words", "n_words", 0.15, 0.40),
-    "same_word": ("n_same", "n_words", 0.02, 0.15),
-    "lines": ("n_dup_lines", "n_lines", 0.10, 0.30),
-    "upper": ("n_upper", "n_letters", 0.15, 0.50),
-    "loud": ("n_loud", "n_words", 0.05, 0.30),
-    "word_length": ("word_chars", "n_words", 9.0, 14.0),
-    "letters": ("n_letters", "word_chars", 0.85, 0.65),
+#: Rules about one defect each: (numerator, denominator, bad). A ratio from ``bad`` on votes bad,
+#: up to ``bad`` if that is negative (its size counts); else, or without a denominator, the rule
+#: abstains.
+DEFECTS = {
+    "symbols": ("n_symbols", "n_words", 0.10),
+    "repeats": ("n_repeat_words", "n_words", 0.30),
+    "same_word": ("n_same", "n_words", 0.10),
+    "lines": ("n_dup_lines", "n_lines", 0.30),
+    "upper": ("n_upper", "n_letters", 0.40),
+    "loud": ("n_loud", "n_words", 0.20),
+    "word_length": ("word_chars", "n_words", 14.0),
+    "letters": ("n_letters", "word_chars", -0.80),
 }
+#: The rule about order: good if all these ratios are at most so large, else it abstains.
+CLEAN = (("n_symbols", "n_words", 0.02), ("n_repeat_words", "n_words", 0.15),
+         ("n_upper", "n_letters", 0.15), ("n_loud", "n_words", 0.05))
 
 
 def votes() -> F.Column:
-    """One character per rule: ``g``, ``b`` or ``-``."""
-    each = []
-    for num, den, good, bad in RULES.values():
-        share = F.when(F.col(den) > 0, F.col(num) / F.col(den))
-        up = good < bad
-        each.append(F.when(share <= good if up else share >= good, "g")
-                    .when(share >= bad if up else share <= bad, "b").otherwise("-"))
-    return F.concat(*each)
+    """One character per rule: ``b`` or ``-`` for defects, then ``g`` or ``-`` for order."""
+    def share(num, den):
+        return F.when(F.col(den) > 0, F.col(num) / F.col(den))
+
+    each = [F.when(share(num, den) <= -bad if bad < 0 else share(num, den) >= bad, "b")
+            .otherwise("-") for num, den, bad in DEFECTS.values()]
+    order = F.lit(True)
+    for num, den, most in CLEAN:
+        order = order & (share(num, den) <= most)
+    return F.concat(*each, F.when(order, "g").otherwise("-"))
 
 
-def fit_votes(patterns: dict[str, int], rounds: int = 200, prior: float = 0.8):
+def fit_votes(patterns: dict[str, int], rounds: int = 200, accuracy: float = 0.9,
+              balance: float = 0.6, weight: float = 100.0):
     """Posterior probability of good for every vote pattern, by expectation-maximisation.
 
-    ``patterns`` counts the documents of every pattern. A rule's chances to vote good, bad or
-    not at all are estimated for either class, with one added to each count. The start is a
-    majority vote, which ties class 1 to the meaning good.
+    ``patterns`` counts the documents of every pattern. Every rule has one accuracy: the chance
+    that it is right where it votes. Accuracies start from ``accuracy`` and are held to it by
+    ``weight`` imagined votes. An abstention says nothing, and without votes the posterior is
+    ``balance``. An accuracy stays above one half, which ties class 1 to the meaning good.
     """
     names = sorted(patterns)
     if not names:
         return {}
     n = np.array([patterns[p] for p in names], float)
-    seen = np.array([[[c == k for k in "gb-"] for c in p] for p in names], float)
-    tally = seen[:, :, 0].sum(1) - seen[:, :, 1].sum(1)
-    good = 1 / (1 + np.exp(-2.0 * tally))
+    vote = np.array([[{"g": 1, "b": -1, "-": 0}[c] for c in p] for p in names], float)
+    right, good = np.full(vote.shape[1], accuracy), np.zeros(len(names))
     for _ in range(rounds):
-        mass = np.stack([n * (1 - good), n * good])
-        chance = np.einsum("cp,pjk->cjk", mass, seen) + 1
-        chance /= chance.sum(2, keepdims=True)
-        share = (mass.sum(1) + np.array([1 - prior, prior])) / (n.sum() + 1)
-        log = np.log(share)[:, None] + np.einsum("cjk,pjk->cp", np.log(chance), seen)
-        was, good = good, 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+        odds = math.log(balance / (1 - balance)) + vote @ np.log(right / (1 - right))
+        was, good = good, 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        agree = np.where(vote > 0, good[:, None], np.where(vote < 0, 1 - good[:, None], 0))
+        right = (n @ agree + weight * accuracy) / (n @ np.abs(vote) + weight)
+        right = np.clip(right, 0.51, 0.999)
         if np.abs(was - good).max() < 1e-9:
             break
     return dict(zip(names, good.tolist()))
@@ -115,7 +122,7 @@ def rate_quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
     twice. kept: not base_failed and a posterior of ``least`` or more. A null text has no words.
     Repeated rows count as often as they stand there; a null doc_id stays null; an empty table
     gives no rows; other columns of ``docs`` are ignored. Rule accuracies rest on all rows; only
-    the counts of vote patterns, 3 to the power of the rules at most, come to the driver.
+    the counts of vote patterns, 2 to the power of the rules at most, come to the driver.
     """
 
     def run(cols):
@@ -131,7 +138,7 @@ def rate_quality(docs: DataFrame, least: float = 0.5) -> DataFrame:
         sorted(fit_votes(patterns).items()), "votes string, posterior double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        counted.join(F.broadcast(table), "votes")  # at most 3 ** len(RULES) short rows
+        counted.join(F.broadcast(table), "votes")  # at most 2 ** 9 short rows
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("posterior") >= least))
     )

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from raingrid.llm import best_fit, binary_packing, fingerprints, language_id, near_duplicates, quality_rules
+from raingrid.llm import best_fit, bilinear_lm, binary_packing, fingerprints, language_id, line_quality
+from raingrid.llm import near_duplicates, quality_rules, secret_formats
 
 QUERIES = {
+    "op1_bilinear_lm": bilinear_lm.op1_bilinear_lm,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op5_language_id": language_id.op5_language_id,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_secret_formats": secret_formats.op8_secret_formats,
+    "op9_line_quality": line_quality.op9_line_quality,
     "op7_pack_best_fit": best_fit.op7_pack_best_fit,
     "op10_pack_binary": binary_packing.op10_pack_binary,
 }
