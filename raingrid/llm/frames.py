@@ -60,7 +60,19 @@ def map_slices(
     return map_batches(df, run, schema)
 
 
-def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+def filter_texts(df: DataFrame, wanted: Callable[[list], list]) -> DataFrame:
+    """Rows whose text ``wanted`` accepts (a list of booleans for a list of texts), as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                mask = wanted(part.column(part.schema.names.index("text")).to_pylist())
+                yield part.filter(pa.array(mask, pa.bool_()))
+
+    return map_batches(df, run, df.schema)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` whose workers can import this package even where it is not installed."""
     root = str(Path(__file__).resolve().parents[2])
     env = df.sparkSession.sparkContext.environment

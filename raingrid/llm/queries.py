@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from raingrid.llm import best_fit, bilinear_lm, binary_packing, fingerprints, language_id, line_quality
-from raingrid.llm import near_duplicates, quality_rules, secret_formats
+from raingrid.llm import near_duplicates, piece_codec, quality_rules, secret_formats
 
 QUERIES = {
     "op1_bilinear_lm": bilinear_lm.op1_bilinear_lm,
+    "op2_piece_codec": piece_codec.op2_piece_codec,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_near_duplicates": near_duplicates.op4_near_duplicates,
     "op5_language_id": language_id.op5_language_id,

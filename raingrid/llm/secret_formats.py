@@ -14,6 +14,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,51 +271,98 @@ def score(value: str, automata: dict[str, Automaton], share: list[float]) -> tup
     return best[1], (best[0] - ordinary) / max(1, len(value))
 
 
-def find_secrets(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id, spans (array of start, end, kind, by start, then kind) and the base columns.
+LIKE = tuple(f"like_{k}" for k in KINDS)
+#: Log-likelihood ratio per character from which a candidate is a secret.
+LEAST = 0.5
+
+
+def like_secrets(starts, values, automata, share, least: float = LEAST):
+    """(start, end, kind) of the candidates that look like a credential; kinds follow ``KINDS``."""
+    out = []
+    for start, value in zip(starts, values):
+        kind, ratio = score(value, automata, share)
+        if ratio >= least:
+            out.append((start, start + len(value), len(KINDS) + KINDS.index(kind)))
+    return out
+
+
+def joined(spans) -> str:
+    names = KINDS + LIKE
+    return ",".join(f"{names[k]}:{s}:{e}" for s, e, k in spans)
+
+
+def find_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and starts, ends, kinds (arrays).
 
     Base spans are always there; a candidate whose score per character is ``least`` or more is
-    added as ``like_<kind>``. Offsets are code points, end exclusive. A null or empty text has no
-    span; repeated rows are answered again; a null doc_id stays null; an empty table gives no
-    rows; other columns of ``docs`` are ignored. Without any labelled credential there is no
-    format, and only base spans are returned.
+    added as ``like_<kind>``. Spans are listed by start, then kind; offsets are code points, end
+    exclusive. A null or empty text has no span; repeated rows are answered again; a null doc_id
+    stays null; an empty table gives no rows; other columns of ``docs`` are ignored. Without any
+    labelled credential there is no format, and only base spans are returned.
     """
     scanned = written(scan(docs), "secrets")
     automata, share = learn_formats(scanned)
-    names = list(KINDS) + [f"like_{k}" for k in KINDS]
+    names = KINDS + LIKE
 
     def run(cols):
-        out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "starts", "ends",
-                               "kinds")}
+        out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "starts",
+                               "ends", "kinds")}
         for s, e, k, cs, cv in zip(*(cols[c] for c in ("starts", "ends", "kinds", "c_starts", "c_values"))):
             spans = list(zip(s, e, k))
             for i, name in enumerate(("n_assign", "n_access", "n_hex")):
                 out[name].append(sum(x == i for x in k))
             out["base_sha256"].append(hashlib.sha256(joined(spans).encode()).hexdigest())
-            for start, value in zip(cs, cv):
-                kind, ratio = score(value, automata, share)
-                if ratio >= least:
-                    spans.append((start, start + len(value), len(KINDS) + KINDS.index(kind)))
-            spans.sort(key=lambda x: (x[0], x[2]))
+            spans = sorted(spans + like_secrets(cs, cv, automata, share, least),
+                           key=lambda x: (x[0], x[2]))
+            out["spans"].append(joined(spans))
             out["starts"].append([x[0] for x in spans])
             out["ends"].append([x[1] for x in spans])
             out["kinds"].append([names[x[2]] for x in spans])
         return {"doc_id": cols["doc_id"], **out}
 
-    def joined(spans):
-        return ",".join(f"{names[k]}:{s}:{e}" for s, e, k in spans)
-
     return frames.map_slices(
         scanned.select("doc_id", "starts", "ends", "kinds", "c_starts", "c_values",
-                       F.lit("").alias("text")), run,
-        "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, "
+                       F.array_join("c_values", "").alias("text")), run,
+        "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
         "starts array<int>, ends array<int>, kinds array<string>")
 
 
+def redact_text(text: str, automata, share, least: float = LEAST, mark: str = "[secret]") -> str:
+    """The text with every credential replaced by ``mark``; names of assignments stay."""
+    base = base_spans(text)
+    more = candidates(text, base)
+    values = [(e - len(value_of(text, s, e, k)), e) for s, e, k in base]
+    values += [x[:2] for x in like_secrets(
+        [s for s, _ in more], [text[s:e] for s, e in more], automata, share, least)]
+    for s, e in reversed(disjoint(values)):
+        text = text[:s] + mark + text[e:]
+    return text
+
+
+def redact(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """All rows and columns of ``docs``, with credentials in ``text`` replaced and ``n_chars``,
+    if there is such a column, counted anew where the text changed. Formats are learned from all
+    rows first."""
+    automata, share = learn_formats(written(scan(docs), "secrets"))
+    schema = docs.schema
+
+    def run(batches):
+        for batch in batches:
+            for part in frames.slices(batch):
+                names = part.schema.names
+                old = part.column(names.index("text")).to_pylist()
+                new = [t and redact_text(t, automata, share, least) for t in old]
+                cols = list(part.columns)
+                cols[names.index("text")] = pa.array(new, type=part.schema.field("text").type)
+                if "n_chars" in names:
+                    i = names.index("n_chars")
+                    counts = [n if a == b else len(b) for n, a, b in zip(cols[i].to_pylist(), old, new)]
+                    cols[i] = pa.array(counts, type=part.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
+
+    return frames.map_batches(docs, run, schema)
+
+
 def op8_secret_formats(spark, sf: str) -> DataFrame:
-    found = find_secrets(frames.documents(spark, sf))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
-                        F.array_join(F.transform(
-                            F.arrays_zip("kinds", "starts", "ends"),
-                            lambda x: F.concat_ws(":", x.kinds, x.starts.cast("string"), x.ends.cast("string"))),
-                            ",").alias("spans"))
+    return find_secrets(frames.documents(spark, sf)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
