@@ -8,6 +8,7 @@ and compared with the original library.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -134,8 +135,13 @@ class Codec:
         self.differing: set[str] = set()
         self.plain = np.array([kind == NORMAL for *_, kind in self.model.pieces])
         self.shown = np.array([p.replace(BLANK, " ") for p, *_ in self.model.pieces], object)
+        # A unigram model of that library would take the text "<0x41>" for the byte piece of that
+        # name; chunks with such text are left to the original library.
+        names = [p for p, _, kind in self.model.pieces if kind in (UNKNOWN, CONTROL, BYTE)]
+        self.literal = re.compile("|".join(map(re.escape, names))) \
+            if self.model.kind == UNIGRAM and names else None
         self.original = None
-        if verify:
+        if verify or self.literal:
             import sentencepiece
 
             self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -151,12 +157,18 @@ class Codec:
             return None
         return text.split(" ")
 
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.literal:
+            got = [self.original.encode(t) if self.literal.search(t) else g
+                   for t, g in zip(texts, got)]
+        return got
+
     def _learn(self, missing: list[str]) -> None:
         if len(self.known) + len(missing) > self.limit:
             self.known.clear()
-        got = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        for chunk, found in zip(missing, got):
-            self.known[chunk] = np.array(found.ids, "<u4").tobytes()
+        for chunk, found in zip(missing, self._whole(missing)):
+            self.known[chunk] = np.array(found, "<u4").tobytes()
         if self.original:
             for chunk, ids in zip(missing, self.original.encode(missing, num_threads=1)):
                 if np.array(ids, "<u4").tobytes() != self.known[chunk]:
@@ -173,13 +185,13 @@ class Codec:
                 missing = sorted(wanted)
             self._learn(missing)
         rest = iter(zip(
-            self.tokenizer.encode_batch_fast(whole, add_special_tokens=False),
+            self._whole(whole),
             self.original.encode(whole, num_threads=1) if self.original else [None] * len(whole)))
         out = []
         for c in cut:
             if c is None:
                 got, should = next(rest)
-                out.append((np.array(got.ids, "<u4").tobytes(), should is None or got.ids == should))
+                out.append((np.array(got, "<u4").tobytes(), should is None or got == should))
             else:
                 same = not self.differing or self.differing.isdisjoint(c)
                 out.append((b"".join(map(self.known.__getitem__, c)), same))
