@@ -133,14 +133,3 @@ DECISION_CODES = {"Tanam": 3, "Tanam (Waspada)": 2, "Bera": 1, "Bera (Risiko Tin
 # Candidate season lengths per variable.
 SEASON_LENGTHS = {"RR": (365, 183, 90), "TAVG": (365, 30, 15), "RH_AVG": (30, 14, 7)}
 DEFAULT_SEASON_LENGTH = {"TAVG": 30, "RH_AVG": 30}
-
-# Fill rule per kind of variable (method, limit, both ways, then).
-TYPED_FILL = {
-    "radiation": "time interpolation up to 3, then forward up to 2",
-    "rainfall": "zero",
-    "rainfall_other": "linear up to 2",
-    "humidity": "forward up to 2, then backward up to 2",
-    "sst": "linear both ways up to 3",
-    "temperature": "linear both ways up to 3",
-    "wind": "linear both ways up to 2",
-}

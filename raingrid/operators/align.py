@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raingrid.functions import values as V
@@ -31,6 +31,7 @@ def complete_grid(df: DataFrame, by=BY, ds="ds", values=("value",),
 
     Each row expands over the days up to the next row, so the grid needs one
     shuffle on ``by`` and no join, and later windows reuse that partitioning.
+    Rows of one day are folded first: each column takes its greatest value.
     ``ranges`` (by, start, end) fixes the ends instead of the first and last row.
     """
     rows = df.select(*by, ds, *values)
@@ -40,6 +41,12 @@ def complete_grid(df: DataFrame, by=BY, ds="ds", values=("value",),
         rows = (rows.select(*by, ds, *values)
                 .unionByName(ends, allowMissingColumns=True)
                 .groupBy(*by, ds).agg(*[F.max(v).alias(v) for v in values]))
+    else:
+        day = Window.partitionBy(*by, ds)
+        rows = rows.select(
+            *by, ds, *[F.max(v).over(day).alias(v) for v in values],
+            F.row_number().over(day.orderBy(F.lit(0))).alias("_r"),
+        ).where(F.col("_r") == 1).drop("_r")
     following = F.lead(ds).over(forward(by, ds))
     days = F.sequence(F.col(ds), F.coalesce(F.date_sub(following, 1), F.col(ds)))
     return (

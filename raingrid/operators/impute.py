@@ -13,7 +13,11 @@ from raingrid.operators import windows as W
 from raingrid.operators.align import nearest_within
 from raingrid.operators.common import BY, forward, whole_series
 from raingrid.operators.quality import order_repair
-from raingrid.operators.stats import mode_by
+from raingrid.session import written
+
+
+#: Groups whose fits are sent to every task, and parts of each group beyond that.
+MOST_FITS, SALTS = 10_000, 32
 
 
 def _time_both(df, col, by, ds):
@@ -48,11 +52,15 @@ def humidity_from_dewpoint(df: DataFrame, min_rows=50, by=BY, ds="ds", temp="tav
     return _time_both(rows, out, by, ds).drop("_dew", "_enough")
 
 
-def daylight_cap(df: DataFrame, latitude: float, by=BY, ds="ds", value="ss",
-                 out="ss_filled") -> DataFrame:
-    """Sunshine filled in time and held between 0 and the day's possible hours."""
+def daylight_cap(df: DataFrame, latitude: float | None, by=BY, ds="ds", value="ss",
+                 out="ss_filled", hours: float = 12.5) -> DataFrame:
+    """Sunshine filled in time and held between 0 and the day's possible hours.
+
+    Without a ``latitude`` the possible hours are ``hours`` on every day.
+    """
     rows = W.interpolate(df, "time", direction="both", by=by, ds=ds, value=value, out=out)
-    capped = F.least(F.col(out), V.daylight_hours(F.col(ds), latitude))
+    most = F.lit(hours) if latitude is None else V.daylight_hours(F.col(ds), latitude)
+    capped = F.least(F.col(out), most)
     return rows.withColumn(out, V.bound(F.when(F.col(out).isNotNull(), capped), 0))
 
 
@@ -66,11 +74,12 @@ def _angle_over(cols, value):
 
 def wind_direction_fill(df: DataFrame, min_consistency=0.5, nearest_first=False, days=7,
                         scheme="two_sep", by=BY, ds="ds", value="direction",
-                        out="filled") -> DataFrame:
+                        out="filled", speed: str | None = None) -> DataFrame:
     """Direction from consistent month or season means, a near date, or overall.
 
     ``nearest_first`` tries the near date first and takes month and season means
-    whatever their consistency.
+    whatever their consistency; with ``speed``, the near date is only taken on days
+    where that column is known.
     """
     rows = df.withColumns({"_m": F.month(ds), "_s": V.season(F.col(ds), scheme)})
     for name, cols in (("all", by), ("season", (*by, "_s")), ("month", (*by, "_m"))):
@@ -78,7 +87,8 @@ def wind_direction_fill(df: DataFrame, min_consistency=0.5, nearest_first=False,
         rows = rows.withColumns({f"_{name}": angle, f"_{name}_r": strength})
     rows = nearest_within(rows, days, by, ds, value, "_near")
     if nearest_first:
-        steps = [F.col("_near"), F.col("_month"), F.col("_season")]
+        near = F.col("_near") if speed is None else F.when(F.col(speed).isNotNull(), F.col("_near"))
+        steps = [near, F.col("_month"), F.col("_season")]
     else:
         trusted = [F.when(F.col(f"_{n}_r") > min_consistency, F.col(f"_{n}"))
                    for n in ("month", "season")]
@@ -113,11 +123,25 @@ def regression_fits(df: DataFrame, train: Column, x="x", y="y", by=BY) -> DataFr
 
 def regression_fill(df: DataFrame, fits: DataFrame, min_r=0.7, min_r2=0.65, x="x", y="y", by=BY,
                     out="filled") -> DataFrame:
-    """Fill y from x where the fit is strong enough."""
+    """Fill y from x where the fit is strong enough.
+
+    One row of fits per group against raw rows: up to ``MOST_FITS`` groups are sent to
+    every task, so that no row is shuffled and a group may hold most of them. With more
+    groups the rows are joined by group, and each large group is split by salt.
+    """
+    columns = df.columns
+    fits = written(fits, "fits")
+    if fits.limit(MOST_FITS + 1).count() <= MOST_FITS:
+        fits = F.broadcast(fits)
+        keys = list(by)
+    else:
+        fits = fits.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)))
+        keys = [*by, "_salt"]
     line = F.col("slope") * F.col(x) + F.col("intercept")
     good = (F.col("r") > min_r) & (F.col("test_r2") > min_r2)
-    return df.join(fits, list(by), "left").withColumn(
-        out, F.coalesce(F.col(y), F.when(good, line))).select(*df.columns, out)
+    return df.join(fits, keys, "left").withColumn(
+        out, F.coalesce(F.col(y), F.when(good, line))).select(*columns, out)
 
 
 def dry_season_zero_then_mean(df: DataFrame, scheme="two_oct", by=BY, ds="ds", value="rr",
@@ -170,11 +194,22 @@ def cardinal_clean(df: DataFrame, scheme="two_sep", by=BY, ds="ds", name="cardin
     start = F.coalesce(F.when(trimmed.isin(*fixed.COMPASS), trimmed),
                        V.compass_name(F.col(degrees)))
     rows = df.withColumns({out: start, "_m": F.month(ds), "_s": V.season(F.col(ds), scheme)})
-    for keys in ((*by, "_m"), (*by, "_s"), by):
-        modes = mode_by(rows, keys, out, "_mode").drop("n")
-        rows = rows.join(modes, list(keys), "left").withColumn(
-            out, F.coalesce(F.col(out), F.col("_mode"))).drop("_mode")
-    return rows.withColumn(out, F.coalesce(F.col(out), F.lit("N"))).select(*df.columns, out)
+    # A table of a few hundred counts per station holds all that the modes need, filled step by
+    # step like the rows; its windows share one shuffle.
+    table = rows.groupBy(*by, "_m", "_s", out).agg(F.count(F.lit(1)).alias("_n")).repartition(*by)
+    name, steps = F.col(out), []
+    for i, keys in enumerate(((*by, "_m"), (*by, "_s"), by)):
+        table = table.withColumn(f"_v{i}", name).withColumn(
+            "_c", F.sum("_n").over(Window.partitionBy(*keys, f"_v{i}")))
+        best = F.min(F.when(F.col(f"_v{i}").isNotNull(), F.struct(
+            (-F.col("_c")).alias("k"), F.col(f"_v{i}").alias("v"))))
+        table = table.withColumn(f"_best{i}", best.over(Window.partitionBy(*keys))["v"])
+        steps.append(F.col(f"_best{i}"))
+        name = F.coalesce(F.col(f"_v{i}"), steps[-1])
+    fills = table.where(F.col(out).isNull()).select(
+        *by, "_m", F.coalesce(*steps, F.lit("N")).alias("_fill"))
+    return rows.join(fills, [*by, "_m"], "left").withColumn(
+        out, F.coalesce(out, "_fill")).select(*df.columns, out)
 
 
 def mean_fill(df: DataFrame, by=BY, value="value", out="filled") -> DataFrame:
@@ -194,7 +229,8 @@ def sentinel_mean_fill(df: DataFrame, codes=fixed.SENTINELS, by=BY, value="value
 
 
 def typed_fill(df: DataFrame, kind: str, by=BY, ds="ds", value="value", out="filled") -> DataFrame:
-    """Fill by kind of variable; see ``fixed.TYPED_FILL`` for the rules."""
+    """Fill by kind of variable: rain is zero; other kinds take a line of limited reach, and
+    radiation and humidity then hold the last value for up to two rows."""
     same = dict(by=by, ds=ds)
     if kind == "rainfall":
         return df.withColumn(out, F.coalesce(F.col(value), F.lit(0.0)))

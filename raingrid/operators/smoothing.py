@@ -23,16 +23,32 @@ def candidate(**given) -> dict:
     return out
 
 
-def with_candidates(df: DataFrame, candidates: list[dict], spread=True) -> DataFrame:
-    """One row per series row and candidate, spread over the tasks."""
+#: Tasks that share the candidates of one series.
+SPREAD = 4
+
+
+def with_candidates(df: DataFrame, candidates: list[dict], by=BY, spread=True) -> DataFrame:
+    """One row per series row and candidate, spread over the tasks.
+
+    The candidates are dealt into at most ``SPREAD`` lots. Each series travels once per lot
+    and is multiplied after the shuffle, so the network never carries it per candidate.
+    """
     kinds = {"alpha": "double", "beta": "double", "gamma": "double", "phi": "double",
              "m": "int", "kind": "string"}
-    rows = F.array(*[F.struct(F.lit(i).alias("candidate"), *[
+    rows = [F.struct(F.lit(i).alias("candidate"), *[
         F.lit(c[k]).cast(t).alias(k) for k, t in kinds.items()])
-        for i, c in enumerate(candidates)])
-    out = df.withColumn("_c", F.explode(rows)).select(*df.columns, "_c.*")
-    keys = [c for c in df.columns if c not in ("days", "vals", "test", "train")]
-    return out.repartition(*keys, "candidate") if spread and len(candidates) > 1 else out
+        for i, c in enumerate(candidates)]
+    lots = min(SPREAD, len(rows)) if spread else 1
+    if lots > 1:
+        df = df.select("*", F.explode(F.array(*map(F.lit, range(lots)))).alias("_lot"))
+        df = df.repartition(*by, "_lot")
+        pick = F.lit(None)
+        for lot in reversed(range(lots)):
+            pick = F.when(F.col("_lot") == lot, F.array(*rows[lot::lots])).otherwise(pick)
+    else:
+        pick = F.array(*rows)
+    out = df.withColumn("_c", F.explode(pick))
+    return out.select(*[c for c in df.columns if c != "_lot"], "_c.*")
 
 
 def usable(vals="vals") -> Column:
@@ -54,7 +70,7 @@ def fit(df: DataFrame, vals="vals", trend=True, keep_fitted=False) -> DataFrame:
     m, seasonal, mul = F.col("m"), F.col("m") > 0, F.col("kind") == "mul"
     v = F.col(vals)
     head = F.slice(v, F.lit(1), m)
-    rows = df.where(F.size(v) > 0).withColumn("_ok", usable(vals)).withColumn(
+    rows = df.withColumn("_ok", usable(vals)).withColumn(
         "_l0", F.when(F.col("_ok"), F.when(seasonal, mean(head)).otherwise(v[0])))
     rise = F.when(seasonal, (mean(F.slice(v, m + 1, m)) - F.col("_l0")) / m).otherwise(
         F.get(v, F.lit(1)) - v[0])
@@ -166,15 +182,16 @@ def split_arrays(arrays: DataFrame, last=60, share=0.8) -> DataFrame:
 
 
 def grid_search(df: DataFrame, candidates: list[dict], last=60, by=BY, ds="ds", value="value",
-                remove_bias=True) -> DataFrame:
+                remove_bias=True, default: dict | None = None) -> DataFrame:
     """Best candidate per series by squared error on the held-out end.
 
     A season of at least half the training length is skipped, and so is a
     multiplicative one on values at or below 0 anywhere in the series. The first
-    of equal candidates wins. A series without a usable candidate keeps null mse.
+    of equal candidates wins. A series without a usable candidate keeps null mse and takes
+    the settings of ``default``, if given.
     """
-    arrays = to_arrays(df, by, ds, value).where(F.size("vals") > 1)
-    rows = with_candidates(split_arrays(arrays, last), candidates)
+    arrays = to_arrays(df, by, ds, value)
+    rows = with_candidates(split_arrays(arrays, last), candidates, by)
     fair = (F.col("m") < F.size("train") / 2) & (
         (F.col("kind") != "mul") | (F.array_min("vals") > 0))
     scored = _score_on(rows.where(fair), remove_bias)
@@ -182,7 +199,17 @@ def grid_search(df: DataFrame, candidates: list[dict], last=60, by=BY, ds="ds",
     best = scored.groupBy(*by).agg(F.min_by(
         F.struct("candidate", "alpha", "beta", "gamma", "phi", "m", "kind", "mse"), rank)
         .alias("b"))
-    return arrays.select(*by).join(best, list(by), "left").select(*by, "b.*")
+    names = ("candidate", "alpha", "beta", "gamma", "phi", "m", "kind", "mse")
+    kinds = {f.name: f.dataType for f in best.schema["b"].dataType.fields}
+    given = {"candidate": -1, **(default or {})}
+    return df.select(*by).distinct().join(best, list(by), "left").select(*by, *[
+        F.coalesce(F.col("b")[n], F.lit(given[n]).cast(kinds[n])).alias(n)
+        if default and n in given else F.col("b")[n].alias(n) for n in names])
+
+
+def default_model(variable: str) -> dict:
+    """The model of a variable for which no candidate could be scored."""
+    return candidate(m=fixed.DEFAULT_SEASON_LENGTH.get(variable, 365), kind="add", phi=0.98)
 
 
 def season_candidates(variable: str, alphas=(0.2, 0.5), kinds=("add", "mul"), lengths=None):
@@ -200,7 +227,7 @@ def expanding_folds(arrays: DataFrame, folds=5) -> DataFrame:
     """Rows ``fold`` with growing ``train`` and the next block as ``test``."""
     n = F.size("vals")
     block = F.floor(n / (folds + 1)).cast("int")
-    rows = arrays.where(block > 0).withColumn(
+    rows = arrays.withColumn(
         "fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
     cut = (n - (folds + 1 - F.col("fold")) * block).cast("int")
     return rows.withColumns({"train": F.slice("vals", F.lit(1), cut),
@@ -215,9 +242,10 @@ def offset_search(df: DataFrame, settings: dict, offsets: list[float], kind="log
     """
     shifted = (lambda x: F.log1p(x + F.col("c"))) if kind == "log1p" else (
         lambda x: F.log(x + F.col("c")))
-    rows = expanding_folds(to_arrays(df, by, ds, value), folds).withColumn(
+    rows = expanding_folds(to_arrays(df, by, ds, value), folds).drop("vals", "days")
+    rows = rows.repartition(*by, "fold").withColumn(
         "c", F.explode(F.array(*[F.lit(float(c)) for c in offsets])))
-    rows = with_candidates(rows.drop("vals", "days"), [settings]).repartition(*by, "fold", "c")
+    rows = with_candidates(rows, [settings], spread=False)
     rows = rows.withColumns({"train": F.transform("train", shifted),
                              "test": F.transform("test", shifted)})
     error = F.sqrt("mse") if root else F.col("mse")

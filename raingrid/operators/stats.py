@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from raingrid import fixed
 from raingrid.functions import values as V
-from raingrid.operators.common import BY, whole_series
+from raingrid.operators.common import BY, forward, whole_series
 
 
 def resample(df: DataFrame, unit: str, agg=F.avg, label="start", by=BY, ds="ds",
@@ -97,14 +97,21 @@ def _regression(y: Column, x: Column) -> list[Column]:
     ]
 
 
-def linear_trend(df: DataFrame, by=BY, ds="ds", value="value", min_days=365,
-                 min_years=3) -> DataFrame:
-    """Line through yearly means; needs ``min_days`` rows and ``min_years`` years."""
-    years = df.where(F.col(value).isNotNull()).groupBy(*by, F.year(ds).alias("year")).agg(
-        F.avg(value).alias("y"), F.count(F.lit(1)).alias("days"))
-    fit = years.groupBy(*by).agg(*_regression(F.col("y"), F.col("year")),
-                                 F.sum("days").alias("days"))
-    return fit.where((F.col("days") >= min_days) & (F.col("n") >= min_years)).drop("days")
+def linear_trend(df: DataFrame, by=BY, ds="ds", value="value", min_days=365, min_years=3,
+                 on_year=False) -> DataFrame:
+    """Line through the means of the years with data, numbered 0, 1, 2 and so on.
+
+    A series needs ``min_days`` rows, with or without a value, and ``min_years`` years
+    with a value. ``on_year`` regresses on the calendar year instead of the number.
+    """
+    years = df.groupBy(*by, F.year(ds).alias("year")).agg(
+        F.avg(value).alias("y"), F.count(F.lit(1)).alias("rows"))
+    days = F.sum("rows").over(whole_series(by))
+    number = F.count("y").over(forward(by, "year").rowsBetween(Window.unboundedPreceding, -1))
+    x = F.col("year") if on_year else F.col("_i")
+    fit = years.withColumns({"_days": days, "_i": number}).where(
+        F.col("_days") >= min_days).groupBy(*by).agg(*_regression(F.col("y"), x))
+    return fit.where(F.col("n") >= min_years)
 
 
 def yearly_sum_trend(df: DataFrame, by=BY, ds="ds", value="value") -> DataFrame:

@@ -118,7 +118,8 @@ def gap_routed_fill(df: DataFrame, limits=(None, None), short=3, by=BY, ds="ds",
     """Line across gaps up to ``short`` days, cubic through four points beyond.
 
     A gap without two known points on each side falls back to the line; nulls at
-    the ends take the nearest value. Filled values stay inside ``limits``.
+    the ends take the nearest value. At the end all values, known ones too, are held
+    inside ``limits``.
     """
     low, high = limits
     fwd, bwd = forward(by, ds), backward(by, ds)
@@ -146,8 +147,8 @@ def gap_routed_fill(df: DataFrame, limits=(None, None), short=3, by=BY, ds="ds",
     line = prev["v"] + (nxt["v"] - prev["v"]) * (x - prev["x"]) / (nxt["x"] - prev["x"])
     length = nxt["rn"] - prev["rn"] - 1
     inside = F.when(length <= short, line).otherwise(F.coalesce(cubic, line))
-    guess = V.bound(F.coalesce(inside, prev["v"], nxt["v"]), low, high)
-    return rows.withColumn(out, F.coalesce(F.col(value), guess)).drop(
+    guess = F.coalesce(F.col(value), inside, prev["v"], nxt["v"])
+    return rows.withColumn(out, V.bound(guess, low, high)).drop(
         "_rn", "_x", "_pt", "_pp", "_nn", "_two", "_p", "_n")
 
 

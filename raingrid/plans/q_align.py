@@ -15,13 +15,13 @@ def _three_frames(spark, sf):
     return {
         "sst": base.where(day % 2 == 0),
         "rain": base.where(day % 3 == 0).withColumn("value", F.col("value") * 2),
-        "wind": base.where(day % 5 != 0).withColumn("value", F.col("value") + 1),
+        "wind": base.where((day % 5 != 0) | (day % 2 == 1)).withColumn("value", F.col("value") + 1),
     }
 
 
 THREE = S.E1 + """, sst AS (SELECT * FROM e1 WHERE day(ds) % 2 = 0),
 rain AS (SELECT series, ds, value * 2 AS value FROM e1 WHERE day(ds) % 3 = 0),
-wind AS (SELECT series, ds, value + 1 AS value FROM e1 WHERE day(ds) % 5 <> 0)"""
+wind AS (SELECT series, ds, value + 1 AS value FROM e1 WHERE day(ds) % 5 <> 0 OR day(ds) % 2 = 1)"""
 
 
 @query("outer_merge", f"""WITH {THREE} SELECT series, ds, sst.value AS sst, rain.value AS rain,
@@ -113,24 +113,28 @@ def window_member(spark, sf):
 
 
 @query("union_all", """SELECT CAST(o_orderdate AS DATE) AS ds, o_totalprice AS value,
-  NULL::VARCHAR AS note FROM orders WHERE year(o_orderdate) = 1996
+  NULL::VARCHAR AS note FROM orders WHERE year(o_orderdate) < 1996
   UNION ALL SELECT CAST(o_orderdate AS DATE), o_totalprice, o_orderpriority FROM orders
-  WHERE year(o_orderdate) = 1997""")
+  WHERE year(o_orderdate) >= 1996""")
 def union_all(spark, sf):
     orders = S.table(spark, sf, "orders").select(
         F.to_date("o_orderdate").alias("ds"), F.col("o_totalprice").alias("value"),
         F.col("o_orderpriority").alias("note"))
-    first = _between(orders, "1996-01-01", "1996-12-31").drop("note")
-    return A.union_all(first, _between(orders, "1997-01-01", "1997-12-31"))
+    first = orders.where(F.year("ds") < 1996).drop("note")
+    return A.union_all(first, orders.where(F.year("ds") >= 1996))
 
 
-def _between(df, a, b):
-    return df.where(F.col("ds").between(F.to_date(F.lit(a)), F.to_date(F.lit(b))))
+@query("index_intersection", f"""WITH {S.E1} SELECT ds FROM e1 WHERE value > 45
+  INTERSECT SELECT ds FROM e1 WHERE value <= 45""")
+def index_intersection(spark, sf):
+    days = S.e1(spark, sf)
+    return A.index_intersection(days.where("value > 45"), days.where("value <= 45"))
 
 
-@query("index_intersection", f"""WITH {S.E1} SELECT ds FROM e1 WHERE series = 'click' AND value > 45
-  INTERSECT SELECT ds FROM e1 WHERE series = 'view' AND value > 45""")
-def index_intersection(spark, sf):
-    high = S.e1(spark, sf).where(F.col("value") > 45)
-    return A.index_intersection(
-        high.where(F.col("series") == "click"), high.where(F.col("series") == "view"))
+@query("complete_grid_duplicates", f"""WITH dy AS (SELECT CAST(user_id AS VARCHAR) AS series,
+  CAST(ts AS DATE) AS ds, max(value) AS value FROM events GROUP BY 1, 2),
+  {S.grid_sql("dyg", "dy")} SELECT series, ds, value FROM dyg""")
+def complete_grid_duplicates(spark, sf):
+    """Several rows for a day: one grid row with their greatest value."""
+    return A.complete_grid(S.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("series"), F.to_date("ts").alias("ds"), "value"))

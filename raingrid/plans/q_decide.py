@@ -103,36 +103,36 @@ SEASONAL_DECISION = """CASE WHEN gap THEN 'Bera (Data Tidak Lengkap)'
     ELSE 'Bera (Periode Transisi Risiko)' END END"""
 
 
-@query("classify", f"""WITH {WEATHER}, {status_sql('w', 'st')} SELECT ds, rr, tavg, rh, rain_missing,
+@query("classify", f"""WITH {WEATHER}, {status_sql('w', 'st')} SELECT series, ds, rr, tavg, rh, rain_missing,
   rr_status, tavg_status, rh_status FROM st""")
 def classify(spark, sf):
-    return D.with_status(_weather(spark, sf), "rain_missing").drop("series")
+    return D.with_status(_weather(spark, sf), "rain_missing")
 
 
 @query("category", f"""WITH {WEATHER}, {status_sql('w', 'st', False, 'Tidak Ada Data (Risiko)')}
-  SELECT ds, {JOINED} AS joined, CASE WHEN rr IS NULL AND tavg IS NULL AND rh IS NULL THEN 'Tidak Ada Data'
+  SELECT series, ds, {JOINED} AS joined, CASE WHEN rr IS NULL AND tavg IS NULL AND rh IS NULL THEN 'Tidak Ada Data'
   ELSE coalesce(nullif(concat_ws(', ', nullif(rr_status, 'Optimal'), nullif(tavg_status, 'Optimal'),
   nullif(rh_status, 'Optimal')), ''), 'Optimal') END AS listed FROM st""")
 def category(spark, sf):
     from raingrid import fixed
 
     rows = D.with_status(_weather(spark, sf), no_data=fixed.NO_DATA_RISK)
-    return rows.select("ds", D.category_joined().alias("joined"), D.category_listed().alias("listed"))
+    return rows.select("series", "ds", D.category_joined().alias("joined"), D.category_listed().alias("listed"))
 
 
 def _scores(name, rules, ctes, expr="score"):
-    @query(name, f"WITH {WEATHER}, {ctes} SELECT ds, {expr} AS score FROM sc")
+    @query(name, f"WITH {WEATHER}, {ctes} SELECT series, ds, {expr} AS score FROM sc")
     def run(spark, sf):
-        out = D.advise(_weather(spark, sf), rules).select("ds", "score")
+        out = D.advise(_weather(spark, sf), rules).select("series", "ds", "score")
         return rounded(out, 6, "score") if rules == "seasonal" else out
 
     return run
 
 
 def _decisions(name, rules, ctes, decision):
-    @query(name, f"WITH {WEATHER}, {ctes} SELECT ds, rr, tavg, rh, {decision} AS decision FROM sc")
+    @query(name, f"WITH {WEATHER}, {ctes} SELECT series, ds, rr, tavg, rh, {decision} AS decision FROM sc")
     def run(spark, sf):
-        return D.advise(_weather(spark, sf), rules).select("ds", "rr", "tavg", "rh", "decision")
+        return D.advise(_weather(spark, sf), rules).select("series", "ds", "rr", "tavg", "rh", "decision")
 
     return run
 
@@ -154,16 +154,16 @@ def _override_sql(ctes, decision, days, early, labels=None):
     inside = f"ds BETWEEN DATE '{due - dt.timedelta(days=6)}' AND DATE '{due}'"
     label = labels or f"CASE WHEN wet THEN '{early}' ELSE 'Panen Sesuai Jadwal' END"
     return f"""WITH {WEATHER}, {ctes}, dc AS (SELECT *, {decision} AS d0 FROM sc),
-  fl AS (SELECT bool_or(ds = DATE '{due}') AS due, coalesce(bool_or({inside} AND rr > 10), false) AS wet,
-  month(min(ds) FILTER ({inside})) AS fm FROM dc)
-  SELECT ds, rr, CASE WHEN due AND {inside} THEN {label} ELSE d0 END AS decision FROM dc, fl"""
+  fl AS (SELECT series, bool_or(ds = DATE '{due}') AS due, coalesce(bool_or({inside} AND rr > 10), false) AS wet,
+  month(min(ds) FILTER ({inside})) AS fm FROM dc GROUP BY series)
+  SELECT series, ds, rr, CASE WHEN due AND {inside} THEN {label} ELSE d0 END AS decision FROM dc JOIN fl USING (series)"""
 
 
 @query("harvest_override", _override_sql(
     MONTHLY, MONTHLY_DECISION, 105, "Percepat Panen 1-2 Hari (Risiko Hujan)"))
 def harvest_override(spark, sf):
     rows = D.advise(_weather(spark, sf), "monthly")
-    return D.harvest_override(rows, PLANTED).select("ds", "rr", "decision")
+    return D.harvest_override(rows, PLANTED).select("series", "ds", "rr", "decision")
 
 
 @query("harvest_override_seasonal", _override_sql(
@@ -174,14 +174,14 @@ def harvest_override(spark, sf):
 def harvest_override_seasonal(spark, sf):
     rows = D.advise(_weather(spark, sf), "seasonal")
     return D.harvest_override(rows, PLANTED, "seasonal", season_labels=True).select(
-        "ds", "rr", "decision")
+        "series", "ds", "rr", "decision")
 
 
 @query("harvest_override_fixed", _override_sql(
     BASIC, BASIC_DECISION, 100, "Percepat Panen (Risiko Hujan)"))
 def harvest_override_fixed(spark, sf):
     rows = D.advise(_weather(spark, sf), "basic")
-    return D.harvest_override(rows, PLANTED, None).select("ds", "rr", "decision")
+    return D.harvest_override(rows, PLANTED, None).select("series", "ds", "rr", "decision")
 
 
 CORE = f"ds BETWEEN DATE '{PLANTED + dt.timedelta(days=90)}' AND DATE '{PLANTED + dt.timedelta(days=100)}'"
@@ -192,18 +192,18 @@ WINDOW_CASE = f"""CASE WHEN rr > 10 AND {CORE} THEN 'Percepat Panen (Risiko Huja
   ELSE 'Belum Waktunya Panen' END"""
 
 
-@query("harvest_window", f"""WITH {WEATHER} SELECT ds, rr, rh, {WINDOW_CASE} AS recommendation FROM w
+@query("harvest_window", f"""WITH {WEATHER} SELECT series, ds, rr, rh, {WINDOW_CASE} AS recommendation FROM w
   WHERE {AROUND}""")
 def harvest_window(spark, sf):
-    return D.harvest_window(_weather(spark, sf), PLANTED).select("ds", "rr", "rh", "recommendation")
+    return D.harvest_window(_weather(spark, sf), PLANTED).select("series", "ds", "rr", "rh", "recommendation")
 
 
 @query("apply_harvest_window", f"""WITH {WEATHER}, {GRADED}, dc AS (SELECT *, {GRADED_DECISION} AS d0,
   CASE WHEN {AROUND} THEN {WINDOW_CASE} END AS rec FROM sc)
-  SELECT ds, CASE WHEN contains(rec, 'Panen') THEN rec ELSE d0 END AS decision FROM dc""")
+  SELECT series, ds, CASE WHEN contains(rec, 'Panen') THEN rec ELSE d0 END AS decision FROM dc""")
 def apply_harvest_window(spark, sf):
     rows = D.advise(_weather(spark, sf), "graded")
-    return D.apply_harvest_window(rows, PLANTED).select("ds", "decision")
+    return D.apply_harvest_window(rows, PLANTED).select("series", "ds", "decision")
 
 
 def _sea(spark, sf):
@@ -260,10 +260,10 @@ def decision_string(spark, sf):
     return D.decision_string(_calendar(spark, sf))
 
 
-@query("majority_decision", f"""WITH {WEATHER}, f AS (SELECT ds, rr, tavg, rh,
+@query("majority_decision", f"""WITH {WEATHER}, f AS (SELECT series, ds, rr, tavg, rh,
   coalesce(rr BETWEEN 5 AND 17, false) AS a, coalesce(tavg BETWEEN 20 AND 29, false) AS b,
   coalesce(rh BETWEEN 60 AND 88, false) AS c FROM w)
-  SELECT ds, CASE WHEN a THEN 'Sesuai' ELSE 'Tidak Sesuai' END AS rr_fit,
+  SELECT series, ds, CASE WHEN a THEN 'Sesuai' ELSE 'Tidak Sesuai' END AS rr_fit,
   CASE WHEN b THEN 'Sesuai' ELSE 'Tidak Sesuai' END AS tavg_fit,
   CASE WHEN c THEN 'Sesuai' ELSE 'Tidak Sesuai' END AS rh_fit,
   CASE WHEN rr < 20 THEN 'Hujan Ringan' ELSE 'Hujan Sedang' END AS rain_class,
@@ -272,15 +272,15 @@ def decision_string(spark, sf):
 def majority_decision(spark, sf):
     limits = {"rr": (5.0, 17.0), "tavg": (20.0, 29.0), "rh": (60.0, 88.0)}
     return D.majority_decision(_weather(spark, sf), limits).select(
-        "ds", "rr_fit", "tavg_fit", "rh_fit", "rain_class", "decision")
+        "series", "ds", "rr_fit", "tavg_fit", "rh_fit", "rain_class", "decision")
 
 
-@query("decision_code", f"""WITH {WEATHER}, {BASIC}, dc AS (SELECT ds, {BASIC_DECISION} AS decision FROM sc)
-  SELECT ds, decision, CAST(CASE decision WHEN 'Tanam' THEN 3 WHEN 'Tanam (Waspada)' THEN 2 WHEN 'Bera' THEN 1
+@query("decision_code", f"""WITH {WEATHER}, {BASIC}, dc AS (SELECT series, ds, {BASIC_DECISION} AS decision FROM sc)
+  SELECT series, ds, decision, CAST(CASE decision WHEN 'Tanam' THEN 3 WHEN 'Tanam (Waspada)' THEN 2 WHEN 'Bera' THEN 1
   WHEN 'Bera (Risiko Tinggi)' THEN 0 WHEN 'Percepat Panen (Risiko Hujan)' THEN 4 END AS INTEGER) AS code
   FROM dc""")
 def decision_code(spark, sf):
-    rows = D.advise(_weather(spark, sf), "basic").select("ds", "decision")
+    rows = D.advise(_weather(spark, sf), "basic").select("series", "ds", "decision")
     return rows.withColumn("code", D.decision_code(F.col("decision")))
 
 
@@ -293,7 +293,7 @@ w AS (SELECT series, ds, rain_missing, round(avg(rr) OVER s, 6) AS rr, round(avg
   WINDOW s AS (PARTITION BY series ORDER BY ds ROWS 6 PRECEDING))"""
 
 
-@query("planting_advice", f"""WITH {ADVICE}, {MONTHLY} SELECT ds, rr, tavg, rh, score, {JOINED} AS category,
+@query("planting_advice", f"""WITH {ADVICE}, {MONTHLY} SELECT series, ds, rr, tavg, rh, score, {JOINED} AS category,
   {MONTHLY_DECISION} AS decision FROM sc""")
 def planting_advice(spark, sf):
     """Daily grid, missing flag, fill, weekly mean, classes, score and decision."""
@@ -303,4 +303,4 @@ def planting_advice(spark, sf):
         rows = W.sma(rows, 7, min_periods=1, value=v, out=f"{v}_mean")
     means = {v: F.round(f"{v}_mean", 6) for v in ("rr", "tavg", "rh")}
     return D.advise(rows.withColumns(means)).select(
-        "ds", "rr", "tavg", "rh", "score", "category", "decision")
+        "series", "ds", "rr", "tavg", "rh", "score", "category", "decision")

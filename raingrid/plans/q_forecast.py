@@ -445,22 +445,22 @@ def _flagged(spark, sf):
 
 FLAG = S.M1 + """, fl AS (SELECT series, ds, rr, CAST(day(ds) % 6 = 0 AS INTEGER) AS rain_missing,
   rr * CASE WHEN day(ds) % 6 = 0 THEN 0.1::DOUBLE ELSE 1 END AS adj FROM m1),
-mn AS (SELECT avg(rr) FILTER (rain_missing = 0) AS m FROM fl)"""
+mn AS (SELECT series, avg(rr) FILTER (rain_missing = 0) AS m FROM fl GROUP BY 1)"""
 
 
-@query("rain_flag_encoding", f"""WITH {FLAG} SELECT ds, round(adj, 6) AS rr_adjusted,
+@query("rain_flag_encoding", f"""WITH {FLAG} SELECT series, ds, round(adj, 6) AS rr_adjusted,
   CAST(adj < m * 0.2 AS INTEGER) AS rain_missing,
-  round(CASE WHEN adj < m * 0.2 THEN adj / 0.1 ELSE adj END, 6) AS rr FROM fl, mn""")
+  round(CASE WHEN adj < m * 0.2 THEN adj / 0.1 ELSE adj END, 6) AS rr FROM fl JOIN mn USING (series)""")
 def rain_flag_encoding(spark, sf):
     history = _flagged(spark, sf)
     coded = P.encode_rain_flag(history).select("series", "ds", "rr_adjusted")
     out = P.decode_rain_flag(coded, history, value="rr_adjusted")
-    return rounded(out, 6, "rr", "rr_adjusted").drop("series")
+    return rounded(out, 6, "rr", "rr_adjusted")
 
 
-@query("rain_flag_dry", f"""WITH {FLAG} SELECT ds, rr, CAST(rr < 0.1 AS INTEGER) AS rain_missing FROM fl""")
+@query("rain_flag_dry", f"""WITH {FLAG} SELECT series, ds, rr, CAST(rr < 0.1 AS INTEGER) AS rain_missing FROM fl""")
 def rain_flag_dry(spark, sf):
-    return P.flag_dry(_flagged(spark, sf)).drop("series")
+    return P.flag_dry(_flagged(spark, sf))
 
 
 MODELS = {"ses": SES, "holt": HOLT, "winters": DAMPED}

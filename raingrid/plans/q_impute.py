@@ -86,6 +86,13 @@ def daylight_cap(spark, sf):
     return rounded(I.daylight_cap(rows, fixed.LATITUDES["Aceh"]), 6, "ss_filled")
 
 
+@query("daylight_cap_fixed", f"""WITH {SUN} SELECT series, ds, ss,
+  round(greatest(least(f, 12.5), 0), 6) AS ss_filled FROM e""")
+def daylight_cap_fixed(spark, sf):
+    rows = S.m1_grid(spark, sf).select("series", "ds", (F.col("rr") - 1).alias("ss"))
+    return rounded(I.daylight_cap(rows, None), 6, "ss_filled")
+
+
 def _directions(spark, sf):
     d = F.dayofmonth("ds")
     hide = (d % 5 == 0) | d.between(11, 19)
@@ -140,10 +147,12 @@ def wind_direction_fill_strict(spark, sf):
 
 
 @query("wind_direction_fill_nearest_first", f"""WITH {DIR} SELECT series, ds, direction,
-  round(coalesce(direction, near, mo, se), 5) AS filled FROM nn""")
+  round(coalesce(direction, CASE WHEN day(ds) % 4 <> 0 THEN near END, mo, se), 5) AS filled FROM nn""")
 def wind_direction_fill_nearest_first(spark, sf):
-    return rounded(I.wind_direction_fill(_directions(spark, sf), nearest_first=True, days=4), 5,
-                   "filled")
+    """The near date only on days with a known greatest speed."""
+    rows = _directions(spark, sf).withColumn("speed", F.when(F.dayofmonth("ds") % 4 != 0, 3.0))
+    out = I.wind_direction_fill(rows, nearest_first=True, days=4, speed="speed")
+    return rounded(out.drop("speed"), 5, "filled")
 
 
 def _wind_pairs(spark, sf):
@@ -234,12 +243,21 @@ c0 AS (SELECT *, coalesce(CASE WHEN trim(cardinal) IN ('N','NNE','NE','ENE','E',
   'SSW','SW','WSW','W','WNW','NW','NNW') THEN trim(cardinal) END,
   (['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'])
   [CAST(round_even(direction / 22.5, 0) AS INTEGER) % 16 + 1]) AS f0 FROM cd),
-md AS (SELECT month(ds) AS m, f0 AS md FROM c0 WHERE f0 IS NOT NULL GROUP BY 1, 2
-  QUALIFY row_number() OVER (PARTITION BY month(ds) ORDER BY count(*) DESC, f0) = 1)"""
-
-
-@query("cardinal_clean", f"""WITH {CARD} SELECT series, ds, cardinal, direction, coalesce(f0, md) AS filled
-  FROM c0 LEFT JOIN md ON month(ds) = m""")
+c1 AS (SELECT *, month(ds) AS m, {season} AS s FROM c0)"""
+CARD = CARD.replace("{season}", S.season_sql("ds", "two_sep"))
+CARD_STEPS = """WITH {card},
+mm AS (SELECT series, m, f0 AS v FROM c1 WHERE f0 IS NOT NULL GROUP BY 1, 2, 3
+  QUALIFY row_number() OVER (PARTITION BY series, m ORDER BY count(*) DESC, f0) = 1),
+d1 AS (SELECT c1.*, coalesce(f0, v) AS f1 FROM c1 LEFT JOIN mm USING (series, m)),
+ms AS (SELECT series, s, f1 AS v FROM d1 WHERE f1 IS NOT NULL GROUP BY 1, 2, 3
+  QUALIFY row_number() OVER (PARTITION BY series, s ORDER BY count(*) DESC, f1) = 1),
+d2 AS (SELECT d1.*, coalesce(f1, v) AS f2 FROM d1 LEFT JOIN ms USING (series, s)),
+ma AS (SELECT series, f2 AS v FROM d2 WHERE f2 IS NOT NULL GROUP BY 1, 2
+  QUALIFY row_number() OVER (PARTITION BY series ORDER BY count(*) DESC, f2) = 1)
+SELECT d2.series, ds, cardinal, direction, coalesce(f2, v, 'N') AS filled FROM d2 LEFT JOIN ma USING (series)"""
+
+
+@query("cardinal_clean", CARD_STEPS.replace("{card}", CARD))
 def cardinal_clean(spark, sf):
     return I.cardinal_clean(_cardinals(spark, sf))
 

@@ -138,11 +138,27 @@ def _regression_rounded(df):
         "r2": F.round("r2", 6), "stderr": F.round("stderr", 1)})
 
 
-@query("linear_trend", f"""WITH {S.O1}, y AS (SELECT series, year(ds) AS x, avg(value) AS y,
-  count(*) AS days FROM o1 GROUP BY 1, 2) SELECT series, {REGR} FROM y GROUP BY 1
-  HAVING sum(days) >= 365 AND count(*) >= 3""")
+def _year_hidden(spark, sf):
+    return S.o1(spark, sf).withColumn("value", F.when(F.year("ds") != 1994, F.col("value")))
+
+
+HIDDEN = S.O1 + """, hd AS (SELECT series, ds, CASE WHEN year(ds) <> 1994 THEN value END AS value FROM o1),
+yr AS (SELECT series, year(ds) AS yr, avg(value) AS y FROM hd GROUP BY 1, 2),
+en AS (SELECT series FROM hd GROUP BY 1 HAVING count(*) >= 365)"""
+
+
+@query("linear_trend", f"""WITH {HIDDEN}, y AS (SELECT series, y,
+  row_number() OVER (PARTITION BY series ORDER BY yr) - 1 AS x FROM yr SEMI JOIN en USING (series)
+  WHERE y IS NOT NULL) SELECT series, {REGR} FROM y GROUP BY 1 HAVING count(*) >= 3""")
 def linear_trend(spark, sf):
-    return _regression_rounded(A.linear_trend(S.o1(spark, sf)))
+    return _regression_rounded(A.linear_trend(_year_hidden(spark, sf)))
+
+
+@query("linear_trend_on_year", f"""WITH {HIDDEN}, y AS (SELECT series, y, yr AS x FROM yr
+  SEMI JOIN en USING (series) WHERE y IS NOT NULL) SELECT series, {REGR} FROM y GROUP BY 1
+  HAVING count(*) >= 3""")
+def linear_trend_on_year(spark, sf):
+    return _regression_rounded(A.linear_trend(_year_hidden(spark, sf), on_year=True))
 
 
 @query("yearly_sum_trend", f"""WITH {S.O1}, y AS (SELECT series, sum(value) AS y,

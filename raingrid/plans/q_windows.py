@@ -136,9 +136,8 @@ GAP_SQL = f"""WITH {WIDE}, g AS (SELECT *, x2 - x1 - 1 AS len,
   y1 * (x-x0)/(x1-x0) * (x-x2)/(x1-x2) * (x-x3)/(x1-x3) +
   y2 * (x-x0)/(x2-x0) * (x-x1)/(x2-x1) * (x-x3)/(x2-x3) +
   y3 * (x-x0)/(x3-x0) * (x-x1)/(x3-x1) * (x-x2)/(x3-x2) AS cubic FROM c)
-  SELECT series, ds, value, round(CASE WHEN value IS NOT NULL THEN value ELSE
-    least(greatest(coalesce(CASE WHEN len <= 3 THEN line ELSE coalesce(cubic, line) END, y1, y2),
-    20), 70) END, 6) AS filled FROM g"""
+  SELECT series, ds, value, round(least(greatest(coalesce(value,
+    CASE WHEN len <= 3 THEN line ELSE coalesce(cubic, line) END, y1, y2), 20), 70), 6) AS filled FROM g"""
 
 
 @query("gap_routed_fill", GAP_SQL)
@@ -164,44 +163,50 @@ def smoothing_residual(spark, sf):
                        R6(F.col("value") - F.col("ewma")).alias("ewma_residual"))
 
 
-@query("lag_windows", f"""WITH {S.E1}, w AS (SELECT series, ds, value AS label,
-  lag(value, 10) OVER o AS oldest, lag(value, 1) OVER o AS newest,
-  avg(value) OVER (PARTITION BY series ORDER BY ds ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS m
-  FROM e1 WINDOW o AS (PARTITION BY series ORDER BY ds))
-  SELECT series, ds, label, CAST(10 AS INTEGER) AS n, oldest, newest, round(m, 6) AS lag_mean
+def _lag_query(name, length):
+    @query(name, f"""WITH {S.L1}, w AS (SELECT series, ds, value AS label,
+  lag(value, {length}) OVER o AS oldest, lag(value, 1) OVER o AS newest,
+  avg(value) OVER (PARTITION BY series ORDER BY ds ROWS BETWEEN {length} PRECEDING AND 1 PRECEDING) AS m
+  FROM l1 WINDOW o AS (PARTITION BY series ORDER BY ds))
+  SELECT series, ds, label, CAST({length} AS INTEGER) AS n, oldest, newest, round(m, 6) AS lag_mean
   FROM w WHERE oldest IS NOT NULL""")
-def lag_windows(spark, sf):
-    lags = F.col("lags")
-    mean = F.aggregate(lags, F.lit(0.0), lambda a, x: a + x) / F.size(lags)
-    return W.lag_windows(S.e1(spark, sf), 10).select(
-        "series", "ds", "label", F.size(lags).alias("n"), lags[0].alias("oldest"),
-        lags[9].alias("newest"), R6(mean).alias("lag_mean"))
+    def run(spark, sf):
+        lags = F.col("lags")
+        mean = F.aggregate(lags, F.lit(0.0), lambda a, x: a + x) / F.size(lags)
+        return W.lag_windows(S.l1(spark, sf), length).select(
+            "series", "ds", "label", F.size(lags).alias("n"), lags[0].alias("oldest"),
+            lags[length - 1].alias("newest"), R6(mean).alias("lag_mean"))
 
+    return run
+
+
+_lag_query("lag_windows", 60)
+_lag_query("lag_windows_year", 365)
 
 ACF = """c AS (SELECT series, value - avg(value) OVER (PARTITION BY series) AS d,
   row_number() OVER (PARTITION BY series ORDER BY ds) AS rn FROM l1),
 ac AS (SELECT a.series, CAST(k.lag AS INTEGER) AS lag,
-  sum(a.d * b.d) / any_value(t.c0) AS r FROM range(0, 41) k(lag), c a
+  sum(a.d * b.d) / any_value(t.c0) AS r FROM range(0, {most}) k(lag), c a
   JOIN c b ON a.series = b.series AND b.rn = a.rn + k.lag
   JOIN (SELECT series, sum(d * d) AS c0 FROM c GROUP BY 1) t ON t.series = a.series GROUP BY 1, 2)"""
 
 
-@query("acf", f"WITH {S.L1}, {ACF} SELECT series, lag, round(r, 6) AS acf FROM ac")
+@query("acf", f"WITH {S.L1}, {ACF.replace('{most}', '401')} SELECT series, lag, round(r, 6) AS acf FROM ac")
 def acf(spark, sf):
-    return W.acf(S.l1(spark, sf), 40).withColumn("acf", R6("acf"))
+    return W.acf(S.l1(spark, sf), 400).withColumn("acf", R6("acf"))
 
 
-@query("pacf", f"""WITH RECURSIVE {S.L1}, {ACF}, rr AS (SELECT series, list(r ORDER BY lag) AS r
+@query("pacf", f"""WITH RECURSIVE {S.L1}, {ACF.replace('{most}', '51')}, rr AS (SELECT series, list(r ORDER BY lag) AS r
   FROM ac GROUP BY 1), dl AS (
   SELECT series, r, 0 AS k, []::DOUBLE[] AS phi, 1.0::DOUBLE AS p FROM rr UNION ALL
   SELECT series, r, k + 1, list_append([phi[j] - t * phi[k + 1 - j] FOR j IN range(1, k + 1)], t), t
   FROM (SELECT series, r, k, phi,
     (r[k + 2] - coalesce(list_sum([phi[j] * r[k + 2 - j] FOR j IN range(1, k + 1)]), 0)) /
     (1 - coalesce(list_sum([phi[j] * r[j + 1] FOR j IN range(1, k + 1)]), 0)) AS t
-    FROM dl WHERE k < 20))
+    FROM dl WHERE k < 50))
   SELECT series, CAST(k AS INTEGER) AS lag, round(p, 6) AS pacf FROM dl""")
 def pacf(spark, sf):
-    return W.pacf(S.l1(spark, sf), 20).withColumn("pacf", R6("pacf"))
+    return W.pacf(S.l1(spark, sf), 50).withColumn("pacf", R6("pacf"))
 
 
 @query("chrono_split", f"""WITH {S.E1}, n AS (SELECT series, ds,

@@ -70,10 +70,13 @@ def l1(spark, sf):
 
 
 def m1(spark, sf):
+    """One station per hundred customers, so stations grow with the data; days have gaps."""
     cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("c")
-    daily = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("ds")).agg(cents)
+    station = F.concat(F.lit("S"), F.floor(F.col("o_custkey") / 100).cast("string"))
+    daily = table(spark, sf, "orders").groupBy(
+        station.alias("series"), F.to_date("o_orderdate").alias("ds")).agg(cents)
     return daily.select(
-        F.lit("all").alias("series"),
+        "series",
         "ds",
         (F.pmod("c", F.lit(2500)) / 100).alias("rr"),
         (17 + F.pmod(F.floor(F.col("c") / 7), F.lit(2200)) / 100).alias("tavg"),
@@ -146,9 +149,9 @@ O1 = """o1 AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS ds
 O1G = O1 + ",\n" + grid_sql("o1g", "o1")
 L1 = """l1 AS (SELECT l_returnflag AS series, CAST(l_shipdate AS DATE) AS ds,
   sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"""
-M1 = """m0 AS (SELECT CAST(o_orderdate AS DATE) AS ds,
-  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS c FROM orders GROUP BY 1),
-m1 AS (SELECT 'all' AS series, ds, (c % 2500) / 100 AS rr,
+M1 = """m0 AS (SELECT 'S' || CAST(o_custkey // 100 AS VARCHAR) AS series, CAST(o_orderdate AS DATE) AS ds,
+  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS c FROM orders GROUP BY 1, 2),
+m1 AS (SELECT series, ds, (c % 2500) / 100 AS rr,
   17 + (CAST(floor(c / 7) AS BIGINT) % 2200) / 100 AS tavg,
   50 + (CAST(floor(c / 11) AS BIGINT) % 4800) / 100 AS rh FROM m0)"""
 M1G = M1 + ",\n" + grid_sql("m1g", "m1", ("rr", "tavg", "rh"))
