@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from raingrid.functions import values as V
 from raingrid.operators import windows as W
 from raingrid.operators.align import outer_merge
-from raingrid.operators.common import BY, forward, total, whole_series
+from raingrid.operators.common import BY, forward, last_known, total, whole_series
 
 
 def seasonal_naive(df: DataFrame, horizon: int, levels=("month",), scheme="binned", by=BY, ds="ds",
@@ -142,16 +142,22 @@ def lag_regression(df: DataFrame, max_lag: int, horizon: int, d: int = 0, by=BY,
 
     The coefficients of every order come from the autocorrelations by the
     Durbin-Levinson recursion, so all orders are fitted in one fold per series.
-    Predictions are fed back, and a difference (d = 1) is summed up again.
+    Predictions are fed back. The series is differenced ``d`` times first, and the
+    forecast summed up again as often, each time from the last value of that level.
     """
-    source, column = df, value
-    if d == 1:
-        source = W.difference(df, 1, by, ds, value, "_d").where(F.col("_d").isNotNull())
-        column = "_d"
+    if d < 0:
+        raise ValueError("d must be 0 or more")
+    source, levels = df, [value]
+    for k in range(1, d + 1):
+        source = W.difference(source, 1, by, ds, levels[-1], f"_d{k}")
+        levels.append(f"_d{k}")
+    column = levels[-1]
     known = source.where(F.col(column).isNotNull())
     rows = W.acf_arrays(known, max_lag, by, ds, column, extra=(
-        F.count(F.lit(1)).alias("_n"), F.max(ds).alias("_end"), F.max_by(value, ds).alias("_last")))
-    r, x, size = F.col("acf"), F.col("centred"), F.size("centred")
+        F.count(F.lit(1)).alias("_n"), F.max(ds).alias("_end"),
+        *[F.max_by(c, ds).alias(f"_last{k}") for k, c in enumerate(levels[:-1])]))
+    r = F.transform("acf", lambda v: F.coalesce(v, F.lit(0.0)))  # equal values tell nothing
+    x, size = F.col("centred"), F.size("centred")
     none = F.array().cast("array<double>")
     aic = lambda var, k: F.col("_n") * F.log(var) + 2.0 * k
     start = F.struct(none.alias("phi"), F.lit(1.0).alias("var"),
@@ -160,7 +166,7 @@ def lag_regression(df: DataFrame, max_lag: int, horizon: int, d: int = 0, by=BY,
     def order(s, k):
         lags = F.slice(r, F.lit(2), k - 1)
         top = r[k] - total(F.zip_with(s["phi"], F.reverse(lags), lambda a, b: a * b))
-        new = top / s["var"]
+        new = F.coalesce(F.try_divide(top, s["var"]), F.lit(0.0))
         phi = F.concat(F.zip_with(s["phi"], F.reverse(s["phi"]), lambda a, b: a - new * b),
                        F.array(new))
         var = s["var"] * (1.0 - new * new)
@@ -183,16 +189,17 @@ def lag_regression(df: DataFrame, max_lag: int, horizon: int, d: int = 0, by=BY,
 
     path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), begin, roll)["out"]
     steps = rows.withColumn("_path", path).select(
-        *by, "p", "mean", "_end", "_last", F.posexplode_outer("_path").alias("_i", "_y"))
-    step = F.col("_y") + F.col("mean")
-    if d == 1:
-        run = forward(by, "_i").rowsBetween(-horizon, 0)
-        step = F.col("_last") + F.sum(F.col("_y") + F.col("mean")).over(run)
+        *by, "p", "mean", "_end", *[f"_last{k}" for k in range(d)],
+        F.posexplode_outer("_path").alias("_i", "_y")
+    ).withColumn("_step", F.col("_y") + F.col("mean"))
+    run = forward(by, "_i").rowsBetween(-horizon, 0)
+    for k in reversed(range(d)):
+        steps = steps.withColumn("_step", F.col(f"_last{k}") + F.sum("_step").over(run))
     return steps.select(*by, "p", (F.col("_i") + 1).alias("h"),
-                        F.date_add("_end", F.col("_i") + 1).alias(ds), step.alias(out))
+                        F.date_add("_end", F.col("_i") + 1).alias(ds), F.col("_step").alias(out))
 
 
-def _harmonics(t, weekly, yearly):
+def harmonics(t, weekly, yearly):
     """Named regressors of a day number: constant, trend, weekly and yearly waves."""
     out = {"one": F.lit(1.0), "trend": t / 365.25}
     for name, period, order in (("w", 7.0, weekly), ("y", 365.25, yearly)):
@@ -213,9 +220,9 @@ def fourier_regression(df: DataFrame, horizon: int, ridge=1e-3, weekly=2, yearly
     rows = df.where(F.col(value).isNotNull()).withColumn(
         "_start", F.min(ds).over(whole_series(by)))
     t = F.datediff(ds, "_start").cast("double")
-    names = list(_harmonics(F.lit(0.0), weekly, yearly))
+    names = list(harmonics(F.lit(0.0), weekly, yearly))
     waves = rows.select(*by, F.log1p(value).alias("_y"),
-                        *[c.alias(n) for n, c in _harmonics(t, weekly, yearly).items()])
+                        *[c.alias(n) for n, c in harmonics(t, weekly, yearly).items()])
     sums = [F.sum(F.expr(f"{a} * {b}")) for i, a in enumerate(names) for b in names[i:]]
     sides = [F.sum(F.expr(f"{a} * _y")) for a in names]
     system = waves.groupBy(*by).agg(F.array(*sums).alias("_g"), F.array(*sides).alias("_b"))
@@ -237,7 +244,7 @@ def fourier_regression(df: DataFrame, horizon: int, ridge=1e-3, weekly=2, yearly
     coefs = system.select(*by, solve("_g", "_b").alias("_w")).join(start, list(by))
     span = F.sequence(F.lit(0), F.datediff("_end", "_start") + horizon)
     steps = coefs.select(*by, "_w", "_start", "_end", F.explode(span).alias("_t"))
-    waves = _harmonics(F.col("_t").cast("double"), weekly, yearly)
+    waves = harmonics(F.col("_t").cast("double"), weekly, yearly)
     guess = sum((F.col("_w")[i] * c for i, c in enumerate(waves.values())), F.lit(0.0))
     when = F.date_add("_start", F.col("_t"))
     return steps.select(*by, when.alias(ds), F.greatest(F.datediff(when, F.col("_end")), F.lit(0))
@@ -248,23 +255,26 @@ def stationarity_screen(df: DataFrame, lags=(0, 1, 365), critical=-2.86, by=BY,
                         value="value") -> DataFrame:
     """Dickey-Fuller t statistic of the level (0) and of each difference.
 
-    Regresses the change on the previous value; below ``critical`` is stationary.
+    Regresses the change on the previous value; below ``critical`` is stationary. With two
+    changes or fewer the statistic is null. One pass over the rows serves all differences.
     """
-    out = None
+    order = forward(by, ds)
+    rows = df.withColumns({
+        f"_v{k}": F.col(value) - F.lag(value, k).over(order) if k else F.col(value) for k in lags})
+    rows = rows.withColumns({
+        f"_x{k}": last_known(F.col(f"_v{k}"), order, include_current=False) for k in lags})
+    results = []
     for k in lags:
-        rows = df.withColumn("_v", F.col(value)) if k == 0 else W.difference(
-            df, k, by, ds, value, "_v")
-        order = forward(by, ds)
-        rows = rows.where(F.col("_v").isNotNull()).withColumn("_x", F.lag("_v").over(order))
-        rows = rows.withColumn("_dy", F.col("_v") - F.col("_x"))
-        n = F.regr_count("_dy", "_x")
-        slope, xx = F.regr_slope("_dy", "_x"), F.regr_sxx("_dy", "_x")
-        rss = F.regr_syy("_dy", "_x") - slope * F.regr_sxy("_dy", "_x")
-        stat = F.try_divide(slope, F.sqrt(rss / (n - 2) / xx))
-        part = rows.groupBy(*by).agg(n.alias("n"), stat.alias("t")).where("n > 2").select(
-            *by, F.lit(k).alias("diff"), "n", "t", (F.col("t") < critical).alias("stationary"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        x = F.when(F.col(f"_v{k}").isNotNull(), F.col(f"_x{k}"))
+        dy = F.col(f"_v{k}") - x
+        n = F.regr_count(dy, x)
+        slope, xx = F.regr_slope(dy, x), F.regr_sxx(dy, x)
+        rss = F.regr_syy(dy, x) - slope * F.regr_sxy(dy, x)
+        stat = F.when(n > 2, F.try_divide(slope, F.sqrt(F.try_divide(rss, (n - 2) * xx))))
+        results.append(F.struct(F.lit(k).alias("diff"), n.alias("n"), stat.alias("t")))
+    wide = rows.groupBy(*by).agg(*[r.alias(f"_r{i}") for i, r in enumerate(results)])
+    return wide.select(*by, F.explode(F.array(*[f"_r{i}" for i in range(len(results))])).alias("r")
+                       ).select(*by, "r.*").withColumn("stationary", F.col("t") < critical)
 
 
 def encode_rain_flag(df: DataFrame, rr="rr", flag="rain_missing", out="rr_adjusted") -> DataFrame:

@@ -108,7 +108,8 @@ def regression_fits(df: DataFrame, train: Column, x="x", y="y", by=BY) -> DataFr
     tx, ty = pick(train, xc), pick(train, yc)
     vx, vy = pick(~train, xc), pick(~train, yc)
     m = df.groupBy(*by).agg(
-        F.corr(xc, yc).alias("r"), F.regr_slope(ty, tx).alias("slope"),
+        F.try_divide(F.regr_sxy(yc, xc), F.sqrt(F.regr_sxx(yc, xc) * F.regr_syy(yc, xc))).alias("r"),
+        F.regr_slope(ty, tx).alias("slope"),
         F.regr_intercept(ty, tx).alias("intercept"), F.count(vy).alias("_n"),
         F.avg(vx).alias("_ax"), F.avg(vy).alias("_ay"), F.regr_sxx(vy, vx).alias("_xx"),
         F.regr_syy(vy, vx).alias("_yy"), F.regr_sxy(vy, vx).alias("_xy"))
@@ -116,8 +117,8 @@ def regression_fits(df: DataFrame, train: Column, x="x", y="y", by=BY) -> DataFr
     miss = F.col("_ay") - a * F.col("_ax") - F.col("intercept")
     sse = (F.col("_yy") - 2 * a * F.col("_xy") + a * a * F.col("_xx")
            + F.col("_n") * miss * miss)
-    return m.withColumns({"test_r2": 1 - sse / F.col("_yy"),
-                          "test_rmse": F.sqrt(sse / F.col("_n"))}).select(
+    return m.withColumns({"test_r2": 1 - F.try_divide(sse, F.col("_yy")),
+                          "test_rmse": F.sqrt(F.try_divide(sse, F.col("_n")))}).select(
         *by, "r", "slope", "intercept", "test_r2", "test_rmse")
 
 

@@ -6,12 +6,12 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raingrid.functions import values as V
 from raingrid.operators import windows as W
-from raingrid.operators.common import BY
+from raingrid.operators.common import BY, whole_series
 from raingrid.operators.quantiles import exact_quantiles
 from raingrid.session import written
 
@@ -33,20 +33,24 @@ def weather_patterns(df: DataFrame, cols: list[str], sizes=(2, 3, 4, 5), seed=42
 
     The features are written once to shared storage: each fit reads them many
     times, and a lost executor then costs one read and not the whole lineage.
-    Sizes that leave a cluster of one row are skipped.
+    Sizes that leave a cluster of one row are skipped; if none is left, two clusters
+    are taken, and with fewer than two rows all are pattern 0.
     """
     rows = written(_features(df, cols), "patterns")
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="pattern")
     best, best_score = None, float("-inf")
+    if rows.limit(2).count() < 2:
+        return rows.withColumn("pattern", F.lit(0)).drop("features")
+    make = lambda k: KMeans(k=k, seed=seed, featuresCol="features",
+                            predictionCol="pattern").fit(rows)
     for k in sizes:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="pattern").fit(rows)
+        model = make(k)
         if min(model.summary.clusterSizes) < 2:
             continue
         score = judge.evaluate(model.transform(rows))
         if score > best_score:
             best, best_score = model, score
-    if best is None:
-        return rows.withColumn("pattern", F.lit(0)).drop("features")
+    best = best or make(2)
     return best.transform(rows).drop("features")
 
 
@@ -54,42 +58,50 @@ def pattern_median_fill(df: DataFrame, features: list[str], value: str, ds="ds",
                         sizes=(2, 3, 4, 5), in_time=True, out="filled") -> DataFrame:
     """Nulls take the median of their weather pattern, what is left is interpolated.
 
-    Patterns span all series, so one may hold most rows; its median comes from
-    ranges of values sorted in separate tasks.
+    Patterns are found over all series together; the median is that of the series' own
+    rows of the pattern, else that of the whole pattern. A pattern may hold most rows;
+    its median comes from ranges of values sorted in separate tasks.
     """
     rows = weather_patterns(df, features, sizes)
+    own = exact_quantiles(rows, [0.5], (*by, "pattern"), value).select(
+        *by, "pattern", F.col("quantiles")[0].alias("_own"))
     medians = exact_quantiles(rows, [0.5], ("pattern",), value).select(
-        "pattern", F.col("quantiles")[0].alias("_median"))
-    filled = rows.join(F.broadcast(medians), "pattern", "left").withColumn(
-        out, F.coalesce(F.col(value), F.col("_median"))).drop("_median")
+        "pattern", F.col("quantiles")[0].alias("_median"))  # at most max(sizes) rows
+    filled = rows.join(own, [*by, "pattern"], "left").join(
+        F.broadcast(medians), "pattern", "left").withColumn(
+        out, F.coalesce(F.col(value), F.col("_own"), F.col("_median"))).drop("_own", "_median")
     if in_time:
         filled = W.interpolate(filled, "time", direction="both", by=by, ds=ds, value=out, out=out)
     return filled
 
 
 def _split(keys: Column) -> Column:
-    """Repeatable 80 percent share."""
-    return F.pmod(F.xxhash64(keys), F.lit(5)) < 4
+    """Repeatable 80 percent share, by the first 32 bits of an md5 sum."""
+    return F.conv(F.substring(F.md5(keys), 1, 8), 16, 10).cast("bigint") % 5 < 4
 
 
-def rain_model(df: DataFrame, predictors: list[str], rr="rr", ds="ds", by=BY, trees=100, seed=42):
-    """Forest for rain or no rain, fitted on 80 percent of the complete days."""
+def rain_model(df: DataFrame, predictors: list[str], rr="rr", ds="ds", by=BY, trees=100, seed=42,
+               depth=8):
+    """Forest for rain or no rain, fitted on 80 percent of the complete days.
+
+    One forest serves all series. ``depth`` bounds its trees (30 is the most that can be).
+    """
     known = df.dropna(subset=[rr, *predictors]).withColumn(
         "label", (F.col(rr) > 0).cast("double"))
     packed = VectorAssembler(inputCols=predictors, outputCol="features").transform(known)
     train = _split(F.concat_ws("|", *by, F.col(ds).cast("string")))
-    forest = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=8,
+    forest = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth,
                                     predictionCol="rain").fit(packed.where(train))
     return forest, forest.transform(packed.where(~train)).select("label", "rain")
 
 
 def model_scores(predicted: DataFrame) -> DataFrame:
-    """Accuracy and F1 of the rainy class in one pass."""
+    """Accuracy and F1 of the rainy class, and the share of rainy days, in one pass."""
     hit = lambda a, b: F.count_if((F.col("label") == a) & (F.col("rain") == b))
     tp, fp, fn, tn = hit(1, 1), hit(0, 1), hit(1, 0), hit(0, 0)
     return predicted.agg(
         F.count(F.lit(1)).alias("n"), ((tp + tn) / F.count(F.lit(1))).alias("accuracy"),
-        F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"))
+        F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"), F.avg("label").alias("wet"))
 
 
 def importances(forest, predictors: list[str], spark) -> DataFrame:
@@ -99,49 +111,72 @@ def importances(forest, predictors: list[str], spark) -> DataFrame:
         .orderBy(F.col("importance").desc(), "predictor")
 
 
-def _pool_draw(df, keys, pool, rr, ds, by, least):
-    """Wet values of the same keys as an array, and the row's repeatable draw."""
-    wet = df.where(F.col(rr) > 0).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct(ds, rr))).alias(pool))
-    place = F.pmod(F.xxhash64(*by, ds), F.size(pool)).cast("int")
-    draw = F.when(F.size(pool) > least, F.get(F.col(pool), place)[rr])
-    return wet, draw
+def _draws(rows: DataFrame, rr, ds, by, least=5) -> DataFrame:
+    """(by, ds, _draw) for the rows of ``rows`` that lack rain: a known wet day's value.
 
+    Wet days are numbered per series and month, season or all; a row keeps only how many
+    there are, picks a number by a hash of series and date, and meets that one day in an
+    equi-join. The month serves if it has more than ``least`` wet days, else the season, else
+    all days; a series with fewer takes its median wet day.
+    """
+    month, season = F.concat(F.lit("m"), F.col("_month").cast("int")), F.concat(F.lit("s"), "_season")
+    wet = rows.where(F.col(rr) > 0).select(
+        *by, ds, F.col(rr).alias("_draw"), F.explode(F.array(month, season, F.lit("a"))).alias("_part"))
+    place = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(ds)) - 1
+    pool = wet.select(*by, "_part", place.alias("_place"), "_draw")
+    sizes = wet.groupBy(*by, "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("_draw", F.lit(0.5)).alias("mid"))
+    table = sizes.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("_part", "n"))).alias("_sizes"),
+        F.max(F.when(F.col("_part") == "a", F.col("mid"))).alias("_mid"))  # 17 parts at most
+    size = lambda p: F.coalesce(F.try_element_at("_sizes", p), F.lit(0))
+    part = (F.when(size(month) > least, month).when(size(season) > least, season)
+            .when(size(F.lit("a")) > least, F.lit("a")))
+    asked = rows.where(F.col(rr).isNull()).join(table, list(by)).withColumn("_part", part)
+    asked = asked.withColumn("_place", F.pmod(
+        F.xxhash64(*by, ds), F.greatest(size(F.col("_part")), F.lit(1))).cast("int"))
+    return asked.select(*by, ds, "_part", "_place", "_mid").join(
+        pool, [*by, "_part", "_place"], "left").select(
+        *by, ds, F.coalesce("_draw", "_mid").alias("_draw"))
 
-def rain_occurrence_fill(df: DataFrame, predictors: list[str], scheme="two_sep", rr="rr", ds="ds",
-                         by=BY, min_rows=100, trees=100, seed=42, out="filled") -> DataFrame:
-    """Predicted dry days become 0; wet days draw from known wet days.
 
-    The draw comes from the same month of the station if it has more than five wet
-    days, else the season, else all of them. It hangs on station and date only, so
-    it repeats. A pool has at most one value per day of one station. With fewer
-    than ``min_rows`` complete days the rain is interpolated in time.
+def rain_occurrence_fill(df: DataFrame, predictors: list[str], scheme="two_sep", rr="rr", ds="ds",
+                         by=BY, min_rows=100, trees=100, seed=42, depth=8,
+                         out="filled") -> DataFrame:
+    """Predicted dry days become 0; wet days draw from known wet days of the series.
+
+    Predictors are interpolated in time first; one that a series lacks altogether takes the
+    median of all. Whether the forest is used is decided for each series: with fewer than
+    ``min_rows`` complete days its rain is interpolated in time. Draws hang on series and
+    date only, so they repeat. ``ds`` is unique within a series.
     """
-    rows = df.withColumns({"_month": F.month(ds).cast("double"), "_season": V.season(F.col(ds), scheme)})
-    cols = [*predictors, "_month"]
-    if rows.dropna(subset=[rr, *predictors]).limit(min_rows).count() < min_rows:
-        filled = W.interpolate(rows, "time", direction="both", by=by, ds=ds, value=rr, out=out)
-        return filled.withColumn(out, V.bound(F.col(out), 0)).select(*df.columns, out)
-    forest, _ = rain_model(rows, cols, rr, ds, by, trees, seed)
-    medians = exact_quantiles(
-        rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))
-                                        for c in predictors])).alias("x")).select("x.*"),
-        [0.5], ("c",), "v").select("c", F.col("quantiles")[0].alias("m"))
-    middle = {r["c"]: r["m"] for r in medians.collect()}  # one row per predictor
-    ready = rows.withColumns({f"_p_{c}": F.coalesce(F.col(c), F.lit(middle[c])) for c in predictors})
-    packed = VectorAssembler(inputCols=[*[f"_p_{c}" for c in predictors], "_month"],
-                             outputCol="features").transform(ready)
-    guessed = forest.transform(packed).drop("features", "rawPrediction", "probability",
-                                            *[f"_p_{c}" for c in predictors])
-    draws = []
-    for name, keys, least in (("_m", (*by, "_month"), 5), ("_s", (*by, "_season"), 5),
-                              ("_a", tuple(by), 0)):
-        wet, draw = _pool_draw(rows, keys, f"{name}_pool", rr, ds, by, least)
-        guessed = guessed.join(wet, list(keys), "left").withColumn(f"{name}_draw", draw).drop(
-            f"{name}_pool")
-        draws.append(F.col(f"{name}_draw"))
-    wet_value = F.coalesce(*draws)
-    filled = guessed.withColumn("_f", F.coalesce(
-        F.col(rr), F.when(F.col("rain") == 0, 0.0).otherwise(wet_value)))
+    rows = df
+    for c in predictors:
+        rows = W.interpolate(rows, "time", direction="both", by=by, ds=ds, value=c, out=f"_p_{c}")
+    whole = F.col(rr).isNotNull()
+    for c in predictors:
+        whole = whole & F.col(c).isNotNull()
+    rows = written(rows.withColumns({
+        "_month": F.month(ds).cast("double"), "_season": V.season(F.col(ds), scheme),
+        "_enough": F.count(F.when(whole, 1)).over(whole_series(by)) >= min_rows}), "rain-days")
+    learned = rows.where("_enough")
+    guess = None
+    if learned.limit(1).count():
+        forest, _ = rain_model(learned, [*predictors, "_month"], rr, ds, by, trees, seed, depth)
+        medians = exact_quantiles(
+            rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"_p_{c}").alias("v"))
+                                            for c in predictors])).alias("x")).select("x.*"),
+            [0.5], ("c",), "v").select("c", F.col("quantiles")[0].alias("m"))
+        middle = {r["c"]: r["m"] for r in medians.collect()}  # one row per predictor
+        ready = learned.where(F.col(rr).isNull()).withColumns({
+            f"_p_{c}": F.coalesce(F.col(f"_p_{c}"), F.lit(middle.get(c, 0.0))) for c in predictors})
+        packed = VectorAssembler(inputCols=[*[f"_p_{c}" for c in predictors], "_month"],
+                                 outputCol="features").transform(ready)
+        guess = forest.transform(packed).select(*by, ds, "rain").join(
+            _draws(learned, rr, ds, by), [*by, ds], "left").select(
+            *by, ds, F.when(F.col("rain") == 0, 0.0).otherwise(F.col("_draw")).alias("_guess"))
+    filled = rows.withColumn("_guess", F.lit(None).cast("double")) if guess is None else rows.join(
+        guess, [*by, ds], "left")
+    filled = filled.withColumn("_f", F.coalesce(rr, "_guess"))
     filled = W.interpolate(filled, "time", direction="both", by=by, ds=ds, value="_f", out=out)
     return filled.withColumn(out, V.bound(F.col(out), 0)).select(*df.columns, out)

@@ -220,7 +220,7 @@ def season_candidates(variable: str, alphas=(0.2, 0.5), kinds=("add", "mul"), le
 
 def fit_best(df: DataFrame, best: DataFrame, by=BY, ds="ds", value="value") -> DataFrame:
     """Refit each series on all its values with its own best settings."""
-    return fit(to_arrays(df, by, ds, value).join(best, list(by)), keep_fitted=True)
+    return fit(to_arrays(df, by, ds, value).join(best, list(by)))
 
 
 def expanding_folds(arrays: DataFrame, folds=5) -> DataFrame:

@@ -167,7 +167,8 @@ def lag_windows(df: DataFrame, length: int, by=BY, ds="ds", value="value") -> Da
 
 
 def acf_arrays(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value", extra=()) -> DataFrame:
-    """Series rows with the array ``acf`` of lags 0..max_lag, null past the length.
+    """Series rows with the array ``acf`` of lags 0..max_lag, null past the length and where
+    all values are equal.
 
     Also ``centred`` (values less the mean, in date order) and ``mean``.
 
@@ -184,7 +185,7 @@ def acf_arrays(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value", extra
     def at(k):
         pairs = F.zip_with(F.slice(centred, F.lit(1), size - k),
                            F.slice(centred, k + 1, size - k), lambda a, b: a * b)
-        return F.when(k < size, total(pairs) / F.col("_c0"))
+        return F.when(k < size, F.try_divide(total(pairs), F.col("_c0")))
 
     lags = F.transform(F.sequence(F.lit(0), F.lit(max_lag)), at)
     return rows.withColumns({"acf": lags, "centred": centred}).drop("_p", "_c0")
@@ -206,7 +207,7 @@ def pacf(df: DataFrame, max_lag: int, by=BY, ds="ds", value="value") -> DataFram
         back = F.reverse(F.slice(r, F.lit(2), k - 1))
         top = r[k] - total(F.zip_with(phi, back, lambda a, b: a * b))
         base = 1.0 - total(F.zip_with(phi, F.slice(r, F.lit(2), k - 1), lambda a, b: a * b))
-        new = top / base
+        new = F.try_divide(top, base)
         rest = F.zip_with(phi, F.reverse(phi), lambda a, b: a - new * b)
         return F.struct(F.concat(rest, F.array(new)).alias("phi"),
                         F.concat(s["out"], F.array(new)).alias("out"))

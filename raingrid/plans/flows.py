@@ -13,11 +13,13 @@ from raingrid.operators import clean as C
 from raingrid.operators import decide as D
 from raingrid.operators import forecast as P
 from raingrid.operators import impute as I
+from raingrid.operators import patterns as L
 from raingrid.operators import quality as Q
 from raingrid.operators import smoothing as H
 from raingrid.operators import stats as A
 from raingrid.operators import windows as W
 from raingrid.operators.align import complete_grid
+from raingrid.session import written
 from raingrid.sources.mooring import read_mooring_text
 from raingrid.sources.station import read_station_csv
 
@@ -47,8 +49,16 @@ def mooring_table(spark: SparkSession, path) -> DataFrame:
     return merge_mooring(read_mooring_text(spark, path))
 
 
+RAIN_PREDICTORS = ("tavg", "rh", "ss", "tx", "tn")
+
+
 def clean_station(rows: DataFrame, site="Aceh", by=("station",)) -> DataFrame:
-    """Station rows to gap-free daily columns: limits, temperature, dew point, sun, wind."""
+    """Station rows to gap-free daily columns.
+
+    Limits, one row per day, temperatures from each other, humidity through the dew point,
+    sunshine under the day's length, wind direction, wind speed from the greatest speed and
+    then from weather patterns, compass names, and rain by the occurrence model.
+    """
     limited = Q.range_to_null(rows, fixed.STATION_LIMITS)
     kept = [c for c in limited.columns if c not in (*by, "ds")]
     grid = complete_grid(limited, by, "ds", kept)
@@ -59,25 +69,41 @@ def clean_station(rows: DataFrame, site="Aceh", by=("station",)) -> DataFrame:
     filled = I.humidity_from_dewpoint(filled, by=by).drop("rh").withColumnRenamed("rh_filled", "rh")
     filled = I.daylight_cap(filled, fixed.LATITUDES[site], by, value="SS", out="ss")
     filled = I.wind_direction_fill(filled, by=by, value="DDD_X", out="direction")
-    filled = W.interpolate(filled, "time", direction="both", by=by, value="FF_AVG", out="wind")
     filled = I.cardinal_clean(filled, by=by, name="DDD_CAR", degrees="direction", out="cardinal")
-    filled = I.adaptive_season_mean(filled, by=by, value="rr", out="rain")
+    # The learned fills read their input several times, so it is written before them.
+    filled = written(fill_wind(written(filled, "station-days"), by), "station-wind")
+    filled = L.rain_occurrence_fill(filled, list(RAIN_PREDICTORS), by=by, out="rain")
     return filled.select(*by, "ds", "rain_missing", F.col("rain").alias("rr"), "tx", "tn", "tavg",
                          "rh", "ss", "direction", "wind", "cardinal")
 
 
-def station_outlook(cleaned: DataFrame, horizon=120, settings=None, by=("station",),
+def fill_wind(rows: DataFrame, by=("station",)) -> DataFrame:
+    """``wind``: mean speed, else from the greatest speed where the line is good, else from
+    days of like temperature and humidity."""
+    train = F.conv(F.substring(F.md5(F.concat_ws("|", *by, F.col("ds").cast("string"))), 1, 8),
+                   16, 10).cast("bigint") % 5 < 4
+    fits = I.regression_fits(rows, train, "FF_X", "FF_AVG", by)
+    lined = I.regression_fill(rows, fits, x="FF_X", y="FF_AVG", by=by, out="_wind")
+    return L.pattern_median_fill(lined, ["tavg", "rh"], "_wind", by=by, out="wind").drop("_wind")
+
+
+FORECAST = {"rr": ("RR", "rr_adjusted"), "tavg": ("TAVG", "tavg"), "rh": ("RH_AVG", "rh")}
+
+
+def station_outlook(cleaned: DataFrame, horizon=120, candidates=None, by=("station",),
                     planted: dt.date | None = None) -> DataFrame:
-    """Forecast rain, temperature and humidity per station and turn them into advice."""
-    settings = settings or {
-        "rr": H.candidate(m=365, phi=0.98), "tavg": H.candidate(m=30, phi=0.98),
-        "rh": H.candidate(m=30, phi=0.98)}
+    """Forecast rain, temperature and humidity per station and turn them into advice.
+
+    Every station takes the candidate with the least error on its last days, or the default
+    model if none could be scored; where that cannot be fitted, the month means serve.
+    """
     coded = P.encode_rain_flag(cleaned)
     parts = {}
-    for name, source in (("rr", "rr_adjusted"), ("tavg", "tavg"), ("rh", "rh")):
+    for name, (variable, source) in FORECAST.items():
         rows = coded.select(*by, "ds", F.col(source).alias("value"))
-        main = H.forecast(H.smooth(rows, settings[name], by=by, keep_fitted=False), horizon, by,
-                          remove_bias=True)
+        tried = candidates[name] if candidates else H.season_candidates(variable)
+        best = H.grid_search(rows, tried, by=by, default=H.default_model(variable))
+        main = H.forecast(H.fit_best(rows, best, by), horizon, by, remove_bias=True)
         parts[name] = P.fallback_chain(main, P.seasonal_naive(rows, horizon, by=by), by=by)
     wide = P.side_by_side(parts, by).withColumnRenamed("rr", "yhat")
     rain = P.decode_rain_flag(wide, cleaned, by)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from raingrid.operators import forecast as P
 from raingrid.operators import smoothing as H
 from raingrid.operators import windows as W
-from raingrid.operators.common import to_arrays
+from raingrid.operators.common import to_arrays, whole_series
 from raingrid.plans import series as S
 from raingrid.plans.q_stats import rounded
 from raingrid.plans.registry import query
@@ -177,15 +177,13 @@ def hw_grid_search_long(spark, sf):
 
 
 def _uneven(spark, sf):
-    """E1 with one short series and one that touches zero."""
-    v = F.col("value")
-    short = (F.col("series") == "click") & (F.dayofmonth("ds") > 9)
-    return S.e1(spark, sf).where(~short).withColumn(
-        "value", F.when((F.col("series") == "view") & (F.dayofmonth("ds") == 3), 0.0).otherwise(v))
+    """Days of users: some with a zero, which refuses the first model, some too short for any."""
+    zero = (F.col("series").cast("bigint") % 2 == 0) & (F.dayofmonth("ds") == 3)
+    return S.e2(spark, sf).withColumn("value", F.when(zero, 0.0).otherwise(F.col("value")))
 
 
-UNEVEN = S.E1 + """, un AS (SELECT series, ds, CASE WHEN series = 'view' AND day(ds) = 3 THEN 0 ELSE value END
-  AS value FROM e1 WHERE NOT (series = 'click' AND day(ds) > 9)), okr AS (SELECT series FROM un GROUP BY 1
+UNEVEN = S.E2 + """, un AS (SELECT series, ds, CASE WHEN CAST(series AS BIGINT) % 2 = 0 AND day(ds) = 3 THEN 0
+  ELSE value END AS value FROM e2), okr AS (SELECT series FROM un GROUP BY 1
   HAVING min(value) > 0 AND count(*) >= 14), oka AS (SELECT series FROM un GROUP BY 1 HAVING count(*) >= 14)"""
 ADDITIVE = H.candidate(m=7)
 
@@ -389,11 +387,11 @@ ro AS (SELECT series, 0 AS h, list_reverse(x[n - p + 1 : n]) AS w, NULL::DOUBLE
 
 
 @query("lag_regression", "WITH RECURSIVE " + YW.replace(
-    "{diff}", "src AS (SELECT series, ds, value AS x FROM l1), ").replace("{h}", "60") + """
+    "{diff}", "src AS (SELECT series, ds, value AS x FROM l1), ").replace("{h}", "365") + """
   SELECT series, CAST(p AS INTEGER) AS p, CAST(h AS INTEGER) AS h, CAST(e + CAST(h AS INTEGER) AS DATE) AS ds,
   round(y + mu, 5) AS yhat FROM ro JOIN bo USING (series) JOIN tt USING (series) WHERE h > 0""")
 def lag_regression(spark, sf):
-    return rounded(P.lag_regression(S.l1(spark, sf), 14, 60), 5, "yhat")
+    return rounded(P.lag_regression(S.l1(spark, sf), 14, 365), 5, "yhat")
 
 
 @query("lag_regression_diff", "WITH RECURSIVE " + YW.replace(
@@ -407,6 +405,19 @@ def lag_regression_diff(spark, sf):
     return rounded(P.lag_regression(S.l1(spark, sf), 14, 60, d=1), 5, "yhat")
 
 
+@query("lag_regression_diff2", "WITH RECURSIVE " + YW.replace(
+    "{diff}", """d1 AS (SELECT series, ds, value, value - lag(value) OVER
+  (PARTITION BY series ORDER BY ds) AS a FROM l1), src AS (SELECT * FROM (SELECT series, ds, a - lag(a) OVER
+  (PARTITION BY series ORDER BY ds) AS x FROM d1) WHERE x IS NOT NULL), """).replace("{h}", "30") + """,
+  la AS (SELECT series, arg_max(value, ds) AS l0, arg_max(a, ds) AS l1 FROM d1 GROUP BY 1),
+  s1 AS (SELECT series, p, h, e, l0, l1 + sum(y + mu) OVER (PARTITION BY series ORDER BY h) AS a
+  FROM ro JOIN bo USING (series) JOIN tt USING (series) JOIN la USING (series) WHERE h > 0)
+  SELECT series, CAST(p AS INTEGER) AS p, CAST(h AS INTEGER) AS h, CAST(e + CAST(h AS INTEGER) AS DATE) AS ds,
+  round(l0 + sum(a) OVER (PARTITION BY series ORDER BY h), 4) AS yhat FROM s1""")
+def lag_regression_diff2(spark, sf):
+    return rounded(P.lag_regression(S.l1(spark, sf), 14, 30, d=2), 4, "yhat")
+
+
 @query("fourier_regression")
 def fourier_regression(spark, sf):
     return rounded(P.fourier_regression(S.l1(spark, sf), 120), 6, "yhat")
@@ -421,6 +432,25 @@ def fourier_regression_score(spark, sf):
     return rounded(P.metrics(pairs), 6, "mae", "mse", "rmse", "mape", "mape_eps", "r2")
 
 
+WAVES = ["one", "trend", *[f"{n}{f}{k}" for n, m in (("w", 2), ("y", 3))
+                           for k in range(1, m + 1) for f in "sc"]]
+
+
+@query("fourier_regression_moments", f"""SELECT series, unnest(['{"', '".join(WAVES)}']) AS wave,
+  0.0::DOUBLE AS moment FROM (SELECT DISTINCT l_returnflag AS series FROM lineitem)""")
+def fourier_regression_moments(spark, sf):
+    """The normal equations: mean product of each wave and the residual is 0 but for the ridge."""
+    rows = S.l1(spark, sf)
+    pairs = rows.join(P.fourier_regression(rows, 0), ["series", "ds"])
+    t = F.datediff("ds", F.min("ds").over(whole_series())).cast("double")
+    miss = F.log1p("value") - F.log1p("yhat")
+    waves = pairs.select("series", miss.alias("_miss"), *[
+        c.alias(n) for n, c in P.harmonics(t, 2, 3).items()])
+    means = waves.groupBy("series").agg(*[F.avg(F.col(n) * F.col("_miss")).alias(n) for n in WAVES])
+    long = means.unpivot(["series"], WAVES, "wave", "moment")
+    return long.withColumn("moment", F.round("moment", 2) + 0.0)
+
+
 DF = """SELECT series, {k} AS diff, count(x) AS n, regr_slope(v - x, x) / sqrt((regr_syy(v - x, x) -
   regr_slope(v - x, x) * regr_sxy(v - x, x)) / (count(x) - 2) / regr_sxx(v - x, x)) AS t FROM
   (SELECT series, v, lag(v) OVER (PARTITION BY series ORDER BY ds) AS x FROM ({src}) WHERE v IS NOT NULL)

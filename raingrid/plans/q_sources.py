@@ -10,12 +10,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from raingrid import fixed
 from raingrid.functions import values as V
+from raingrid.operators import smoothing as H
 from raingrid.plans import flows
 from raingrid.plans import series as S
 from raingrid.plans.q_stats import rounded
 from raingrid.plans.registry import query
-from raingrid.session import fresh_path
+from raingrid.session import fresh_path, written
 from raingrid.sources import lines as L
 from raingrid.sources import mooring as M
 from raingrid.sources import sink, station
@@ -192,3 +194,86 @@ def mooring_table(spark, sf):
     rows = flows.mooring_table(spark, mooring_files(spark, sf))
     return rounded(rows.select(F.coalesce("Location", F.lit("?")).alias("Location"), "Date", "SST",
                                "TEMP_20m", "UWND"), 4, "SST", "TEMP_20m", "UWND")
+
+
+def _whole_stations(spark, sf) -> str:
+    """M1 as station CSV files with all variables, each with gaps of its own."""
+    day = F.unix_date("ds")
+    text = lambda c, k: F.when(F.pmod(day, F.lit(k)) != 0, c.cast("string")).otherwise("8888")
+    t, rh, rr = F.col("tavg"), F.col("rh"), F.col("rr")
+    names = F.array(*[F.lit(x) for x in ("N ", "SE", "C ", "WNW", "E")])
+    speed = 2 + F.pmod(F.floor(rr * 4), F.lit(7))
+    rows = S.m1(spark, sf).select(
+        F.col("series").alias("station"), F.date_format("ds", "yyyy-MM-dd").alias("Date"),
+        F.year("ds").alias("Year"), F.month("ds").alias("Month"), F.dayofmonth("ds").alias("Day"),
+        text(t - 4, 11).alias("TN"), text(t + 4, 13).alias("TX"), text(t, 17).alias("TAVG"),
+        text(rh, 7).alias("RH_AVG"), text(F.greatest(rr - 12, F.lit(0.0)), 9).alias("RR"),
+        text(rr / 3, 5).alias("SS"), speed.cast("string").alias("FF_X"),
+        text(F.floor(rr * 14), 6).alias("DDD_X"), text(speed * 0.5, 4).alias("FF_AVG"),
+        F.element_at(names, F.pmod(F.floor(rr), F.lit(5)).cast("int") + 1).alias("DDD_CAR"))
+    path = fresh_path(spark, "stations")
+    sink.write_series(rows, path, by=("station",))
+    return path
+
+
+def _cleaned(spark, sf):
+    return written(flows.station_table(spark, _whole_stations(spark, sf)), "station-table")
+
+
+LENGTHS = S.M1 + """, sp AS (SELECT series AS station, min(ds) AS a, max(ds) AS b,
+  date_diff('day', min(ds), max(ds)) + 1 AS n FROM m1 GROUP BY 1)"""
+
+
+@query("station_table", f"""WITH {LENGTHS} SELECT station, n AS n_days, a AS first_day, b AS last_day,
+  0::BIGINT AS n_null, 0::BIGINT AS n_outside FROM sp""")
+def station_table(spark, sf):
+    """Files to gap-free days: every day there, nothing null, nothing outside its limits."""
+    rows = _cleaned(spark, sf)
+    empty = F.lit(False)
+    for c in ("rr", "tx", "tn", "tavg", "rh", "ss", "direction", "wind", "cardinal"):
+        empty = empty | F.col(c).isNull()
+    good = ((F.col("rr") >= 0) & F.col("rh").between(0, 100) & F.col("ss").between(0, 14)
+            & F.col("direction").between(0, 360) & F.col("cardinal").isin(*fixed.COMPASS))
+    return rows.groupBy("station").agg(
+        F.count(F.lit(1)).alias("n_days"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day"),
+        F.count_if(empty).alias("n_null"), F.count_if(~good).alias("n_outside"))
+
+
+@query("station_outlook", f"""WITH {LENGTHS} SELECT station, 120::BIGINT AS n_days,
+  CAST(b + 1 AS DATE) AS first_day, CAST(b + 120 AS DATE) AS last_day, 0::BIGINT AS n_null,
+  0::BIGINT AS n_outside FROM sp""")
+def station_outlook(spark, sf):
+    """Searched models to advice: each day after the last has a forecast, a score and a decision."""
+    tried = {k: H.season_candidates(v, alphas=(0.2,), lengths=fixed.SEASON_LENGTHS[v][1:])
+             for k, (v, _) in flows.FORECAST.items()}
+    rows = flows.station_outlook(_cleaned(spark, sf), candidates=tried)
+    empty = F.col("rr").isNull() | F.col("tavg").isNull() | F.col("rh").isNull() | F.col("decision").isNull()
+    return rows.groupBy("station").agg(
+        F.count(F.lit(1)).alias("n_days"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day"),
+        F.count_if(empty).alias("n_null"),
+        F.count_if(~F.col("score").between(0, 100)).alias("n_outside"))
+
+
+@query("coverage", f"""WITH {MOORING}, al AS (SELECT station, count(DISTINCT ds) AS total FROM mv GROUP BY 1)
+  SELECT mv.station, name, count(DISTINCT ds) FILTER (value IS NOT NULL) AS available, any_value(total) AS total,
+  round(100.0::DOUBLE * count(DISTINCT ds) FILTER (value IS NOT NULL) / any_value(total), 6) AS percent
+  FROM mv JOIN al ON al.station = mv.station GROUP BY 1, 2""")
+def coverage(spark, sf):
+    rows = flows.coverage(M.read_mooring_text(spark, mooring_files(spark, sf)))
+    return rounded(rows, 6, "percent")
+
+
+@query("planting_months", f"""WITH {S.O1}, en AS (SELECT series, max(ds) AS e FROM o1 GROUP BY 1),
+  dy AS (SELECT series, CAST(e + CAST(h AS INTEGER) AS DATE) AS ds FROM en, range(1, 366) t(h))
+  SELECT series, CAST(date_trunc('month', ds) AS DATE) AS period, true AS scored, true AS decided
+  FROM dy GROUP BY 1, 2""")
+def planting_months(spark, sf):
+    """A year ahead by month: every month has a share of suitability and a decision."""
+    v = F.round(F.col("value") * 100).cast("bigint")
+    sea = S.o1(spark, sf).select(
+        "series", "ds", (24 + F.pmod(v, F.lit(9))).cast("double").alias("SST"),
+        (100 + F.pmod(v, F.lit(113))).cast("double").alias("SWRad"),
+        (1 + F.pmod(v, F.lit(13)) / 2).alias("WSPD"))
+    rows = flows.planting_months(sea)
+    return rows.select("series", "period", F.col("suitability").between(0, 1).alias("scored"),
+                       F.col("decision").isin(*fixed.CALENDAR_LABELS.values()).alias("decided"))

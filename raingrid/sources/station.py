@@ -7,29 +7,36 @@ from pyspark.sql import functions as F
 
 from raingrid import fixed
 from raingrid.functions import values as V
-from raingrid.sources.lines import read_lines
+from raingrid.sources.lines import carry_down, read_lines
 
 NUMBERS = ("TN", "TX", "TAVG", "RH_AVG", "RR", "SS", "FF_X", "DDD_X", "FF_AVG")
-COLUMNS = ("Date", "Year", "Month", "Day", *NUMBERS, "DDD_CAR")
 DATE_FORMATS = ("yyyy-MM-dd", "dd-MM-yyyy", "yyyyMMdd HHmm")
 
 
 def read_station_csv(spark: SparkSession, path, sentinels=fixed.SENTINELS) -> DataFrame:
     """Daily station rows of all files, typed, without exact duplicates.
 
-    Read as text first and cast, so a bad cell becomes null and not a lost row.
-    A ``station=...`` folder becomes the column ``station``. Sort where an ordered
-    output is wanted; the rows themselves stay unsorted to spare a shuffle.
+    Columns are found by the names in each file's own header line, so files may order them
+    differently; a missing column is null. Cells are plain, without quoted commas. Read as
+    text and cast, so a bad cell becomes null and not a lost row. A ``station=...`` folder
+    becomes the column ``station``. Sort where an ordered output is wanted; the rows
+    themselves stay unsorted to spare a shuffle.
     """
-    schema = ", ".join(f"{c} string" for c in COLUMNS)
-    raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=False)
-    extra = [c for c in raw.columns if c not in COLUMNS]
-    number = {c: V.sentinel_to_null(V.coerce_numeric(V.text_missing_to_null(F.col(c))), sentinels)
+    cells = F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    is_header = F.array_contains(cells, "Date")
+    rows = carry_down(read_lines(spark, path), {"header": F.when(is_header, cells)}, ~is_header)
+    raw = rows.select("path", "header", cells.alias("cells"))
+    cell = {c: F.when(F.array_position("header", c) > 0,
+                      F.get("cells", F.array_position("header", c).cast("int") - 1))
+            for c in (*NUMBERS, "Date", "DDD_CAR")}
+    number = {c: V.sentinel_to_null(V.coerce_numeric(V.text_missing_to_null(cell[c])), sentinels)
               for c in NUMBERS}
+    folder = F.regexp_extract("path", "/station=([^/]+)/", 1)
     return raw.select(
-        *extra, V.parse_date_multi(F.col("Date"), DATE_FORMATS).alias("ds"),
+        F.url_decode(F.when(folder != "", folder)).alias("station"),
+        V.parse_date_multi(cell["Date"], DATE_FORMATS).alias("ds"),
         *[number[c].alias(c) for c in NUMBERS],
-        V.text_missing_to_null(F.col("DDD_CAR")).alias("DDD_CAR"),
+        V.text_missing_to_null(cell["DDD_CAR"]).alias("DDD_CAR"),
     ).where(F.col("ds").isNotNull()).dropDuplicates()
 
 

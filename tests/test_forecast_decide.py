@@ -184,3 +184,66 @@ def test_acf_of_a_cycle(spark):
     values = [math.sin(2 * math.pi * i / 10) for i in range(200)]
     out = {r["lag"]: r["acf"] for r in windows.acf(series(spark, values), 10).collect()}
     assert out[0] == pytest.approx(1) and out[5] < -0.9 and out[10] > 0.9
+
+
+def test_differences_of_any_order_continue_a_polynomial(spark):
+    rows = series(spark, [float(i * i) for i in range(60)])
+    out = [r["yhat"] for r in forecast.lag_regression(rows, 2, 3, d=2).orderBy("h").collect()]
+    assert out == pytest.approx([3600.0, 3721.0, 3844.0], rel=1e-6)
+    with pytest.raises(ValueError):
+        forecast.lag_regression(rows, 2, 3, d=-1)
+
+
+def test_short_series_keep_a_row(spark):
+    short = series(spark, [1.0, 2.0])
+    assert forecast.stationarity_screen(short, lags=(0, 1)).where("t IS NULL").count() == 2
+    best = smoothing.grid_search(short, smoothing.season_candidates("RR"),
+                                 default=smoothing.default_model("RR")).first()
+    assert (best["m"], best["kind"], best["mse"]) == (365, "add", None)
+    assert smoothing.grid_search(short, smoothing.season_candidates("RR")).first()["m"] is None
+    assert smoothing.default_model("TAVG")["m"] == 30
+
+
+def test_rain_fill_decides_for_each_series(spark):
+    from raingrid.operators import patterns
+
+    start, rows = dt.date(2020, 1, 1), []
+    for name, days in (("long", 240), ("short", 40)):
+        for i in range(days):
+            wet = i % 3 == 0
+            rr = None if i % 10 == 7 else (5.0 + i % 7 if wet else 0.0)
+            rows.append((name, start + dt.timedelta(days=i), rr, 30.0 - 8 * wet, 60.0 + 30 * wet))
+    df = spark.createDataFrame(rows, "series string, ds date, rr double, tavg double, rh double")
+    out = patterns.rain_occurrence_fill(df, ["tavg", "rh"], trees=10)
+    assert out.count() == len(rows) and out.where("filled IS NULL").count() == 0
+    assert out.where("rr IS NOT NULL AND rr <> filled").count() == 0
+    wet = {r[2] for r in rows if r[0] == "long" and r[2]}
+    for r in out.where("rr IS NULL").collect():
+        if r["series"] == "long":  # dry days are 0, wet days are values of known wet days
+            assert r["filled"] == 0 if r["tavg"] == 30.0 else r["filled"] in wet
+
+
+@pytest.mark.parametrize("name", ["planting_advice", "cardinal_clean", "humidity_from_dewpoint",
+                                  "rain_flag_encoding", "harvest_override", "regression_fill"])
+def test_plans_have_no_nested_loop_and_no_single_partition_window(spark, name):
+    from raingrid.plans import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert "Exchange SinglePartition" not in plan
+
+
+# Three kept days of advice (rain, temperature, humidity, rain flag) and results.
+KEPT = [(5.0, 26.0, 80.0, 0, 100, "Optimal / Optimal / Optimal"),
+        (20.0, 26.0, 80.0, 0, 60, "Banjir (Risiko) / Optimal / Optimal"),
+        (1.0, 26.0, 95.0, 0, 40, "Kering (Risiko) / Optimal / Lembab Ekstrem (Risiko)")]
+
+
+def test_kept_days_of_advice(spark):
+    day = dt.date(2024, 5, 1)
+    df = spark.createDataFrame(
+        [("a", day + dt.timedelta(days=i), *k[:4]) for i, k in enumerate(KEPT)],
+        "series string, ds date, rr double, tavg double, rh double, rain_missing int")
+    out = decide.advise(df).orderBy("ds").collect()
+    assert [r["category"] for r in out] == [k[5] for k in KEPT]
+    assert [r["score"] for r in out] == [k[4] for k in KEPT]

@@ -29,5 +29,5 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     rows = entry.entry(spark)
-    assert rows.columns == ["ds", "rr", "tavg", "rh", "score", "category", "decision"]
+    assert rows.columns == ["series", "ds", "rr", "tavg", "rh", "score", "category", "decision"]
     assert rows.count() > 0
