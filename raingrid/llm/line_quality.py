@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from raingrid.llm import frames, textscan
 
 #: Labelled documents that are learned from, at most, and lines and characters of them.
-SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 6_000, 60_000, 16_000_000
+SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 6_000, 60_000, 12_000_000
 
 _CLASS = np.zeros((5, 256), np.int32)
 _CLASS[0, list(b"#*$%&|<>")] = 1
@@ -119,6 +119,18 @@ def marginals(node: np.ndarray, step: np.ndarray, lines: np.ndarray):
     return good, np.exp(pair).sum(0), float(log_z[np.cumsum(lines) - 1].sum()) if len(lines) else 0.0
 
 
+def _portions(texts, limit: int = frames.SLICE_BYTES):
+    """The texts in runs of about ``limit`` characters, so that no large array is needed."""
+    held, total = [], 0
+    for t in texts:
+        if held and total + len(t or "") > limit:
+            yield held
+            held, total = [], 0
+        held.append(t)
+        total += len(t or "")
+    yield held
+
+
 def _logit(p):
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p / (1 - p))
@@ -133,7 +145,7 @@ def fit(texts: list[str | None], good: list[int], rounds: int = 150, ridge: floa
     y = np.asarray(good, float)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.5}
-    features, size, lines = line_features(texts)
+    features, size, lines = map(np.concatenate, zip(*map(line_features, _portions(texts))))
     label = np.repeat(y, lines)
     weight, step = np.zeros(FEATURES), np.zeros((2, 2))
     inner = np.ones(len(label), bool)
