@@ -38,13 +38,6 @@ STATION_LIMITS = {
 # Physical limits of the mooring variables.
 PHYSICAL_LIMITS = {"SST": (20.0, 35.0), "RAD": (0.0, 500.0)}
 
-# Dates with usable data per mooring.
-MOORING_RANGES = {
-    "4N90E": ("2005-01-01", "2018-12-31"),
-    "0N90E": ("2005-01-01", "2020-06-07"),
-    "8N90E": ("2005-01-01", "2020-02-21"),
-}
-
 # Month lists behind each season scheme.
 SEASONS = {
     "two_sep": {"Wet": (9, 10, 11, 12, 1, 2, 3), "Dry": (4, 5, 6, 7, 8)},

@@ -10,6 +10,7 @@ from raingrid.functions import values as V
 from raingrid.sources.lines import carry_down, read_lines
 
 DATA_LINE = r"^\s*\d{8}\s+\d{4}\s"
+NAME_LINE = r"^\s*YYYYMMDD\s+HHMM"
 DEPTH_LINE = r"^\s*Depth\s*\(M\):"
 FILE_NAME = r"(rain|rad|rh|sst|t|w)(\d+[ns]\d+[ew])_dy"
 
@@ -64,8 +65,10 @@ def parse_mooring_lines(lines: DataFrame, depths: tuple | None = None) -> DataFr
     levels = F.filter(
         F.transform(words(F.regexp_replace(text, DEPTH_LINE, "")), lambda w: w.try_cast("double")),
         lambda d: d.isNotNull())
+    # Other lines are dropped before the shuffle that carries headers down.
+    lines = lines.where(text.rlike(DATA_LINE) | text.rlike(NAME_LINE) | text.rlike(DEPTH_LINE))
     rows = carry_down(lines, {
-        "names": F.when(text.rlike(r"^\s*YYYYMMDD\s+HHMM"), values),
+        "names": F.when(text.rlike(NAME_LINE), values),
         "level": F.when(text.rlike(DEPTH_LINE), levels)}, text.rlike(DATA_LINE))
     header = F.concat(F.lit("Depth(M): "), F.concat_ws(" ", F.col("level").cast("array<string>")),
                       F.lit(" "), F.concat_ws(" ", "names"))
