@@ -211,16 +211,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
              F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    spot = F.struct(F.xxhash64("node").alias("h"), "node", "n")
-    buckets = keyed.groupBy("key").agg(
-        F.count("*").alias("size"), F.min(spot).alias("lo"), F.max(spot).alias("hi")
-    ).where("size > 1")
-    members = written(keyed.join(buckets, "key"), "members")
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(keyed.join(shared, "key").join(nodes.select("node", "n"), "node"), "members")
 
+    spot = F.struct(F.xxhash64("node").alias("h"), "node", "n")
+    centres = members.groupBy("key").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
     fits = _alike(F.least("n", "m"), F.col("n"), F.col("m"), percent)
     star = (
-        members.select("node", "n", F.explode(F.array("lo", "hi")).alias("c"))
+        members.join(centres, "key")
+        .select("node", "n", F.explode(F.array("lo", "hi")).alias("c"))
         .select("node", "n", F.col("c.node").alias("other"), F.col("c.n").alias("m"))
         .where((F.col("node") != F.col("other")) & fits)
         .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
