@@ -22,12 +22,23 @@ from raingrid.llm import frames, oph, textscan
 from raingrid.llm.components import components
 from raingrid.session import written
 
-#: 36 bands of 7 of 256 bins: a pair of similarity 0.85 shares no bucket once in a million.
-BINS, BANDS, ROWS = 256, 36, 7
+#: Bins, and the chance that a pair just at the limit may have to share no bucket.
+BINS, MISS = 256, 5e-6
 #: Members of one side of a cell; shingles up to which a cell compares whole sets.
 CELL, WHOLE_SET = 1024, 512
-#: Sketches of longer sets: 256 bins of 8 bits, and 4.5 standard deviations below 0.85.
-SLACK = 0.10
+#: Sketches of longer sets: 256 bins of 8 bits, and 4.5 standard deviations below the limit.
+SLACK = 0.1125
+
+
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands that miss a pair at the limit with ``MISS`` at most.
+
+    36 bands of 7 bins at 85 percent, 42 of 6 at 80.
+    """
+    rows = 1
+    while (1 - (percent / 100) ** (rows + 1)) ** (BINS // (rows + 1)) <= MISS:
+        rows += 1
+    return BINS // rows, rows
 
 
 def _shingles(text: str | None, width: int) -> np.ndarray:
@@ -38,8 +49,9 @@ def _digest(members: np.ndarray) -> bytes | None:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None
 
 
-def sketch(docs: DataFrame, width: int = 5) -> DataFrame:
+def sketch(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, digest of the shingle set (null if empty) and its band keys."""
+    bands, rows = layout(percent)
 
     def run(cols):
         out = {"doc_id": cols["doc_id"], "n_shingles": [], "digest": [], "bands": []}
@@ -48,7 +60,7 @@ def sketch(docs: DataFrame, width: int = 5) -> DataFrame:
             out["n_shingles"].append(len(members))
             out["digest"].append(_digest(members))
             out["bands"].append(
-                oph.band_keys(oph.signature(members, BINS), BANDS, ROWS).astype(np.int64)
+                oph.band_keys(oph.signature(members, BINS), bands, rows).astype(np.int64)
                 if len(members) else None)
         return out
 
@@ -204,7 +216,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     table gives no rows; other columns of ``docs`` are ignored.
     """
     docs = docs.select("doc_id", "text")
-    sketched = written(sketch(docs, width), "sketches")
+    sketched = written(sketch(docs, width, percent), "sketches")
     nodes = written(
         sketched.where("digest IS NOT NULL").groupBy("digest")
         .agg(F.min("doc_id").alias("rep_doc"), F.first("n_shingles").alias("n"),

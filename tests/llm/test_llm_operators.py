@@ -290,6 +290,20 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_bands_follow_the_limit():
+    assert near_duplicates.layout(85) == (36, 7)
+    assert near_duplicates.layout(80) == (42, 6)
+
+
+def test_near_copies_at_another_limit(spark):
+    rng = random.Random(8)
+    made = family(rng, [f"y{i}" for i in range(200)], 80, 14) + family(rng, [f"z{i}" for i in range(700)], 30, 40)
+    rows = list(enumerate(made))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates.near_duplicates(df, 80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_classes(rows, 80))
+
+
 def test_near_copies_of_given_documents(spark):
     df = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
