@@ -18,6 +18,8 @@ from raingrid.llm.frames import documents, filter_texts
 
 #: Below this score a text is like no language that is known.
 LEAST_LANGUAGE = 0.1
+#: Similarity of five-word shingles, in percent, from which documents are near copies.
+NEAR_PERCENT = 80
 #: Probability of good quality from which a document stays.
 LEAST_QUALITY = 0.3
 
@@ -50,7 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of their class has one.
     """
     kept = session.written(
-        near_duplicates.near_duplicates(docs).where("kept").groupBy("doc_id").agg(
+        near_duplicates.near_duplicates(docs, NEAR_PERCENT).where("kept").groupBy("doc_id").agg(
             F.count("*").alias("rows")), "kept")
     own = F.struct("*")
     out = docs.join(kept.select(F.col("doc_id").alias("kept_id")),
