@@ -281,7 +281,8 @@ class Scorer:
         self.far = (model["seen"] * model["far"]) @ said
         self.near -= self.near.max(1, keepdims=True)
         self.far -= self.far.max(1, keepdims=True)
-        self.norm = np.log(np.exp(self.near) @ np.exp(self.far).T)
+        wide = np.exp(self.near.astype(np.float64)) @ np.exp(self.far.astype(np.float64)).T
+        self.norm = np.log(wide).astype(np.float32)
 
     def log10(self, unit, one, two) -> np.ndarray:
         """log10 of the probability of ``unit`` after ``one``, with ``two`` before that."""
@@ -289,16 +290,30 @@ class Scorer:
         return natural.astype(np.float64) / math.log(10)
 
 
+def _least_count(counts: DataFrame, most: int = KNOWN) -> int:
+    """A count that at most ``most`` words reach, from a histogram of a few hundred counts."""
+    level = F.floor(F.log2("n") * 8)
+    rows = counts.groupBy(level.alias("level")).agg(
+        F.count("*").alias("words"), F.min("n").alias("least")).collect()
+    reached, least = 0, 1 << 62
+    for r in sorted(rows, key=lambda r: -r.level):
+        reached += r.words
+        if reached > most:
+            break
+        least = r.least
+    return least
+
+
 def learn_model(docs: DataFrame):
     """(counts, broadcast vocabulary, model) from all texts of ``docs``."""
     spark = docs.sparkSession
     counts = written(count_words(docs), "word-counts")
-    top = [(r.word, r["class"], r.n) for r in
-           counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]  # KNOWN short rows
+    least = _least_count(counts)
+    top = sorted(((r.word, r["class"], r.n) for r in
+                  counts.where((F.col("n") >= least) | (F.col("word") == 0)).collect()),
+                 key=lambda r: (-r[2], r[0]))  # KNOWN short rows at most, and the end mark
     totals = {r["class"]: (r.v, r.n) for r in counts.groupBy("class").agg(
         F.count("*").alias("v"), F.sum("n").alias("n")).collect()}  # one row per class
-    if 0 not in {w for w, _, _ in top}:
-        top += [(r.word, r["class"], r.n) for r in counts.where("word = 0").collect()]
     vocabulary = spark.sparkContext.broadcast(Vocabulary(top, totals))
     model = start_model(vocabulary.value)
     lot = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(ROUNDS[-1][1]))
