@@ -8,7 +8,9 @@ and compared with the original library.
 
 from __future__ import annotations
 
+import array
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -124,6 +126,14 @@ def merges(model: Model) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit little-endian bytes."""
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Codec:
     """Encode and decode with a model file; keeps a bounded cache of chunks."""
 
@@ -133,8 +143,12 @@ class Codec:
         self.limit, self.cut = limit, self._can_cut()
         self.known: dict[str, bytes] = {}
         self.differing: set[str] = set()
-        self.plain = np.array([kind == NORMAL for *_, kind in self.model.pieces])
-        self.shown = np.array([p.replace(BLANK, " ") for p, *_ in self.model.pieces], object)
+        # Pieces that decode on their own: ordinary ones, and bytes of ASCII.
+        single = {f"<0x{b:02X}>": chr(b) for b in range(128)}
+        self.plain = np.array([k == NORMAL or k == BYTE and p in single
+                               for p, _, k in self.model.pieces])
+        self.shown = np.array([single[p] if k == BYTE and p in single else p.replace(BLANK, " ")
+                               for p, _, k in self.model.pieces], object)
         # A unigram model of that library would take the text "<0x41>" for the byte piece of that
         # name; chunks with such text are left to the original library.
         names = [p for p, _, kind in self.model.pieces if kind in (UNKNOWN, CONTROL, BYTE)]
@@ -167,12 +181,11 @@ class Codec:
     def _learn(self, missing: list[str]) -> None:
         if len(self.known) + len(missing) > self.limit:
             self.known.clear()
-        for chunk, found in zip(missing, self._whole(missing)):
-            self.known[chunk] = np.array(found, "<u4").tobytes()
+        got = self._whole(missing)
+        self.known.update(zip(missing, map(_packed, got)))
         if self.original:
-            for chunk, ids in zip(missing, self.original.encode(missing, num_threads=1)):
-                if np.array(ids, "<u4").tobytes() != self.known[chunk]:
-                    self.differing.add(chunk)
+            should = self.original.encode(missing, num_threads=1)
+            self.differing.update(c for c, g, s in zip(missing, got, should) if g != s)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Ids (4 bytes each, little-endian) of every text, and whether the original agrees."""
@@ -191,7 +204,7 @@ class Codec:
         for c in cut:
             if c is None:
                 got, should = next(rest)
-                out.append((np.array(got, "<u4").tobytes(), should is None or got == should))
+                out.append((_packed(got), should is None or got == should))
             else:
                 same = not self.differing or self.differing.isdisjoint(c)
                 out.append((b"".join(map(self.known.__getitem__, c)), same))
