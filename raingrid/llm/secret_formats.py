@@ -3,13 +3,14 @@
 The plain patterns find credentials of three kinds, and those serve as labelled examples. Their
 characters are replaced by classes, the prefix tree of each kind is counted over the corpus, and
 statistically compatible states are merged (state merging by Hoeffding bounds) into a
-probabilistic automaton. Every other candidate run of characters is scored by its likelihood
+probabilistic automaton, whose moves are then counted anew over all whole credentials. Every other candidate run of characters is scored by its likelihood
 under each format against ordinary text, and those that look like a credential become spans too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 
@@ -36,8 +37,13 @@ _CLASSES = {"0": "0123456789", "a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A":
             "G": "GHIJKLMNOPQRSTUVWXYZ"}
 _CLASS_OF = str.maketrans({c: k for k, cs in _CLASSES.items() for c in cs})
 _SIZE = {k: len(cs) for k, cs in _CLASSES.items()}
-#: States of a prefix tree: how deep, and the share of a kind's examples a state must hold.
-DEPTH, STATE_SHARE = 24, 0.002
+#: Confidence of the Hoeffding test, and the examples a state of a prefix tree must hold: with
+#: fewer, no difference between two such states is beyond the bound (8 at 0.05).
+ALPHA = 0.05
+LEAST_EXAMPLES = math.ceil(2 * math.log(2 / ALPHA))
+#: Classes that a credential can hold, by slot; the slot after the last is the end.
+_SLOTS = "0agAG+/_.=-"
+_SLOT_OF = {c: i for i, c in enumerate(_SLOTS)}
 
 
 def shape(value: str) -> str:
@@ -107,19 +113,31 @@ class Automaton:
         return total
 
 
-def infer(prefixes: dict[str, int], ends: dict[str, int], alpha: float = 0.05) -> Automaton:
+def infer(prefixes: dict[str, int], ends: dict[str, int], alpha: float = ALPHA) -> Automaton:
     """Merge compatible states of a counted prefix tree.
 
     ``prefixes`` counts the examples that begin with a string ("" counts all), ``ends`` those
-    that are it. States are taken in order of length; each is merged with the first accepted
-    state it is compatible with, its own parent first, or accepted. A state without enough
-    examples to tell is compatible with all.
+    that are it.
     """
-    children: dict[str, dict[str, list]] = {}  # state -> class -> [next state, examples]
-    for p in sorted(prefixes, key=lambda p: (len(p), p)):
-        if p:
-            children.setdefault(p[:-1], {})[p[-1]] = [p, prefixes[p]]
-    visits, stops, into = dict(prefixes), dict(ends), {}
+    order = sorted(prefixes, key=lambda p: (len(p), p))
+    number = {p: i for i, p in enumerate(order)}
+    children: dict[int, dict[str, list]] = {}
+    for p in order[1:]:
+        children.setdefault(number[p[:-1]], {})[p[-1]] = [number[p], prefixes[p]]
+    return merge_states(children, {number[p]: n for p, n in prefixes.items()},
+                        {number[p]: n for p, n in ends.items()}, alpha)
+
+
+def merge_states(children: dict[int, dict[str, list]], visits: dict[int, int],
+                 stops: dict[int, int], alpha: float = ALPHA) -> Automaton:
+    """Merge compatible states of a tree: state -> class -> [next state, examples].
+
+    States are numbered by length, 0 is the root. They are taken in that order; each is merged
+    with the first accepted state it is compatible with, its own parent first, or accepted. A
+    state without enough examples to tell is compatible with all. A next state of None is one
+    that was not kept: its examples count, and the move stays where it is.
+    """
+    into: dict[int, int] = {}
 
     def find(p):
         while p in into:
@@ -145,50 +163,167 @@ def infer(prefixes: dict[str, int], ends: dict[str, int], alpha: float = 0.05) -
                 (a, n_a), (b, n_b) = kids_p.get(c, (None, 0)), kids_q.get(c, (None, 0))
                 if far(visits[p], n_a, visits[q], n_b):
                     return False
-                if n_a and n_b:
+                if a is not None and b is not None:
                     stack.append((a, b))
         return True
 
     def merge(p, q):
-        """Fold the tree below ``q`` into ``p``."""
-        stack = [(p, q)]
+        """Fold the tree below ``q`` into ``p``; the states that took something."""
+        stack, taken = [(p, q)], set()
         while stack:
             p, q = map(find, stack.pop())
             if p == q:
                 continue
             into[q] = p
+            taken.add(p)
             visits[p] += visits[q]
             stops[p] = stops.get(p, 0) + stops.get(q, 0)
             kids = children.setdefault(p, {})
             for c, (child, n) in children.get(q, {}).items():
-                if c in kids:
-                    kids[c][1] += n
-                    stack.append((kids[c][0], child))
-                else:
+                if c not in kids:
                     kids[c] = [child, n]
-
-    accepted, waiting = [""], True
-    while waiting:
-        known = set(accepted)
-        waiting = sorted(
-            {(len(k), k, p) for p in accepted for k in (find(x[0]) for x in children.get(p, {}).values())
-             if k not in known})
-        if waiting:
-            _, state, parent = waiting[0]
-            for other in [parent, *[a for a in accepted if a != parent]]:
-                if compatible(other, state):
-                    merge(other, state)
-                    break
-            else:
-                accepted.append(state)
+                    continue
+                kids[c][1] += n
+                if kids[c][0] is None:
+                    kids[c][0] = child
+                elif child is not None:
+                    stack.append((kids[c][0], child))
+        return taken
+
+    accepted, known = [0], {0}
+    fringe: list[tuple[int, int]] = []  # (state, its parent)
+
+    def reach(p):
+        for child, _ in children.get(p, {}).values():
+            if child is not None:
+                heapq.heappush(fringe, (child, p))
+
+    reach(0)
+    while fringe:
+        state, parent = heapq.heappop(fringe)
+        if state in known or find(state) != state:
+            continue
+        for other in [parent, *[a for a in accepted if a != parent]]:
+            if compatible(other, state):
+                for p in merge(other, state) & known:
+                    reach(p)
+                break
+        else:
+            accepted.append(state)
+            known.add(state)
+            reach(state)
     number = {p: i for i, p in enumerate(accepted)}
-    moves = {}
-    for p in accepted:
-        moves[number[p]] = {c: (number[find(k)], n) for c, (k, n) in children.get(p, {}).items()}
+    moves = {
+        number[p]: {c: (number[p if k is None else find(k)], n)
+                    for c, (k, n) in children.get(p, {}).items()}
+        for p in accepted}
     return Automaton(moves, {number[p]: stops.get(p, 0) for p in accepted},
                      {number[p]: visits[p] for p in accepted})
 
 
+_MASK = (1 << 64) - 1
+
+
+def _below(node: int, slot: int) -> int:
+    """The 64-bit hash of a prefix that is longer by one class; the empty prefix has 0."""
+    h = ((node ^ (slot + 1)) * 0x9E3779B97F4A7C15) & _MASK
+    h ^= h >> 32
+    return (h * 0xD6E8FEB86659FD93) & _MASK
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _slots(s: str) -> list[int]:
+    return [*map(_SLOT_OF.__getitem__, s), len(_SLOTS)]
+
+
+def _steps(shaped: DataFrame, walk, schema: str) -> DataFrame:
+    """Rows of ``walk(kind, shape, n)`` over all shapes, in bounded batches."""
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def batch_of(held):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, type=f.type) for c, f in zip(zip(*held), out)], schema=out)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                for step in walk(*row):
+                    held.append(step)
+                    if len(held) == 1 << 16:
+                        yield batch_of(held)
+                        held = []
+        if held:
+            yield batch_of(held)
+
+    return frames.map_batches(shaped.select("kind", "s", "n"), run, schema)
+
+
+def _tree_steps(kind: int, s: str, n: int):
+    """(kind, prefix, what comes next, examples) for all prefixes of a shape, itself included."""
+    node = 0
+    for slot in _slots(s):
+        yield kind, _signed(node), slot, n
+        node = _below(node, slot)
+
+
+def _per_state(steps: DataFrame) -> DataFrame:
+    """kind, state, n and the counts of every slot, n0 to n11."""
+    return steps.groupBy("kind", "state").agg(F.sum("n").alias("n"), *[
+        F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(f"n{i}")
+        for i in range(len(_SLOTS) + 1)])
+
+
+def _kept_tree(rows) -> tuple[dict, dict, dict]:
+    """Children, visits and stops of the states in ``rows``, numbered by length, then string."""
+    counts = {r.state & _MASK: r for r in rows}
+    slots = sorted(_SLOT_OF.items())
+    children, visits, stops, level, number = {}, {}, {}, [(0, 0)], 1
+    while level:
+        ahead = []
+        for i, node in level:
+            r = counts[node]
+            visits[i], stops[i] = r.n, r[f"n{len(_SLOTS)}"]
+            for c, slot in slots:
+                if not r[f"n{slot}"]:
+                    continue
+                child = _below(node, slot)
+                if child in counts:
+                    ahead.append((number, child))
+                    number += 1
+                children.setdefault(i, {})[c] = [
+                    ahead[-1][0] if child in counts else None, r[f"n{slot}"]]
+        level = ahead
+    return children, visits, stops
+
+
+def _counted_anew(shaped: DataFrame, automata: dict[int, Automaton]) -> dict[int, Automaton]:
+    """The same automata with the moves and ends of all whole examples counted."""
+    targets = {k: {q: {c: to for c, (to, _) in cs.items()} for q, cs in a.moves.items()}
+               for k, a in automata.items()}
+
+    def walk(kind, s, n):
+        state, moves = 0, targets[kind]
+        for c, slot in zip([*s, None], _slots(s)):
+            yield kind, state, slot, n
+            state = moves.get(state, {}).get(c, state)
+
+    rows = _per_state(_steps(shaped, walk, "kind int, state long, slot int, n long")).collect()
+    out = {k: Automaton({}, {}, {}) for k in automata}
+    for r in rows:
+        a, old = out[r.kind], targets[r.kind].get(r.state, {})
+        a.visits[r.state], a.ends[r.state] = r.n, r[f"n{len(_SLOTS)}"]
+        a.moves[r.state] = {c: (old.get(c, r.state), r[f"n{i}"])
+                            for c, i in _SLOT_OF.items() if r[f"n{i}"]}
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Every row's base spans, and its candidates with their text, as they stand in the text."""
 
@@ -232,8 +367,12 @@ def _plain(text: str, spans) -> list[int]:
 
 
 def learn_formats(scanned: DataFrame) -> tuple[dict[str, Automaton], list[float]]:
-    """An automaton per kind, and the chances of characters by class in ordinary text. Prefixes are counted over all examples; states that hold less than
-    ``STATE_SHARE`` of a kind stay out, which bounds what comes to the driver."""
+    """An automaton per kind, and the chances of characters by class in ordinary text.
+
+    Prefixes are counted over all examples and their whole length. The driver merges the states
+    that hold ``LEAST_EXAMPLES``; then all examples run through the merged automaton, so what
+    is behind a state that was not kept counts where it is scored: at the state before it.
+    """
     values = scanned.select(F.explode(F.arrays_zip("kinds", "seen")).alias("x")).select(
         F.col("x.kinds").alias("kind"), F.col("x.seen").alias("value"))
     # one translate: classes are named by letters themselves, so all must change at once
@@ -241,22 +380,12 @@ def learn_formats(scanned: DataFrame) -> tuple[dict[str, Automaton], list[float]
     target = "".join(k * len(cs) for k, cs in _CLASSES.items())
     shaped = values.select("kind", F.translate("value", source, target).alias("s"))
     shaped = shaped.groupBy("kind", "s").agg(F.count("*").alias("n"))
-    steps = F.sequence(F.lit(0), F.least(F.length("s"), F.lit(DEPTH)))
-    tree = (
-        shaped.select("kind", "s", "n", F.explode(steps).alias("k"))
-        .select("kind", F.expr("substring(s, 1, k)").alias("p"), "n",
-                F.when(F.col("k") == F.length("s"), F.col("n")).otherwise(0).alias("stop"))
-        .groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum("stop").alias("stop"))
-    )
-    tree = written(tree, "prefix-tree")
-    sizes = {r.kind: r.n for r in tree.where("p = ''").collect()}
-    least = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, n * STATE_SHARE)]) \
-        if sizes else None
-    rows = tree.where(F.col("n") >= least[F.col("kind")]).collect() if sizes else []
-    automata = {}
-    for kind in sizes:
-        own = [r for r in rows if r.kind == kind]
-        automata[KINDS[kind]] = infer({r.p: r.n for r in own}, {r.p: r.stop for r in own if r.stop})
+    shaped = written(shaped, "shapes")
+    tree = _per_state(_steps(shaped, _tree_steps, "kind int, state long, slot int, n long"))
+    rows = tree.where((F.col("n") >= LEAST_EXAMPLES) | (F.col("state") == 0)).collect()
+    merged = {kind: merge_states(*_kept_tree([r for r in rows if r.kind == kind]))
+              for kind in sorted({r.kind for r in rows})}
+    automata = {KINDS[k]: a for k, a in (_counted_anew(shaped, merged) if merged else {}).items()}
     plain = scanned.select(*[F.sum(F.col("plain")[i].cast("long")).alias(k) for i, k in enumerate(_ORDER)]).first()
     counts = [(plain[k] or 0) + 1 for k in _ORDER]
     share = [n / sum(counts) / _SIZE[k] for n, k in zip(counts, _ORDER)]

@@ -530,6 +530,31 @@ def test_merging_states_keeps_what_differs():
     assert machine.log_likelihood("azazaz") > machine.log_likelihood("aazzaz") + 1
 
 
+def test_formats_are_learned_over_whole_values_whatever_their_share(spark):
+    # one copied secret, and a format with 0.1 % of the examples that differs after 24 characters
+    scanned = spark.range(40_040, numPartitions=4).selectExpr(
+        "array(0) AS kinds",
+        "array(IF(id < 40000, 'abcdefabcdefabcdef', concat(repeat('7', 30), repeat('Z', 20)))) AS seen",
+        "array(9, 9, 9, 9, 9) AS plain")
+    machine = secret_formats.learn_formats(scanned)[0]["assign"]
+    assert sum(machine.ends.values()) == 40_040
+    assert sum(n for cs in machine.moves.values() for _, n in cs.values()) == 40_000 * 18 + 40 * 50
+    tail = machine.log_likelihood("7" * 30 + "Z" * 20) - machine.log_likelihood("7" * 30)
+    assert tail > 20 * math.log(0.5 / 20)  # 'Z' is expected there, one of 20 letters
+    assert machine.log_likelihood("7" * 30 + "Z") > machine.log_likelihood("7" * 30 + "q") + 2
+
+
+def test_states_not_kept_count_where_they_are_scored(spark):
+    rng = random.Random(8)
+    seen = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(300)]
+    scanned = spark.createDataFrame(
+        [([2], [v], [9] * 5) for v in seen], "kinds array<int>, seen array<string>, plain array<int>")
+    machine = secret_formats.learn_formats(scanned)[0]["hex"]
+    assert sum(machine.visits.values()) == 300 * 41 and sum(machine.ends.values()) == 300
+    digits = sum(c.isdigit() for v in seen for c in v)
+    assert sum(cs.get("0", (0, 0))[1] for cs in machine.moves.values()) == digits
+
+
 # --- 9 lines
 
 def test_marginals_equal_enumeration():
