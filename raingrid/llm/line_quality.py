@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raingrid.llm import frames, textscan
+from raingrid.session import written
 
 #: Labelled documents that are learned from, at most, and lines and characters of them.
 SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 6_000, 60_000, 12_000_000
@@ -197,30 +198,49 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
     """Fit on at most ``sample_docs`` labelled documents with ``sample_lines`` lines and
     ``sample_chars`` characters in all.
 
-    The sample is the labelled documents with the smallest hash of id and label; documents are
-    taken while they fit. Labels that are null, or whose document is missing, are left
-    out, as are labels without an id.
+    Labelled documents are taken in the order of the hash of id and label, each that fits into
+    the room that is left; one that does not is passed over, and the search goes on until the
+    sample is full or no labelled document fits. All rows of an id are one document here.
+    Labels that are null, or whose document is missing, are left out, as are labels without an
+    id.
     """
-    chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(
-        F.col("doc_id").alias("label_id"), "quality",
-        F.xxhash64("doc_id", "quality").alias("h")).orderBy("h", "label_id").limit(sample_docs)
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # sample_docs rows
-        .select("h", "doc_id", "text", F.col("quality").cast("int").alias("quality"))
-        .withColumn("lines", F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]", "")) + 1)
-        .withColumn("chars", F.coalesce(F.length("text"), F.lit(0)))
-    )
-    few = rows.select("h", "doc_id", "lines", "chars").orderBy("h", "doc_id").limit(2 * sample_docs).collect()
-    lines, chars, last = 0, 0, None
-    for r in few:
-        lines, chars = lines + r.lines, chars + r.chars
-        if lines > sample_lines or chars > sample_chars:
+    given = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "quality").agg(
+        F.count("*").alias("times"))
+    text = F.coalesce("text", F.lit(""))
+    measured = docs.where("doc_id IS NOT NULL").select(
+        "doc_id", F.length(text).alias("chars"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("lines"))
+    sizes = written(
+        measured.join(given, "doc_id").groupBy("doc_id", "quality", "times").agg(
+            *[F.sum(F.col("times") * F.col(c)).alias(c) for c in ("lines", "chars")],
+            F.sum("times").alias("rows"))
+        .withColumn("h", F.xxhash64("doc_id", "quality")), "label-sizes")
+    room, chosen = [sample_docs, sample_lines, sample_chars], []
+    ahead = sizes
+    while min(room[:2]) > 0:
+        page = (ahead.where((F.col("rows") <= room[0]) & (F.col("lines") <= room[1])
+                            & (F.col("chars") <= room[2]))
+                .orderBy("h", "doc_id", "quality").limit(sample_docs).collect())
+        for r in page:
+            need = (r.rows, r.lines, r.chars)
+            if all(n <= left for n, left in zip(need, room)):
+                room = [left - n for n, left in zip(need, room)]
+                chosen.append(r)
+        if len(page) < sample_docs:
             break
-        last = r.h
-    if last is None:
+        h, doc_id, quality = (F.lit(page[-1][c]) for c in ("h", "doc_id", "quality"))
+        same = (F.col("h") == h) & (
+            (F.col("doc_id") > doc_id) | ((F.col("doc_id") == doc_id) & (F.col("quality") > quality)))
+        ahead = sizes.where((F.col("h") > h) | same)
+    if not chosen:
         return {"constant": 0.5}
-    got = rows.where(F.col("h") <= last).select("h", "doc_id", "text", "quality").collect()
+    wanted = docs.sparkSession.createDataFrame(
+        [(r.doc_id, r.quality, r.times, r.h) for r in chosen],
+        sizes.select(F.col("doc_id").alias("label_id"), "quality", "times", "h").schema)
+    got = (docs.select("doc_id", "text")
+           .join(F.broadcast(wanted), F.col("doc_id") == F.col("label_id"))  # sample_docs rows
+           .select("h", "doc_id", "text", F.col("quality").cast("int").alias("quality"), "times").collect())
+    got = [r for r in got for _ in range(r.times)]
     got.sort(key=lambda r: (r.h, r.doc_id, r.text or ""))
     return fit([r.text for r in got], [r.quality for r in got])
 

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from raingrid.llm import (
     best_fit, bilinear_lm, binary_packing, bpe_ids, components, fingerprints, language_id,
@@ -595,6 +596,26 @@ def test_line_quality_of_held_out_documents(spark, odd, nothing):
     assert 0 <= line_quality.scores(["one line"], few)[0] <= 1
 
 
+def test_sample_goes_on_after_documents_that_do_not_fit(spark):
+    order = [r.id for r in spark.range(60).orderBy(
+        F.xxhash64("id", (F.col("id") % 2).cast("int"))).collect()]
+    good, bad = "the usual words of a line\nstand here", "### $$$ %%%\n&&& ***"
+
+    def learned(long, **limits):
+        rows = [(i, "\n".join([good if i % 2 else bad] * (200 if i in long else 1))) for i in range(60)]
+        labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+        return line_quality.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels, **limits)
+
+    for long in (order[:1], order[2:3], order[:45]):
+        model = learned(long, sample_docs=20, sample_lines=300)
+        assert "weight" in model
+        low, high = line_quality.scores([bad, good], model)
+        assert low < 0.3 < high
+        rest = [i for i in order if i not in long][:20]
+        want = line_quality.fit([good if i % 2 else bad for i in rest], [i % 2 for i in rest])
+        assert np.allclose(model["weight"], want["weight"])
+
+
 def test_scores_do_not_depend_on_neighbouring_texts(texts):
     some = list(texts.values())[:20] + ["", None]
     y = [i % 2 for i in range(len(some))]
