@@ -49,14 +49,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each class of near copies, that with the smallest id.
 
     Rows that repeat an id and a text are one document; rows without an id stay only if no row
-    of their class has one.
+    of their class has one. The verdict is that of a row's id and text together.
     """
     kept = session.written(
-        near_duplicates.near_duplicates(docs, NEAR_PERCENT).where("kept").groupBy("doc_id").agg(
+        near_duplicates.verdicts(docs, NEAR_PERCENT).where("kept").groupBy("doc_id", "text_key").agg(
             F.count("*").alias("rows")), "kept")
     own = F.struct("*")
-    out = docs.join(kept.select(F.col("doc_id").alias("kept_id")),
-                    F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    out = docs.join(kept.select(F.col("doc_id").alias("kept_id"), "text_key"),
+                    F.col("doc_id").eqNullSafe(F.col("kept_id"))
+                    & (F.xxhash64("text") == F.col("text_key")), "left_semi")
     if kept.where("rows > 1").limit(1).count():
         out = out.groupBy("doc_id", F.xxhash64("text")).agg(F.min(own).alias("d")).select("d.*")
     return out

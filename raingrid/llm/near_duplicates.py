@@ -50,11 +50,13 @@ def _digest(members: np.ndarray) -> bytes | None:
 
 
 def sketch(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, digest of the shingle set (null if empty) and its band keys."""
+    """doc_id, a hash of the text, n_shingles, digest of the shingle set (null if empty) and its
+    band keys."""
     bands, rows = layout(percent)
 
     def run(cols):
-        out = {"doc_id": cols["doc_id"], "n_shingles": [], "digest": [], "bands": []}
+        out = {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "n_shingles": [], "digest": [],
+               "bands": []}
         for text in cols["text"]:
             members = _shingles(text, width)
             out["n_shingles"].append(len(members))
@@ -64,8 +66,9 @@ def sketch(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
                 if len(members) else None)
         return out
 
-    return frames.map_slices(docs.select("doc_id", "text"), run,
-                             "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return frames.map_slices(
+        docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), run,
+        "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -215,6 +218,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     component_id is null, and they are kept, only if no row of their class has an id. An empty
     table gives no rows; other columns of ``docs`` are ignored.
     """
+    return verdicts(docs, percent, width).drop("text_key")
+
+
+def verdicts(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
+    """The result of ``near_duplicates`` with text_key, the xxhash64 of the row's text: an id that
+    is null or repeated does not name a row, the two together do, but for equal rows."""
     docs = docs.select("doc_id", "text")
     sketched = written(sketch(docs, width, percent), "sketches")
     nodes = written(
@@ -272,8 +281,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
         "digest", "rep_doc", F.coalesce("root", "node").alias("root"))
     names = classes.groupBy("root").agg(F.min("rep_doc").alias("component_id"))
     named = classes.join(names, "root").select("digest", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
-        "doc_id", "n_shingles",
+    out = sketched.select("doc_id", "text_key", "n_shingles", "digest").join(named, "digest", "left").select(
+        "doc_id", "text_key", "n_shingles",
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

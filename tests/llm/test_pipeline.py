@@ -51,6 +51,17 @@ def test_stages_keep_what_is_clean(spark, folder):
     assert counts["secret_formats"] == 63
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("rain", "wind", "cloud", "field")]
+    rows = [(1, texts[0]), (None, texts[0].upper()), (None, texts[1]), (None, None), (2, texts[2]),
+            (7, texts[2] + " more"), (7, texts[3]), (7, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 0.5) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert {(r.doc_id, r.text) for r in kept} == {
+        (1, texts[0]), (None, texts[1]), (None, None), (2, texts[2]), (7, texts[3])}
+    assert len(kept) == 5
+
+
 def test_run_gives_packed_pieces(spark, folder):
     rows = corpus_pipeline.run(spark, folder)
     assert "sequence_id" in rows.columns and rows.count() > 20
