@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from raingrid.llm import best_fit, bilinear_lm, binary_packing, fingerprints, language_id, line_quality
-from raingrid.llm import near_duplicates, piece_codec, quality_rules, secret_formats
+from raingrid.llm import line_dedup, near_duplicates, piece_codec, quality_rules, secret_formats
 
 QUERIES = {
     "op1_bilinear_lm": bilinear_lm.op1_bilinear_lm,
@@ -16,5 +16,8 @@ QUERIES = {
     "op9_line_quality": line_quality.op9_line_quality,
     "op7_pack_best_fit": best_fit.op7_pack_best_fit,
     "op10_pack_binary": binary_packing.op10_pack_binary,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+}
+SQL: dict[str, str] = {
+    "op11_line_dedup": line_dedup.OP11_SQL,
 }
-SQL: dict[str, str] = {}
