@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from raingrid.llm import best_fit, bilinear_lm, binary_packing, fingerprints, language_id, line_quality
-from raingrid.llm import line_dedup, near_duplicates, piece_codec, quality_rules, secret_formats
+from raingrid.llm import line_dedup, near_duplicates, piece_codec, prefix_trie, quality_rules
+from raingrid.llm import secret_formats
 
 QUERIES = {
     "op1_bilinear_lm": bilinear_lm.op1_bilinear_lm,
@@ -17,7 +18,9 @@ QUERIES = {
     "op7_pack_best_fit": best_fit.op7_pack_best_fit,
     "op10_pack_binary": binary_packing.op10_pack_binary,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 SQL: dict[str, str] = {
     "op11_line_dedup": line_dedup.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
