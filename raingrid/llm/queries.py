@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from raingrid.llm import best_fit, bilinear_lm, binary_packing, fingerprints, language_id, line_quality
+from raingrid.llm import alignment, best_fit, bilinear_lm, binary_packing, fingerprints, language_id, line_quality
 from raingrid.llm import line_dedup, near_duplicates, piece_codec, prefix_trie, quality_rules
 from raingrid.llm import secret_formats
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_pack_binary": binary_packing.op10_pack_binary,
     "op11_line_dedup": line_dedup.op11_line_dedup,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_alignment": alignment.op13_alignment,
 }
 SQL: dict[str, str] = {
     "op11_line_dedup": line_dedup.OP11_SQL,
