@@ -98,7 +98,10 @@ def build(model: Model):
     if model.charsmap:
         steps.append(normalizers.Precompiled(model.charsmap))
     if model.squeeze_blanks:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        # Only U+0020 is squeezed; at the end of a text the blank marker goes with it.
+        end = f"[ {BLANK}]+" if model.escape_blanks else " +"
+        steps += [normalizers.Replace(Regex(rf"\A +|{end}\z"), ""),
+                  normalizers.Replace(Regex(" {2,}"), " ")]
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     if model.escape_blanks:
@@ -169,6 +172,8 @@ class Codec:
     def _chunks(self, text: str) -> list[str] | None:
         if not self.cut or not text or text[0] == " " or text[-1] == " " or "  " in text:
             return None
+        if self.model.squeeze_blanks and BLANK in text:
+            return None
         return text.split(" ")
 
     def _whole(self, texts: list[str]) -> list[list[int]]:

@@ -162,15 +162,15 @@ def proto(fields):
     return out
 
 
-def unigram_model() -> bytes:
-    """A hand-made unigram model with byte fallback."""
+def unigram_model(squeeze=0) -> bytes:
+    """A hand-made unigram model with byte fallback; ``squeeze`` removes surplus blanks."""
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
     pieces += [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
     pieces += [(c, -6.0 - i / 64, 1) for i, c in enumerate("▁abcdehlnorstw")]
     pieces += [("▁the", -2.03125, 1), ("the", -3.515625, 1), ("▁he", -3.046875, 1), ("llo", -3.25, 1),
                ("▁world", -4.0625, 1), ("he", -4.53125, 1), ("lo", -4.75, 1), ("▁wor", -4.9375, 1)]
     body = [(1, proto([(1, p.encode()), (2, s), (3, k)])) for p, s, k in pieces]
-    body += [(2, proto([(3, 1), (35, 1)])), (3, proto([(3, 1), (4, 0), (5, 1)]))]
+    body += [(2, proto([(3, 1), (35, 1)])), (3, proto([(3, 1), (4, squeeze), (5, 1)]))]
     return proto(body)
 
 
@@ -187,6 +187,20 @@ def test_pieces_equal_the_original_library(which, texts):
     assert codec.decode([g for g, _ in got]) == [codec.original.decode(w) for w in want]
 
 
+def test_squeezed_blanks_equal_the_original_library(texts):
+    codec = piece_codec.Codec(unigram_model(squeeze=1))
+    rng = random.Random(2)
+    some = [t or "" for _, t in ODD] + list(texts.values())[:40] + [
+        "\nabc", "abc\n", "\t x", "abc\u00a0", "\nabc\u3000", "  the  world  ", " ", "   ", "a ▁ b",
+        "abc ▁", "▁abc", "▁▁ ▁"]
+    some += ["".join(rng.choices([" ", " ", "\n", "\t", "\u00a0", "\u3000", "▁", "the", "he", "x"], k=7))
+             for _ in range(500)]
+    got = codec.encode(some)
+    want = [codec.original.encode(t) for t in some]
+    assert [np.frombuffer(g, "<u4").tolist() for g, _ in got] == want
+    assert all(same for _, same in got)
+
+
 def test_codec_frames(odd, nothing):
     coded = piece_codec.encode_documents(odd)
     assert coded.count() == len(ODD) and coded.where("NOT parity").count() == 0
