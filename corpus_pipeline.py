@@ -25,7 +25,11 @@ LEAST_QUALITY = 0.3
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters that are near the profile of a language of the table."""
+    """Documents with letters that are near the profile of a language of the table.
+
+    Null and empty texts, and texts without a letter, go. Repeated rows stay or go together; an
+    empty table stays empty. All columns are passed on as they are, whatever their names.
+    """
     profiles = language_id.learn_profiles(docs)
     made = []
 
@@ -39,7 +43,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line model, learned from the labels, does not reject."""
+    """Documents that the line model, learned from the labels, does not reject.
+
+    Null and empty texts get the score of a text without lines. Repeated rows stay or go together;
+    an empty table stays empty, and without labels nothing is rejected. All columns are passed on.
+    """
     model = line_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return filter_texts(docs, lambda texts: [
         s >= LEAST_QUALITY for s in line_quality.scores(texts, model)])
@@ -49,27 +57,39 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each class of near copies, that with the smallest id.
 
     Rows that repeat an id and a text are one document; rows without an id stay only if no row
-    of their class has one. The verdict is that of a row's id and text together.
+    of their class has one. The verdict is that of a row's id and text together. Null and empty
+    texts are linked with nothing and stay. An empty table stays empty; other columns are passed
+    on, whatever their names. Reads its input twice and the small table of verdicts once more
+    while the plan is built.
     """
     kept = session.written(
         near_duplicates.verdicts(docs, NEAR_PERCENT).where("kept").groupBy("doc_id", "text_key").agg(
             F.count("*").alias("rows")), "kept")
-    own = F.struct("*")
-    out = docs.join(kept.select(F.col("doc_id").alias("kept_id"), "text_key"),
-                    F.col("doc_id").eqNullSafe(F.col("kept_id"))
-                    & (F.xxhash64("text") == F.col("text_key")), "left_semi")
+    # Rows travel as one column, so that no name of theirs can meet one of the verdicts.
+    rows = docs.select(F.struct("*").alias("row")).join(
+        kept.select("doc_id", "text_key"),
+        F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
+        & (F.xxhash64("row.text") == F.col("text_key")), "left_semi")
     if kept.where("rows > 1").limit(1).count():
-        out = out.groupBy("doc_id", F.xxhash64("text")).agg(F.min(own).alias("d")).select("d.*")
-    return out
+        rows = rows.groupBy("row.doc_id", F.xxhash64("row.text")).agg(F.min("row").alias("row"))
+    return rows.select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with credentials replaced."""
+    """All documents, with credentials replaced.
+
+    Null and empty texts and the other columns stay as they are; repeated rows are redacted alike;
+    an empty table stays empty.
+    """
     return secret_formats.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two length, with the checksums of their ids."""
+    """Pieces of power-of-two length, with the checksums of their ids.
+
+    A null or empty text is the end id alone; repeated rows are packed again; an empty table gives
+    no rows; other columns than doc_id and text are left behind.
+    """
     return binary_packing.digest(binary_packing.pack_binary(docs))
 
 
