@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from raingrid import session
 
@@ -62,6 +64,20 @@ def test_near_copies_are_dropped_by_row(spark):
     assert len(kept) == 5
 
 
+def test_stages_pass_on_columns_of_any_name(spark, folder):
+    names = ["text_key", "kept_id", "kept", "row", "rows", "d", "digest", "node", "n_shingles", "part",
+             "key", "ids", "component_id", "root", "spans", "value", "quality"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(
+        "*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = session.written(stage(spark, docs, folder), "test-names")
+        assert out.columns == docs.columns
+        assert out.select(*names).distinct().collect() == [tuple(range(len(names)))]
+        docs, sizes = out, [*sizes, out.count()]
+    assert sizes[2:] == [63, 63]
+
+
 def test_run_gives_packed_pieces(spark, folder):
     rows = corpus_pipeline.run(spark, folder)
     assert "sequence_id" in rows.columns and rows.count() > 20
