@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raingrid.llm import bpe_ids, frames
+from raingrid.session import fresh_path
 
 BLOCK_TOKENS = 1 << 20
 
@@ -129,14 +130,16 @@ def pack_best_fit(docs: DataFrame, path: str | None = None, max_len: int = 2048,
     return rows.withColumn("sequence_id", F.monotonically_increasing_id())
 
 
-def write_matrix(packed: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet: id matrix rows, segment ends and positions, as they stand."""
+def write_matrix(packed: DataFrame, path: str) -> DataFrame:
+    """Write packed rows as Parquet (id matrix rows, segment ends, position resets) and read them
+    back; a trainer reads the same files."""
     packed.write.parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path)
 
 
 def op7_pack_best_fit(spark, sf: str) -> DataFrame:
-    """Sequences of all documents: their documents, segment ends and checksums."""
-    rows = pack_best_fit(frames.documents(spark, sf))
+    """Sequences of all documents, from the written files: documents, segment ends, checksums."""
+    rows = write_matrix(pack_best_fit(frames.documents(spark, sf)), fresh_path(spark, "packed"))
     return rows.select(
         "sequence_id", "doc_ids", "starts", "cu_seqlens", "n_tokens",
         F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))

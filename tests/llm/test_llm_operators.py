@@ -447,7 +447,9 @@ def test_chunked_ids_equal_whole_ids(texts):
     enc = bpe_ids.Encoder(bpe_ids.default_path(), limit=50)
     some = [t or "" for _, t in ODD] + list(texts.values())[:80] + [
         "a\nb c", "\na", "a\n", "a  b", "a\n\nb", "it's I'LL don't", "x1y2 3z", "<|endoftext|> a"]
-    for t in some:
+    some += ["and, and", "and", "(word)", "l'eau, d'être.", "été, été", " lead", "\nWord, \nWord.", "a²", "x, y",
+             "日本語, です", "don't. don't", "a\t, b", "ǅ. ɐ,", "end'", "'s 's", "1,000.50"]
+    for t in some * 2:  # the second time from both generations of the cache
         assert enc.ids(t) == (enc.whole(t) if t else b"")
 
 
@@ -646,3 +648,13 @@ def test_remainder_is_crc32_of_the_id_as_text(spark):
     got = spark.range(50).withColumn("r", frames.remainder("id", 7)).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 7 for r in got)
     assert spark.range(1).select(frames.remainder("id", 3)).count() == 1
+
+
+# --- 7 written matrices
+
+def test_written_matrices_are_what_was_packed(spark, odd, nothing, tmp_path):
+    for i, df in enumerate((odd, nothing)):
+        packed = best_fit.pack_best_fit(df, max_len=256)
+        back = best_fit.write_matrix(packed, str(tmp_path / f"packed{i}"))
+        assert back.columns == packed.columns
+        assert sorted(map(str, back.collect())) == sorted(map(str, packed.collect()))
