@@ -20,6 +20,8 @@ from raingrid.session import written
 
 #: Ends of one piece of a merge; links that are held at once.
 PIECE, LINKS = 1 << 16, 1 << 20
+#: Chunks that each tokenizer keeps the ids of, in each of two generations.
+CACHED = 250_000
 #: Most frequent pairs that are sent to every task, at most so many; all others are joined.
 SENT_PAIRS = 1 << 18
 
@@ -78,15 +80,19 @@ def groups(a: np.ndarray, b: np.ndarray, piece: int = PIECE):
     return of_a, of_b
 
 
-def _summed(keys: tuple[np.ndarray, ...], times: np.ndarray):
-    """Distinct rows of ``keys`` (the last sorts first) with their sums of ``times``."""
-    order = np.lexsort(keys)
-    keys, times = tuple(k[order] for k in keys), times[order]
-    first = np.ones(len(times), bool)
-    if len(times):
-        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+def _runs(keys: np.ndarray, times: np.ndarray | None = None):
+    """Distinct keys in order, and the sums of their times (of one each, if not given)."""
+    if times is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, times = keys[order], times[order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(first)
-    return tuple(k[at] for k in keys), np.add.reduceat(times, at) if len(at) else times
+    if times is None:
+        return keys[at], np.diff(at, append=len(keys))
+    return keys[at], np.add.reduceat(times, at) if len(at) else times
 
 
 def links(a_ids, b_ids, of_a, of_b, doc_of_group, limit: int = LINKS):
@@ -95,13 +101,16 @@ def links(a_ids, b_ids, of_a, of_b, doc_of_group, limit: int = LINKS):
     n_a, n_b = np.bincount(of_a), np.bincount(of_b)
     start_a, start_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
     count = n_a * n_b
+    # One number for document and both ids, as small as they allow.
+    wide_a, wide_b = (int(x.max()) + 1 if len(x) else 1 for x in (a_ids, b_ids))
+    base = doc_of_group * wide_a
     found = []
 
     def block(lo, hi):
         of = np.repeat(np.arange(lo, hi), count[lo:hi])
         nth = np.arange(len(of)) - np.repeat(np.cumsum(count[lo:hi]) - count[lo:hi], count[lo:hi])
-        pair = (a_ids[start_a[of] + nth // n_b[of]] << 32) | b_ids[start_b[of] + nth % n_b[of]]
-        found.append(_summed((pair, doc_of_group[of]), np.ones(len(of), np.int64)))
+        up, over = np.divmod(nth, n_b[of])
+        found.append(_runs((base[of] + a_ids[start_a[of] + up]) * wide_b + b_ids[start_b[of] + over]))
 
     def wide(g):
         """One group of very many links: distinct ids first, then a part of those of ``a``."""
@@ -109,11 +118,10 @@ def links(a_ids, b_ids, of_a, of_b, doc_of_group, limit: int = LINKS):
         ys, y_times = np.unique(b_ids[start_b[g] : start_b[g] + n_b[g]], return_counts=True)
         step = max(1, limit // len(ys))
         for at in range(0, len(xs), step):
-            pair = ((xs[at : at + step, None] << 32) | ys).ravel()
-            times = (x_times[at : at + step, None] * y_times).ravel()
-            found.append(((pair, np.full(len(pair), doc_of_group[g])), times))
+            keys = ((base[g] + xs[at : at + step, None]) * wide_b + ys).ravel()
+            found.append((keys, (x_times[at : at + step, None] * y_times).ravel()))
 
-    lo, held = 0, 0
+    lo = 0
     for g in np.flatnonzero(count > limit).tolist() + [len(count)]:
         while lo < g:
             hi = lo + max(1, int(np.searchsorted(np.cumsum(count[lo:g]), limit, "right")))
@@ -122,19 +130,66 @@ def links(a_ids, b_ids, of_a, of_b, doc_of_group, limit: int = LINKS):
         if g < len(count):
             wide(g)
             lo = g + 1
-    keys = tuple(np.concatenate([k[i] for k, _ in found]) for i in (0, 1)) if found else \
-        (np.zeros(0, np.int64),) * 2
-    times = np.concatenate([t for _, t in found]) if found else np.zeros(0, np.int64)
-    (pair, doc), times = _summed(keys, times)
-    return doc, pair, times
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    keys, times = found[0] if len(found) == 1 else _runs(
+        *(np.concatenate([f[i] for f in found]) for i in (0, 1)))
+    keys, b = np.divmod(keys, wide_b)
+    doc, a = np.divmod(keys, wide_a)
+    return doc, a << 32 | b, times
+
+
+class Pieces:
+    """Ids of a sentence-piece model, with a bounded cache over blank-separated chunks.
+
+    A chunk is also cut before its last mark if no piece has that mark behind that letter, as then
+    no piece can reach over the cut. What cannot be cut at blanks goes to the codec whole.
+    """
+
+    def __init__(self, codec: piece_codec.Codec, limit: int):
+        own = codec.model
+        self.codec, self.model = codec, codec.tokenizer.model
+        self.cut = codec.cut and own.kind == piece_codec.BPE and own.byte_fallback and not any(
+            kind == piece_codec.USER_DEFINED for _, _, kind in own.pieces)
+        self.beside = {pair for p, _, kind in own.pieces if kind == piece_codec.NORMAL
+                       for pair in zip(p, p[1:])}
+        self.chunks = bpe_ids.Recent(self._chunk, limit)
+        self.marks = {c: self._ids(c) for c in bpe_ids.MARKS} if self.cut else {}
+
+    def _ids(self, shown: str) -> bytes:
+        return bpe_ids.packed([t.id for t in self.model.tokenize(shown)])
+
+    def _chunk(self, chunk: str) -> bytes:
+        head, mark = chunk[:-1], chunk[-1:]
+        if head and mark in self.marks and (head[-1], mark) not in self.beside:
+            return self.chunks[head] + self.marks[mark]
+        return self._ids(piece_codec.BLANK + chunk)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.codec.chunks_of(t) if self.cut else None for t in texts]
+        whole = iter(self.codec.encode([t for t, c in zip(texts, cut) if c is None]))
+        return [next(whole)[0] if c is None else b"".join(map(self.chunks.__getitem__, c)) for c in cut]
+
+
+def _joined(packed: list[bytes], spelled: list[bytes], size: np.ndarray) -> list[bytes]:
+    """Bytes of the tokens of every text."""
+    ids = np.frombuffer(b"".join(packed), "<u4")
+    flat = np.frombuffer(b"".join(spelled), np.uint8)
+    sizes = size[ids]
+    ends = np.cumsum(sizes)
+    place = np.repeat((np.cumsum(size) - size)[ids] - (ends - sizes), sizes)
+    place += np.arange(len(place))
+    out = flat[place].tobytes()
+    stops = np.concatenate(([0], ends))[np.cumsum([0, *(len(p) // 4 for p in packed)])].tolist()
+    return [out[i:j] for i, j in zip(stops, stops[1:])]
 
 
 class Aligner:
     """Both tokenizers, and the bytes and decimal names of their ids."""
 
     def __init__(self, path: str, model: bytes):
-        self.a = bpe_ids.Encoder(path)
-        self.b = piece_codec.Codec(model, verify=False)
+        codec = piece_codec.Codec(model, verify=False, limit=CACHED // 4)
+        self.a, self.b = bpe_ids.Encoder(path, CACHED), Pieces(codec, CACHED)
         letters = {c: b for b, c in bpe_ids._alphabet().items()}
         vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=False)
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
@@ -143,7 +198,7 @@ class Aligner:
                 else token.encode()
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if kind == piece_codec.BYTE
-            else p.replace(piece_codec.BLANK, " ").encode() for p, _, kind in self.b.model.pieces]
+            else p.replace(piece_codec.BLANK, " ").encode() for p, _, kind in codec.model.pieces]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64)
                                     for t in (self.a_bytes, self.b_bytes))
         self.a_names, self.b_names = (
@@ -152,18 +207,13 @@ class Aligner:
 
     def tokens(self, texts: list[str | None]):
         """Ids of both tokenizers, or None for a text whose tokens are not its bytes."""
-        out = []
-        for text, (packed, _) in zip(texts, self.b.encode([t or "" for t in texts])):
-            a = b = None
-            if text:
-                raw = (" " + text).encode()
-                a = np.frombuffer(self.a.ids(" " + text), "<u4").astype(np.int64)
-                b = np.frombuffer(packed, "<u4").astype(np.int64)
-                if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or \
-                        b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
-                    a = b = None
-            out.append(None if a is None else (a, b))
-        return out
+        raw = [(" " + t).encode() if t else b"" for t in texts]
+        a = [self.a.ids(" " + t) if t else b"" for t in texts]
+        b = [x if t else b"" for t, x in zip(texts, self.b.encode([t or "" for t in texts]))]
+        same = [x == y == z for x, y, z in zip(raw, _joined(a, self.a_bytes, self.a_size),
+                                               _joined(b, self.b_bytes, self.b_size))]
+        return [(np.frombuffer(x, "<u4").astype(np.int64), np.frombuffer(y, "<u4").astype(np.int64))
+                if t and ok else None for t, x, y, ok in zip(texts, a, b, same)]
 
     def align(self, texts: list[str | None]):
         """For all texts together: which have tokens, ids, groups, and the groups of each text.

@@ -35,7 +35,7 @@ def _alphabet() -> dict[int, str]:
     return table | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def _packed(ids: list[int]) -> bytes:
+def packed(ids: list[int]) -> bytes:
     out = array.array("I", ids)
     if sys.byteorder == "big":
         out.byteswap()
@@ -75,13 +75,13 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         """Ids of one unit of the vocabulary's splitter."""
         shown = part.encode().decode("latin-1").translate(self.table)
-        return _packed([t.id for t in self.model.tokenize(shown)])
+        return packed([t.id for t in self.model.tokenize(shown)])
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk: ``word`` stands for a space and the word, ``\\nword`` for itself."""
         if chunk.isalpha():  # letters after a space are one unit
             if chunk.isascii():
-                return _packed([t.id for t in self.model.tokenize(self.blank + chunk)])
+                return packed([t.id for t in self.model.tokenize(self.blank + chunk)])
             return self._part(" " + chunk)
         head, mark = chunk[:-1], chunk[-1:]
         if mark in MARKS and head.isalpha():  # so are they before a single mark
@@ -95,7 +95,7 @@ class Encoder:
         return self.whole(text)
 
     def whole(self, text: str) -> bytes:
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         """Ids of the text, 4 bytes each, little-endian."""

@@ -169,7 +169,7 @@ class Codec:
         # the normaliser alone, and no piece to cross one. Texts with other blanks go whole.
         return m.dummy_prefix and m.escape_blanks and not m.charsmap and not m.crosses_blanks()
 
-    def _chunks(self, text: str) -> list[str] | None:
+    def chunks_of(self, text: str) -> list[str] | None:
         if not self.cut or not text or text[0] == " " or text[-1] == " " or "  " in text:
             return None
         if self.model.squeeze_blanks and BLANK in text:
@@ -194,7 +194,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Ids (4 bytes each, little-endian) of every text, and whether the original agrees."""
-        cut = [self._chunks(t) for t in texts]
+        cut = [self.chunks_of(t) for t in texts]
         whole = [t for t, c in zip(texts, cut) if c is None]
         wanted = {x for c in cut if c for x in c}
         missing = sorted(wanted - self.known.keys())
