@@ -60,3 +60,11 @@ def total(arr: Column) -> Column:
 
 def mean(arr: Column) -> Column:
     return total(arr) / F.size(arr)
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt out by key to as many tasks as shuffles have.
+
+    For few rows that are much work each: their tasks are not merged again for having few bytes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from raingrid.functions import values as V
+from raingrid.operators import linear as L
 from raingrid.operators import windows as W
 from raingrid.operators.align import outer_merge
-from raingrid.operators.common import BY, forward, last_known, total, whole_series
+from raingrid.operators.common import BY, dealt, forward, last_known, to_arrays, total, whole_series
 
 
 def seasonal_naive(df: DataFrame, horizon: int, levels=("month",), scheme="binned", by=BY, ds="ds",
@@ -213,8 +211,8 @@ def fourier_regression(df: DataFrame, horizon: int, ridge=1e-3, weekly=2, yearly
                        value="value", out="yhat") -> DataFrame:
     """Trend and weekly and yearly waves on log1p values; fitted and future days.
 
-    Spark reduces each series to its normal equations in one aggregate; only that
-    small system per series is solved in a vectorised helper.
+    Each series becomes its normal equations in one aggregate, and those are solved as one
+    column expression. The ridge is a share of the number of days and spares the constant.
     """
     start = df.groupBy(*by).agg(F.min(ds).alias("_start"), F.max(ds).alias("_end"))
     rows = df.where(F.col(value).isNotNull()).withColumn(
@@ -223,25 +221,19 @@ def fourier_regression(df: DataFrame, horizon: int, ridge=1e-3, weekly=2, yearly
     names = list(harmonics(F.lit(0.0), weekly, yearly))
     waves = rows.select(*by, F.log1p(value).alias("_y"),
                         *[c.alias(n) for n, c in harmonics(t, weekly, yearly).items()])
-    sums = [F.sum(F.expr(f"{a} * {b}")) for i, a in enumerate(names) for b in names[i:]]
-    sides = [F.sum(F.expr(f"{a} * _y")) for a in names]
-    system = waves.groupBy(*by).agg(F.array(*sums).alias("_g"), F.array(*sides).alias("_b"))
     size = len(names)
-    upper = np.triu_indices(size)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def solve(g: pd.Series, b: pd.Series) -> pd.Series:
-        def one(flat, side):
-            full = np.zeros((size, size))
-            full[upper] = flat
-            full = full + np.triu(full, 1).T
-            penalty = np.eye(size) * ridge
-            penalty[0, 0] = 0.0
-            return np.linalg.solve(full + penalty * full[0, 0], np.asarray(side)).tolist()
-
-        return pd.Series([one(np.asarray(x), y) for x, y in zip(g, b)])
-
-    coefs = system.select(*by, solve("_g", "_b").alias("_w")).join(start, list(by))
+    place = {(i, j): k for k, (i, j) in enumerate((i, j) for i in range(size) for j in range(i, size))}
+    sums = [F.sum(F.col(names[i]) * F.col(names[j])) for i, j in place]
+    sides = [F.sum(F.col(n) * F.col("_y")) for n in names]
+    system = waves.groupBy(*by).agg(F.array(*sums).alias("_g"), F.array(*sides).alias("_b"))
+    penalty = ridge * F.get("_g", F.lit(0))
+    entry = lambda i, j: F.get("_g", F.lit(place[min(i, j), max(i, j)]))
+    matrix = F.array(*[F.array(
+        *[entry(i, j) + penalty if i == j and i else entry(i, j) for j in range(size)],
+        F.get("_b", F.lit(i))) for i in range(size)])
+    solved = F.transform(L.solve(matrix, F.lit(size)), lambda row: F.get(row, F.lit(0)))
+
+    coefs = system.select(*by, solved.alias("_w")).join(start, list(by))
     span = F.sequence(F.lit(0), F.datediff("_end", "_start") + horizon)
     steps = coefs.select(*by, "_w", "_start", "_end", F.explode(span).alias("_t"))
     waves = harmonics(F.col("_t").cast("double"), weekly, yearly)
@@ -277,6 +269,92 @@ def stationarity_screen(df: DataFrame, lags=(0, 1, 365), critical=-2.86, by=BY,
                        ).select(*by, "r.*").withColumn("stationary", F.col("t") < critical)
 
 
+#: Distribution of the statistic with a constant, below and above a border, and
+#: where it is 0 or 1; polynomials in the statistic under the normal distribution.
+UNIT_ROOT = {"border": -1.61, "least": -18.83, "most": 2.74,
+             "below": (2.1659, 1.4412, 0.038269), "above": (1.7339, 0.93202, -0.12745, -0.010368)}
+
+
+def unit_root_p(t):
+    """Probability of a unit-root statistic as small as ``t`` if there is a unit root."""
+    def share(coefs):
+        poly = F.lit(0.0)
+        for c in reversed(coefs):
+            poly = poly * t + c
+        return L.normal_share(poly)
+
+    return (F.when(t <= UNIT_ROOT["least"], 0.0).when(t >= UNIT_ROOT["most"], 1.0)
+            .when(t <= UNIT_ROOT["border"], share(UNIT_ROOT["below"])).otherwise(share(UNIT_ROOT["above"])))
+
+
+def augmented_screen(df: DataFrame, diffs=(0, 1, 365), max_lag: int | None = None, level=0.05, by=BY,
+                     ds="ds", value="value") -> DataFrame:
+    """Augmented Dickey-Fuller test of the level (0) and of each difference.
+
+    Columns: ``by``, diff, n (changes used), lags, t, p and stationary (p at most ``level``). The
+    change is regressed on a constant, the previous value and the last ``lags`` changes. Their
+    number has the least AIC of 0 to ``max_lag`` (12 * (n / 100) ** 0.25 if not given), all on the
+    changes that the longest leaves; the statistic is then taken on all changes. Nulls are left
+    out. A series too short for its longest regression gets null.
+    """
+    order = forward(by, ds)
+    wide = df.withColumns({f"_v{k}": F.col(value) - F.lag(value, k).over(order) if k else
+                           F.col(value) for k in diffs})
+    parts = F.array(*[F.struct(F.lit(k).alias("diff"), F.col(f"_v{k}").cast("double").alias("v"))
+                      for k in diffs])
+    long = wide.select(*by, ds, F.explode(parts).alias("_z")).select(*by, ds, "_z.*").where("v IS NOT NULL")
+    rows = to_arrays(long, (*by, "diff"), ds, "v").withColumn("n", F.size("vals"))
+    if max_lag is None:
+        most = F.ceil(12 * F.pow(F.col("n") / 100.0, 0.25)).cast("int")
+    else:
+        most = F.lit(max_lag)
+    rows = dealt(rows.withColumn("most", most), *by, "diff")
+    n, v = F.col("n"), F.col("vals")
+    changes = F.zip_with(F.slice(v, F.lit(2), F.greatest(n - 1, F.lit(0))),
+                         F.slice(v, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: a - b)
+
+    def moments(p):
+        """Products of constant, previous value, ``p`` earlier changes and the change."""
+        size = n - 1 - p
+
+        def columns(d):
+            back = F.when(p > 0, F.transform(
+                F.sequence(F.lit(1), F.greatest(p, F.lit(1))), lambda i: F.slice(d, p - i + 1, size))
+            ).otherwise(F.array().cast("array<array<double>>"))
+            return F.concat(F.array(F.array_repeat(F.lit(1.0), size), F.slice(v, p + 1, size)), back,
+                            F.array(F.slice(d, p + 1, size)))
+
+        return L.products(L.let(changes, columns))
+
+    enough = F.col("n") - 1 - F.col("most") > F.col("most") + 3
+    same = F.col("n") - 1 - F.col("most")
+    rss = F.slice(L.residuals(moments(F.col("most"))), F.lit(2), F.col("most") + 1)
+    aic = F.transform(rss, lambda r, k: F.struct(
+        (same * F.log(r / same) + 2.0 * (k + 2)).alias("aic"), k.alias("k")))
+    rows = rows.withColumn("lags", F.when(enough, F.array_min(aic)["k"]))
+    k = F.col("lags")
+
+    def statistic(m):
+        size = k + 2
+        sides = F.transform(F.slice(m, F.lit(1), size), lambda row, i: F.concat(
+            row, F.array(F.when(i == 1, 1.0).otherwise(0.0))))
+        used = n - 1 - k
+
+        def of(x):
+            explained = L.dot(F.transform(x, lambda r: F.get(r, F.lit(0))),
+                              F.slice(F.get(m, size), F.lit(1), size))
+            left = (F.get(F.get(m, size), size) - explained) / (used - size)
+            own = F.get(x, F.lit(1))
+            return F.get(own, F.lit(0)) / F.sqrt(left * F.get(own, F.lit(1)))
+
+        return L.let(L.solve(sides, size), of)
+
+    t = F.when(k.isNotNull(), L.let(moments(k), statistic))
+    return rows.withColumn("t", t).select(
+        *by, "diff", (F.col("n") - 1 - k).alias("n"), "lags", "t", unit_root_p(F.col("t")).alias("p")
+    ).withColumn("stationary", F.col("p") <= level)
+
+
 def encode_rain_flag(df: DataFrame, rr="rr", flag="rain_missing", out="rr_adjusted") -> DataFrame:
     return df.withColumn(out, F.when(F.col(flag) == 1, F.col(rr) * 0.1).otherwise(F.col(rr)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raingrid import fixed
-from raingrid.operators.common import BY, mean, to_arrays, total
+from raingrid.operators.common import BY, dealt, mean, to_arrays, total
 
 SETTINGS = {"alpha": 0.2, "beta": 0.05, "gamma": 0.15, "phi": 1.0, "m": 7, "kind": "add"}
 
@@ -23,6 +23,8 @@ def candidate(**given) -> dict:
     return out
 
 
+#: Days of a block where there is no season.
+BLOCK = 64
 #: Tasks that share the candidates of one series.
 SPREAD = 4
 
@@ -41,7 +43,7 @@ def with_candidates(df: DataFrame, candidates: list[dict], by=BY, spread=True) -
     lots = min(SPREAD, len(rows)) if spread else 1
     if lots > 1:
         df = df.select("*", F.explode(F.array(*map(F.lit, range(lots)))).alias("_lot"))
-        df = df.repartition(*by, "_lot")
+        df = dealt(df, *by, "_lot")
         pick = F.lit(None)
         for lot in reversed(range(lots)):
             pick = F.when(F.col("_lot") == lot, F.array(*rows[lot::lots])).otherwise(pick)
@@ -66,6 +68,10 @@ def fit(df: DataFrame, vals="vals", trend=True, keep_fitted=False) -> DataFrame:
     a season: the first value and the first step. Unusable rows get a null fit.
     ``season[0]`` is the one due next. With ``keep_fitted`` the one-step-ahead
     values are kept as ``fitted``.
+
+    The fold goes through whole seasons (or blocks of days), and through the days of each: a day
+    reads its place in the last season, and only the block at hand grows, so no step copies the
+    whole season or all fitted values.
     """
     m, seasonal, mul = F.col("m"), F.col("m") > 0, F.col("kind") == "mul"
     v = F.col(vals)
@@ -82,30 +88,50 @@ def fit(df: DataFrame, vals="vals", trend=True, keep_fitted=False) -> DataFrame:
         (F.when(F.col("_ok"), rise) if trend else F.lit(0.0)).cast("double").alias("b"),
         F.when(F.col("_ok") & seasonal, start_season).otherwise(empty).alias("s"),
         F.lit(0.0).alias("sse"), F.lit(0.0).alias("sr"), F.lit(0).alias("n"),
-        empty.alias("fitted"))
+        F.array().cast("array<array<double>>").alias("fitted"))
     a, b, g, phi = (F.col(c) for c in ("alpha", "beta", "gamma", "phi"))
 
-    def step(st, y):
+    def day(st, x):
+        y, due = x["y"], x["due"]
         base = st["l"] + phi * st["b"]
-        due = F.get(st["s"], F.lit(0))
         ahead = F.when(~seasonal, base).when(mul, base * due).otherwise(base + due)
         plain = F.when(~seasonal, y).when(mul, F.try_divide(y, due)).otherwise(y - due)
         level = a * plain + (1.0 - a) * base
         offset = F.when(mul, F.try_divide(y, base)).otherwise(y - base)
-        turned = F.concat(F.slice(st["s"], F.lit(2), m),
-                          F.array(g * offset + (1.0 - g) * due))
         slope = b * (level - st["l"]) + (1.0 - b) * phi * st["b"]
         return F.struct(
             level.alias("l"),
             (slope if trend else F.lit(0.0)).alias("b"),
-            F.when(seasonal, turned).otherwise(st["s"]).alias("s"),
+            F.when(seasonal, F.concat(st["s"], F.array(g * offset + (1.0 - g) * due)))
+            .otherwise(st["s"]).alias("s"),
             (st["sse"] + (y - ahead) * (y - ahead)).alias("sse"),
             (st["sr"] + (y - ahead)).alias("sr"), (st["n"] + 1).alias("n"),
             (F.concat(st["fitted"], F.array(ahead)) if keep_fitted else st["fitted"])
             .alias("fitted"))
 
-    return rows.withColumn("fit", F.when(F.col("_ok"), F.aggregate(v, start, step))).drop(
-        "_ok", "_l0")
+    length = F.when(seasonal, m).otherwise(F.lit(BLOCK))
+
+    def block(st, k):
+        days = F.transform(F.slice(v, k * length + 1, length), lambda y, i: F.struct(
+            y.alias("y"), F.get(st["s"], i).alias("due")))
+        begin = F.struct(st["l"], st["b"], empty.alias("s"), st["sse"], st["sr"], st["n"],
+                         empty.alias("fitted"))
+        return F.aggregate(days, begin, day, lambda new: F.struct(
+            new["l"], new["b"],
+            F.concat(new["s"], F.slice(st["s"], F.size(new["s"]) + 1, F.size(st["s"]))).alias("s"),
+            new["sse"], new["sr"], new["n"],
+            F.concat(st["fitted"], F.array(new["fitted"])).alias("fitted")))
+
+    def finish(st):
+        turn = st["n"] % F.greatest(m, F.lit(1))
+        return F.struct(
+            st["l"], st["b"],
+            F.concat(F.slice(st["s"], turn + 1, F.size(st["s"])), F.slice(st["s"], F.lit(1), turn))
+            .alias("s"), st["sse"], st["sr"], st["n"], F.flatten(st["fitted"]).alias("fitted"))
+
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(v) / length).cast("int") - 1)
+    return rows.withColumn("fit", F.when(F.col("_ok"), F.aggregate(
+        blocks, start, block, finish))).drop("_ok", "_l0")
 
 
 def ahead(h: Column, remove_bias=False) -> Column:
@@ -164,7 +190,7 @@ def _squared_error(test: Column, guess: Column) -> Column:
     return total(pairs) / F.size(test)
 
 
-def _score_on(df: DataFrame, remove_bias=False) -> DataFrame:
+def score_on(df: DataFrame, remove_bias=False) -> DataFrame:
     """Fit on ``train`` and add ``mse`` on ``test``; null where unusable."""
     fits = fit(df, vals="train")
     guess = F.transform(F.sequence(F.lit(1), F.size("test")), lambda h: ahead(h, remove_bias))
@@ -194,7 +220,11 @@ def grid_search(df: DataFrame, candidates: list[dict], last=60, by=BY, ds="ds",
     rows = with_candidates(split_arrays(arrays, last), candidates, by)
     fair = (F.col("m") < F.size("train") / 2) & (
         (F.col("kind") != "mul") | (F.array_min("vals") > 0))
-    scored = _score_on(rows.where(fair), remove_bias)
+    return best_candidate(df, score_on(rows.where(fair), remove_bias), by, default)
+
+
+def best_candidate(df: DataFrame, scored: DataFrame, by=BY, default: dict | None = None) -> DataFrame:
+    """Settings with the least ``mse`` for every series of ``df``; the first of equal ones wins."""
     rank = F.when(F.col("mse").isNotNull(), F.struct("mse", "candidate"))
     best = scored.groupBy(*by).agg(F.min_by(
         F.struct("candidate", "alpha", "beta", "gamma", "phi", "m", "kind", "mse"), rank)
@@ -243,12 +273,12 @@ def offset_search(df: DataFrame, settings: dict, offsets: list[float], kind="log
     shifted = (lambda x: F.log1p(x + F.col("c"))) if kind == "log1p" else (
         lambda x: F.log(x + F.col("c")))
     rows = expanding_folds(to_arrays(df, by, ds, value), folds).drop("vals", "days")
-    rows = rows.repartition(*by, "fold").withColumn(
+    rows = dealt(rows, *by, "fold").withColumn(
         "c", F.explode(F.array(*[F.lit(float(c)) for c in offsets])))
     rows = with_candidates(rows, [settings], spread=False)
     rows = rows.withColumns({"train": F.transform("train", shifted),
                              "test": F.transform("test", shifted)})
     error = F.sqrt("mse") if root else F.col("mse")
-    scores = _score_on(rows).groupBy(*by, "c").agg(F.avg(error).alias("error"))
+    scores = score_on(rows).groupBy(*by, "c").agg(F.avg(error).alias("error"))
     return scores.groupBy(*by).agg(F.min_by(F.struct("c", "error"), F.struct("error", "c"))
                                    .alias("b")).select(*by, "b.c", "b.error")

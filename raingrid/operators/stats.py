@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from raingrid import fixed
 from raingrid.functions import values as V
+from raingrid.operators import linear as L
 from raingrid.operators.common import BY, forward, whole_series
 
 
@@ -114,6 +115,14 @@ def linear_trend(df: DataFrame, by=BY, ds="ds", value="value", min_days=365, min
     return fit.where(F.col("n") >= min_years)
 
 
+def trend_significance(trend: DataFrame) -> DataFrame:
+    """Adds ``t`` and ``p_value``: the two-sided probability of such a slope, under Student's
+    distribution, if there is none. Null with two years or without spread around the line."""
+    t = F.try_divide("slope", "stderr")
+    return trend.withColumn("t", t).withColumn(
+        "p_value", F.when(F.col("n") > 2, L.student_tails(F.col("t"), F.col("n") - 2)))
+
+
 def yearly_sum_trend(df: DataFrame, by=BY, ds="ds", value="value") -> DataFrame:
     """Line through yearly sums, dated by year plus the day-of-year share of year end."""
     years = df.groupBy(*by, F.year(ds).alias("year")).agg(F.sum(value).alias("y"))

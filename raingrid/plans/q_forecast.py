@@ -418,20 +418,6 @@ def lag_regression_diff2(spark, sf):
     return rounded(P.lag_regression(S.l1(spark, sf), 14, 30, d=2), 4, "yhat")
 
 
-@query("fourier_regression")
-def fourier_regression(spark, sf):
-    return rounded(P.fourier_regression(S.l1(spark, sf), 120), 6, "yhat")
-
-
-@query("fourier_regression_score")
-def fourier_regression_score(spark, sf):
-    rows = S.l1(spark, sf)
-    guess = P.fourier_regression(rows, 0)
-    pairs = rows.join(guess, ["series", "ds"]).select(
-        "series", F.col("value").alias("actual"), F.col("yhat").alias("forecast"))
-    return rounded(P.metrics(pairs), 6, "mae", "mse", "rmse", "mape", "mape_eps", "r2")
-
-
 WAVES = ["one", "trend", *[f"{n}{f}{k}" for n, m in (("w", 2), ("y", 3))
                            for k in range(1, m + 1) for f in "sc"]]
 
