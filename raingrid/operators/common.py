@@ -68,3 +68,31 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     For few rows that are much work each: their tasks are not merged again for having few bytes.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def scan(values: Column, start: dict[str, Column], step, kind: str, block: int = 64) -> Column:
+    """What ``step`` emits for each of ``values``, in order, as an array of type ``kind``.
+
+    ``step`` takes the state (a struct of the fields of ``start``) and a value, and returns the
+    next state as a dictionary and the emitted column. The fold goes through blocks and the values
+    of each, so that only the block at hand grows: no step copies all that was emitted before.
+    """
+    names, none = list(start), F.array().cast(f"array<{kind}>")
+
+    def one(s, x):
+        state, emitted = step(s, x)
+        return F.struct(*[state[n].alias(n) for n in names],
+                        F.concat(s["_out"], F.array(emitted)).alias("_out"))
+
+    def run(s, k):
+        begin = F.struct(*[s[n].alias(n) for n in names], none.alias("_out"))
+        return F.aggregate(
+            F.slice(values, k * block + 1, F.lit(block)), begin, one,
+            lambda e: F.struct(*[e[n].alias(n) for n in names],
+                               F.concat(s["_out"], F.array(e["_out"])).alias("_out")))
+
+    begin = F.struct(*[c.alias(n) for n, c in start.items()],
+                     F.array().cast(f"array<array<{kind}>>").alias("_out"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int"))
+    return F.when(F.size(values) == 0, none).otherwise(
+        F.flatten(F.aggregate(blocks, begin, run)["_out"]))

@@ -233,6 +233,6 @@ def search(df: DataFrame, models: list[dict], last=60, remove_bias=True, tries:
     """
     arrays = split_arrays(to_arrays(df, by, ds, value), last)
     fair = (F.col("m") < F.size("train") / 2) & ((F.col("kind") != "mul") | (F.array_min("vals") > 0))
-    rows = fit_rows(arrays, models, "train", fair, tries, by).where("mse IS NOT NULL").withColumnRenamed(
-        "mse", "train_mse")
+    # No filter on what was found: it would be pushed below the search and run it again.
+    rows = fit_rows(arrays, models, "train", fair, tries, by).withColumnRenamed("mse", "train_mse")
     return best_candidate(df, score_on(rows, remove_bias), by, default)

@@ -102,5 +102,5 @@ RAIN_MODELS = [G.model(k, m) for m in (365, 183, 90) for k in ("add", "mul")]
 @query("hw_search_fitted")
 def hw_search_fitted(spark, sf):
     """The seasons usual for rain, each fitted to the training part and scored on the last days."""
-    best = G.search(S.l1(spark, sf), RAIN_MODELS)
+    best = G.search(S.l1(spark, sf), RAIN_MODELS, tries=60)
     return rounded(best, 2, "mse").select("series", "candidate", "m", "kind", "mse")

@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from raingrid.operators import arima as R
 from raingrid.operators import fitting as G
 from raingrid.operators import forecast as P
 from raingrid.operators import linear as L
 from raingrid.operators import smoothing as H
 from raingrid.operators import stats as A
+from raingrid.operators import trends as T
 
 SERIES = "series string, ds date, value double"
 
@@ -127,3 +129,101 @@ def test_augmented_screen_tells_a_walk_from_noise(spark):
     beta, rss = np.linalg.lstsq(z, d[k:], rcond=None)[:2]
     error = np.sqrt(rss[0] / (len(z) - k - 2) * np.linalg.inv(z.T @ z)[1, 1])
     assert got["walk", 0].t == pytest.approx(beta[1] / error)
+
+
+def plain_kalman(w, ar, ma):
+    """Dense filter: state after the last value, squared errors over variances, logs, count."""
+    r = max(len(ar), len(ma) + 1)
+    t = np.zeros((r, r))
+    t[: len(ar), 0] = ar
+    t[np.arange(r - 1), np.arange(1, r)] = 1
+    g = np.zeros(r)
+    g[: len(ma) + 1] = [1, *ma]
+    a, p, s, logs, n, seen = np.zeros(r), np.eye(r) * 1e6, 0.0, 0.0, 0, 0
+    for y in w:
+        if np.isfinite(y):
+            v, f = y - a[0], p[0, 0]
+            if seen >= r:
+                s, logs, n = s + v * v / f, logs + np.log(f), n + 1
+            seen += 1
+            a, p = a + p[:, 0] * v / f, p - np.outer(p[:, 0], p[0]) / f
+        a, p = t @ a, t @ p @ t.T + np.outer(g, g)
+    return a, t, -n / 2 * (np.log(2 * np.pi * s / n) + 1) - logs / 2, n
+
+
+def test_likelihood_equals_a_dense_filter(spark):
+    rng = np.random.default_rng(5)
+    v = np.cumsum(rng.normal(size=80)) + 3 * np.sin(np.arange(80) * 2 * np.pi / 4)
+    holes = [None if i in (20, 21, 40) else x for i, x in enumerate(v)]
+    seasonal, plain = R.order(1, 1, 1, 1, 1, 1, 4), R.order(2, 0, 1)
+    got = {(r.series, r.model): r for r in R.arma_loglik(
+        daily(spark, a=v, holes=holes, tiny=[1.0, 2.0]),
+        [(seasonal, [0.4, 0.3, 0.2, -0.5]), (plain, [0.5, 0.2, 0.3])]).collect()}
+    w = np.diff(v)[4:] - np.diff(v)[:-4]
+    ar, ma = [0.4, 0, 0, 0.2, -0.08], [0.3, 0, 0, -0.5, -0.15]
+    for name, series in (("a", v), ("holes", np.array(holes, float))):
+        diff = np.diff(series)[4:] - np.diff(series)[:-4]
+        for model, (x, a, m) in enumerate(((diff, ar, ma), (series, [0.5, 0.2], [0.3]))):
+            _, _, want, n = plain_kalman(x, a, m)
+            assert got[name, model].n == n and got[name, model].loglik == pytest.approx(want, abs=1e-6)
+    assert got["tiny", 0].loglik is None
+    a, t, *_ = plain_kalman(w, ar, ma)
+    path, back = [], list(v)
+    for _ in range(9):
+        path.append(a[0] + back[-1] + back[-4] - back[-5])
+        back.append(path[-1])
+        a = t @ a
+    ahead = R.arma_forecast(daily(spark, a=v), seasonal, [0.4, 0.3, 0.2, -0.5], 9).orderBy("h").collect()
+    assert np.allclose([r.yhat for r in ahead], path)
+
+
+def test_fitted_orders(spark):
+    rng = np.random.default_rng(6)
+    e = rng.normal(size=260)
+    v = np.zeros(260)
+    for i in range(1, 260):
+        v[i] = 0.7 * v[i - 1] + e[i]
+    rows = R.arma_fit(daily(spark, a=v, tiny=[1.0]), [R.order(), R.order(1), R.order(0, 0, 1)]).collect()
+    got = {(r.series, r.model): r for r in rows}
+    assert got["a", 1].best and not got["a", 0].best and got["a", 1].x[0] == pytest.approx(0.7, abs=0.1)
+    assert got["tiny", 1].aic is None and not any(got["tiny", m].best for m in range(3))
+    with pytest.raises(ValueError):
+        R.order(P=2, s=12)
+
+
+def test_penalised_trend_solves_its_equations(spark):
+    rng = np.random.default_rng(7)
+    v = np.cumsum(rng.normal(size=150))
+    holes = [None if 30 <= i < 40 else x for i, x in enumerate(v)]
+    rows = T.hp_trend(daily(spark, a=v, holes=holes, two=[1.0, 5.0], one=[None, None, 3.0]), 1600.0)
+    got = {}
+    for r in rows.orderBy("ds").collect():
+        got.setdefault(r.series, []).append(r.trend)
+    d = np.diff(np.eye(150), 2, axis=0)
+    for name, x in (("a", v), ("holes", np.array(holes, float))):
+        known = np.isfinite(x)
+        want = np.linalg.solve(np.diag(known * 1.0) + 1600 * d.T @ d, np.where(known, x, 0))
+        assert np.allclose(got[name], want, atol=1e-6)
+    assert got["two"] == [1.0, 5.0] and got["one"] == [None] * 3
+
+
+def test_spikes_do_not_move_robust_parts(spark):
+    i = np.arange(140)
+    clean = 20 + 0.05 * i + 4 * np.sin(i * 2 * np.pi / 7) + np.random.default_rng(3).normal(size=140) / 2
+    spiked = clean.copy()
+    spiked[[33, 70, 101]] += 60
+    rows = daily(spark, clean=clean, spiked=spiked, short=[1.0] * 13, holes=[1.0, None] * 10)
+    plain = {(r.series, r.ds): r for r in T.stl(rows).collect()}
+    robust = {(r.series, r.ds): r for r in T.stl(rows, outer=3).collect()}
+    assert all(robust[k].trend is None for k in robust if k[0] in ("short", "holes"))
+
+    def away(parts, name):
+        return np.mean([abs(parts["spiked", d].trend - parts["clean", d].trend)
+                        + abs(parts["spiked", d].seasonal - parts["clean", d].seasonal)
+                        for s, d in parts if s == name])
+
+    assert away(robust, "spiked") < 0.4 and away(plain, "spiked") > 3
+    days = sorted(d for s, d in robust if s == "spiked")
+    weights = [robust["spiked", d].weight for d in days]
+    assert max(weights[i] for i in (33, 70, 101)) == 0 and sum(w < 0.01 for w in weights) < 10
+    assert all(abs(r.trend + r.seasonal + r.resid - r.value) < 1e-9 for r in robust.values() if r.trend is not None)
