@@ -5,8 +5,8 @@
 2. Members of a bucket are linked to two centres only, so pairs grow with the memberships. Links
    are confirmed on the full sets, and components are joined.
 3. Buckets whose members are still in more than one component are looked through exactly: in
-   cells of bounded size, members of different components are compared on their full sets, and
-   only a spanning forest of true links leaves a cell.
+   cells of bounded members and shingles, members of different components are compared on their
+   full sets, however long, and only a spanning forest of true links leaves a cell.
 """
 
 from __future__ import annotations
@@ -24,10 +24,8 @@ from raingrid.session import written
 
 #: Bins, and the chance that a pair just at the limit may have to share no bucket.
 BINS, MISS = 256, 5e-6
-#: Members of one side of a cell; shingles up to which a cell compares whole sets.
-CELL, WHOLE_SET = 1024, 512
-#: Sketches of longer sets: 256 bins of 8 bits, and 4.5 standard deviations below the limit.
-SLACK = 0.1125
+#: Members and shingles of one side of a cell, on average; a longer set is a side of its own.
+CELL, CELL_SHINGLES = 1024, 1 << 19
 
 
 def layout(percent: int) -> tuple[int, int]:
@@ -73,17 +71,14 @@ def sketch(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(cols):
-        out = {"digest": [], "shingles": [], "sketch": []}
+        out = {"digest": [], "shingles": []}
         for text in cols["text"]:
             members = _shingles(text, width)
             out["digest"].append(_digest(members))
             out["shingles"].append(members.astype(np.int64))
-            out["sketch"].append(oph.packed(oph.signature(members, BINS), 8)
-                                 if len(members) > WHOLE_SET else None)
         return out
 
-    return frames.map_slices(docs.select("text"), run,
-                             "digest binary, shingles array<long>, sketch binary")
+    return frames.map_slices(docs.select("text"), run, "digest binary, shingles array<long>")
 
 
 def _alike(shared, n_a, n_b, percent: int):
@@ -100,21 +95,6 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         _alike(shared, F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
-class _Forest:
-    def __init__(self, roots):
-        self.up = {r: r for r in roots}
-
-    def find(self, x):
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x, y) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _shared_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     """Intersection sizes of the sets in ``rows`` with all sets, by products of 0/1 blocks."""
     items, place = np.unique(np.concatenate(sets), return_inverse=True)
@@ -130,66 +110,35 @@ def _shared_counts(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def cell_links(node, root, n, sets, sketches, percent: int = 85):
-    """Links between members of different components in one cell: (a, b, exact).
-
-    Whole sets are compared exactly, and a link that joins nothing new is left out. Longer sets
-    are compared by sketch; those links have to be confirmed.
-    """
+def cell_links(node, root, n, sets, percent: int = 85):
+    """Links (a, b) between members of different components in one cell, compared on their whole
+    sets; a link that joins nothing new is left out."""
     node, root, n = np.asarray(node), np.asarray(root), np.asarray(n)
     names, counts = np.unique(root, return_counts=True)
-    outside = np.flatnonzero(root != names[counts.argmax()])
-    forest, found = _Forest(root.tolist()), []
-
-    def pairs(of, rows, like):
-        """Positions of pairs in ``of`` that ``like`` accepts, one row of them at a time."""
-        far = {int(i) for i in rows}
-        for k, i in enumerate(rows):
-            j = np.flatnonzero(like(k) & (root[of] != root[of[i]])
-                               & _alike(np.minimum(n[of], n[of[i]]), n[of], n[of[i]], percent))
-            for x in j.tolist():
-                if x not in far or x > i:
-                    yield of[i], of[x]
-
-    small = np.flatnonzero(n <= WHOLE_SET)
-    rows = np.flatnonzero(np.isin(small, outside))
-    if len(small) > 1 and len(rows):
-        shared = _shared_counts([sets[i] for i in small], rows)
-        for i, j in pairs(small, rows, lambda k: _alike(shared[k], n[small], n[small[rows[k]]], percent)):
-            if forest.join(root[i].item(), root[j].item()):
-                found.append((node[i], node[j], True))
-    large = np.flatnonzero(n > WHOLE_SET * percent // 100)
-    rows = np.flatnonzero(np.isin(large, outside))
-    if len(large) > 1 and len(rows):
-        marks = np.stack([
-            np.frombuffer(sketches[i], np.uint8) if sketches[i] is not None else
-            np.frombuffer(oph.packed(oph.signature(sets[i].view(np.uint64), BINS), 8), np.uint8)
-            for i in large])
-        least = percent / 100 - SLACK
-        for i, j in pairs(large, rows, lambda k: (marks == marks[rows[k]]).mean(1) >= least):
-            if max(n[i], n[j]) > WHOLE_SET:
-                found.append((node[i], node[j], False))
+    rows = np.flatnonzero(root != names[counts.argmax()])  # two of the largest need no comparison
+    part_of, found = root.copy(), []
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
+        shared = _shared_counts(sets, some)
+        for k, i in enumerate(some.tolist()):
+            alike = _alike(shared[k], n, n[i], percent)
+            while len(others := np.flatnonzero(alike & (part_of != part_of[i]))):
+                j = others[0]
+                found.append((node[i], node[j]))
+                part_of[part_of == part_of[j]] = part_of[i]
     return found
 
 
 def _cells(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, exact) from bucket members (key, cell, node, root, n, shingles, sketch)."""
-    names = ["a", "b", "exact"]
-    types = [pa.int64(), pa.int64(), pa.bool_()]
+    """(a, b) from bucket members (key, cell, node, root, n, shingles)."""
 
     def run(batches):
         where, held = None, []
 
-        def done():
-            if len(held) < 2:
-                return []
-            cols = list(zip(*held))
-            return cell_links(*cols, percent=percent)
-
-        def batch_of(found):
-            cols = list(zip(*found)) if found else [()] * 3
+        def links():
+            found = cell_links(*zip(*held), percent=percent) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
+                [pa.array([f[i] for f in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             cols = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
@@ -197,14 +146,13 @@ def _cells(rows: DataFrame, percent: int) -> DataFrame:
             node, root, n = (cols[k].to_pylist() for k in ("node", "root", "n"))
             for i, k in enumerate(zip(keys, cells)):
                 if k != where:
-                    yield batch_of(done())
+                    yield links()
                     where, held = k, []
-                s = cols["shingles"][i]
-                held.append((node[i], root[i], n[i],
-                             s.values.to_numpy() if s.is_valid else None, cols["sketch"][i].as_py()))
-        yield batch_of(done())
+                # Copied, so that a cell does not keep whole batches.
+                held.append((node[i], root[i], n[i], cols["shingles"][i].values.to_numpy().copy()))
+        yield links()
 
-    return frames.map_batches(rows, run, "a long, b long, exact boolean")
+    return frames.map_batches(rows, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
@@ -232,9 +180,10 @@ def verdicts(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
              F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(keyed.join(shared, "key").join(nodes.select("node", "n"), "node"), "members")
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(
+        F.count("*").alias("size"), F.sum("n").alias("load")).where("size > 1")
+    members = written(keyed.join(shared, "key"), "members")
 
     spot = F.struct(F.xxhash64("node").alias("h"), "node", "n")
     centres = members.groupBy("key").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
@@ -258,22 +207,20 @@ def verdicts(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     roots = written(components(links), "roots")
 
     with_root = members.where("size > 2").join(roots, "node", "left").select(
-        "key", "size", "node", F.coalesce("root", "node").alias("root"))
+        "key", "size", "load", "node", F.coalesce("root", "node").alias("root"))
     unsettled = with_root.groupBy("key").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    width_of = F.ceil(F.col("size") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(1)), width_of).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), width_of - 1),
-                        lambda t: F.least(own, t) * 65536 + F.greatest(own, t))
+    width_of = F.ceil(F.greatest(F.col("size") / CELL, F.col("load") / CELL_SHINGLES))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), width_of)
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), width_of - 1),
+                        lambda t: F.least(own, t) * (1 << 31) + F.greatest(own, t))
     rows = (
         with_root.join(unsettled, "key").join(sets, "node")
-        .select("key", F.explode(cells).alias("cell"), "node", "root", "n",
-                F.when(F.col("sketch").isNull(), F.col("shingles")).alias("shingles"), "sketch")
+        .select("key", F.explode(cells).alias("cell"), "node", "root", "n", "shingles")
         .repartition("key", "cell").sortWithinPartitions("key", "cell")
     )
     more = written(_cells(rows, percent), "more-links")
-    checked = _confirmed(more.where("NOT exact").select("a", "b").distinct(), sets, percent)
-    every = more.where("exact").select("a", "b").union(checked).union(
+    every = more.union(
         roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     final = written(components(every), "final-roots")
 

@@ -298,13 +298,29 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     rng.shuffle(made)
     rows = list(enumerate(made, 5))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for cell in (1024, 16):  # whole buckets in one cell, and split ones
+    # Whole buckets in one cell, and buckets split for their members or for their shingles.
+    for cell, shingles in ((1024, 1 << 19), (16, 1 << 19), (1024, 9000)):
         monkeypatch.setattr(near_duplicates, "CELL", cell)
+        monkeypatch.setattr(near_duplicates, "CELL_SHINGLES", shingles)
         got = near_duplicates.near_duplicates(df).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(plain_classes(rows))
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_only_a_forest_of_long_texts_leaves_a_cell():
+    rng = random.Random(12)
+    made = family(rng, [f"v{i}" for i in range(1800)], 300, 40)
+    sets = [textscan.shingle_set(textscan.word_hashes(t.encode())) for t in made]
+    n = [len(s) for s in sets]
+    found = near_duplicates.cell_links(range(300), range(300), n, sets, 80)
+    plain = plain_classes(list(enumerate(made)), 80)
+    up = list(range(300))
+    for a, b in found:
+        up = [up[a] if u == up[b] else u for u in up]
+    assert len(found) == 300 - len({c for *_, c in plain}) <= 299
+    assert len(set(up)) == len({c for *_, c in plain})
+
+
 def test_bands_follow_the_limit():
     assert near_duplicates.layout(85) == (36, 7)
     assert near_duplicates.layout(80) == (42, 6)
