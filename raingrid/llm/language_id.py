@@ -20,7 +20,6 @@ from raingrid.llm import frames
 PROFILE, TEXT_GRAMS = 400, 300
 ORDERS = (1, 2, 3)
 _BITS = np.uint64(21)  # of a code point; three of them make one exact 63-bit key
-_CHUNK_DOCS = 256
 
 
 @lru_cache(maxsize=1)
@@ -143,82 +142,34 @@ class Classifier:
         for i, lang in enumerate(self.langs):
             at = np.searchsorted(self.known, np.array(profiles[lang], np.uint64))
             self.ranks[i, at] = np.arange(len(at))
-        self.slots = self._dense()
-
-    def _dense(self):
-        """A direct table from short code point keys to slots, for alphabets of the profiles."""
-        last = self.known & np.uint64((1 << 21) - 1)
-        codes = np.unique(np.concatenate(
-            [last, (self.known >> _BITS) & np.uint64((1 << 21) - 1), self.known >> np.uint64(42)]))
-        codes = codes[codes > 0].astype(np.int64)
-        self.narrow = np.zeros(0x110000, np.int32)  # 0 stands for all other characters
-        self.narrow[codes] = np.arange(1, len(codes) + 1)
-        self.width = len(codes) + 1
-        if self.width > 256:
-            return None
-        table = np.full(self.width**3, len(self.known), np.int32)
-        parts = [(self.known >> np.uint64(42)), (self.known >> _BITS) & np.uint64((1 << 21) - 1), last]
-        a, b, c = (self.narrow[p.astype(np.int64)] for p in parts)
-        table[(a * self.width + b) * self.width + c] = np.arange(len(self.known))
-        # a key with a character outside the alphabet must not pass for a shorter n-gram
-        return table
-
-    def slots_of(self, codes: np.ndarray) -> np.ndarray:
-        """The slot in ``known`` of every n-gram of a text; those in no profile left out."""
-        if self.slots is None:
-            keys = np.concatenate(list(grams(codes)))
-            at = np.searchsorted(self.known, keys)
-            at[at == len(self.known)] = 0
-            return at[self.known[at] == keys]
-        small = self.narrow[codes].astype(np.int64)
-        w, out = self.width, []
-        out.append(self.slots[small[codes != 32]])
-        both = small[1:] > 0
-        first = small[:-1] > 0
-        two = np.where(both & first, small[:-1] * w + small[1:], 0)
-        out.append(self.slots[two])
-        if len(small) > 2:
-            three = np.where(first[:-1] & both[1:] & (codes[1:-1] != 32) & (small[1:-1] > 0),
-                             (small[:-2] * w + small[1:-1]) * w + small[2:], 0)
-            out.append(self.slots[three])
-        slots = np.concatenate(out)
-        return slots[slots < len(self.known)]
+
+    def profile_of(self, codes: np.ndarray) -> np.ndarray:
+        """A text's own most frequent n-grams, in falling order; ties by key, as in a profile."""
+        keys, n = np.unique(np.concatenate(list(grams(codes))), return_counts=True)
+        return keys[np.argsort(-n, kind="stable")[: self.most]]
 
     def classify(self, texts: list[str | None]):
         """(lang, score) per text. The score is 0..1: how far the nearest profile's distance
         lies below the mean of all; 1 if it is 0, 0 if no n-gram is known."""
-        out = []
-        for at in range(0, len(texts), _CHUNK_DOCS):
-            out += self._some(texts[at : at + _CHUNK_DOCS])
-        return out
-
-    def _some(self, texts):
-        p = len(self.known)
-        counts = np.zeros((len(texts), p), np.int32)
-        written = np.zeros(len(texts), bool)
-        for i, text in enumerate(texts):
-            codes = letters(text or "")
-            written[i] = len(codes) > 1
-            if written[i] and p:
-                counts[i] = np.bincount(self.slots_of(codes), minlength=p)
-        if not self.langs:
-            return [("und", 0.0)] * len(texts)
-        order = np.argsort(-counts, axis=1, kind="stable")[:, : self.most]
-        seen = np.take_along_axis(counts, order, 1) > 0
-        place = np.arange(order.shape[1])
-        distance = np.stack([
-            (np.abs(self.ranks[i][order] - place) * seen).sum(1) for i in range(len(self.langs))], 1)
-        # A text's own n-grams are at most that far out of place.
-        worst = np.maximum(1, seen.sum(1) * max(self.size, 1))
-        share = distance / worst[:, None]
-        best = share.argmin(1)
-        near = share[np.arange(len(texts)), best]
-        rest = (share.sum(1) - near) / max(1, len(self.langs) - 1)
-        score = np.where(seen.any(1), np.clip(1 - near / np.maximum(rest, 1e-12), 0, 1), 0.0)
+        return [self._one(letters(t or "")) for t in texts]
+
+    def _one(self, codes):
+        if len(codes) <= 1 or not self.langs:
+            return "und", 0.0
+        own = self.profile_of(codes)
+        slot = np.searchsorted(self.known, own)
+        slot[slot == len(self.known)] = 0
+        found = self.known[slot] == own if len(self.known) else np.zeros(len(own), bool)
+        slot = np.where(found, slot, len(self.known))  # the last place stands for all others
+        distance = np.abs(self.ranks[:, slot] - np.arange(len(own))).sum(1)
+        best = int(distance.argmin())
+        if not found.any():
+            return self.langs[best], 0.0
+        near = float(distance[best])
         if len(self.langs) == 1:
-            score = np.where(seen.any(1), 1 - np.clip(near, 0, 1), 0.0)
-        return [(self.langs[b], float(s)) if w else ("und", 0.0)
-                for b, s, w in zip(best, score, written)]
+            return self.langs[0], 1 - min(1.0, near / (len(own) * max(self.size, 1)))
+        rest = float(distance.sum() - near) / (len(self.langs) - 1)
+        return self.langs[best], min(1.0, max(0.0, 1 - near / max(rest, 1e-12)))
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
@@ -226,7 +177,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
 
     A null or letterless text is ``und`` with score 0, as is every text without profiles; a text
     none of whose n-grams is in a profile gets the first language with score 0. Equal distances
-    go to the first language in order of name. Repeated rows are answered again; a null doc_id
+    go to the first language in order of name. Of n-grams that a text holds equally often, those
+    with the smaller key come first, in texts as in profiles. Repeated rows are answered again; a null doc_id
     stays null; other columns are ignored, whatever their names.
     """
     made = []

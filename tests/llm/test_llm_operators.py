@@ -372,16 +372,18 @@ def test_gram_counts_equal_plain_ones():
 def test_distances_equal_plain_ones(small):
     profiles = language_id.learn_profiles(small)
     own = language_id.Classifier(profiles)
-    known = sorted({g for p in profiles.values() for g in p})
-    for text in ["the and of with that", "le la des une à été", LONG[:300], "Ünd der die 日"]:
+    for text in ["the and of with that", "le la des une à été", LONG[:300], "Ünd der die 日", "日本語", "q",
+                 LONG, "zz xq the jj vv"]:
         count = collections.Counter()
         for keys in language_id.grams(language_id.letters(text)):
-            count.update(k for k in keys.tolist() if k in set(known))
+            count.update(keys.tolist())
         ranked = sorted(count, key=lambda g: (-count[g], g))[: language_id.TEXT_GRAMS]
         far = {lang: sum(abs(p.index(g) - r) if g in p else abs(own.size - r)
                          for r, g in enumerate(ranked)) for lang, p in profiles.items()}
         want = min(sorted(far), key=far.get)
-        assert own.classify([text])[0][0] == want
+        rest = (sum(far.values()) - far[want]) / (len(far) - 1)
+        score = 1 - far[want] / rest if any(g in p for g in ranked for p in profiles.values()) else 0
+        assert own.classify([text]) == [(want, pytest.approx(score))]
 
 
 def test_languages_are_told_apart(spark, odd, nothing):
