@@ -30,7 +30,8 @@ _ASSIGN = re.compile(
     re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run that is too short holds no longer one
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Every run that an assigned credential could be, which are those of six characters or more.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 
 #: Classes of characters and how many characters each holds; all others stand for themselves.
 _CLASSES = {"0": "0123456789", "a": "abcdef", "g": "ghijklmnopqrstuvwxyz", "A": "ABCDEF",
@@ -83,15 +84,10 @@ def value_of(text: str, start: int, end: int, kind: int) -> str:
 
 
 def candidates(text: str, base) -> list[tuple[int, int]]:
-    """Long runs of credential characters that overlap no base span and mix letters and digits."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        s, e = m.span()
-        run = m[0]
-        if (any(c in "0123456789" for c in run) and not run.isdigit()
-                and any(c.isalpha() for c in run)
-                and not any(s < be and bs < e for bs, be, _ in base)):
-            out.append((s, e))
+    """All runs of credential characters that overlap no base span."""
+    out = [m.span() for m in _CANDIDATE.finditer(text)]
+    if base:
+        out = [(s, e) for s, e in out if not any(s < be and bs < e for bs, be, _ in base)]
     return out
 
 
@@ -101,15 +97,41 @@ class Automaton:
     def __init__(self, moves, ends, visits):
         self.moves, self.ends, self.visits = moves, ends, visits
 
-    def log_likelihood(self, value: str, alphabet: int = 10) -> float:
-        """Natural log of the chance of ``value`` as a prefix, one half added to every count."""
-        state, total = 0, 0.0
+    def log_likelihood(self, value: str) -> float:
+        """Natural log of the chance of ``value`` (or its shape), its end included.
+
+        A state's chances, with one half added to every count, add up to one over the classes and
+        the end; a class shares its chance among its characters.
+        """
+        state, total, slots = 0, 0.0, len(_SLOTS) + 1
         for c in shape(value):
             found = self.moves.get(state, {}).get(c)
             n = found[1] if found else 0
-            total += math.log((n + 0.5) / (self.visits.get(state, 0) + 0.5 * alphabet))
+            total += math.log((n + 0.5) / (self.visits.get(state, 0) + 0.5 * slots))
             total -= math.log(_SIZE.get(c, 1))
             state = found[0] if found else state
+        return total + math.log((self.ends.get(state, 0) + 0.5) / (self.visits.get(state, 0) + 0.5 * slots))
+
+
+class Ordinary:
+    """Ordinary text: each class of a run, and its end, has a chance given the class before it."""
+
+    def __init__(self, counts, secrets: int):
+        """``counts``: pairs of neighbouring slots, the last slot being the outside of a run;
+        ``secrets``: labelled credentials."""
+        size = len(_SLOTS) + 1
+        pairs = np.array(counts, float).reshape(size, size)
+        pairs[-1, -1] = 0
+        chance = (pairs + 0.5) / (pairs.sum(1, keepdims=True) + 0.5 * size)
+        self.logs = np.log(chance / [_SIZE.get(c, 1) for c in _SLOTS + " "]).tolist()
+        #: Log of how many credentials there are for each ordinary run.
+        self.prior = math.log((secrets + 0.5) / (pairs[-1].sum() + 0.5))
+
+    def log_likelihood(self, shaped: str) -> float:
+        total, before = 0.0, len(_SLOTS)
+        for slot in _slots(shaped):
+            total += self.logs[before][slot]
+            before = slot
         return total
 
 
@@ -325,49 +347,40 @@ def _counted_anew(shaped: DataFrame, automata: dict[int, Automaton]) -> dict[int
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Every row's base spans, and its candidates with their text, as they stand in the text."""
+    """The kinds and values of every row's base spans, and the counts of what is outside them."""
 
     def run(cols):
-        out = {k: [] for k in ("starts", "ends", "kinds", "seen", "c_starts", "c_values", "plain")}
+        out = {k: [] for k in ("kinds", "seen", "plain")}
         for text in cols["text"]:
             text = text or ""
             base = base_spans(text)
-            more = candidates(text, base)
-            out["starts"].append([s for s, _, _ in base])
-            out["ends"].append([e for _, e, _ in base])
             out["kinds"].append([k for _, _, k in base])
             out["seen"].append([value_of(text, *s) for s in base])
-            out["c_starts"].append([s for s, _ in more])
-            out["c_values"].append([text[s:e] for s, e in more])
-            out["plain"].append(_plain(text, disjoint([x[:2] for x in base] + more)))
-        return {"doc_id": cols["doc_id"], **out}
-
-    return frames.map_slices(
-        docs.select("doc_id", "text"), run,
-        "doc_id long, starts array<int>, ends array<int>, kinds array<int>, seen array<string>, "
-        "c_starts array<int>, c_values array<string>, plain array<int>")
-
-
-_ORDER = "0agAG"
-
+            out["plain"].append(_plain(text, disjoint([x[:2] for x in base])))
+        return out
 
-_SLOT = np.full(256, len(_ORDER), np.int64)
-for _i, _k in enumerate(_ORDER):
-    _SLOT[list(_CLASSES[_k].encode())] = _i
+    return frames.map_slices(docs.select("text"), run,
+                             "kinds array<int>, seen array<string>, plain array<long>")
 
 
-def _classes(data: bytes) -> np.ndarray:
-    return np.bincount(_SLOT[np.frombuffer(data, np.uint8)], minlength=len(_ORDER) + 1)[:-1]
+#: The slot of every byte; the slot after the last stands for what no credential holds.
+_BYTE_SLOT = np.full(256, len(_SLOTS), np.int64)
+for _c, _i in _SLOT_OF.items():
+    _BYTE_SLOT[list(_CLASSES.get(_c, _c).encode())] = _i
 
 
 def _plain(text: str, spans) -> list[int]:
-    """Counts of ASCII letters and digits by class, without those inside ``spans``."""
-    inside = "".join(text[s:e] for s, e in spans)
-    return (_classes(text.encode()) - _classes(inside.encode())).tolist()
+    """Counts of the pairs of neighbouring slots outside ``spans``."""
+    if spans:
+        ends = [0, *(e for _, e in spans)]
+        text = " ".join(text[e:s] for e, s in zip(ends, [*(s for s, _ in spans), len(text)]))
+    slots = _BYTE_SLOT[np.frombuffer(b" " + text.encode() + b" ", np.uint8)]
+    size = len(_SLOTS) + 1
+    return np.bincount(slots[:-1] * size + slots[1:], minlength=size * size).tolist()
 
 
-def learn_formats(scanned: DataFrame) -> tuple[dict[str, Automaton], list[float]]:
-    """An automaton per kind, and the chances of characters by class in ordinary text.
+def learn_formats(scanned: DataFrame) -> tuple[dict[str, Automaton], Ordinary]:
+    """An automaton per kind, and the model of ordinary text.
 
     Prefixes are counted over all examples and their whole length. The driver merges the states
     that hold ``LEAST_EXAMPLES``; then all examples run through the merged automaton, so what
@@ -386,33 +399,49 @@ def learn_formats(scanned: DataFrame) -> tuple[dict[str, Automaton], list[float]
     merged = {kind: merge_states(*_kept_tree([r for r in rows if r.kind == kind]))
               for kind in sorted({r.kind for r in rows})}
     automata = {KINDS[k]: a for k, a in (_counted_anew(shaped, merged) if merged else {}).items()}
-    plain = scanned.select(*[F.sum(F.col("plain")[i].cast("long")).alias(k) for i, k in enumerate(_ORDER)]).first()
-    counts = [(plain[k] or 0) + 1 for k in _ORDER]
-    share = [n / sum(counts) / _SIZE[k] for n, k in zip(counts, _ORDER)]
-    return automata, share
+    size = (len(_SLOTS) + 1) ** 2
+    row = scanned.select(F.coalesce(F.sum(F.size("kinds")), F.lit(0)), *[
+        F.coalesce(F.sum(F.get("plain", F.lit(i))), F.lit(0)) for i in range(size)]).first()
+    return automata, Ordinary(list(row)[1:], row[0])
 
 
-def score(value: str, automata: dict[str, Automaton], share: list[float]) -> tuple[str, float]:
-    """The likeliest format and its log-likelihood ratio against ordinary text, per character."""
-    plain = dict(zip(_ORDER, map(math.log, share)))
-    ordinary = sum(plain.get(c, math.log(0.001)) for c in shape(value))
-    best = max(((a.log_likelihood(value), k) for k, a in automata.items()), default=(-math.inf, ""))
-    return best[1], (best[0] - ordinary) / max(1, len(value))
+def score(value: str, automata: dict[str, Automaton], ordinary: Ordinary) -> tuple[str, float]:
+    """The likeliest format, and the log of the odds that the value is of it rather than ordinary:
+    the ratio of the likelihoods times how many credentials there are for each ordinary run."""
+    shaped = shape(value)
+    best = max(((a.log_likelihood(shaped), k) for k, a in automata.items()), default=(-math.inf, ""))
+    return best[1], best[0] - ordinary.log_likelihood(shaped) + ordinary.prior
 
 
 LIKE = tuple(f"like_{k}" for k in KINDS)
-#: Log-likelihood ratio per character from which a candidate is a secret.
-LEAST = 0.5
+#: Log of the odds (99 to 1) from which a candidate is a secret.
+LEAST = math.log(99)
 
 
-def like_secrets(starts, values, automata, share, least: float = LEAST):
-    """(start, end, kind) of the candidates that look like a credential; kinds follow ``KINDS``."""
-    out = []
-    for start, value in zip(starts, values):
-        kind, ratio = score(value, automata, share)
-        if ratio >= least:
-            out.append((start, start + len(value), len(KINDS) + KINDS.index(kind)))
-    return out
+class Judge:
+    """Tells secrets among candidates; keeps the verdicts on a bounded number of shapes."""
+
+    def __init__(self, automata, ordinary, least: float = LEAST, limit: int = 100_000):
+        self.automata, self.ordinary, self.least, self.limit = automata, ordinary, least, limit
+        self.seen: dict[str, int] = {}
+
+    def _kind(self, shaped: str) -> int:
+        kind, odds = score(shaped, self.automata, self.ordinary)  # a shape is its own shape
+        return len(KINDS) + KINDS.index(kind) if odds >= self.least else -1
+
+    def spans(self, text: str, found) -> list[tuple[int, int, int]]:
+        """(start, end, kind) of the candidates that look like a credential; kinds follow ``KINDS``."""
+        out, seen = [], self.seen
+        for s, e in found:
+            shaped = text[s:e].translate(_CLASS_OF)
+            kind = seen.get(shaped)
+            if kind is None:
+                if len(seen) >= self.limit:
+                    seen.clear()
+                kind = seen[shaped] = self._kind(shaped)
+            if kind >= 0:
+                out.append((s, e, kind))
+        return out
 
 
 def joined(spans) -> str:
@@ -423,26 +452,25 @@ def joined(spans) -> str:
 def find_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and starts, ends, kinds (arrays).
 
-    Base spans are always there; a candidate whose score per character is ``least`` or more is
+    Base spans are always there; a candidate whose log odds are ``least`` or more is
     added as ``like_<kind>``. Spans are listed by start, then kind; offsets are code points, end
     exclusive. A null or empty text has no span; repeated rows are answered again; a null doc_id
     stays null; an empty table gives no rows; other columns of ``docs`` are ignored. Without any
     labelled credential there is no format, and only base spans are returned.
     """
-    scanned = written(scan(docs), "secrets")
-    automata, share = learn_formats(scanned)
+    judge = Judge(*learn_formats(written(scan(docs), "secrets")), least)
     names = KINDS + LIKE
 
     def run(cols):
         out = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "starts",
                                "ends", "kinds")}
-        for s, e, k, cs, cv in zip(*(cols[c] for c in ("starts", "ends", "kinds", "c_starts", "c_values"))):
-            spans = list(zip(s, e, k))
+        for text in cols["text"]:
+            text = text or ""
+            base = base_spans(text)
             for i, name in enumerate(("n_assign", "n_access", "n_hex")):
-                out[name].append(sum(x == i for x in k))
-            out["base_sha256"].append(hashlib.sha256(joined(spans).encode()).hexdigest())
-            spans = sorted(spans + like_secrets(cs, cv, automata, share, least),
-                           key=lambda x: (x[0], x[2]))
+                out[name].append(sum(x[2] == i for x in base))
+            out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
+            spans = sorted(base + judge.spans(text, candidates(text, base)), key=lambda x: (x[0], x[2]))
             out["spans"].append(joined(spans))
             out["starts"].append([x[0] for x in spans])
             out["ends"].append([x[1] for x in spans])
@@ -450,19 +478,16 @@ def find_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return {"doc_id": cols["doc_id"], **out}
 
     return frames.map_slices(
-        scanned.select("doc_id", "starts", "ends", "kinds", "c_starts", "c_values",
-                       F.array_join("c_values", "").alias("text")), run,
+        docs.select("doc_id", "text"), run,
         "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
         "starts array<int>, ends array<int>, kinds array<string>")
 
 
-def redact_text(text: str, automata, share, least: float = LEAST, mark: str = "[secret]") -> str:
+def redact_text(text: str, judge: Judge, mark: str = "[secret]") -> str:
     """The text with every credential replaced by ``mark``; names of assignments stay."""
     base = base_spans(text)
-    more = candidates(text, base)
     values = [(e - len(value_of(text, s, e, k)), e) for s, e, k in base]
-    values += [x[:2] for x in like_secrets(
-        [s for s, _ in more], [text[s:e] for s, e in more], automata, share, least)]
+    values += [x[:2] for x in judge.spans(text, candidates(text, base))]
     for s, e in reversed(disjoint(values)):
         text = text[:s] + mark + text[e:]
     return text
@@ -472,7 +497,7 @@ def redact(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """All rows and columns of ``docs``, with credentials in ``text`` replaced and ``n_chars``,
     if there is such a column, counted anew where the text changed. Formats are learned from all
     rows first."""
-    automata, share = learn_formats(written(scan(docs), "secrets"))
+    judge = Judge(*learn_formats(written(scan(docs), "secrets")), least)
     schema = docs.schema
 
     def run(batches):
@@ -480,7 +505,7 @@ def redact(docs: DataFrame, least: float = LEAST) -> DataFrame:
             for part in frames.slices(batch):
                 names = part.schema.names
                 old = part.column(names.index("text")).to_pylist()
-                new = [t and redact_text(t, automata, share, least) for t in old]
+                new = [t and redact_text(t, judge) for t in old]
                 cols = list(part.columns)
                 cols[names.index("text")] = pa.array(new, type=part.schema.field("text").type)
                 if "n_chars" in names:

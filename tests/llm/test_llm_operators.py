@@ -590,6 +590,74 @@ def test_states_not_kept_count_where_they_are_scored(spark):
     assert sum(cs.get("0", (0, 0))[1] for cs in machine.moves.values()) == digits
 
 
+def test_chances_of_a_state_add_up_to_one():
+    words = ["ag0" * k for k in range(1, 6) for _ in range(60)]
+    prefixes = collections.Counter(w[:k] for w in words for k in range(len(w) + 1))
+    machine = secret_formats.infer(dict(prefixes), dict(collections.Counter(words)))
+    ordinary = secret_formats.Ordinary(range(144), 10)
+    for model in (machine, ordinary):
+        for before in ("", "a", "ag0a", "Z.-", "a" * 50):
+            after = 0.0
+            for c, chars in [(c, secret_formats._CLASSES.get(c, c)) for c in secret_formats._SLOTS]:
+                # the chance of going on with c: of all values that begin so, summed to depth 1
+                to = secret_formats.shape(before + c)
+                state = 0
+                if model is machine:
+                    for x in secret_formats.shape(before):
+                        state = machine.moves.get(state, {}).get(x, (state,))[0]
+                    n = machine.moves.get(state, {}).get(c, (0, 0))[1]
+                    after += (n + 0.5) / (machine.visits[state] + 6)
+                else:
+                    last = secret_formats._slots(secret_formats.shape(before))[-2] if before else 11
+                    after += math.exp(ordinary.logs[last][secret_formats._SLOT_OF[c]]) * len(chars)
+            if model is machine:
+                after += (machine.ends[state] + 0.5) / (machine.visits[state] + 6)
+            else:
+                after += math.exp(ordinary.logs[last][11])
+            assert after == pytest.approx(1) and to
+
+
+def test_scores_equal_plain_ones(spark):
+    """Every run of the texts scored anew from counted pairs and walked states."""
+    small = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    scanned = secret_formats.written(secret_formats.scan(small), "test-secrets")
+    automata, ordinary = secret_formats.learn_formats(scanned)
+    judge = secret_formats.Judge(automata, ordinary)
+    slots = "0agAG+/_.=-"
+    pairs = collections.Counter()
+    rows = small.select("text").collect()
+    for (t,) in rows:
+        t, at, kept = t or "", 0, []
+        for s, e in secret_formats.disjoint([x[:2] for x in plain_spans(t)]):
+            kept.append(t[at:s])
+            at = e
+        for run in re.findall(r"[A-Za-z0-9+/_.=-]+", " ".join([*kept, t[at:]])):
+            shaped = "^" + secret_formats.shape(run) + "$"
+            pairs.update(zip(shaped, shaped[1:]))
+    from_ = collections.Counter()
+    for (a, _), n in pairs.items():
+        from_[a] += n
+    secrets = sum(len(plain_spans(t or "")) for (t,) in rows)
+
+    def odds(value):
+        shaped = secret_formats.shape(value)
+        own = max((a.log_likelihood(value) for a in automata.values()), default=-math.inf)
+        for a, b in zip("^" + shaped, shaped + "$"):
+            chance = (pairs[a, b] + 0.5) / (from_[a] + 6)
+            own -= math.log(chance / len(secret_formats._CLASSES.get(b, b)))
+        return own + math.log((secrets + 0.5) / (from_["^"] + 0.5))
+
+    assert automata and set("".join(a + b for a, b in pairs)) <= set(slots + "^$")
+    for value in ["abcdef", "deadbeefdeadbeef", "A1b2C3d4E5f6", "usual", "SHOUTING", "0123456789", "x_y-z.q"]:
+        assert secret_formats.score(value, automata, ordinary)[1] == pytest.approx(odds(value))
+    for (t,) in rows[:60]:
+        base = plain_spans(t or "")
+        found = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", t or "")
+                 if not any(m.start() < e and s < m.end() for s, e, _ in base)]
+        want = [(s, e) for s, e in found if odds(t[s:e]) >= secret_formats.LEAST]
+        assert [x[:2] for x in judge.spans(t or "", secret_formats.candidates(t or "", base))] == want
+
+
 # --- 9 lines
 
 def test_marginals_equal_enumeration():
