@@ -10,7 +10,7 @@ import json
 import os
 import time
 
-from raingrid.plans import catalog
+from raingrid.plans import catalog, q_sources
 from raingrid.session import local_session
 
 HEADLINE = (
@@ -30,6 +30,9 @@ def main() -> None:
     spark = local_session(cores, "raingrid-bench")
     spark.sparkContext.setLogLevel("ERROR")
     table = catalog.queries()
+    # The text files that some queries read are written before the clock starts.
+    q_sources.mooring_files(spark, sf)
+    q_sources.station_files(spark, sf)
     table["value_counts"](spark, sf).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:

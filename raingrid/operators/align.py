@@ -31,7 +31,8 @@ def complete_grid(df: DataFrame, by=BY, ds="ds", values=("value",),
 
     Each row expands over the days up to the next row, so the grid needs one
     shuffle on ``by`` and no join, and later windows reuse that partitioning.
-    Rows of one day are folded first: each column takes its greatest value.
+    Rows of one day are folded first, in the same order of days: each column takes its
+    greatest value. Many raw rows a day are better aggregated before.
     ``ranges`` (by, start, end) fixes the ends instead of the first and last row.
     """
     rows = df.select(*by, ds, *values)
@@ -42,11 +43,11 @@ def complete_grid(df: DataFrame, by=BY, ds="ds", values=("value",),
                 .unionByName(ends, allowMissingColumns=True)
                 .groupBy(*by, ds).agg(*[F.max(v).alias(v) for v in values]))
     else:
-        day = Window.partitionBy(*by, ds)
+        same_day = forward(by, ds).rangeBetween(Window.currentRow, Window.currentRow)
         rows = rows.select(
-            *by, ds, *[F.max(v).over(day).alias(v) for v in values],
-            F.row_number().over(day.orderBy(F.lit(0))).alias("_r"),
-        ).where(F.col("_r") == 1).drop("_r")
+            *by, ds, *[F.max(v).over(same_day).alias(v) for v in values],
+            F.lag(ds).over(forward(by, ds)).alias("_before"),
+        ).where(F.col("_before").isNull() | (F.col("_before") != F.col(ds))).drop("_before")
     following = F.lead(ds).over(forward(by, ds))
     days = F.sequence(F.col(ds), F.coalesce(F.date_sub(following, 1), F.col(ds)))
     return (

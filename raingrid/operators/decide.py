@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raingrid import fixed
@@ -209,6 +209,63 @@ def apply_harvest_window(df: DataFrame, planted: dt.date, first=90, last=100, bu
         F.col("decision")))
 
 
+def growth_days(planted: Column, kind: str | None = "monthly") -> Column:
+    """Days from planting to harvest by the season of the planting month."""
+    rest = F.lit(fixed.GROWTH_DAYS["Transition"])
+    if kind is None:
+        return rest
+    part, out = season_class(planted, kind), rest
+    for name, days in fixed.GROWTH_DAYS.items():
+        out = F.when(part == name, days).otherwise(out)
+    return out
+
+
+def harvest_overrides(df: DataFrame, plantings: DataFrame, kind: str | None = "monthly",
+                      season_labels=False, days=7, by=BY, ds="ds") -> DataFrame:
+    """``harvest_override`` for any number of plantings of any series.
+
+    ``plantings`` has ``by`` and ``planted``; repeated rows count once, and rows without a date
+    not at all. The last ``days`` before each harvest get its label, if the day of harvest is among
+    the dates of the series; where two harvests cover a day, that planted later counts. The
+    plantings are spread over their few days and meet the rows by series and day.
+    """
+    due = F.date_add("planted", growth_days(F.col("planted"), kind))
+    covered = plantings.select(*by, "planted").where("planted IS NOT NULL").distinct().withColumn(
+        "_due", due).withColumn("_day", F.explode(F.sequence(F.date_sub("_due", days - 1), F.col("_due"))))
+    covered = covered.withColumnRenamed("_day", ds).join(df.select(*by, ds, "rr"), [*by, ds])
+    season = Window.partitionBy(*by, "planted")
+    covered = covered.withColumns({
+        "_there": F.bool_or(F.col(ds) == F.col("_due")).over(season),
+        "_wet": F.coalesce(F.bool_or(F.col("rr") > 10).over(season), F.lit(False)),
+        "_first": F.min(ds).over(season)}).where("_there")
+    early = fixed.HARVEST_EARLY if kind else fixed.WINDOW_LABELS["rain"][0]
+    label = F.when(F.col("_wet"), early).otherwise(fixed.HARVEST_ON_TIME)
+    if season_labels:
+        part = season_class(F.col("_first"), kind)
+        label = (F.when(F.col("_wet") & (part == "Wet"), fixed.HARVEST_EARLY_WET)
+                 .when(F.col("_wet"), early).when(part == "Dry", fixed.HARVEST_ON_TIME_DRY)
+                 .otherwise(fixed.HARVEST_ON_TIME))
+    labels = covered.groupBy(*by, ds).agg(F.max_by(label, "planted").alias("_label"))
+    return df.join(labels, [*by, ds], "left").withColumn(
+        "decision", F.coalesce("_label", "decision")).select(*df.columns)
+
+
+def harvest_windows(df: DataFrame, plantings: DataFrame, first=90, last=100, buffer=7, by=BY,
+                    ds="ds") -> DataFrame:
+    """``harvest_window`` for any number of plantings: a row for each planting and watched day,
+    with ``planted`` and ``recommendation``. Repeated plantings count once."""
+    watched = plantings.select(*by, "planted").where("planted IS NOT NULL").distinct().withColumn(
+        "_n", F.explode(F.sequence(F.lit(first - buffer), F.lit(last + buffer))))
+    watched = watched.withColumn(ds, F.date_add("planted", F.col("_n")))
+    core = F.col("_n").between(first, last)
+    pick = lambda name: F.when(core, fixed.WINDOW_LABELS[name][0]).otherwise(
+        fixed.WINDOW_LABELS[name][1])
+    advice = (F.when(F.col("rr") > 10, pick("rain")).when(F.col("rh") > 90, pick("humid"))
+              .otherwise(pick("calm")))
+    return df.join(watched, [*by, ds]).withColumn("recommendation", advice).select(
+        *df.columns, "planted", "recommendation")
+
+
 def monthly_suitability(df: DataFrame, rules=fixed.SUITABILITY, missing_limit_counts=False, by=BY,
                         ds="ds") -> DataFrame:
     """Month means, a half point per limit kept, and the weighted share.

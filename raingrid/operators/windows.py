@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from raingrid.functions import values as V
 from raingrid.operators.common import (
-    BY, backward, forward, from_arrays, last_known, to_arrays, total, whole_series,
+    BY, backward, forward, from_arrays, last_known, scan, to_arrays, total, whole_series,
 )
 
 
@@ -26,18 +26,15 @@ def sma(df: DataFrame, n: int, center=False, min_periods: int | None = None, by=
 def ewma(df: DataFrame, span: int, by=BY, ds="ds", value="value", out="ewma") -> DataFrame:
     """Exponentially weighted mean with weights normalised from the start."""
     keep = 1.0 - 2.0 / (span + 1)
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"),
-                     F.array().cast("array<double>").alias("out"))
 
     def step(s, x):
         num = s["num"] * keep + F.coalesce(x, F.lit(0.0))
         den = s["den"] * keep + F.when(x.isNotNull(), 1.0).otherwise(0.0)
-        return F.struct(num.alias("num"), den.alias("den"),
-                        F.concat(s["out"], F.array(F.try_divide(num, den))).alias("out"))
+        return {"num": num, "den": den}, F.try_divide(num, den)
 
     arrays = to_arrays(df, by, ds, value)
-    smooth = arrays.withColumn(out, F.aggregate("vals", start, step)["out"])
-    return from_arrays(smooth, by, ds, **{value: "vals", out: out})
+    means = scan(F.col("vals"), {"num": F.lit(0.0), "den": F.lit(0.0)}, step, "double")
+    return from_arrays(arrays.withColumn(out, means), by, ds, **{value: "vals", out: out})
 
 
 def ffill(df: DataFrame, limit: int | None = None, by=BY, ds="ds", value="value",
@@ -61,6 +58,15 @@ def fill_both(df: DataFrame, by=BY, ds="ds", value="value", out="filled") -> Dat
     return df.withColumn("_b", before).withColumn(out, F.coalesce("_b", after)).drop("_b")
 
 
+def fill_both_all(df: DataFrame, values, by=BY, ds="ds") -> DataFrame:
+    """``fill_both`` of several columns, in place: one pass forward and one back serve them all."""
+    fwd, bwd = forward(by, ds), backward(by, ds)
+    rows = df.withColumns({f"_b_{v}": last_known(F.col(v), fwd) for v in values})
+    rows = rows.withColumns({f"_a_{v}": last_known(F.col(v), bwd) for v in values})
+    return rows.withColumns({v: F.coalesce(f"_b_{v}", f"_a_{v}") for v in values}).drop(
+        *[f"_{k}_{v}" for k in "ab" for v in values])
+
+
 def _neighbours(df: DataFrame, by, ds, value, axis) -> DataFrame:
     """Adds row number and the known points around each row (two each way)."""
     rows = df.withColumn("_rn", F.row_number().over(forward(by, ds)))

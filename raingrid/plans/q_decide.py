@@ -18,8 +18,7 @@ def _weather(spark, sf):
     """M1 on its grid, filled; some days flagged as unknown rain, some left null."""
     rows = S.m1_grid(spark, sf).withColumn("rain_missing", (
         F.col("rr").isNull() | (F.dayofmonth("ds") % 9 == 0)).cast("int"))
-    for v in ("rr", "tavg", "rh"):
-        rows = W.fill_both(rows, value=v, out=v)
+    rows = W.fill_both_all(rows, ("rr", "tavg", "rh"))
     gone = F.dayofmonth("ds") == 31
     return rows.withColumns({
         "tavg": F.when(~gone, F.col("tavg")),
@@ -192,6 +191,44 @@ WINDOW_CASE = f"""CASE WHEN rr > 10 AND {CORE} THEN 'Percepat Panen (Risiko Huja
   ELSE 'Belum Waktunya Panen' END"""
 
 
+def _plantings(rows):
+    """Three plantings a year for every station, some close enough for their harvests to overlap."""
+    days = F.array(*[F.make_date(F.year("ds"), F.lit(m), F.lit(d)) for m, d in PLANTING_DAYS])
+    return rows.select("series", F.explode(days).alias("planted")).distinct()
+
+
+PLANTING_DAYS = ((1, 11), (3, 30), (4, 1), (6, 20), (10, 5))
+PLANTINGS = f"""pl AS (SELECT DISTINCT series, make_date(year(ds), m, d) AS planted FROM w,
+  (VALUES {', '.join(f'({m}, {d})' for m, d in PLANTING_DAYS)}) t(m, d))"""
+
+
+@query("harvest_overrides", f"""WITH {WEATHER}, {MONTHLY}, dc AS (SELECT *, {MONTHLY_DECISION} AS d0 FROM sc),
+  {PLANTINGS}, du AS (SELECT *, CAST(planted + CASE WHEN month(planted) IN (12, 1, 2, 3) THEN 105
+    WHEN month(planted) IN (7, 8, 9) THEN 95 ELSE 100 END AS DATE) AS due FROM pl),
+  hi AS (SELECT dc.series, planted, due, ds, rr FROM du JOIN dc ON dc.series = du.series AND ds BETWEEN due - 6 AND due),
+  sn AS (SELECT series, planted, coalesce(bool_or(rr > 10), false) AS wet FROM hi GROUP BY 1, 2
+    HAVING bool_or(ds = due)),
+  la AS (SELECT series, ds, arg_max(CASE WHEN wet THEN 'Percepat Panen 1-2 Hari (Risiko Hujan)'
+    ELSE 'Panen Sesuai Jadwal' END, planted) AS label FROM hi JOIN sn USING (series, planted) GROUP BY 1, 2)
+  SELECT series, ds, rr, coalesce(label, d0) AS decision FROM dc LEFT JOIN la USING (series, ds)""")
+def harvest_overrides(spark, sf):
+    """Every station with plantings of its own in every year."""
+    rows = D.advise(_weather(spark, sf), "monthly")
+    return D.harvest_overrides(rows, _plantings(rows)).select("series", "ds", "rr", "decision")
+
+
+@query("harvest_windows", f"""WITH {WEATHER}, {PLANTINGS}, x AS (SELECT w.*, planted, date_diff('day', planted, ds) AS n
+  FROM w JOIN pl USING (series)) SELECT series, planted, ds, rr, rh, CASE
+  WHEN rr > 10 AND n BETWEEN 90 AND 100 THEN 'Percepat Panen (Risiko Hujan)' WHEN rr > 10 THEN 'Pantau Cuaca'
+  WHEN rh > 90 AND n BETWEEN 90 AND 100 THEN 'Pertimbangkan Panen (Kelembaban Tinggi)'
+  WHEN rh > 90 THEN 'Pantau Kelembaban' WHEN n BETWEEN 90 AND 100 THEN 'Panen Sesuai Jadwal'
+  ELSE 'Belum Waktunya Panen' END AS recommendation FROM x WHERE n BETWEEN 83 AND 107""")
+def harvest_windows(spark, sf):
+    rows = _weather(spark, sf)
+    return D.harvest_windows(rows, _plantings(rows)).select(
+        "series", "planted", "ds", "rr", "rh", "recommendation")
+
+
 @query("harvest_window", f"""WITH {WEATHER} SELECT series, ds, rr, rh, {WINDOW_CASE} AS recommendation FROM w
   WHERE {AROUND}""")
 def harvest_window(spark, sf):
@@ -298,8 +335,8 @@ w AS (SELECT series, ds, rain_missing, round(avg(rr) OVER s, 6) AS rr, round(avg
 def planting_advice(spark, sf):
     """Daily grid, missing flag, fill, weekly mean, classes, score and decision."""
     rows = S.m1_grid(spark, sf).withColumn("rain_missing", V.missing_flag(F.col("rr")))
+    rows = W.fill_both_all(rows, ("rr", "tavg", "rh"))
     for v in ("rr", "tavg", "rh"):
-        rows = W.fill_both(rows, value=v, out=v)
         rows = W.sma(rows, 7, min_periods=1, value=v, out=f"{v}_mean")
     means = {v: F.round(f"{v}_mean", 6) for v in ("rr", "tavg", "rh")}
     return D.advise(rows.withColumns(means)).select(

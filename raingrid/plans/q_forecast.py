@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raingrid.operators import forecast as P
+from raingrid.operators import longscan as X
 from raingrid.operators import smoothing as H
 from raingrid.operators import windows as W
 from raingrid.operators.common import to_arrays, whole_series
@@ -96,6 +97,17 @@ def holt(spark, sf):
     return rounded(H.fitted_rows(H.holt(S.e1(spark, sf), 0.3, 0.1)), 6, "fitted").drop("candidate")
 
 
+@query("ses_long", one_sql(S.L1, "l1", SES, trend=False) + FITTED)
+def ses_long(spark, sf):
+    """Blocks of 128 days, each smoothed in a task of its own."""
+    return rounded(X.ses_long(S.l1(spark, sf), 0.3, block_days=128), 6, "fitted")
+
+
+@query("holt_long", one_sql(S.L1, "l1", HOLT) + FITTED)
+def holt_long(spark, sf):
+    return rounded(X.holt_long(S.l1(spark, sf), 0.3, 0.1, block_days=128), 6, "fitted")
+
+
 DAMPED = H.candidate(alpha=0.3, beta=0.05, gamma=0.2, phi=0.98, m=7)
 RATIO = H.candidate(alpha=0.3, beta=0.05, gamma=0.2, m=7, kind="mul")
 

@@ -7,6 +7,7 @@ reads them back, so the work grows with the tables.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import functions as F
 
@@ -23,6 +24,22 @@ from raingrid.sources import mooring as M
 from raingrid.sources import sink, station
 
 
+_made: dict[tuple, str] = {}
+
+
+def once(make):
+    """Files that ``make(spark, sf)`` writes, written once for a session and folder of tables."""
+    @functools.wraps(make)
+    def path_of(spark, sf):
+        key = (make.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _made:
+            _made[key] = make(spark, sf)
+        return _made[key]
+
+    return path_of
+
+
+@once
 def station_files(spark, sf) -> str:
     """E1 as yearly-style station CSV files, one folder per station, with sentinels."""
     day, v = F.dayofmonth("ds"), F.col("value")
@@ -54,6 +71,7 @@ FILES = {"click": "t8n90e_dy.ascii", "view": "t0n90e_dy.ascii", "error": "unname
          "purchase": "sst8n90e_dy.ascii", "signup": "w4n90e_dy.ascii"}
 
 
+@once
 def mooring_files(spark, sf) -> str:
     """E1 as mooring text: blocks with own headers, packed codes, missing marks.
 
@@ -144,6 +162,7 @@ def depth_columns(spark, sf):
         "depth", "position").agg(F.count(F.lit(1)).alias("n"))
 
 
+@once
 def sheet_files(spark, sf) -> str:
     """E1 as sheet exports: title rows, header, data, a blank row and remarks."""
     day, v = F.dayofmonth("ds"), F.col("value")
@@ -196,6 +215,7 @@ def mooring_table(spark, sf):
                                "TEMP_20m", "UWND"), 4, "SST", "TEMP_20m", "UWND")
 
 
+@once
 def _whole_stations(spark, sf) -> str:
     """M1 as station CSV files with all variables, each with gaps of its own."""
     day = F.unix_date("ds")
@@ -243,10 +263,9 @@ def station_table(spark, sf):
   CAST(b + 1 AS DATE) AS first_day, CAST(b + 120 AS DATE) AS last_day, 0::BIGINT AS n_null,
   0::BIGINT AS n_outside FROM sp""")
 def station_outlook(spark, sf):
-    """Searched models to advice: each day after the last has a forecast, a score and a decision."""
-    tried = {k: H.season_candidates(v, alphas=(0.2,), lengths=fixed.SEASON_LENGTHS[v][1:])
-             for k, (v, _) in flows.FORECAST.items()}
-    rows = flows.station_outlook(_cleaned(spark, sf), candidates=tried)
+    """Models searched over all seasons usual for a variable, to advice: each day after the last
+    has a forecast, a score and a decision. ``outlook_rain`` and the like check the values."""
+    rows = flows.station_outlook(_cleaned(spark, sf))
     empty = F.col("rr").isNull() | F.col("tavg").isNull() | F.col("rh").isNull() | F.col("decision").isNull()
     return rows.groupBy("station").agg(
         F.count(F.lit(1)).alias("n_days"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day"),

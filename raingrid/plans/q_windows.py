@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from raingrid.operators import longscan as X
 from raingrid.operators import windows as W
 from raingrid.plans import series as S
 from raingrid.plans.registry import query
@@ -38,6 +39,12 @@ def ewma(spark, sf):
     return W.ewma(S.e1(spark, sf), 30).withColumn("ewma", R6("ewma"))
 
 
+@query("ewma_long", f"WITH {S.E1}, {EWMA_SQL} SELECT series, ds, value, round(e, 6) AS ewma FROM ew")
+def ewma_long(spark, sf):
+    """Blocks of a week, each in a task of its own."""
+    return X.ewma_long(S.e1(spark, sf), 30, block_days=7).withColumn("ewma", R6("ewma"))
+
+
 FILL_WINDOWS = """WINDOW f AS (PARTITION BY series ORDER BY ds ROWS UNBOUNDED PRECEDING),
   b AS (PARTITION BY series ORDER BY ds DESC ROWS UNBOUNDED PRECEDING),
   f2 AS (PARTITION BY series ORDER BY ds ROWS 2 PRECEDING),

@@ -7,12 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from raingrid.operators import arima as R
+from raingrid.operators import decide as D
 from raingrid.operators import fitting as G
 from raingrid.operators import forecast as P
 from raingrid.operators import linear as L
+from raingrid.operators import longscan as X
 from raingrid.operators import smoothing as H
 from raingrid.operators import stats as A
 from raingrid.operators import trends as T
+from raingrid.operators import windows as W
 
 SERIES = "series string, ds date, value double"
 
@@ -227,3 +230,48 @@ def test_spikes_do_not_move_robust_parts(spark):
     weights = [robust["spiked", d].weight for d in days]
     assert max(weights[i] for i in (33, 70, 101)) == 0 and sum(w < 0.01 for w in weights) < 10
     assert all(abs(r.trend + r.seasonal + r.resid - r.value) < 1e-9 for r in robust.values() if r.trend is not None)
+
+
+@pytest.mark.parametrize("days", [1, 7, 64, 5000])
+def test_blocks_equal_the_whole_series(spark, days):
+    rng = np.random.default_rng(9)
+    v = np.cumsum(rng.normal(size=150)) + 40
+    holes = [None if i % 7 == 3 or i < 2 else x for i, x in enumerate(v)]
+    rows = daily(spark, a=v, b=v[::-1][:60], one=[3.0])
+
+    def values(df, name):
+        return {(r.series, r.ds): r[name] for r in df.collect()}
+
+    for whole, parts in ((H.ses(rows, 0.3), X.ses_long(rows, 0.3, days)),
+                         (H.holt(rows, 0.3, 0.1), X.holt_long(rows, 0.3, 0.1, days))):
+        want, got = values(H.fitted_rows(whole), "fitted"), values(parts, "fitted")
+        assert all(got[k] == pytest.approx(x) for k, x in want.items() if k[0] != "one")
+    rows = daily(spark, a=v, holes=holes)
+    want, got = values(W.ewma(rows, 9), "ewma"), values(X.ewma_long(rows, 9, days), "ewma")
+    assert got.keys() == want.keys()
+    assert all((got[k] is None) == (x is None) and (x is None or got[k] == pytest.approx(x))
+               for k, x in want.items())
+
+
+def test_plantings_one_by_one_equal_all_at_once(spark):
+    import datetime as dt
+
+    rng = np.random.default_rng(11)
+    days = [dt.date(2021, 1, 1) + dt.timedelta(i) for i in range(300)]
+    rows = spark.createDataFrame(
+        [(s, d, float(rng.uniform(0, 14)), float(rng.uniform(50, 99)), "x") for s in "ab" for d in days],
+        "series string, ds date, rr double, rh double, decision string")
+    planted = {"a": [dt.date(2021, 1, 5), dt.date(2021, 6, 1), dt.date(2021, 12, 1)], "b": [dt.date(2021, 3, 30)]}
+    frame = spark.createDataFrame([(s, d) for s, ds in planted.items() for d in ds] + [("a", planted["a"][0]), ("b", None)],
+                                  "series string, planted date")
+    want, watched = {}, set()
+    for s, dates in planted.items():
+        own = rows.where(F.col("series") == s)
+        for d in dates:
+            watched |= {(r.series, d, r.ds, r.recommendation) for r in D.harvest_window(own, d).collect()}
+            own = D.harvest_override(own, d)
+        want |= {(r.series, r.ds): r.decision for r in own.collect()}
+    got = {(r.series, r.ds): r.decision for r in D.harvest_overrides(rows, frame).collect()}
+    assert got == want
+    assert {(r.series, r.planted, r.ds, r.recommendation)
+            for r in D.harvest_windows(rows, frame).collect()} == watched

@@ -6,6 +6,8 @@ import check
 from raingrid.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+#: Queries that report what is rare, which the smallest tables may not hold.
+MAY_BE_EMPTY = ()
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
@@ -17,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, con, name):
     _, notes = check.differences(QUERIES[name](spark, SF), con, SQL[name])
-    assert notes in ([], ["no rows"])
+    assert notes == [] or name in MAY_BE_EMPTY and notes == ["no rows"]
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
