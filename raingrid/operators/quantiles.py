@@ -5,53 +5,87 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from raingrid.session import written
+
+#: Ranges up to which a table of them is sent to every task.
+SENT_RANGES = 100_000
+
+
+def _within(counts: DataFrame, ranges: DataFrame, by) -> DataFrame:
+    """Counted values that lie in a range (above lo, up to hi) of their group."""
+    small = ranges.count() <= SENT_RANGES
+    rows = counts.join(F.broadcast(ranges) if small else ranges, list(by))
+    return rows.where((F.col("_lo").isNull() | (F.col("_v") > F.col("_lo")))
+                      & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
+
+
+def _narrowed(inside: DataFrame, wanted: DataFrame, cuts: int, by) -> DataFrame:
+    """``wanted`` with the part of its range that holds its rank."""
+    key = [*by, "_lo", "_hi", "_before"]
+    shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    borders = inside.groupBy(*key).agg(F.percentile_approx("_v", shares, F.lit(10 * cuts)).alias("_cuts"))
+    names = {c: f"{c}2" for c in key}
+    borders = written(borders.withColumnsRenamed(names), "borders")
+    same = None
+    for c, other in names.items():
+        test = F.col(c).eqNullSafe(F.col(other))
+        same = test if same is None else same & test
+    small = borders.count() <= SENT_RANGES
+    placed = inside.join(F.broadcast(borders) if small else borders, same).withColumn(
+        "_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    parts = placed.groupBy(*key, "_part").agg(F.sum("_n").alias("_rows"), F.max("_v").alias("_top"))
+    order = Window.partitionBy(*key).orderBy("_part")
+    parts = parts.withColumns({
+        "_start": F.col("_before") + F.sum("_rows").over(order) - F.col("_rows"),
+        "_under": F.coalesce(F.lag("_top").over(order), F.col("_lo"))})
+    parts = parts.withColumnsRenamed(names)
+    return wanted.join(parts, same).where(F.col("_rank").between(
+        F.col("_start"), F.col("_start") + F.col("_rows") - 1)).select(
+        *by, "_i", "_rank", "_share", F.col("_under").alias("_lo"), F.col("_top").alias("_hi"),
+        F.col("_start").alias("_before"))
+
 
 def exact_quantiles(df: DataFrame, probs: list[float], by=("series",), value="value",
-                    cuts: int = 64) -> DataFrame:
+                    most: int = 1_000_000, cuts: int = 256) -> DataFrame:
     """Linear-interpolated quantiles, one array ``quantiles`` per group.
 
-    ``percentile`` holds every distinct value of a group in one buffer. Here equal
-    values are counted first, a sketch of fixed size splits each group into about
-    ``cuts`` value ranges, and only the ranges that hold a wanted rank are sorted,
-    each in its own task. The sketch only places the borders, so the result is exact.
+    ``percentile`` holds every distinct value of a group in one buffer. Here equal values are
+    counted once and written; the range in which a wanted rank lies is narrowed, by a sketch of
+    its values into about ``cuts`` parts, until no range has more than ``most`` distinct values;
+    only those are sorted, each in its own task. The sketch only places borders, so the result is
+    exact. Each round reads the counted values while the plan is built; groups of up to ``most``
+    values need none. Nulls are left out, and a group without values has no row.
     """
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    borders = known.groupBy(*by).agg(
-        F.percentile_approx(value, shares, F.lit(10 * cuts)).alias("_cuts"))
-    part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    placed = counts.join(borders, list(by)).select(*by, "_v", "_n", part.alias("_part"))
-
-    steps = Window.partitionBy(*by).orderBy("_part")
-    ranges = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
-    ranges = ranges.withColumn(
-        "_before", F.sum("_size").over(steps.rowsBetween(Window.unboundedPreceding, -1))
-    ).withColumn("_before", F.coalesce("_before", F.lit(0))).withColumn(
-        "_total", F.sum("_size").over(Window.partitionBy(*by)))
-    want = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(float(p)))
-                              .alias("at")) for i, p in enumerate(probs)])
-    end = F.col("_before") + F.col("_size")
-    held = F.filter(want, lambda w: (F.floor(w["at"]) < end)
-                    & (F.ceil(w["at"]) >= F.col("_before")))
-    targets = ranges.select(*by, "_part", "_before", held.alias("_held")).where(
-        F.size("_held") > 0)
-
-    inside = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, 0)
-    ranked = placed.join(targets, [*by, "_part"]).withColumn("_upto", F.sum("_n").over(inside))
-    hit = ranked.withColumn("_w", F.explode("_held")).withColumns(
-        {"_i": F.col("_w.i"), "_at": F.col("_w.at")})
-    last = F.col("_before") + F.col("_upto")  # ranks [last - n, last) have this value
-    first = last - F.col("_n")
-    low, high = F.floor("_at"), F.ceil("_at")
-    weight = F.col("_at") - low
-    takes_low = (low >= first) & (low < last)
-    takes_high = (high >= first) & (high < last)
-    share = (F.when(takes_low, 1 - weight).otherwise(0.0)
-             + F.when(takes_high & (high > low), weight).otherwise(0.0))
-    points = hit.where(takes_low | takes_high).groupBy(*by, "_i").agg(
-        F.sum(F.col("_v") * share).alias("_q"))
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n")), "counted")
+    at = (F.col("_total") - 1) * F.lit(1.0)
+    pairs = []
+    for i, p in enumerate(probs):
+        low, over = F.floor(at * p), at * p - F.floor(at * p)
+        pairs += [F.struct(F.lit(i).alias("_i"), low.alias("_rank"), (1.0 - over).alias("_share")),
+                  F.struct(F.lit(i).alias("_i"), F.ceil(at * p).alias("_rank"), over.alias("_share"))]
+    kind = dict(counts.dtypes)["_v"]
+    wanted = counts.groupBy(*by).agg(F.sum("_n").alias("_total")).select(
+        *by, F.explode(F.array(*pairs)).alias("_w")).select(
+        *by, "_w.*", F.lit(None).cast(kind).alias("_lo"), F.lit(None).cast(kind).alias("_hi"),
+        F.lit(0).cast("long").alias("_before"))
+    while True:
+        wanted = written(wanted, "wanted")
+        inside = _within(counts, wanted.select(*by, "_lo", "_hi", "_before").distinct(), by)
+        sizes = inside.groupBy(*by, "_lo", "_hi").count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) <= most:
+            break
+        wanted = _narrowed(inside, wanted, cuts, by)
+
+    upto = Window.partitionBy(*by, "_lo", "_hi").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(upto)).select(
+        *[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_lo").alias("_lo2"),
+        F.col("_hi").alias("_hi2"), "_v", (F.col("_upto") - F.col("_n")).alias("_from"), "_upto")
+    own = F.col("_lo").eqNullSafe(F.col("_lo2")) & F.col("_hi").eqNullSafe(F.col("_hi2"))
+    for i, b in enumerate(by):
+        own = own & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    hit = ranked.join(wanted, own).where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto")))
+    points = hit.groupBy(*by, "_i").agg(F.sum(F.col("_v") * F.col("_share")).alias("_q"))
     return points.groupBy(*by).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"])
         .alias("quantiles"))

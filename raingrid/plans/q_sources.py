@@ -15,6 +15,8 @@ from raingrid import fixed
 from raingrid.functions import values as V
 from raingrid.operators import smoothing as H
 from raingrid.plans import flows
+from raingrid.plans import q_decide as QD
+from raingrid.plans import q_forecast as QF
 from raingrid.plans import series as S
 from raingrid.plans.q_stats import rounded
 from raingrid.plans.registry import query
@@ -282,17 +284,30 @@ def coverage(spark, sf):
     return rounded(rows, 6, "percent")
 
 
-@query("planting_months", f"""WITH {S.O1}, en AS (SELECT series, max(ds) AS e FROM o1 GROUP BY 1),
-  dy AS (SELECT series, CAST(e + CAST(h AS INTEGER) AS DATE) AS ds FROM en, range(1, 366) t(h))
-  SELECT series, CAST(date_trunc('month', ds) AS DATE) AS period, true AS scored, true AS decided
-  FROM dy GROUP BY 1, 2""")
+YEAR_AHEAD = H.candidate(phi=0.98, m=365)
+
+
+@query("planting_months", f"""WITH RECURSIVE {S.O1G}, f0 AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS v FROM o1g),
+f1 AS (SELECT series, ds, unnest(['SST', 'SWRad', 'WSPD']) AS k,
+  unnest([CAST(24 + v % 9 AS DOUBLE), CAST(100 + v % 113 AS DOUBLE), 1 + (v % 13) / 2]) AS x FROM f0),
+lv AS (SELECT series || '/' || k AS series, ds, coalesce(last_value(x IGNORE NULLS) OVER f,
+  last_value(x IGNORE NULLS) OVER b) AS value FROM f1
+  WINDOW f AS (PARTITION BY series, k ORDER BY ds ROWS UNBOUNDED PRECEDING),
+  b AS (PARTITION BY series, k ORDER BY ds DESC ROWS UNBOUNDED PRECEDING)),
+{QF.arr_sql('lv')}, {QF.cand_sql('cand', [YEAR_AHEAD], 'lv')}, {QF.smooth_sql('hw', 'arr', 'cand')},
+{QF.last_sql(365)}, mo AS (SELECT split_part(series, '/', 1) AS series, split_part(series, '/', 2) AS k,
+  CAST(date_trunc('month', ds) AS DATE) AS period, avg(yhat + bias) AS x FROM fc JOIN bias USING (series) GROUP BY ALL),
+suit AS (SELECT series, period, max(CASE WHEN x >= 27 THEN 0.5 ELSE 0 END + CASE WHEN x <= 30 THEN 0.5 ELSE 0 END)
+    FILTER (k = 'SST') AS a, max(CASE WHEN x >= 150 THEN 0.5 ELSE 0 END) FILTER (k = 'SWRad') AS b,
+  max(CASE WHEN x >= 1 THEN 0.5 ELSE 0 END + CASE WHEN x <= 6 THEN 0.5 ELSE 0 END) FILTER (k = 'WSPD') AS c
+  FROM mo GROUP BY 1, 2){QD.CAL[len(QD.SEA):]}
+  SELECT series, period, CAST(suitability AS DOUBLE) AS suitability, decision FROM cal""")
 def planting_months(spark, sf):
-    """A year ahead by month: every month has a share of suitability and a decision."""
+    """A year ahead by month; SQL smooths each day, and takes the months and decisions from that."""
     v = F.round(F.col("value") * 100).cast("bigint")
     sea = S.o1(spark, sf).select(
         "series", "ds", (24 + F.pmod(v, F.lit(9))).cast("double").alias("SST"),
         (100 + F.pmod(v, F.lit(113))).cast("double").alias("SWRad"),
         (1 + F.pmod(v, F.lit(13)) / 2).alias("WSPD"))
     rows = flows.planting_months(sea)
-    return rows.select("series", "period", F.col("suitability").between(0, 1).alias("scored"),
-                       F.col("decision").isin(*fixed.CALENDAR_LABELS.values()).alias("decided"))
+    return rows.select("series", "period", F.round("suitability", 6).alias("suitability"), "decision")

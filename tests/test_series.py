@@ -168,6 +168,26 @@ def test_rolling_and_ewma_match_pandas(spark):
     assert np.allclose(got, s.ewm(span=10).mean())
 
 
+def test_quantiles_by_repeated_narrowing(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    groups = {"hot": [rng.randrange(-5000, 5000) / 8 for _ in range(4000)], "flat": [2.5] * 50,
+              "few": [3.0, -1.0, 2.0], "one": [7.0], "none": [None]}
+    groups["hot"] += [0.125] * 3000 + [None] * 10
+    rows = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v],
+                                 "series string, value double").repartition(5)
+    probs = [0.0, 0.013, 0.25, 0.5, 0.77, 1.0]
+    for most, cuts in ((20, 4), (1, 2), (10**6, 256)):
+        got = {r.series: r.quantiles for r in exact_quantiles(rows, probs, most=most, cuts=cuts).collect()}
+        assert got.keys() == groups.keys() - {"none"}
+        for k, q in got.items():
+            known = [x for x in groups[k] if x is not None]
+            assert np.allclose(q, np.quantile(known, probs)), (k, most)
+
+
 def test_exact_quantiles_on_a_hot_group(spark):
     rng = np.random.default_rng(3)
     hot = np.concatenate([np.full(4000, 7.0), rng.normal(0, 50, 3000).round(1)])
