@@ -11,7 +11,7 @@ from raingrid.functions import values as V
 from raingrid.operators import linear as L
 from raingrid.operators import windows as W
 from raingrid.operators.align import outer_merge
-from raingrid.operators.common import BY, dealt, forward, last_known, to_arrays, total, whole_series
+from raingrid.operators.common import BY, backward, dealt, forward, last_known, to_arrays, total, whole_series
 
 
 def seasonal_naive(df: DataFrame, horizon: int, levels=("month",), scheme="binned", by=BY, ds="ds",
@@ -97,23 +97,39 @@ def seasonal_trend_fill(df: DataFrame, m: int = 7, max_null=0.3, by=BY, ds="ds",
 
 def interval(forecasts: DataFrame, fitted: DataFrame, z=1.96, skip: int = 0,
              last: int | None = None, floor: float | None = None, by=BY, ds="ds") -> DataFrame:
-    """Forecast plus and minus z times the in-sample error.
+    """Forecast plus and minus z times the in-sample error, as lo and hi: one of ``intervals``."""
+    one = {"_": {"skip": skip, "last": last, "floor": floor}}
+    return intervals(forecasts, fitted, one, z, by, ds).withColumnsRenamed({"lo__": "lo", "hi__": "hi"})
 
-    The error is over all fitted rows, those after the first ``skip``, or the last.
+
+def intervals(forecasts: DataFrame, fitted: DataFrame, errors: dict[str, dict], z=1.96, by=BY,
+              ds="ds") -> DataFrame:
+    """Several bands at once: lo_<name> and hi_<name> for each of ``errors``.
+
+    An error is over all fitted rows, those after the first ``skip``, the last ``last`` ones, or
+    both; its lower band is held at ``floor`` if given. All errors share one pass and one join.
     """
-    rows = fitted
-    if skip:
-        rows = rows.withColumn("_r", F.row_number().over(forward(by, ds))).where(
-            F.col("_r") > skip)
-    if last:
-        rows = W.tail(rows, last, by, ds)
     miss = F.col("value") - F.col("fitted")
-    rmse = rows.groupBy(*by).agg(F.sqrt(F.avg(miss * miss)).alias("rmse"))
-    low = F.col("yhat") - z * F.col("rmse")
-    if floor is not None:
-        low = V.bound(low, floor)
-    return forecasts.join(rmse, list(by)).withColumns(
-        {"lo": low, "hi": F.col("yhat") + z * F.col("rmse")})
+    rows = fitted
+    if any(e.get("skip") for e in errors.values()):
+        rows = rows.withColumn("_r", F.row_number().over(forward(by, ds)))
+    if any(e.get("last") for e in errors.values()):
+        rows = rows.withColumn("_left", F.row_number().over(backward(by, ds)))
+    aggs = []
+    for name, e in errors.items():
+        use = F.lit(True)
+        if e.get("skip"):
+            use = use & (F.col("_r") > e["skip"])
+        if e.get("last"):
+            use = use & (F.col("_left") <= e["last"])
+        aggs.append(F.sqrt(F.avg(F.when(use, miss * miss))).alias(f"_rmse_{name}"))
+    out = forecasts.join(rows.groupBy(*by).agg(*aggs), list(by))
+    for name, e in errors.items():
+        low = F.col("yhat") - z * F.col(f"_rmse_{name}")
+        if e.get("floor") is not None:
+            low = V.bound(low, e["floor"])
+        out = out.withColumns({f"lo_{name}": low, f"hi_{name}": F.col("yhat") + z * F.col(f"_rmse_{name}")})
+    return out.drop(*[f"_rmse_{name}" for name in errors])
 
 
 def metrics(df: DataFrame, by=BY, actual="actual", forecast="forecast", eps=0.01) -> DataFrame:

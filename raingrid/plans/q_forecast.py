@@ -255,11 +255,8 @@ er AS (SELECT series, sqrt(avg(power(y - fitted, 2))) AS r_all,
 def interval(spark, sf):
     fits = H.holt_winters(S.e1(spark, sf), **DAMPED)
     future, past = H.forecast(fits, 14), H.fitted_rows(fits)
-    rows = P.interval(future, past).drop("rmse", "candidate")
-    skip = P.interval(future, past, skip=7, floor=0.0).select(
-        "series", "h", F.col("lo").alias("lo_skip"))
-    last = P.interval(future, past, last=10).select("series", "h", F.col("hi").alias("hi_last"))
-    out = rows.join(skip, ["series", "h"]).join(last, ["series", "h"])
+    out = P.intervals(future, past, {"all": {}, "skip": {"skip": 7, "floor": 0.0}, "last": {"last": 10}})
+    out = out.withColumnsRenamed({"lo_all": "lo", "hi_all": "hi"}).drop("hi_skip", "lo_last", "candidate")
     return rounded(out, 6, "yhat", "lo", "hi", "lo_skip", "hi_last")
 
 

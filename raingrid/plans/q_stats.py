@@ -101,6 +101,36 @@ def circular_mean_season(spark, sf):
         "mean_direction", F.round("mean_direction", 5))
 
 
+#: Directions of one station per hundred customers, on all days of several years.
+WINDS = """m3 AS (SELECT 'S' || CAST(o_custkey // 100 AS VARCHAR) AS series, CAST(o_orderdate AS DATE) AS ds,
+  round((CAST(round(o_totalprice * 100) AS BIGINT) % 3600) / 10, 4) AS direction FROM orders)"""
+
+
+def _winds(spark, sf):
+    return S.table(spark, sf, "orders").select(
+        F.concat(F.lit("S"), F.floor(F.col("o_custkey") / 100).cast("string")).alias("series"),
+        F.to_date("o_orderdate").alias("ds"),
+        (F.pmod(F.round(F.col("o_totalprice") * 100).cast("bigint"), F.lit(3600)) / 10).alias("direction"))
+
+
+@query("circular_mean_by_month", f"""WITH {WINDS} SELECT series, CAST(month(ds) AS INTEGER) AS month,
+  round({ANGLE}, 5) AS mean_direction, round({CIRCULAR}, 6) AS consistency, count(direction) AS n
+  FROM m3 GROUP BY 1, 2""")
+def circular_mean_by_month(spark, sf):
+    rows = _winds(spark, sf).withColumn("month", F.month("ds"))
+    return rounded(A.circular_stats(rows, ("series", "month")), 6, "consistency").withColumn(
+        "mean_direction", F.round("mean_direction", 5))
+
+
+@query("circular_mean_by_season", f"""WITH {WINDS} SELECT series, {S.season_sql('ds', 'binned')} AS season,
+  round({ANGLE}, 5) AS mean_direction, round({CIRCULAR}, 6) AS consistency, count(direction) AS n
+  FROM m3 GROUP BY 1, 2""")
+def circular_mean_by_season(spark, sf):
+    rows = _winds(spark, sf).withColumn("season", V.season(F.col("ds"), "binned"))
+    return rounded(A.circular_stats(rows, ("series", "season")), 6, "consistency").withColumn(
+        "mean_direction", F.round("mean_direction", 5))
+
+
 @query("mode_by", """WITH c AS (SELECT CAST(month(o_orderdate) AS INTEGER) AS month, o_orderpriority AS v,
   count(*) AS n FROM orders GROUP BY 1, 2)
   SELECT month, v AS mode, n FROM c QUALIFY row_number() OVER (PARTITION BY month ORDER BY n DESC, v) = 1

@@ -189,6 +189,7 @@ def _lag_query(name, length):
 
 _lag_query("lag_windows", 60)
 _lag_query("lag_windows_year", 365)
+_lag_query("lag_windows_two_years", 700)
 
 ACF = """c AS (SELECT series, value - avg(value) OVER (PARTITION BY series) AS d,
   row_number() OVER (PARTITION BY series ORDER BY ds) AS rn FROM l1),
