@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from raingrid.operators import hotscan as K
 from raingrid.operators import longscan as X
 from raingrid.operators import windows as W
 from raingrid.plans import series as S
@@ -251,3 +252,44 @@ def head_tail(spark, sf):
     rows = S.o1(spark, sf)
     return W.head(rows, 5).withColumn("kind", F.lit("head")).unionByName(
         W.tail(rows, 60).withColumn("kind", F.lit("tail")))
+
+
+#: Raw events by type, three of four values unknown, and the SQL of their neighbours.
+RAW = """ev AS (SELECT event_type AS series, event_id, epoch_us(ts) / 1e6 AS x,
+  CASE WHEN event_id % 4 = 0 THEN value END AS value FROM events),
+nb AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN {'x': x, 'v': value} END IGNORE NULLS) OVER f AS p,
+  last_value(CASE WHEN value IS NOT NULL THEN {'x': x, 'v': value} END IGNORE NULLS) OVER b AS n FROM ev
+  WINDOW f AS (PARTITION BY series ORDER BY x, event_id ROWS UNBOUNDED PRECEDING),
+  b AS (PARTITION BY series ORDER BY x DESC, event_id DESC ROWS UNBOUNDED PRECEDING))"""
+HOUR = 3600.0
+
+
+def _raw(spark, sf):
+    rows = S.table(spark, sf, "events").select(
+        F.col("event_type").alias("series"), "event_id",
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("x"),
+        F.when(F.col("event_id") % 4 == 0, F.col("value")).alias("value"))
+    return rows
+
+
+@query("ffill_long", f"""WITH {RAW} SELECT series, event_id, round(coalesce(value, p.v), 6) AS filled FROM nb""")
+def ffill_long(spark, sf):
+    """Raw rows of five types, in blocks of six hours."""
+    rows = K.ffill_long(_raw(spark, sf), F.col("x"), 6 * HOUR, ties=("event_id",))
+    return rows.select("series", "event_id", R6("filled").alias("filled"))
+
+
+@query("nearest_within_long", f"""WITH {RAW} SELECT series, event_id, round(coalesce(value, CASE
+  WHEN p IS NOT NULL AND (n IS NULL OR x - p.x <= n.x - x) THEN CASE WHEN x - p.x < 900 THEN p.v END
+  WHEN n.x - x < 900 THEN n.v END), 6) AS filled FROM nb""")
+def nearest_within_long(spark, sf):
+    rows = K.nearest_within_long(_raw(spark, sf), F.col("x"), 6 * HOUR, 900.0, ties=("event_id",))
+    return rows.select("series", "event_id", R6("filled").alias("filled"))
+
+
+@query("interpolate_long", f"""WITH {RAW} SELECT series, event_id, round(coalesce(value, CASE
+  WHEN p IS NOT NULL AND n IS NOT NULL THEN p.v + (n.v - p.v) * CASE WHEN n.x > p.x THEN (x - p.x) / (n.x - p.x)
+  ELSE 0 END ELSE p.v END), 6) AS filled FROM nb""")
+def interpolate_long(spark, sf):
+    rows = K.interpolate_long(_raw(spark, sf), F.col("x"), 6 * HOUR, ties=("event_id",))
+    return rows.select("series", "event_id", R6("filled").alias("filled"))

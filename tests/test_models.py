@@ -10,6 +10,7 @@ from raingrid.operators import arima as R
 from raingrid.operators import decide as D
 from raingrid.operators import fitting as G
 from raingrid.operators import forecast as P
+from raingrid.operators import hotscan as K
 from raingrid.operators import linear as L
 from raingrid.operators import longscan as X
 from raingrid.operators import smoothing as H
@@ -275,3 +276,47 @@ def test_plantings_one_by_one_equal_all_at_once(spark):
     assert got == want
     assert {(r.series, r.planted, r.ds, r.recommendation)
             for r in D.harvest_windows(rows, frame).collect()} == watched
+
+
+@pytest.mark.parametrize("width", [1.0, 10.0, 1000.0])
+def test_fills_of_hot_series_equal_plain_ones(spark, width):
+    import random
+
+    rng = random.Random(5)
+    rows = [(s, i, float(rng.randrange(120)) - 20, None if rng.random() < 0.8 else float(rng.randrange(50)))
+            for s, n in (("hot", 300), ("few", 4), ("one", 1)) for i in range(n)] + [("none", 0, 1.0, None)]
+    df = spark.createDataFrame(rows, "series string, id int, x double, value double")
+    want = {}
+    for s in {r[0] for r in rows}:
+        own = sorted((x, i, v) for t, i, x, v in rows if t == s)
+        for at, (x, i, v) in enumerate(own):
+            p = next((o for o in reversed(own[: at + 1]) if o[2] is not None), None)
+            n = next((o for o in own[at:] if o[2] is not None), None)
+            near = None
+            if p and (not n or x - p[0] <= n[0] - x):
+                near = p[2] if x - p[0] < 5 else None
+            elif n:
+                near = n[2] if n[0] - x < 5 else None
+            line = None
+            if p and n:
+                line = p[2] + (n[2] - p[2]) * ((x - p[0]) / (n[0] - p[0]) if n[0] > p[0] else 0)
+            elif p or n:
+                line = (p or n)[2]
+            want[s, i] = (p and p[2], near if v is None else v, line if v is None else v)
+    args = (df, F.col("x"), width)
+    parts = [K.ffill_long(*args, ties=("id",)), K.nearest_within_long(*args, 5.0, ties=("id",)),
+             K.interpolate_long(*args, ties=("id",), both=True)]
+    for k, part in enumerate(parts):
+        got = {(r.series, r.id): r.filled for r in part.collect()}
+        assert got == {key: pytest.approx(w[k]) if w[k] is not None else None for key, w in want.items()}
+
+
+def test_one_band_equals_that_of_several(spark):
+    fits = H.ses(daily(spark, a=[3.0, 5.0, 4.0, 8.0, 1.0, 9.0]), 0.4)
+    ahead, past = H.forecast(fits, 2), H.fitted_rows(fits)
+    one = P.interval(ahead, past, skip=2, floor=3.0).orderBy("h").collect()
+    both = P.intervals(ahead, past, {"a": {"skip": 2, "floor": 3.0}, "b": {"last": 3}}).orderBy("h").collect()
+    assert [(r.lo, r.hi) for r in one] == [(r.lo_a, r.hi_a) for r in both]
+    miss = [r.value - r.fitted for r in past.orderBy("ds").collect()]
+    assert both[0].hi_b - both[0].yhat == pytest.approx(1.96 * np.sqrt(np.mean(np.square(miss[-3:]))))
+    assert one[0].hi - one[0].yhat == pytest.approx(1.96 * np.sqrt(np.mean(np.square(miss[2:])))) and one[0].lo >= 3
