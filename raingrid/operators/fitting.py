@@ -68,7 +68,7 @@ def simplex_search(error, starts: list[list[float]], bounds: list[tuple[float, f
 
     ``error`` maps an array of parameters to a number. The search goes from the best of
     ``starts`` by reflecting, stretching, contracting and shrinking a simplex inside ``bounds``,
-    and once more from where it ends, ``restarts`` times. ``tries`` bounds the steps.
+    and again from where it ends, ``restarts`` times. ``tries`` bounds the steps.
     """
     k = len(bounds)
     box = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for a, b in bounds])
@@ -82,8 +82,9 @@ def simplex_search(error, starts: list[list[float]], bounds: list[tuple[float, f
         return F.zip_with(x, box, lambda v, b: F.greatest(b["a"], F.least(b["b"], v)))
 
     def around(x, size):
-        """``x`` and ``k`` points beside it, away from the nearer bound."""
-        moves = [F.array(*[F.lit(size * (b - a) if i == j else 0.0) for j, (a, b) in enumerate(bounds)])
+        """``x`` and ``k`` points beside it, away from the nearer bound; ``size`` is a share of the
+        bounds."""
+        moves = [F.array(*[size * F.lit(b - a if i == j else 0.0) for j, (a, b) in enumerate(bounds)])
                  for i in range(k)]
         middle = [(a + b) / 2 for a, b in bounds]
         signs = F.zip_with(x, F.array(*map(F.lit, middle)),
@@ -125,7 +126,9 @@ def simplex_search(error, starts: list[list[float]], bounds: list[tuple[float, f
                 q["x"], low["x"], lambda u, w: F.abs(u - w)))))
             small = (high["f"] - low["f"] <= tolerance * F.abs(low["f"])) & (spread < 1e-3)
             again = small & (s["left"] > 0)
-            ask = F.when(again, around(low["x"], 0.1)).when(small, no_asks).otherwise(
+            # Each time closer by, as a simplex that was held at a bound may have missed a bottom there.
+            size = 0.1 * F.pow(F.lit(0.15), (restarts - s["left"]).cast("double"))
+            ask = F.when(again, around(low["x"], size)).when(small, no_asks).otherwise(
                 F.array(along(p, 1.0)))
             return state(p, ask, F.when(again, simplex).otherwise(reflected), s["held"],
                          s["left"] - again.cast("int"), tried)
@@ -140,7 +143,7 @@ def simplex_search(error, starts: list[list[float]], bounds: list[tuple[float, f
             .when(new["f"] < worst["f"],
                   state(pts, F.array(along(pts, 0.5)), F.lit(outside), new, s["left"], tried))
             .otherwise(state(pts, F.array(along(pts, -0.5)), F.lit(inside), new, s["left"], tried)))
-        return F.when(mode == start, state(no_points, around(first["x"], 0.15), F.lit(simplex),
+        return F.when(mode == start, state(no_points, around(first["x"], F.lit(0.15)), F.lit(simplex),
                                            F.lit(None), s["left"], tried)).otherwise(
             let(settled, lambda p: F.when(p.isNotNull(), after(p)).otherwise(further)))
 
@@ -182,8 +185,11 @@ def _searched(vals, kind, m, trend, damped, tries) -> Column:
             p = {n: F.get(x, F.lit(free.index(n))) if n in free else F.lit(c) for n, c in fixed.items()}
             return squared_error(v, p, kind, m, trend, start)
 
-        grid = [list(x) for x in itertools.product(*[STARTS[n] for n in free])]
-        return simplex_search(error, grid, [BOUNDS[n] for n in free], tries)
+        # One parameter is looked for all over its range, as its error may have several bottoms.
+        grid = [[i / 24] for i in range(25)] if free == ["alpha"] else [
+            list(x) for x in itertools.product(*[STARTS[n] for n in free])]
+        return simplex_search(error, grid, [BOUNDS[n] for n in free], tries,
+                              restarts=3 if len(free) == 1 else 1)
 
     found = let(F.struct(level.alias("l"), rise.alias("b")), from_start)
     return let(found, lambda f: F.struct(
