@@ -15,7 +15,7 @@ import sys
 
 import regex
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 #: Fixed value: how byte-level vocabularies of this kind split a text.
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARKS = frozenset(string.punctuation)
