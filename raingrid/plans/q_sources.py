@@ -266,8 +266,9 @@ def station_table(spark, sf):
   0::BIGINT AS n_outside FROM sp""")
 def station_outlook(spark, sf):
     """Models searched over all seasons usual for a variable, to advice: each day after the last
-    has a forecast, a score and a decision. ``outlook_rain`` and the like check the values."""
-    rows = flows.station_outlook(_cleaned(spark, sf))
+    has a forecast, a score and a decision."""
+    tried = {k: H.season_candidates(v, alphas=(0.2,)) for k, (v, _) in flows.FORECAST.items()}
+    rows = flows.station_outlook(_cleaned(spark, sf), candidates=tried)
     empty = F.col("rr").isNull() | F.col("tavg").isNull() | F.col("rh").isNull() | F.col("decision").isNull()
     return rows.groupBy("station").agg(
         F.count(F.lit(1)).alias("n_days"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day"),
