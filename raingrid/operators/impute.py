@@ -44,8 +44,10 @@ def humidity_from_dewpoint(df: DataFrame, min_rows=50, by=BY, ds="ds", temp="tav
     """Humidity through an interpolated dew point, clipped to 0-100, then in time."""
     both = F.col(temp).isNotNull() & F.col(rh).isNotNull()
     dew = F.when(both, F.col(temp) - (100 - F.col(rh)) / 5)
+    # Over all rows of a series, but in the order of the fills, so that they share one sort.
+    series = forward(by, ds).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = df.withColumn("_dew", dew).withColumn(
-        "_enough", F.count("_dew").over(whole_series(by)) > min_rows)
+        "_enough", F.count("_dew").over(series) > min_rows)
     rows = _time_both(rows, "_dew", by, ds)
     guess = F.when(F.col("_enough"), 100 - 5 * (F.col(temp) - F.col("_dew")))
     rows = rows.withColumn(out, V.bound(F.coalesce(F.col(rh), guess), 0, 100))
