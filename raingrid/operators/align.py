@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raingrid.functions import values as V
-from raingrid.operators.common import BY, backward, forward, last_known, whole_series
+from raingrid.operators.common import BY, backward, dealt, forward, last_known, whole_series
 
 
 def outer_merge(frames: dict[str, DataFrame], keys=("series", "ds"), value="value") -> DataFrame:
@@ -30,7 +30,9 @@ def complete_grid(df: DataFrame, by=BY, ds="ds", values=("value",),
     """A row for every day of each series, null where the day had no row.
 
     Each row expands over the days up to the next row, so the grid needs one
-    shuffle on ``by`` and no join, and later windows reuse that partitioning.
+    shuffle on ``by`` and no join, and later windows reuse that partitioning. The rows are dealt to
+    as many tasks as shuffles have: their few bytes before they expand would have tasks merged
+    that hold many rows after.
     Rows of one day are folded first, in the same order of days: each column takes its
     greatest value. Many raw rows a day are better aggregated before.
     ``ranges`` (by, start, end) fixes the ends instead of the first and last row.
@@ -42,9 +44,10 @@ def complete_grid(df: DataFrame, by=BY, ds="ds", values=("value",),
         rows = (rows.select(*by, ds, *values)
                 .unionByName(ends, allowMissingColumns=True)
                 .groupBy(*by, ds).agg(*[F.max(v).alias(v) for v in values]))
+        rows = dealt(rows, *by)
     else:
         same_day = forward(by, ds).rangeBetween(Window.currentRow, Window.currentRow)
-        rows = rows.select(
+        rows = dealt(rows, *by).select(
             *by, ds, *[F.max(v).over(same_day).alias(v) for v in values],
             F.lag(ds).over(forward(by, ds)).alias("_before"),
         ).where(F.col("_before").isNull() | (F.col("_before") != F.col(ds))).drop("_before")

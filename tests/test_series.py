@@ -294,3 +294,14 @@ def test_wide_correlation_needs_rows(spark):
     assert stats.correlation(rows, ["a", "b"]).first()["r"] is None
     more = spark.range(20).select(F.col("id").cast("double").alias("a"), (F.col("id") * -2.0).alias("b"))
     assert stats.correlation(more, ["a", "b"]).first()["r"] == pytest.approx(-1)
+
+
+def test_grid_tasks_are_not_merged(spark):
+    """A task's rows grow after the shuffle, so tasks are not merged for their few bytes before it."""
+    rows = spark.range(40).select(
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("series"),
+        F.explode(F.array(F.lit(dt.date(2024, 1, 1)), F.lit(dt.date(2024, 12, 31)))).alias("ds"),
+        F.lit(1.0).alias("value"))
+    grid = align.complete_grid(rows)
+    assert grid.count() == 40 * 366
+    assert grid.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
