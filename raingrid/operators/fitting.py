@@ -1,19 +1,23 @@
 """Smoothing parameters by derivative-free search, for all series at once.
 
-Each series is one row. Its search is a fold whose state holds a simplex of parameter points and
-the points to be tried next; every step tries those, on the whole series, and moves the simplex.
-A series whose simplex has become small enough asks for no more points, so its remaining steps
-cost nothing. No row leaves its task between the steps.
+Each series and model is one row, dealt over the tasks; a task searches its rows in Arrow batches
+(``batchfit``), all series of a batch at a time. ``simplex_search`` is the same search as a fold of
+column expressions, for errors that are columns: its state holds a simplex of parameter points and
+the points to be tried next; every step tries those and moves the simplex. A series whose simplex
+has become small enough asks for no more points. No row leaves its task between the steps.
 """
 
 from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raingrid.operators.common import BY, dealt, mean, to_arrays
+from raingrid.operators import batchfit
+from raingrid.operators.common import BY, dealt, to_arrays
 from raingrid.operators.linear import let
 from raingrid.operators.smoothing import (
     SETTINGS, best_candidate, score_on, split_arrays, usable,
@@ -23,43 +27,7 @@ from raingrid.operators.smoothing import (
 BOUNDS = {"alpha": (0.0, 1.0), "beta": (0.0, 1.0), "gamma": (0.0, 1.0), "phi": (0.8, 0.98)}
 STARTS = {"alpha": (0.05, 0.3, 0.8), "beta": (0.01, 0.2), "gamma": (0.05, 0.4), "phi": (0.9,)}
 #: What stands for the error of a point that gives none (a division by zero).
-HOPELESS = 1e300
-
-
-def squared_error(vals, p: dict, kind: str, m: int, trend: bool, start: dict) -> Column:
-    """Sum of squared one-step errors of a smoothing model; ``start`` has l, b and s.
-
-    As in ``smoothing.fit``, whole seasons are folded, and the days of each inside.
-    """
-    names = ["l", *(["b"] if trend else []), "sse", *(["s"] if m else [])]
-    empty = F.array().cast("array<double>")
-
-    def day(st, y, due=None):
-        base = st["l"] + p["phi"] * st["b"] if trend else st["l"]
-        plain = y if not m else F.try_divide(y, due) if kind == "mul" else y - due
-        ahead = base if not m else base * due if kind == "mul" else base + due
-        level = p["alpha"] * plain + (1.0 - p["alpha"]) * base
-        out = {"l": level, "sse": st["sse"] + (y - ahead) * (y - ahead)}
-        if trend:
-            out["b"] = p["beta"] * (level - st["l"]) + (1.0 - p["beta"]) * p["phi"] * st["b"]
-        if m:
-            free = F.try_divide(y, base) if kind == "mul" else y - base
-            out["s"] = F.concat(st["s"], F.array(p["gamma"] * free + (1.0 - p["gamma"]) * due))
-        return F.struct(*[out[n].alias(n) for n in names])
-
-    def season(st, k):
-        days = F.transform(F.slice(vals, k * m + 1, F.lit(m)), lambda y, i: F.struct(
-            y.alias("y"), F.get(st["s"], i).alias("due")))
-        begin = F.struct(*[(empty if n == "s" else st[n]).alias(n) for n in names])
-        return F.aggregate(days, begin, lambda s, x: day(s, x["y"], x["due"]))
-
-    begin = F.struct(*[{**start, "sse": F.lit(0.0)}[n].alias(n) for n in names])
-    if m:
-        seasons = F.sequence(F.lit(0), F.ceil(F.size(vals) / m).cast("int") - 1)
-        end = F.aggregate(seasons, begin, season)
-    else:
-        end = F.aggregate(vals, begin, lambda s, y: day(s, y))
-    return F.coalesce(end["sse"], F.lit(HOPELESS))
+HOPELESS = batchfit.HOPELESS
 
 
 def simplex_search(error, starts: list[list[float]], bounds: list[tuple[float, float]],
@@ -165,36 +133,37 @@ def model(kind="none", m: int = 0, trend=True, damped=False) -> dict:
     return {"kind": kind, "m": 0 if kind == "none" else m, "trend": trend, "damped": damped}
 
 
-def _searched(vals, kind, m, trend, damped, tries) -> Column:
-    """Struct of the least mean squared error, the parameters and the number of tries."""
-    free = ["alpha", *(["beta"] if trend else []), *(["gamma"] if m else []),
-            *(["phi"] if trend and damped else [])]
-    fixed = {"alpha": 0.0, "beta": 0.0, "gamma": 0.0, "phi": 1.0}
-    v = F.col(vals)
-    if m:
-        head = F.slice(v, 1, m)
-        level, rise = mean(head), (mean(F.slice(v, m + 1, m)) - mean(head)) / m
-    else:
-        head, level, rise = v, F.get(v, F.lit(0)), F.get(v, F.lit(1)) - F.get(v, F.lit(0))
-
-    def from_start(at):
-        offsets = F.transform(head, lambda x: F.try_divide(x, at["l"]) if kind == "mul" else x - at["l"])
-        start = {"l": at["l"], "b": at["b"], "s": offsets}
-
-        def error(x):
-            p = {n: F.get(x, F.lit(free.index(n))) if n in free else F.lit(c) for n, c in fixed.items()}
-            return squared_error(v, p, kind, m, trend, start)
-
+def _searched(models: list[dict], tries: int):
+    """Function of values, place of the model and whether it can be used: struct of the parameters,
+    the least mean squared error and the number of tries, for a batch of series at a time."""
+    plans = []
+    for c in models:
+        free = ["alpha", *(["beta"] if c["trend"] else []), *(["gamma"] if c["m"] else []),
+                *(["phi"] if c["trend"] and c["damped"] else [])]
         # One parameter is looked for all over its range, as its error may have several bottoms.
         grid = [[i / 24] for i in range(25)] if free == ["alpha"] else [
             list(x) for x in itertools.product(*[STARTS[n] for n in free])]
-        return simplex_search(error, grid, [BOUNDS[n] for n in free], tries,
-                              restarts=3 if len(free) == 1 else 1)
-
-    found = let(F.struct(level.alias("l"), rise.alias("b")), from_start)
-    return let(found, lambda f: F.struct(
-        *[(F.get(f["x"], F.lit(free.index(n))) if n in free else F.lit(c)).alias(n)
-          for n, c in fixed.items()], (f["f"] / F.size(v)).alias("mse"), f["tried"].alias("tried")))
+        plans.append((c, free, grid, [BOUNDS[n] for n in free], 3 if len(free) == 1 else 1))
+
+    @F.arrow_udf("alpha double, beta double, gamma double, phi double, mse double, tried int")
+    def found(vals: pa.Array, place: pa.Array, use: pa.Array) -> pa.Array:
+        place, use = place.to_numpy(zero_copy_only=False), use.to_numpy(zero_copy_only=False)
+        out = np.full((len(place), 6), np.nan)
+        for i, plan in enumerate(plans):
+            rows = np.flatnonzero(use.astype(bool) & (place == i))
+            if len(rows):
+                taken = vals.take(pa.array(rows))
+                flat = taken.flatten().to_numpy(zero_copy_only=False).astype(float)
+                sizes = taken.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+                out[rows] = batchfit.searched(flat, sizes, *plan, tries)
+        # A row that cannot be used is null as a whole, by its fields.
+        none = ~use.astype(bool)
+        fields = [pa.array(out[:, j], mask=none) for j in range(5)]
+        fields.append(pa.array(np.where(none, 0, out[:, 5]).astype(np.int32), mask=none))
+        return pa.StructArray.from_arrays(
+            fields, names=["alpha", "beta", "gamma", "phi", "mse", "tried"])
+
+    return found
 
 
 def fit_rows(rows: DataFrame, models: list[dict], vals="vals", fair: Column | None = None,
@@ -207,11 +176,9 @@ def fit_rows(rows: DataFrame, models: list[dict], vals="vals", fair: Column | No
     out = dealt(rows.withColumn("_c", F.explode(kinds)).select(*rows.columns, "_c.*"),
                 *by, "candidate")
     use = usable(vals) if fair is None else usable(vals) & fair
-    found = None
-    for i, c in enumerate(models):
-        one = F.when(F.col("candidate") == i, _searched(vals, **c, tries=tries))
-        found = one if found is None else F.coalesce(found, one)
-    return out.withColumn("_f", F.when(use, found)).select(*out.columns, "_f.*")
+    found = _searched(models, tries)(F.col(vals).cast("array<double>"), "candidate", "_use")
+    return out.withColumn("_use", F.coalesce(use, F.lit(False))).withColumn("_f", found).select(
+        *out.columns, "_f.*")
 
 
 def fitted(df: DataFrame, models: list[dict], tries: int = 160, by=BY, ds="ds",

@@ -103,6 +103,27 @@ def test_fitted_parameters_make_the_error_small(spark):
     assert found["wave"].candidate in (1, 2) and found["short"].candidate == 0
 
 
+def test_a_batch_of_series_is_searched_as_each_alone():
+    from raingrid.operators import batchfit
+
+    rng = np.random.default_rng(5)
+    series = [20 + rng.normal(size=n) for n in (60, 14, 33, 60)]
+    series[1][:7] = 0.0  # its seasons divide by 0
+    plan = (G.model("mul", 7), ["alpha", "beta", "gamma"], [[0.3, 0.1, 0.2], [0.05, 0.2, 0.05]],
+            [(0.0, 1.0)] * 3, 1, 80)
+    sizes = np.array([len(v) for v in series])
+    rows = batchfit.searched(np.concatenate(series), sizes, *plan)
+    alone = [batchfit.searched(v, np.array([len(v)]), *plan)[0] for v in series]
+    assert np.array_equal(rows, np.array(alone))
+    assert rows[1, 4] == batchfit.HOPELESS / 14 and (rows[[0, 2, 3], 4] < 3).all()
+
+
+def test_searches_run_on_batches(spark):
+    """A fold over one series at a time took 0.8 seconds of a core for a series of 800 days."""
+    plan = G.fitted(daily(spark, a=[1.0, 2.0, 3.0]), [G.model()])._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan
+
+
 def test_fit_blocks_equal_a_plain_recursion(spark):
     rng = np.random.default_rng(8)
     v = 30 + rng.normal(size=151)
