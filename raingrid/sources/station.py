@@ -22,20 +22,24 @@ def read_station_csv(spark: SparkSession, path, sentinels=fixed.SENTINELS) -> Da
     becomes the column ``station``. Sort where an ordered output is wanted; the rows
     themselves stay unsorted to spare a shuffle.
     """
-    cells = F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
-    is_header = F.array_contains(cells, "Date")
-    rows = carry_down(read_lines(spark, path), {"header": F.when(is_header, cells)}, ~is_header)
+    plain = lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))
+    cells = F.split("line", ",")
+    names = F.transform(cells, plain)
+    # The word comes first, so that the cells of data lines are not all rewritten to look for it.
+    is_header = F.col("line").contains("Date") & F.array_contains(names, "Date")
+    rows = carry_down(read_lines(spark, path), {"header": F.when(is_header, names)}, ~is_header)
     raw = rows.select("path", "header", cells.alias("cells"))
     cell = {c: F.when(F.array_position("header", c) > 0,
-                      F.get("cells", F.array_position("header", c).cast("int") - 1))
+                      plain(F.get("cells", F.array_position("header", c).cast("int") - 1)))
             for c in (*NUMBERS, "Date", "DDD_CAR")}
-    number = {c: V.sentinel_to_null(V.coerce_numeric(V.text_missing_to_null(cell[c])), sentinels)
-              for c in NUMBERS}
+    # As one array, so that a cell is looked up once and not at each mention in the expression.
+    numbers = F.transform(F.array(*[cell[c] for c in NUMBERS]), lambda c: V.sentinel_to_null(
+        V.coerce_numeric(V.text_missing_to_null(c)), sentinels))
     folder = F.regexp_extract("path", "/station=([^/]+)/", 1)
-    return raw.select(
+    return raw.withColumn("numbers", numbers).select(
         F.url_decode(F.when(folder != "", folder)).alias("station"),
         V.parse_date_multi(cell["Date"], DATE_FORMATS).alias("ds"),
-        *[number[c].alias(c) for c in NUMBERS],
+        *[F.get("numbers", F.lit(i)).alias(c) for i, c in enumerate(NUMBERS)],
         V.text_missing_to_null(cell["DDD_CAR"]).alias("DDD_CAR"),
     ).where(F.col("ds").isNotNull()).dropDuplicates()
 

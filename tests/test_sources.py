@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from raingrid import session
 from raingrid.plans import flows
-from raingrid.sources import mooring, station
+from raingrid.sources import mooring, sink, station
 
 TEMP = """ Depth(M):           1     10     13 QUALITY SOURCE
  YYYYMMDD HHMM     SST   TEMP   TEMP QQQ SSS
@@ -129,3 +129,10 @@ def test_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError):
         session.shared_dir(Fake())
+
+
+def test_a_value_has_few_files_however_many_tasks_write(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 16).selectExpr("concat('s', id % 10) AS station", "id AS n")
+    sink.write_series(rows, f"{tmp_path}/out", by=("station",))
+    assert len(list(tmp_path.glob("out/station=*/*.csv"))) == 10
+    assert spark.read.csv(f"{tmp_path}/out", header=True).count() == 400
