@@ -1,4 +1,4 @@
-"""Searches of smoothing parameters for a batch of series at once, in numpy inside a task.
+"""Smoothing and searches of its parameters for a batch of series at once, in numpy inside a task.
 
 A fold over an array of a series costs some microseconds for each day and tried point, as Spark
 interprets it. Here a day is one step for all series and points of an Arrow batch. The simplex
@@ -21,40 +21,122 @@ def _ratio(a, b):
     return np.where(b == 0, np.nan, a / b)
 
 
-def squared_errors(days, sizes, start, who, p, kind, m, trend):
-    """Sums of squared one-step errors of the points ``p`` of the series ``who``.
+def beginning(days, kind, m):
+    """Level, slope and season that every series starts from."""
+    if not m:
+        return {"l": days[0].copy(), "b": days[1] - days[0], "s": None}
+    mean = lambda part: np.cumsum(part, axis=0)[-1] / m
+    level = mean(days[:m])
+    season = _ratio(days[:m], level) if kind == "mul" else days[:m] - level
+    return {"l": level, "b": (mean(days[m:2 * m]) - level) / m, "s": season}
 
-    ``days`` is days x series, longest series first; ``who`` ascends.
+
+def run(y, size, state, p, kind, m, trend, ahead=None):
+    """Takes ``state`` (l, b, s and sums sse and, if there, sr) through the days ``y``, in place.
+
+    ``y`` is days x series, longest series first. One-step-ahead values are put into ``ahead``.
     """
-    y, size = days[:, who], sizes[who]
-    level, slope = start["l"][who], start["b"][who]
-    season = start["s"][:, who] if m else None
+    level, slope, season, sse = (state[k] for k in ("l", "b", "s", "sse"))
     a, keep = p["alpha"], 1.0 - p["alpha"]
     beta, damp, phi = p["beta"], (1.0 - p["beta"]) * p["phi"], p["phi"]
     gamma, hold = p["gamma"], 1.0 - p["gamma"]
-    sse = np.zeros(len(who))
-    live = np.searchsorted(-size, -np.arange(len(days)), side="left")
+    live = np.searchsorted(-size, -np.arange(len(y)), side="left")
     for t, n in enumerate(live):
         if not n:
             break
         x, l = y[t, :n], level[:n]
         base = l + phi[:n] * slope[:n] if trend else l
-        plain = ahead = base
+        plain = guess = base
         if m:
             due = season[t % m, :n]
             plain = _ratio(x, due) if kind == "mul" else x - due
-            ahead = base * due if kind == "mul" else base + due
+            guess = base * due if kind == "mul" else base + due
             free = _ratio(x, base) if kind == "mul" else x - base
             season[t % m, :n] = gamma[:n] * free + hold[:n] * due
         else:
             plain = x
+        if ahead is not None:
+            ahead[t, :n] = guess
         new = a[:n] * plain + keep[:n] * base
-        miss = x - ahead
+        miss = x - guess
         sse[:n] += miss * miss
+        if "sr" in state:
+            state["sr"][:n] += miss
         if trend:
             slope[:n] = beta[:n] * (new - l) + damp[:n] * slope[:n]
         level[:n] = new
-    return np.where(np.isnan(sse), HOPELESS, sse)
+
+
+def squared_errors(days, sizes, start, who, p, kind, m, trend):
+    """Sums of squared one-step errors of the points ``p`` of the series ``who``.
+
+    ``days`` is days x series, longest series first; ``who`` ascends.
+    """
+    state = {"l": start["l"][who], "b": start["b"][who], "s": start["s"][:, who] if m else None,
+             "sse": np.zeros(len(who))}
+    run(days[:, who], sizes[who], state, p, kind, m, trend)
+    return np.where(np.isnan(state["sse"]), HOPELESS, state["sse"])
+
+
+def lots(flat, begins, sizes, points=1):
+    """Rows, longest first, with their values as days x series, ``MOST_CELLS`` or one row at a time."""
+    order, at = np.argsort(-sizes, kind="stable"), 0
+    while at < len(order):
+        longest = int(sizes[order[at]])
+        rows = order[at:at + max(1, MOST_CELLS // max(1, longest * points))]
+        at += len(rows)
+        days = np.zeros((len(rows), longest))
+        for j, r in enumerate(rows):
+            days[j, :sizes[r]] = flat[begins[r]:begins[r] + sizes[r]]
+        yield rows, np.ascontiguousarray(days.T)
+
+
+def fits(flat, begins, sizes, p, kind, m, trend=True, keep=False):
+    """Ends of the fits of one kind of season: l, b, sse, sr, the season with the one due next first,
+    and the one-step-ahead values of each series, laid end to end like ``flat`` (empty unless
+    ``keep``)."""
+    out = {k: np.empty(len(sizes)) for k in ("l", "b", "sse", "sr")}
+    season = np.empty((len(sizes), m))
+    ahead = np.empty(len(flat) if keep else 0)
+    for rows, days in lots(flat, begins, sizes):
+        state = beginning(days, kind, m) | {"sse": np.zeros(len(rows)), "sr": np.zeros(len(rows))}
+        if not trend:
+            state["b"] = np.zeros(len(rows))
+        held = np.empty(days.shape) if keep else None
+        run(days, sizes[rows], state, {k: v[rows] for k, v in p.items()}, kind, m, trend, held)
+        for k, v in out.items():
+            v[rows] = state[k]
+        if m:
+            turn = (np.arange(m)[:, None] + sizes[rows]) % m
+            season[rows] = np.take_along_axis(state["s"], turn, axis=0).T
+        for j, r in enumerate(rows if keep else ()):
+            ahead[begins[r]:begins[r] + sizes[r]] = held[:sizes[r], j]
+    return out | {"s": season, "fitted": ahead}
+
+
+def held_out_errors(flat, begins, sizes, cuts, candidates, use, remove_bias):
+    """Mean squared errors of all ``candidates`` after the first ``cuts`` values: series x candidates,
+    not a number where ``use`` is false."""
+    out = np.full((len(sizes), len(candidates)), np.nan)
+    for i, c in enumerate(candidates):
+        rows = np.flatnonzero(use[:, i])
+        if not len(rows):
+            continue
+        p = {k: np.full(len(rows), float(c[k])) for k in ("alpha", "beta", "gamma", "phi")}
+        m, phi, test = c["m"], float(c["phi"]), (sizes - cuts)[rows]
+        fit = fits(flat, begins[rows], cuts[rows], p, c["kind"], m)
+        bias, error = fit["sr"] / cuts[rows] if remove_bias else 0.0, np.zeros(len(rows))
+        for h in range(1, int(test.max()) + 1):
+            some = np.flatnonzero(test >= h)
+            steps = float(h) if abs(phi - 1.0) < 1e-12 else phi * (1.0 - phi ** float(h)) / (1.0 - phi)
+            guess = fit["l"] + steps * fit["b"]
+            if m:
+                due = fit["s"][:, (h - 1) % m]
+                guess = guess * due if c["kind"] == "mul" else guess + due
+            miss = flat[begins[rows[some]] + cuts[rows[some]] + h - 1] - (guess + bias)[some]
+            error[some] += miss * miss
+        out[rows, i] = error / test
+    return out
 
 
 def _sorted(f, x):
@@ -144,25 +226,9 @@ def simplex_search(errors, count, starts, bounds, tries, tolerance=1e-9, restart
 def searched(flat, sizes, model, free, starts, bounds, restarts, tries):
     """Rows alpha, beta, gamma, phi, mse and tried for series laid end to end in ``flat``."""
     out = np.empty((len(sizes), 6))
-    order = np.argsort(-sizes, kind="stable")
-    begins = np.cumsum(sizes) - sizes
     fixed, m = {"alpha": 0.0, "beta": 0.0, "gamma": 0.0, "phi": 1.0}, model["m"]
-    at = 0
-    while at < len(order):
-        longest = sizes[order[at]]
-        rows = order[at:at + max(1, MOST_CELLS // int(longest * len(starts)))]
-        at += len(rows)
-        days, n = np.zeros((longest, len(rows))), sizes[rows]
-        for j, r in enumerate(rows):
-            days[:sizes[r], j] = flat[begins[r]:begins[r] + sizes[r]]
-        if m:
-            mean = lambda part: np.cumsum(part, axis=0)[-1] / m
-            level = mean(days[:m])
-            rise = (mean(days[m:2 * m]) - level) / m
-            season = _ratio(days[:m], level) if model["kind"] == "mul" else days[:m] - level
-        else:
-            level, rise, season = days[0], days[1] - days[0], None
-        start = {"l": level, "b": rise, "s": season}
+    for rows, days in lots(flat, np.cumsum(sizes) - sizes, sizes, len(starts)):
+        n, start = sizes[rows], beginning(days, model["kind"], m)
 
         def errors(who, x):
             p = {c: x[:, free.index(c)] if c in free else np.full(len(who), v) for c, v in fixed.items()}

@@ -1,15 +1,20 @@
-"""Exponential smoothing as native folds: one row per series and candidate.
+"""Exponential smoothing: one row per series, or per series, candidate and fold.
 
-The scale is many series times many candidates and folds. Each is one row with a
-sorted array no longer than the calendar, folded by ``aggregate`` inside the JVM.
+The scale is many series times many candidates and folds. Each series is one row with a
+sorted array no longer than the calendar; a task smooths its rows in Arrow batches
+(``batchfit``), a day being one step for all rows of a batch.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raingrid import fixed
+from raingrid.operators import batchfit
 from raingrid.operators.common import BY, dealt, mean, to_arrays, total
 
 SETTINGS = {"alpha": 0.2, "beta": 0.05, "gamma": 0.15, "phi": 1.0, "m": 7, "kind": "add"}
@@ -23,8 +28,6 @@ def candidate(**given) -> dict:
     return out
 
 
-#: Days of a block where there is no season.
-BLOCK = 64
 #: Tasks that share the candidates of one series.
 SPREAD = 4
 
@@ -60,6 +63,56 @@ def usable(vals="vals") -> Column:
     return long_enough & positive
 
 
+def _numbers(vals: pa.Array):
+    """Values of all arrays laid end to end (not a number for null), where each begins, and sizes."""
+    flat = vals.flatten().to_numpy(zero_copy_only=False).astype(float)
+    sizes = pc.fill_null(vals.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(int)
+    return flat, np.cumsum(sizes) - sizes, sizes
+
+
+def _arrays(parts) -> pa.Array:
+    """An array for each of ``parts``; null for what is not a number."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    flat = np.concatenate([np.empty(0), *parts])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, mask=np.isnan(flat)))
+
+
+def _fitted(trend: bool, keep_fitted: bool):
+    """Function of values and settings: the struct ``fit``, for a batch of series at a time."""
+    @F.arrow_udf("l double, b double, s array<double>, sse double, sr double, n int, "
+                 "fitted array<double>")
+    def ends(vals: pa.Array, alpha: pa.Array, beta: pa.Array, gamma: pa.Array, phi: pa.Array,
+             m: pa.Array, kind: pa.Array) -> pa.Array:
+        flat, begins, sizes = _numbers(vals)
+        number = lambda c: c.to_numpy(zero_copy_only=False).astype(float)
+        p = {"alpha": number(alpha), "beta": number(beta), "gamma": number(gamma), "phi": number(phi)}
+        m = pc.fill_null(m, -1).to_numpy(zero_copy_only=False)
+        kind = np.array(kind.to_pylist(), dtype=object)
+        none = ~vals.is_valid().to_numpy(zero_copy_only=False) | (m < 0) | (kind == None)  # noqa: E711
+        out = {k: np.full(len(m), np.nan) for k in ("l", "b", "sse", "sr")}
+        seasons, ahead = [np.empty(0)] * len(m), [np.empty(0)] * len(m)
+        for k, length in sorted(set(zip(kind[~none], m[~none]))):
+            rows = np.flatnonzero(~none & (kind == k) & (m == length))
+            with np.errstate(all="ignore"):
+                got = batchfit.fits(flat, begins[rows], sizes[rows], {n: v[rows] for n, v in p.items()},
+                                    k, int(length), trend, keep_fitted)
+            for name, v in out.items():
+                v[rows] = got[name]
+            for i, r in enumerate(rows):
+                seasons[r] = got["s"][i]
+                if keep_fitted:
+                    ahead[r] = got["fitted"][begins[r]:begins[r] + sizes[r]]
+        field = lambda v: pa.array(v, mask=np.isnan(v))
+        fields = {"l": field(out["l"]), "b": field(out["b"]), "s": _arrays(seasons),
+                  "sse": field(out["sse"]), "sr": field(out["sr"]),
+                  "n": pa.array(sizes.astype(np.int32)), "fitted": _arrays(ahead)}
+        return pa.StructArray.from_arrays(list(fields.values()), names=list(fields),
+                                          mask=pa.array(none))
+
+    # Not deterministic as far as Spark is told, so that no filter on a fit runs it again.
+    return ends.asNondeterministic()
+
+
 def fit(df: DataFrame, vals="vals", trend=True, keep_fitted=False) -> DataFrame:
     """Adds ``fit``: level, trend, season, squared error, residual sum and count.
 
@@ -69,69 +122,12 @@ def fit(df: DataFrame, vals="vals", trend=True, keep_fitted=False) -> DataFrame:
     ``season[0]`` is the one due next. With ``keep_fitted`` the one-step-ahead
     values are kept as ``fitted``.
 
-    The fold goes through whole seasons (or blocks of days), and through the days of each: a day
-    reads its place in the last season, and only the block at hand grows, so no step copies the
-    whole season or all fitted values.
+    A task goes through the days of an Arrow batch of rows with the same season at once
+    (``batchfit.run``).
     """
-    m, seasonal, mul = F.col("m"), F.col("m") > 0, F.col("kind") == "mul"
-    v = F.col(vals)
-    head = F.slice(v, F.lit(1), m)
-    rows = df.withColumn("_ok", usable(vals)).withColumn(
-        "_l0", F.when(F.col("_ok"), F.when(seasonal, mean(head)).otherwise(v[0])))
-    rise = F.when(seasonal, (mean(F.slice(v, m + 1, m)) - F.col("_l0")) / m).otherwise(
-        F.get(v, F.lit(1)) - v[0])
-    start_season = F.transform(head, lambda x: F.when(mul, F.try_divide(x, F.col("_l0")))
-                               .otherwise(x - F.col("_l0")))
-    empty = F.array().cast("array<double>")
-    start = F.struct(
-        F.col("_l0").alias("l"),
-        (F.when(F.col("_ok"), rise) if trend else F.lit(0.0)).cast("double").alias("b"),
-        F.when(F.col("_ok") & seasonal, start_season).otherwise(empty).alias("s"),
-        F.lit(0.0).alias("sse"), F.lit(0.0).alias("sr"), F.lit(0).alias("n"),
-        F.array().cast("array<array<double>>").alias("fitted"))
-    a, b, g, phi = (F.col(c) for c in ("alpha", "beta", "gamma", "phi"))
-
-    def day(st, x):
-        y, due = x["y"], x["due"]
-        base = st["l"] + phi * st["b"]
-        ahead = F.when(~seasonal, base).when(mul, base * due).otherwise(base + due)
-        plain = F.when(~seasonal, y).when(mul, F.try_divide(y, due)).otherwise(y - due)
-        level = a * plain + (1.0 - a) * base
-        offset = F.when(mul, F.try_divide(y, base)).otherwise(y - base)
-        slope = b * (level - st["l"]) + (1.0 - b) * phi * st["b"]
-        return F.struct(
-            level.alias("l"),
-            (slope if trend else F.lit(0.0)).alias("b"),
-            F.when(seasonal, F.concat(st["s"], F.array(g * offset + (1.0 - g) * due)))
-            .otherwise(st["s"]).alias("s"),
-            (st["sse"] + (y - ahead) * (y - ahead)).alias("sse"),
-            (st["sr"] + (y - ahead)).alias("sr"), (st["n"] + 1).alias("n"),
-            (F.concat(st["fitted"], F.array(ahead)) if keep_fitted else st["fitted"])
-            .alias("fitted"))
-
-    length = F.when(seasonal, m).otherwise(F.lit(BLOCK))
-
-    def block(st, k):
-        days = F.transform(F.slice(v, k * length + 1, length), lambda y, i: F.struct(
-            y.alias("y"), F.get(st["s"], i).alias("due")))
-        begin = F.struct(st["l"], st["b"], empty.alias("s"), st["sse"], st["sr"], st["n"],
-                         empty.alias("fitted"))
-        return F.aggregate(days, begin, day, lambda new: F.struct(
-            new["l"], new["b"],
-            F.concat(new["s"], F.slice(st["s"], F.size(new["s"]) + 1, F.size(st["s"]))).alias("s"),
-            new["sse"], new["sr"], new["n"],
-            F.concat(st["fitted"], F.array(new["fitted"])).alias("fitted")))
-
-    def finish(st):
-        turn = st["n"] % F.greatest(m, F.lit(1))
-        return F.struct(
-            st["l"], st["b"],
-            F.concat(F.slice(st["s"], turn + 1, F.size(st["s"])), F.slice(st["s"], F.lit(1), turn))
-            .alias("s"), st["sse"], st["sr"], st["n"], F.flatten(st["fitted"]).alias("fitted"))
-
-    blocks = F.sequence(F.lit(0), F.ceil(F.size(v) / length).cast("int") - 1)
-    return rows.withColumn("fit", F.when(F.col("_ok"), F.aggregate(
-        blocks, start, block, finish))).drop("_ok", "_l0")
+    settings = ("alpha", "beta", "gamma", "phi", "m", "kind")
+    return df.withColumn("fit", _fitted(trend, keep_fitted)(
+        F.when(usable(vals), F.col(vals).cast("array<double>")), *map(F.col, settings)))
 
 
 def ahead(h: Column, remove_bias=False) -> Column:
@@ -198,13 +194,61 @@ def score_on(df: DataFrame, remove_bias=False) -> DataFrame:
                                          _squared_error(F.col("test"), guess)))
 
 
+def _cut(vals="vals", last=60, share=0.8) -> Column:
+    """Values before the held-out end: the last rows, or a share where the series is short."""
+    n = F.size(vals)
+    return F.when(n > last, n - last).otherwise(F.floor(n * share)).cast("int")
+
+
 def split_arrays(arrays: DataFrame, last=60, share=0.8) -> DataFrame:
     """``train`` and ``test``: the last rows, or a share where the series is short."""
-    n = F.size("vals")
-    cut = F.when(n > last, n - last).otherwise(F.floor(n * share)).cast("int")
-    return arrays.withColumn("_cut", cut).withColumns({
+    return arrays.withColumn("_cut", _cut("vals", last, share)).withColumns({
         "train": F.slice("vals", F.lit(1), F.col("_cut")),
-        "test": F.slice("vals", F.col("_cut") + 1, n)}).drop("_cut")
+        "test": F.slice("vals", F.col("_cut") + 1, F.size("vals"))}).drop("_cut")
+
+
+def _held_out_errors(candidates: list[dict], remove_bias: bool):
+    """Function of values, size of the training part and least value: the error of each candidate."""
+    m = np.array([c["m"] for c in candidates])
+    mul = np.array([c["kind"] == "mul" for c in candidates])
+
+    @F.arrow_udf("array<double>")
+    def errors(vals: pa.Array, cut: pa.Array, least: pa.Array) -> pa.Array:
+        flat, begins, sizes = _numbers(vals)
+        cut = cut.to_numpy(zero_copy_only=False).astype(int)[:, None]
+        above = least.to_numpy(zero_copy_only=False).astype(float)[:, None] > 0
+        use = (cut >= 2) & (2 * m < cut) & (~mul | above)
+        with np.errstate(all="ignore"):
+            return _arrays(batchfit.held_out_errors(flat, begins, sizes, cut[:, 0], candidates, use,
+                                                    remove_bias))
+
+    return errors.asNondeterministic()
+
+
+MODEL = ("candidate", "alpha", "beta", "gamma", "phi", "m", "kind", "mse")
+
+
+def with_best(arrays: DataFrame, candidates: list[dict], last=60, remove_bias=True,
+              default: dict | None = None) -> DataFrame:
+    """Adds the best candidate of ``grid_search``, its settings and ``mse``, ready for ``fit``.
+
+    All candidates are tried where the series is; neither rows nor errors travel.
+    """
+    kinds = {"alpha": "double", "beta": "double", "gamma": "double", "phi": "double",
+             "m": "int", "kind": "string"}
+    settings = F.array(*[F.struct(*[F.lit(c[k]).cast(t).alias(k) for k, t in kinds.items()])
+                         for c in candidates])
+    errors = _held_out_errors(candidates, remove_bias)(
+        F.col("vals").cast("array<double>"), "_cut", F.array_min("vals").cast("double"))
+    ranked = F.filter(F.transform("_errors", lambda x, i: F.struct(
+        x.alias("mse"), i.alias("candidate"))), lambda b: b["mse"].isNotNull())
+    rows = arrays.withColumn("_cut", _cut("vals", last)).withColumn("_errors", errors).withColumn(
+        "_b", F.array_min(ranked)).withColumn("_s", F.get(settings, F.col("_b.candidate")))
+    kept = {n: F.col(f"_s.{n}" if n in kinds else f"_b.{n}") for n in MODEL}
+    given = {"candidate": -1, **default} if default else {}
+    return rows.withColumns({n: F.coalesce(c, F.lit(given[n]).cast(kinds.get(n, "int")))
+                             if n in given else c for n, c in kept.items()}).drop(
+        "_cut", "_errors", "_b", "_s")
 
 
 def grid_search(df: DataFrame, candidates: list[dict], last=60, by=BY, ds="ds", value="value",
@@ -216,11 +260,8 @@ def grid_search(df: DataFrame, candidates: list[dict], last=60, by=BY, ds="ds",
     of equal candidates wins. A series without a usable candidate keeps null mse and takes
     the settings of ``default``, if given.
     """
-    arrays = to_arrays(df, by, ds, value)
-    rows = with_candidates(split_arrays(arrays, last), candidates, by)
-    fair = (F.col("m") < F.size("train") / 2) & (
-        (F.col("kind") != "mul") | (F.array_min("vals") > 0))
-    return best_candidate(df, score_on(rows.where(fair), remove_bias), by, default)
+    return with_best(to_arrays(df, by, ds, value), candidates, last, remove_bias, default).select(
+        *by, *MODEL)
 
 
 def best_candidate(df: DataFrame, scored: DataFrame, by=BY, default: dict | None = None) -> DataFrame:

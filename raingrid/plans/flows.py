@@ -19,6 +19,7 @@ from raingrid.operators import smoothing as H
 from raingrid.operators import stats as A
 from raingrid.operators import windows as W
 from raingrid.operators.align import complete_grid
+from raingrid.operators.common import to_arrays
 from raingrid.session import written
 from raingrid.sources.mooring import read_mooring_text
 from raingrid.sources.station import read_station_csv
@@ -102,8 +103,8 @@ def station_outlook(cleaned: DataFrame, horizon=120, candidates=None, by=("stati
     for name, (variable, source) in FORECAST.items():
         rows = coded.select(*by, "ds", F.col(source).alias("value"))
         tried = candidates[name] if candidates else H.season_candidates(variable)
-        best = H.grid_search(rows, tried, by=by, default=H.default_model(variable))
-        main = H.forecast(H.fit_best(rows, best, by), horizon, by, remove_bias=True)
+        best = H.with_best(to_arrays(rows, by), tried, default=H.default_model(variable))
+        main = H.forecast(H.fit(best), horizon, by, remove_bias=True)
         parts[name] = P.fallback_chain(main, P.seasonal_naive(rows, horizon, by=by), by=by)
     wide = P.side_by_side(parts, by).withColumnRenamed("rr", "yhat")
     rain = P.decode_rain_flag(wide, cleaned, by)

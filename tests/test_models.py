@@ -341,3 +341,64 @@ def test_one_band_equals_that_of_several(spark):
     miss = [r.value - r.fitted for r in past.orderBy("ds").collect()]
     assert both[0].hi_b - both[0].yhat == pytest.approx(1.96 * np.sqrt(np.mean(np.square(miss[-3:]))))
     assert one[0].hi - one[0].yhat == pytest.approx(1.96 * np.sqrt(np.mean(np.square(miss[2:])))) and one[0].lo >= 3
+
+
+def test_a_grid_is_searched_where_the_series_is(spark, capsys):
+    rows = daily(spark, a=[float(i % 5) for i in range(40)])
+    H.with_best(H.to_arrays(rows), H.season_candidates("RR", lengths=(5, 7))).explain()
+    H.fit(H.with_best(H.to_arrays(rows), H.season_candidates("RR", lengths=(5, 7)))).explain()
+    for plan in capsys.readouterr().out.split("== Physical Plan ==")[1:]:
+        assert plan.count("Exchange") == 1 and "ArrowEvalPython" in plan and "Join" not in plan
+    H.grid_search(rows, H.season_candidates("RR", lengths=(5, 7))).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+
+
+def test_rows_of_one_batch_are_fitted_as_each_alone(spark):
+    rng = np.random.default_rng(4)
+    given = {"a": rng.uniform(1, 9, 40), "b": rng.uniform(1, 9, 23), "short": [4.0, 5.0, 6.0],
+             "hole": [3.0, None, 5.0, 4.0] * 6, "zero": [0.0, 2.0, 1.0, 3.0] * 5, "one": [7.0]}
+    models = [H.candidate(m=4, kind=k, phi=f) for k in ("add", "mul") for f in (1.0, 0.9)] + [
+        H.candidate(m=5, alpha=0.4), H.candidate(kind="none")]
+    fits = H.fit(H.with_candidates(H.to_arrays(daily(spark, **given)), models), keep_fitted=True)
+    got = {(r.series, r.candidate): r.fit for r in fits.collect()}
+    assert len(got) == len(given) * len(models)
+    for (name, i), fit in got.items():
+        v, c = list(given[name]), models[i]
+        m, mul = c["m"], c["kind"] == "mul"
+        if len(v) < max(2 * m, 2) or mul and min(x for x in v if x is not None) <= 0:
+            assert fit is None
+            continue
+        if name == "hole":
+            assert fit.l is None and fit.sse is None and fit.n == len(v)
+            continue
+        level, slope, season = v[0], v[1] - v[0], []
+        if m:
+            level = sum(v[:m]) / m
+            slope = (sum(v[m:2 * m]) / m - level) / m
+            season = [x / level if mul else x - level for x in v[:m]]
+        ahead = []
+        for y in v:
+            base, before = level + c["phi"] * slope, level
+            due = season.pop(0) if m else 0.0
+            ahead.append(base * due if mul else base + due)
+            level = c["alpha"] * (y / due if mul else y - due) + (1 - c["alpha"]) * base
+            if m:
+                season.append(c["gamma"] * (y / base if mul else y - base) + (1 - c["gamma"]) * due)
+            slope = c["beta"] * (level - before) + (1 - c["beta"]) * c["phi"] * slope
+        miss = np.array(v) - ahead
+        assert (fit.l, fit.b, fit.s, fit.fitted, fit.n) == (
+            pytest.approx(level), pytest.approx(slope), pytest.approx(season), pytest.approx(ahead), len(v))
+        assert (fit.sse, fit.sr) == (pytest.approx(miss @ miss), pytest.approx(miss.sum()))
+
+
+def test_a_batch_may_be_held_in_parts(monkeypatch):
+    from raingrid.operators import batchfit
+
+    rng = np.random.default_rng(5)
+    sizes = np.array([30, 12, 50, 12])
+    flat, begins = rng.uniform(1, 9, sizes.sum()), np.cumsum(sizes) - sizes
+    p = {k: np.full(4, v) for k, v in (("alpha", 0.2), ("beta", 0.05), ("gamma", 0.1), ("phi", 0.9))}
+    whole = batchfit.fits(flat, begins, sizes, p, "add", 5, keep=True)
+    monkeypatch.setattr(batchfit, "MOST_CELLS", 60)
+    parts = batchfit.fits(flat, begins, sizes, p, "add", 5, keep=True)
+    assert all((whole[k] == parts[k]).all() for k in whole)
