@@ -20,8 +20,9 @@ from raingrid.session import written
 MOST_FITS, SALTS = 10_000, 32
 
 
-def _time_both(df, col, by, ds):
-    return W.interpolate(df, "time", direction="both", by=by, ds=ds, value=col, out=col)
+def _time_both(df, col, by, ds, back_first=False):
+    return W.interpolate(df, "time", direction="both", by=by, ds=ds, value=col, out=col,
+                         back_first=back_first)
 
 
 def temperature_relation_fill(df: DataFrame, repair=True, by=BY, ds="ds") -> DataFrame:
@@ -31,11 +32,11 @@ def temperature_relation_fill(df: DataFrame, repair=True, by=BY, ds="ds") -> Dat
     """
     tx, tn, mid = F.col("tx"), F.col("tn"), F.col("tavg")
     rules = {"tx": 2 * mid - tn, "tn": 2 * mid - tx, "tavg": (tx + tn) / 2}
-    for name, rule in rules.items():
+    for i, (name, rule) in enumerate(rules.items()):
         df = df.withColumn(name, F.coalesce(F.col(name), rule))
         if repair:
             df = order_repair(df)
-        df = _time_both(df, name, by, ds)
+        df = _time_both(df, name, by, ds, back_first=i % 2 == 1)
     return df
 
 
@@ -51,7 +52,7 @@ def humidity_from_dewpoint(df: DataFrame, min_rows=50, by=BY, ds="ds", temp="tav
     rows = _time_both(rows, "_dew", by, ds)
     guess = F.when(F.col("_enough"), 100 - 5 * (F.col(temp) - F.col("_dew")))
     rows = rows.withColumn(out, V.bound(F.coalesce(F.col(rh), guess), 0, 100))
-    return _time_both(rows, out, by, ds).drop("_dew", "_enough")
+    return _time_both(rows, out, by, ds, back_first=True).drop("_dew", "_enough")
 
 
 def daylight_cap(df: DataFrame, latitude: float | None, by=BY, ds="ds", value="ss",

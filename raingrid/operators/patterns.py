@@ -150,9 +150,7 @@ def rain_occurrence_fill(df: DataFrame, predictors: list[str], scheme="two_sep",
     ``min_rows`` complete days its rain is interpolated in time. Draws hang on series and
     date only, so they repeat. ``ds`` is unique within a series.
     """
-    rows = df
-    for c in predictors:
-        rows = W.interpolate(rows, "time", direction="both", by=by, ds=ds, value=c, out=f"_p_{c}")
+    rows = W.interpolate_all(df, {c: f"_p_{c}" for c in predictors}, by, ds)
     whole = F.col(rr).isNotNull()
     for c in predictors:
         whole = whole & F.col(c).isNotNull()

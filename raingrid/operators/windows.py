@@ -67,9 +67,10 @@ def fill_both_all(df: DataFrame, values, by=BY, ds="ds") -> DataFrame:
         *[f"_{k}_{v}" for k in "ab" for v in values])
 
 
-def _neighbours(df: DataFrame, by, ds, value, axis) -> DataFrame:
-    """Adds row number and the known points around each row (two each way)."""
-    rows = df.withColumn("_rn", F.row_number().over(forward(by, ds)))
+def _neighbours(df: DataFrame, by, ds, value, axis, number=True) -> DataFrame:
+    """Adds row number, null unless asked for, and the known points around each row (two each way)."""
+    place = F.row_number().over(forward(by, ds)) if number else F.lit(None).cast("int")
+    rows = df.withColumn("_rn", place)
     x = F.unix_date(F.col(ds)) if axis == "time" else F.col("_rn")
     known = F.col(value).isNotNull()
     point = F.when(known, F.struct(F.col("_rn").alias("rn"), x.cast("double").alias("x"),
@@ -78,18 +79,18 @@ def _neighbours(df: DataFrame, by, ds, value, axis) -> DataFrame:
 
 
 def interpolate(df: DataFrame, method="linear", limit: int | None = None, direction="forward",
-                by=BY, ds="ds", value="value", out="filled") -> DataFrame:
+                by=BY, ds="ds", value="value", out="filled", back_first=False) -> DataFrame:
     """Straight line between the known neighbours, by row or by time.
 
     Nulls after the last value take it; nulls before the first take it only with
     ``direction='both'``. ``limit`` counts rows from the left, and with ``both``
-    also from the right.
+    also from the right. ``back_first`` goes back before it goes forward, with the same
+    result: after a step that ended backward it shares its sort.
     """
-    rows = (
-        _neighbours(df, by, ds, value, method)
-        .withColumn("_p", last_known(F.col("_pt"), forward(by, ds)))
-        .withColumn("_n", last_known(F.col("_pt"), backward(by, ds)))
-    )
+    rows = _neighbours(df, by, ds, value, method, method != "time" or limit is not None)
+    sides = [("_p", forward(by, ds)), ("_n", backward(by, ds))]
+    for name, order in reversed(sides) if back_first else sides:
+        rows = rows.withColumn(name, last_known(F.col("_pt"), order))
     p, n = F.col("_p"), F.col("_n")
     line = p["v"] + (n["v"] - p["v"]) * (F.col("_x") - p["x"]) / (n["x"] - p["x"])
     both = direction == "both"
@@ -105,6 +106,26 @@ def interpolate(df: DataFrame, method="linear", limit: int | None = None, direct
     return rows.withColumn(out, filled).drop("_rn", "_x", "_pt", "_p", "_n")
 
 
+def interpolate_all(df: DataFrame, columns: dict[str, str], by=BY, ds="ds") -> DataFrame:
+    """``interpolate`` in time and both ways for several columns, given as value and name of the
+    result: one pass forward and one back serve them all."""
+    x = F.unix_date(F.col(ds)).cast("double")
+    points = {v: F.when(F.col(v).isNotNull(), F.struct(x.alias("x"), F.col(v).cast("double").alias("v")))
+              for v in columns}
+    rows = df
+    for side, order in (("before", forward(by, ds)), ("after", backward(by, ds))):
+        rows = rows.withColumns({f"_{side}_{v}": last_known(e, order) for v, e in points.items()})
+
+    def filled(v):
+        p, n = F.col(f"_before_{v}"), F.col(f"_after_{v}")
+        line = p["v"] + (n["v"] - p["v"]) * (x - p["x"]) / (n["x"] - p["x"])
+        return F.coalesce(F.col(v), F.when(p.isNotNull() & n.isNotNull(), line).when(
+            p.isNotNull(), p["v"]).otherwise(n["v"]))
+
+    return rows.withColumns({out: filled(v) for v, out in columns.items()}).drop(
+        *[f"_{side}_{v}" for side in ("before", "after") for v in columns])
+
+
 def gaps(df: DataFrame, by=BY, ds="ds", value="value") -> DataFrame:
     """Runs of nulls: first day, last day and length."""
     known_so_far = F.count(value).over(

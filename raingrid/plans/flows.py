@@ -70,6 +70,8 @@ def clean_station(rows: DataFrame, site="Aceh", by=("station",)) -> DataFrame:
     filled = I.humidity_from_dewpoint(filled, by=by).drop("rh").withColumnRenamed("rh_filled", "rh")
     filled = I.daylight_cap(filled, fixed.LATITUDES[site], by, value="SS", out="ss")
     filled = I.wind_direction_fill(filled, by=by, value="DDD_X", out="direction")
+    # The modes of the names are counted first, so that rows are read twice: they are written before.
+    filled = written(filled, "station-directions")
     filled = I.cardinal_clean(filled, by=by, name="DDD_CAR", degrees="direction", out="cardinal")
     # The learned fills read their input several times, so it is written before them.
     filled = written(fill_wind(written(filled, "station-days"), by), "station-wind")

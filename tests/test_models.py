@@ -402,3 +402,26 @@ def test_a_batch_may_be_held_in_parts(monkeypatch):
     monkeypatch.setattr(batchfit, "MOST_CELLS", 60)
     parts = batchfit.fits(flat, begins, sizes, p, "add", 5, keep=True)
     assert all((whole[k] == parts[k]).all() for k in whole)
+
+
+def test_columns_interpolated_together_equal_each_alone(spark, capsys):
+    rows = daily(spark, a=[None, 1.0, None, None, 7.0, None], b=[None] * 3, c=[2.0, None, 5.5])
+    rows = rows.withColumn("twin", F.when(F.dayofmonth("ds") % 2 == 0, F.col("value") * 3))
+    want = rows
+    for c in ("value", "twin"):
+        want = W.interpolate(want, "time", direction="both", value=c, out=f"_{c}")
+    back = W.interpolate(rows, "time", direction="both", out="_value", back_first=True)
+    together = W.interpolate_all(rows, {"value": "_value", "twin": "_twin"})
+    together.explain()
+    assert capsys.readouterr().out.count("Sort [") == 2
+    assert sorted(map(str, together.collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, back.collect())) == sorted(map(str, want.drop("_twin").collect()))
+
+
+def test_temperatures_share_sorts(spark, capsys):
+    from raingrid.operators import impute as I
+
+    rows = daily(spark, a=[1.0, None, 3.0]).withColumns(
+        {c: F.col("value") + k for k, c in enumerate(("tn", "tavg", "tx"))}).drop("value")
+    I.temperature_relation_fill(rows).explain()
+    assert capsys.readouterr().out.count("Sort [") == 4
