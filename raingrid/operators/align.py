@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raingrid.functions import values as V
-from raingrid.operators.common import BY, backward, dealt, forward, last_known, whole_series
+from raingrid.operators.common import (
+    BY, backward, dealt, forward, last_known, next_known, whole_series,
+)
 
 
 def outer_merge(frames: dict[str, DataFrame], keys=("series", "ds"), value="value") -> DataFrame:
@@ -69,20 +71,26 @@ def union_index_join(frames: dict[str, DataFrame], keys=("series", "ds"), ds="ds
 
 
 def nearest_within(df: DataFrame, days: int = 7, by=BY, ds="ds", value="value",
-                   out="filled") -> DataFrame:
+                   out="filled", look_ahead=False) -> DataFrame:
     """Fill a null from the closest dated value less than ``days`` away.
 
-    The earlier date wins a tie. Only original values are donors.
+    The earlier date wins a tie. Only original values are donors. ``look_ahead`` finds later
+    donors without going back, so the forward sort serves both sides: for unique days.
     """
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(ds).alias("d"),
                                                       F.col(value).alias("v")))
     back = F.datediff(F.col(ds), F.col("_p.d"))
     ahead = F.datediff(F.col("_n.d"), F.col(ds))
     use_prev = (back < days) & (ahead.isNull() | (back <= ahead))
+    if look_ahead:
+        rows = df.withColumn("_at", point).withColumns({
+            "_p": last_known(F.col("_at"), forward(by, ds)),
+            "_n": next_known("_at", forward(by, ds))}).drop("_at")
+    else:
+        rows = df.withColumn("_p", last_known(point, forward(by, ds))).withColumn(
+            "_n", last_known(point, backward(by, ds)))
     return (
-        df.withColumn("_p", last_known(point, forward(by, ds)))
-        .withColumn("_n", last_known(point, backward(by, ds)))
-        .withColumn(out, F.when(use_prev, F.col("_p.v")).when(ahead < days, F.col("_n.v")))
+        rows.withColumn(out, F.when(use_prev, F.col("_p.v")).when(ahead < days, F.col("_n.v")))
         .drop("_p", "_n")
     )
 

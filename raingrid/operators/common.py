@@ -31,6 +31,15 @@ def last_known(col: Column, window, include_current=True) -> Column:
         window.rowsBetween(Window.unboundedPreceding, end))
 
 
+def next_known(name: str, window) -> Column:
+    """Earliest non-null value of the column ``name`` from the row on, in window order.
+
+    Looks ahead over the rows in their own order, so nothing is sorted backward.
+    """
+    later = F.expr(f"lead(`{name}`, 1) IGNORE NULLS").over(window)
+    return F.coalesce(F.col(name), later)
+
+
 def to_arrays(df: DataFrame, by=BY, ds="ds", value="value") -> DataFrame:
     """One row per series with ``days`` and ``vals`` arrays in date order."""
     points = F.sort_array(F.collect_list(F.struct(ds, value)))

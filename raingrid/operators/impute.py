@@ -20,15 +20,17 @@ from raingrid.session import written
 MOST_FITS, SALTS = 10_000, 32
 
 
-def _time_both(df, col, by, ds, back_first=False):
+def _time_both(df, col, by, ds, back_first=False, look_ahead=False):
     return W.interpolate(df, "time", direction="both", by=by, ds=ds, value=col, out=col,
-                         back_first=back_first)
+                         back_first=back_first, look_ahead=look_ahead)
 
 
-def temperature_relation_fill(df: DataFrame, repair=True, by=BY, ds="ds") -> DataFrame:
+def temperature_relation_fill(df: DataFrame, repair=True, by=BY, ds="ds",
+                              look_ahead=False) -> DataFrame:
     """Missing maximum, minimum or mean temperature from the other two, then in time.
 
-    Taken in the order maximum, minimum, mean; later ones see earlier fills.
+    Taken in the order maximum, minimum, mean; later ones see earlier fills. ``look_ahead``, here
+    and in the fills below, is that of ``windows.interpolate``.
     """
     tx, tn, mid = F.col("tx"), F.col("tn"), F.col("tavg")
     rules = {"tx": 2 * mid - tn, "tn": 2 * mid - tx, "tavg": (tx + tn) / 2}
@@ -36,12 +38,12 @@ def temperature_relation_fill(df: DataFrame, repair=True, by=BY, ds="ds") -> Dat
         df = df.withColumn(name, F.coalesce(F.col(name), rule))
         if repair:
             df = order_repair(df)
-        df = _time_both(df, name, by, ds, back_first=i % 2 == 1)
+        df = _time_both(df, name, by, ds, i % 2 == 1, look_ahead)
     return df
 
 
 def humidity_from_dewpoint(df: DataFrame, min_rows=50, by=BY, ds="ds", temp="tavg",
-                           rh="rh", out="rh_filled") -> DataFrame:
+                           rh="rh", out="rh_filled", look_ahead=False) -> DataFrame:
     """Humidity through an interpolated dew point, clipped to 0-100, then in time."""
     both = F.col(temp).isNotNull() & F.col(rh).isNotNull()
     dew = F.when(both, F.col(temp) - (100 - F.col(rh)) / 5)
@@ -49,46 +51,51 @@ def humidity_from_dewpoint(df: DataFrame, min_rows=50, by=BY, ds="ds", temp="tav
     series = forward(by, ds).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = df.withColumn("_dew", dew).withColumn(
         "_enough", F.count("_dew").over(series) > min_rows)
-    rows = _time_both(rows, "_dew", by, ds)
+    rows = _time_both(rows, "_dew", by, ds, look_ahead=look_ahead)
     guess = F.when(F.col("_enough"), 100 - 5 * (F.col(temp) - F.col("_dew")))
     rows = rows.withColumn(out, V.bound(F.coalesce(F.col(rh), guess), 0, 100))
-    return _time_both(rows, out, by, ds, back_first=True).drop("_dew", "_enough")
+    return _time_both(rows, out, by, ds, True, look_ahead).drop("_dew", "_enough")
 
 
 def daylight_cap(df: DataFrame, latitude: float | None, by=BY, ds="ds", value="ss",
-                 out="ss_filled", hours: float = 12.5) -> DataFrame:
+                 out="ss_filled", hours: float = 12.5, look_ahead=False) -> DataFrame:
     """Sunshine filled in time and held between 0 and the day's possible hours.
 
     Without a ``latitude`` the possible hours are ``hours`` on every day.
     """
-    rows = W.interpolate(df, "time", direction="both", by=by, ds=ds, value=value, out=out)
+    rows = W.interpolate(df, "time", direction="both", by=by, ds=ds, value=value, out=out,
+                         look_ahead=look_ahead)
     most = F.lit(hours) if latitude is None else V.daylight_hours(F.col(ds), latitude)
     capped = F.least(F.col(out), most)
     return rows.withColumn(out, V.bound(F.when(F.col(out).isNotNull(), capped), 0))
 
 
-def _angle_over(cols, value):
-    """Mean angle and consistency as windows over ``cols``."""
-    w = Window.partitionBy(*cols)
+def _angle_over(window, value):
+    """Mean angle and consistency over ``window``."""
     rad = F.radians(value)
-    y, x = F.avg(F.sin(rad)).over(w), F.avg(F.cos(rad)).over(w)
+    y, x = F.avg(F.sin(rad)).over(window), F.avg(F.cos(rad)).over(window)
     return F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0)), F.hypot(x, y)
 
 
 def wind_direction_fill(df: DataFrame, min_consistency=0.5, nearest_first=False, days=7,
                         scheme="two_sep", by=BY, ds="ds", value="direction",
-                        out="filled", speed: str | None = None) -> DataFrame:
+                        out="filled", speed: str | None = None, look_ahead=False) -> DataFrame:
     """Direction from consistent month or season means, a near date, or overall.
 
     ``nearest_first`` tries the near date first and takes month and season means
     whatever their consistency; with ``speed``, the near date is only taken on days
     where that column is known.
     """
-    rows = df.withColumns({"_m": F.month(ds), "_s": V.season(F.col(ds), scheme)})
-    for name, cols in (("all", by), ("season", (*by, "_s")), ("month", (*by, "_m"))):
-        angle, strength = _angle_over(cols, value)
+    rows = nearest_within(df, days, by, ds, value, "_near", look_ahead).withColumns(
+        {"_m": F.month(ds), "_s": V.season(F.col(ds), scheme)})
+    # A month lies in one season, so days in the order of season and month serve all three in one sort.
+    keys, whole = (*by, "_s", "_m"), (Window.unboundedPreceding, Window.unboundedFollowing)
+    for name, n in (("all", len(by)), ("season", len(by) + 1), ("month", len(by) + 2)):
+        window = Window.partitionBy(*keys[:n])
+        if n < len(keys):
+            window = window.orderBy(*keys[n:]).rowsBetween(*whole)
+        angle, strength = _angle_over(window, value)
         rows = rows.withColumns({f"_{name}": angle, f"_{name}_r": strength})
-    rows = nearest_within(rows, days, by, ds, value, "_near")
     if nearest_first:
         near = F.col("_near") if speed is None else F.when(F.col(speed).isNotNull(), F.col("_near"))
         steps = [near, F.col("_month"), F.col("_season")]
@@ -192,7 +199,8 @@ def cardinal_clean(df: DataFrame, scheme="two_sep", by=BY, ds="ds", name="cardin
                    degrees="direction", out="filled") -> DataFrame:
     """Valid compass names, else from degrees, else the month, season or overall mode.
 
-    Each level counts what the previous one left; the last resort is ``N``.
+    Each level counts what the previous one left; the last resort is ``N``. The fills of months
+    that need one are written and counted; up to ``MOST_FITS`` of them are sent to every task.
     """
     trimmed = F.trim(name)
     start = F.coalesce(F.when(trimmed.isin(*fixed.COMPASS), trimmed),
@@ -210,8 +218,10 @@ def cardinal_clean(df: DataFrame, scheme="two_sep", by=BY, ds="ds", name="cardin
         table = table.withColumn(f"_best{i}", best.over(Window.partitionBy(*keys))["v"])
         steps.append(F.col(f"_best{i}"))
         name = F.coalesce(F.col(f"_v{i}"), steps[-1])
-    fills = table.where(F.col(out).isNull()).select(
-        *by, "_m", F.coalesce(*steps, F.lit("N")).alias("_fill"))
+    fills = written(table.where(F.col(out).isNull()).select(
+        *by, "_m", F.coalesce(*steps, F.lit("N")).alias("_fill")), "compass-fills")
+    if fills.limit(MOST_FITS + 1).count() <= MOST_FITS:
+        fills = F.broadcast(fills)
     return rows.join(fills, [*by, "_m"], "left").withColumn(
         out, F.coalesce(out, "_fill")).select(*df.columns, out)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raingrid.session import written
@@ -45,9 +45,55 @@ def _narrowed(inside: DataFrame, wanted: DataFrame, cuts: int, by) -> DataFrame:
         F.col("_start").alias("_before"))
 
 
+def counted(df: DataFrame, by=("series",), value="value", weight: str | None = None) -> DataFrame:
+    """Written table of the distinct values ``_v`` of each group and their number ``_n``.
+
+    ``weight`` names a column that says how often a row counts.
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return written(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(
+        n.alias("_n")), "counted")
+
+
+def _wanted(probs: list[float]) -> Column:
+    """Array of the ranks, and their shares, that make up the quantiles of ``_total`` values."""
+    at, pairs = (F.col("_total") - 1) * F.lit(1.0), []
+    for i, p in enumerate(probs):
+        low, over = F.floor(at * p), at * p - F.floor(at * p)
+        pairs += [F.struct(F.lit(i).alias("_i"), low.alias("_rank"), (1.0 - over).alias("_share")),
+                  F.struct(F.lit(i).alias("_i"), F.ceil(at * p).alias("_rank"), over.alias("_share"))]
+    return F.array(*pairs)
+
+
+def _together(points: DataFrame, by) -> DataFrame:
+    sums = points.groupBy(*by, "_i").agg(F.sum(F.col("_v") * F.col("_share")).alias("_q"))
+    return sums.groupBy(*by).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"])
+        .alias("quantiles"))
+
+
+def _in_one_shuffle(counts: DataFrame, probs: list[float], by) -> DataFrame:
+    """Quantiles of groups that are each sorted by one task."""
+    order = Window.partitionBy(*by).orderBy("_v")
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    for b in by:
+        counts = counts.where(F.col(b).isNotNull())
+    ranked = counts.repartition(*by).withColumns({"_upto": upto, "_total": whole})
+    hits = F.filter(_wanted(probs), lambda w: (w["_rank"] < F.col("_upto"))
+                    & (w["_rank"] >= F.col("_upto") - F.col("_n")))
+    return _together(ranked.select(*by, "_v", F.explode(hits).alias("_w")).select(*by, "_v", "_w.*"), by)
+
+
 def exact_quantiles(df: DataFrame, probs: list[float], by=("series",), value="value",
-                    most: int = 1_000_000, cuts: int = 256) -> DataFrame:
-    """Linear-interpolated quantiles, one array ``quantiles`` per group.
+                    most: int = 1_000_000, cuts: int = 256, weight: str | None = None) -> DataFrame:
+    """Linear-interpolated quantiles, one array ``quantiles`` per group; see ``quantiles_of``."""
+    return quantiles_of(counted(df, by, value, weight), probs, by, most, cuts)
+
+
+def quantiles_of(counts: DataFrame, probs: list[float], by=("series",), most: int = 1_000_000,
+                 cuts: int = 256) -> DataFrame:
+    """Linear-interpolated quantiles of a table of ``counted``, one array ``quantiles`` per group.
 
     ``percentile`` holds every distinct value of a group in one buffer. Here equal values are
     counted once and written; the range in which a wanted rank lies is narrowed, by a sketch of
@@ -56,17 +102,11 @@ def exact_quantiles(df: DataFrame, probs: list[float], by=("series",), value="va
     exact. Each round reads the counted values while the plan is built; groups of up to ``most``
     values need none. Nulls are left out, and a group without values has no row.
     """
-    counts = written(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")), "counted")
-    at = (F.col("_total") - 1) * F.lit(1.0)
-    pairs = []
-    for i, p in enumerate(probs):
-        low, over = F.floor(at * p), at * p - F.floor(at * p)
-        pairs += [F.struct(F.lit(i).alias("_i"), low.alias("_rank"), (1.0 - over).alias("_share")),
-                  F.struct(F.lit(i).alias("_i"), F.ceil(at * p).alias("_rank"), over.alias("_share"))]
+    if (counts.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= most:
+        return _in_one_shuffle(counts, probs, by)
     kind = dict(counts.dtypes)["_v"]
     wanted = counts.groupBy(*by).agg(F.sum("_n").alias("_total")).select(
-        *by, F.explode(F.array(*pairs)).alias("_w")).select(
+        *by, F.explode(_wanted(probs)).alias("_w")).select(
         *by, "_w.*", F.lit(None).cast(kind).alias("_lo"), F.lit(None).cast(kind).alias("_hi"),
         F.lit(0).cast("long").alias("_before"))
     while True:
@@ -85,7 +125,4 @@ def exact_quantiles(df: DataFrame, probs: list[float], by=("series",), value="va
     for i, b in enumerate(by):
         own = own & F.col(b).eqNullSafe(F.col(f"_by{i}"))
     hit = ranked.join(wanted, own).where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_upto")))
-    points = hit.groupBy(*by, "_i").agg(F.sum(F.col("_v") * F.col("_share")).alias("_q"))
-    return points.groupBy(*by).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"])
-        .alias("quantiles"))
+    return _together(hit.select(*by, "_i", "_v", "_share"), by)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from raingrid.functions import values as V
 from raingrid.operators.common import (
-    BY, backward, forward, from_arrays, last_known, scan, to_arrays, total, whole_series,
+    BY, backward, forward, from_arrays, last_known, next_known, scan, to_arrays, total, whole_series,
 )
 
 
@@ -79,18 +79,24 @@ def _neighbours(df: DataFrame, by, ds, value, axis, number=True) -> DataFrame:
 
 
 def interpolate(df: DataFrame, method="linear", limit: int | None = None, direction="forward",
-                by=BY, ds="ds", value="value", out="filled", back_first=False) -> DataFrame:
+                by=BY, ds="ds", value="value", out="filled", back_first=False,
+                look_ahead=False) -> DataFrame:
     """Straight line between the known neighbours, by row or by time.
 
     Nulls after the last value take it; nulls before the first take it only with
     ``direction='both'``. ``limit`` counts rows from the left, and with ``both``
     also from the right. ``back_first`` goes back before it goes forward, with the same
-    result: after a step that ended backward it shares its sort.
+    result: after a step that ended backward it shares its sort. ``look_ahead`` finds the next
+    value without going back, so the forward sort serves all: for unique days, with the same result.
     """
     rows = _neighbours(df, by, ds, value, method, method != "time" or limit is not None)
-    sides = [("_p", forward(by, ds)), ("_n", backward(by, ds))]
-    for name, order in reversed(sides) if back_first else sides:
-        rows = rows.withColumn(name, last_known(F.col("_pt"), order))
+    if look_ahead:
+        rows = rows.withColumns({"_p": last_known(F.col("_pt"), forward(by, ds)),
+                                 "_n": next_known("_pt", forward(by, ds))})
+    else:
+        sides = [("_p", forward(by, ds)), ("_n", backward(by, ds))]
+        for name, order in reversed(sides) if back_first else sides:
+            rows = rows.withColumn(name, last_known(F.col("_pt"), order))
     p, n = F.col("_p"), F.col("_n")
     line = p["v"] + (n["v"] - p["v"]) * (F.col("_x") - p["x"]) / (n["x"] - p["x"])
     both = direction == "both"
@@ -106,15 +112,23 @@ def interpolate(df: DataFrame, method="linear", limit: int | None = None, direct
     return rows.withColumn(out, filled).drop("_rn", "_x", "_pt", "_p", "_n")
 
 
-def interpolate_all(df: DataFrame, columns: dict[str, str], by=BY, ds="ds") -> DataFrame:
+def interpolate_all(df: DataFrame, columns: dict[str, str], by=BY, ds="ds",
+                    look_ahead=False) -> DataFrame:
     """``interpolate`` in time and both ways for several columns, given as value and name of the
-    result: one pass forward and one back serve them all."""
+    result: one pass forward and one back serve them all, or with ``look_ahead`` one forward."""
     x = F.unix_date(F.col(ds)).cast("double")
     points = {v: F.when(F.col(v).isNotNull(), F.struct(x.alias("x"), F.col(v).cast("double").alias("v")))
               for v in columns}
-    rows = df
-    for side, order in (("before", forward(by, ds)), ("after", backward(by, ds))):
-        rows = rows.withColumns({f"_{side}_{v}": last_known(e, order) for v, e in points.items()})
+    if look_ahead:
+        rows = df.withColumns({f"_at_{v}": e for v, e in points.items()})
+        order = forward(by, ds)
+        rows = rows.withColumns({f"_before_{v}": last_known(F.col(f"_at_{v}"), order) for v in columns}
+                                | {f"_after_{v}": next_known(f"_at_{v}", order) for v in columns})
+        rows = rows.drop(*[f"_at_{v}" for v in columns])
+    else:
+        rows = df
+        for side, order in (("before", forward(by, ds)), ("after", backward(by, ds))):
+            rows = rows.withColumns({f"_{side}_{v}": last_known(e, order) for v, e in points.items()})
 
     def filled(v):
         p, n = F.col(f"_before_{v}"), F.col(f"_after_{v}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,18 +67,23 @@ def clean_station(rows: DataFrame, site="Aceh", by=("station",)) -> DataFrame:
     named = grid.withColumnsRenamed({"TX": "tx", "TN": "tn", "TAVG": "tavg", "RH_AVG": "rh",
                                      "RR": "rr"})
     named = named.withColumn("rain_missing", V.missing_flag(F.col("rr")))
-    filled = I.temperature_relation_fill(named, by=by)
-    filled = I.humidity_from_dewpoint(filled, by=by).drop("rh").withColumnRenamed("rh_filled", "rh")
-    filled = I.daylight_cap(filled, fixed.LATITUDES[site], by, value="SS", out="ss")
-    filled = I.wind_direction_fill(filled, by=by, value="DDD_X", out="direction")
-    # The modes of the names are counted first, so that rows are read twice: they are written before.
-    filled = written(filled, "station-directions")
+    # The grid's days are unique, so all fills look ahead in one sort.
+    once = dict(by=by, look_ahead=True)
+    filled = I.temperature_relation_fill(named, **once)
+    filled = I.humidity_from_dewpoint(filled, **once).drop("rh").withColumnRenamed("rh_filled", "rh")
+    filled = I.daylight_cap(filled, fixed.LATITUDES[site], value="SS", out="ss", **once)
+    filled = I.wind_direction_fill(filled, value="DDD_X", out="direction", **once)
+    # The modes of the names, the fits of the wind and its patterns read their input several times,
+    # so it is written before; what they add is small enough to be done again at each reading.
+    filled = written(filled, "station-days")
+    # Only a station without any value of a variable has gaps left in it.
+    gaps = filled.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in RAIN_PREDICTORS]))
+    gap_free = not gaps.limit(1).count()
     filled = I.cardinal_clean(filled, by=by, name="DDD_CAR", degrees="direction", out="cardinal")
-    # The learned fills read their input several times, so it is written before them.
-    filled = written(fill_wind(written(filled, "station-days"), by), "station-wind")
-    filled = L.rain_occurrence_fill(filled, list(RAIN_PREDICTORS), by=by, out="rain")
-    return filled.select(*by, "ds", "rain_missing", F.col("rain").alias("rr"), "tx", "tn", "tavg",
-                         "rh", "ss", "direction", "wind", "cardinal")
+    kept = (*by, "ds", "rain_missing", "rr", "tx", "tn", "tavg", "rh", "ss", "direction", "wind", "cardinal")
+    filled = L.rain_occurrence_fill(fill_wind(filled, by).select(*kept), list(RAIN_PREDICTORS), out="rain",
+                                    gap_free=gap_free, **once)
+    return filled.withColumn("rr", F.col("rain")).select(*kept)
 
 
 def fill_wind(rows: DataFrame, by=("station",)) -> DataFrame:
@@ -87,7 +93,8 @@ def fill_wind(rows: DataFrame, by=("station",)) -> DataFrame:
                    16, 10).cast("bigint") % 5 < 4
     fits = I.regression_fits(rows, train, "FF_X", "FF_AVG", by)
     lined = I.regression_fill(rows, fits, x="FF_X", y="FF_AVG", by=by, out="_wind")
-    return L.pattern_median_fill(lined, ["tavg", "rh"], "_wind", by=by, out="wind").drop("_wind")
+    return L.pattern_median_fill(lined, ["tavg", "rh"], "_wind", by=by, out="wind",
+                                 look_ahead=True).drop("_wind")
 
 
 FORECAST = {"rr": ("RR", "rr_adjusted"), "tavg": ("TAVG", "tavg"), "rh": ("RH_AVG", "rh")}

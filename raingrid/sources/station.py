@@ -22,26 +22,31 @@ def read_station_csv(spark: SparkSession, path, sentinels=fixed.SENTINELS) -> Da
     becomes the column ``station``. Sort where an ordered output is wanted; the rows
     themselves stay unsorted to spare a shuffle.
     """
-    plain = lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))
+    plain = lambda c: F.trim(F.when(c.contains('"'), F.regexp_replace(c, '^"|"$', "")).otherwise(c))
     cells = F.split("line", ",")
     names = F.transform(cells, plain)
     # The word comes first, so that the cells of data lines are not all rewritten to look for it.
     is_header = F.col("line").contains("Date") & F.array_contains(names, "Date")
-    rows = carry_down(read_lines(spark, path), {"header": F.when(is_header, names)}, ~is_header)
-    raw = rows.select("path", "header", cells.alias("cells"))
-    cell = {c: F.when(F.array_position("header", c) > 0,
-                      plain(F.get("cells", F.array_position("header", c).cast("int") - 1)))
-            for c in (*NUMBERS, "Date", "DDD_CAR")}
-    # As one array, so that a cell is looked up once and not at each mention in the expression.
-    numbers = F.transform(F.array(*[cell[c] for c in NUMBERS]), lambda c: V.sentinel_to_null(
-        V.coerce_numeric(V.text_missing_to_null(c)), sentinels))
+    # Where a header has the wanted columns (0 for nowhere), so that no data line looks for names.
+    wanted = (*NUMBERS, "Date", "DDD_CAR")
+    places = F.array(*[F.array_position(names, c).cast("int") for c in wanted])
+    # What lies below a header takes the folder from it too; what does not has no date.
     folder = F.regexp_extract("path", "/station=([^/]+)/", 1)
+    rows = carry_down(read_lines(spark, path), {
+        "header": F.when(is_header, places),
+        "station": F.when(is_header, F.url_decode(F.when(folder != "", folder)))}, ~is_header)
+    # Arrays of cells, texts and numbers, so that each is worked out once and not at each mention.
+    cells = F.transform(F.array(cells), lambda all_: F.transform(
+        "header", lambda at: plain(F.get(all_, at - 1))))[0]
+    raw = rows.select("station", cells.alias("cells"))
+    numbers = F.transform(F.slice("cells", 1, len(NUMBERS)), lambda c: V.text_missing_to_null(c))
+    numbers = F.transform(numbers, lambda c: c.try_cast("double"))
+    numbers = F.transform(numbers, lambda c: V.sentinel_to_null(V.coerce_numeric(c), sentinels))
+    date, name = F.get("cells", F.lit(len(NUMBERS))), F.get("cells", F.lit(len(NUMBERS) + 1))
     return raw.withColumn("numbers", numbers).select(
-        F.url_decode(F.when(folder != "", folder)).alias("station"),
-        V.parse_date_multi(cell["Date"], DATE_FORMATS).alias("ds"),
+        "station", V.parse_date_multi(date, DATE_FORMATS).alias("ds"),
         *[F.get("numbers", F.lit(i)).alias(c) for i, c in enumerate(NUMBERS)],
-        V.text_missing_to_null(cell["DDD_CAR"]).alias("DDD_CAR"),
-    ).where(F.col("ds").isNotNull()).dropDuplicates()
+        V.text_missing_to_null(name).alias("DDD_CAR")).where(F.col("ds").isNotNull()).dropDuplicates()
 
 
 def clean_sheet_rows(lines: DataFrame, key="TANGGAL", stop="KETERANGAN", within=10,
