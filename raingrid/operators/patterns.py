@@ -1,16 +1,14 @@
-"""Fills that learn from other variables with ``pyspark.ml``."""
+"""Fills that learn from other variables: clusters and a forest, in passes of numpy over the rows."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raingrid.functions import values as V
-from raingrid.operators import forest
+from raingrid.operators import clusters, forest
 from raingrid.operators import windows as W
 from raingrid.operators.common import BY, forward
 from raingrid.operators.quantiles import counted, exact_quantiles, quantiles_of
@@ -93,9 +91,7 @@ def weather_patterns(df: DataFrame, cols: list[str], sizes=(2, 3, 4, 5), seed=42
     rows = written(scaled.select(*xs), "patterns")
     if rows.limit(2).count() < 2:
         return df.withColumn("pattern", F.lit(0))
-    packed = VectorAssembler(inputCols=xs, outputCol="features").transform(rows)
-    centers = {k: KMeans(k=k, seed=seed, featuresCol="features").fit(packed).clusterCenters()
-               for k in dict.fromkeys((*sizes, 2))}
+    centers = clusters.centers_of(rows, list(dict.fromkeys((*sizes, 2))), seed)
     scores = _silhouettes(rows, xs, {k: centers[k] for k in sizes})
     best = max(scores, key=scores.get, default=2)  # the first of equal ones
     return scaled.withColumn("pattern", _nearest(xs, centers[best])).drop(*xs)

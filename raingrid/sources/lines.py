@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from raingrid.session import written
 
 
+#: Setting of Spark that gives each of up to 10,000 folders a task of its own for its listing.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _listed(spark: SparkSession, path) -> DataFrame:
+    """Text files below ``path``, whose folders are listed by a few tasks, many folders each."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, min(int(before), max(32, 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.text(path)
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """Columns ``path``, ``block``, ``pos`` and ``line``; comparable within a file.
 
@@ -15,7 +29,7 @@ def read_lines(spark: SparkSession, path) -> DataFrame:
     rises with the line inside it, so (block, pos) orders the lines of a file
     without reading the file in one task.
     """
-    return spark.read.text(path).select(
+    return _listed(spark, path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),

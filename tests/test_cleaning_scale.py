@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from raingrid.operators import forest
+from raingrid.operators import clusters, forest
 from raingrid.operators import impute as I
 from raingrid.operators import patterns as L
 from raingrid.operators import windows as W
@@ -105,3 +105,37 @@ def test_leaves_of_a_forest_are_shares_of_their_rows(spark):
     assert grown.transform(rows).where("rain <> wet").count() == 0
     alone = forest.grown(rows.where("wet = 1"), ["a"], F.col("wet"), F.xxhash64("id"), trees=3, depth=5)
     assert alone.transform(rows).where("rain <> 1").count() == 0 and alone.importances == [0.0]
+
+
+def test_clusters_of_all_sizes_share_their_passes(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    middles = np.array([[0.0, 0.0], [5.0, 0.0], [0.0, 5.0], [5.0, 5.0]])
+    points = np.concatenate([rng.normal(c, 0.1, (80, 2)) for c in middles])
+    rows = spark.createDataFrame(points.tolist(), "a double, b double").repartition(3)
+    passes, plain = [], clusters._pass
+    monkeypatch.setattr(clusters, "_pass", lambda *a: passes.append(1) or plain(*a))
+    found = clusters.centers_of(rows, [2, 3, 4])
+    assert len(passes) <= 6 + clusters.STEPS
+    assert {k: len(c) for k, c in found.items()} == {2: 2, 3: 3, 4: 4}
+    assert sorted(np.round(found[4]).tolist()) == sorted(middles.tolist())
+    for k, c in found.items():  # every center is the mean of the points nearest to it
+        own = ((points[:, None] - np.array(c)) ** 2).sum(axis=2).argmin(axis=1)
+        assert np.allclose(c, [points[own == j].mean(axis=0) for j in range(k)], atol=1e-3)
+    few = spark.createDataFrame([(1.0, 1.0)] * 9 + [(2.0, 2.0)] * 9, "a double, b double")
+    assert sorted(clusters.centers_of(few, [5])[5]) == [[1.0, 1.0], [2.0, 2.0]]
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    from raingrid.sources import lines
+
+    for i in range(300):
+        (tmp_path / f"station=s{i}").mkdir()
+        (tmp_path / f"station=s{i}" / "a.csv").write_text("Date,TN\n2020-01-01,20\n")
+    before, tracker = spark.conf.get(lines.LISTING), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    rows = lines.read_lines(spark, f"file:{tmp_path}")
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing")
+             for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(lines.LISTING) == before and rows.count() == 600
+    assert tasks and max(tasks) <= max(32, 4 * spark.sparkContext.defaultParallelism)
